@@ -85,8 +85,8 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, unhex(sha1(html))::BIT::VARCHAR AS bits,
              min(page_id) OVER (PARTITION BY html) AS least FROM p)
 SELECT page_id, payload_bytes,
-       list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-           1 + list_sum(list_transform(range(5), j -> CASE substr(bits, CAST(5 * i + j + 1 AS BIGINT), 1) WHEN '1' THEN CAST(2 ** (4 - j) AS BIGINT) ELSE 0 END))::BIGINT, 1)),
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + list_sum(list_transform(range(5), lambda j: CASE substr(bits, CAST(5 * i + j + 1 AS BIGINT), 1) WHEN '1' THEN CAST(2 ** (4 - j) AS BIGINT) ELSE 0 END))::BIGINT, 1)),
            'string_agg', '') AS payload_digest,
        CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> least THEN least END AS refers_to
