@@ -36,7 +36,7 @@ BROADCAST_ROWS = 500_000
 #: Rows of a block of a long list, and the length up to which a list is short.
 BLOCK, SHORT = 1024, 48
 #: Rounds of checks against first nodes before the rest is checked in full.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def needed_share(threshold_pct: int, k: int) -> float:
@@ -94,13 +94,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold_pct: int, k: int, sha
     return both.filter(fits).filter(likely).filter(exact).select("a", "b")
 
 
-def _blocks(share: float):
-    """applyInPandas function: of one block, or two, of a long list, the pairs across components whose sketches agree."""
+def _blocks(share: float, k: int):
+    """applyInPandas function: of one block, or two, of a long list, the pairs across components whose sketches agree.
+
+    A pair that stands together in several lists is looked at in the list of the
+    smallest value only.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        size = np.array([len(s) for s in rows["vals"]])
-        flat = np.concatenate(list(rows["vals"]))
+        i, j, v = int(rows["i"].iloc[0]), int(rows["j"].iloc[0]), int(rows["v"].iloc[0])
+        sketch = list(rows["vals"])
+        size = np.array([len(s) for s in sketch])
+        flat = np.concatenate(sketch)
         owner = np.repeat(np.arange(len(rows)), size)
         order = np.argsort(flat, kind="stable")
         ranked, holder = flat[order], owner[order]
@@ -110,14 +115,24 @@ def _blocks(share: float):
         of_value = np.empty(len(flat), dtype=np.int64)
         of_value[order] = group
         where = np.concatenate([[0], np.cumsum(size)])
-        comp, block, fp = rows["root"].to_numpy(), rows["blk"].to_numpy(), rows["fp"].to_numpy()
+        names, comp = np.unique(np.array([bytes(x).hex() for x in rows["root"]]), return_inverse=True)
+        block, fp = rows["blk"].to_numpy(), [bytes(x) for x in rows["fp"]]
+        listed = [frozenset(x) for x in rows["pre"]]
         a, b = [], []
         for r in range(len(rows)):
             mine = of_value[where[r] : where[r + 1]]
             others = np.concatenate([holder[cuts[g] : ends[g]] for g in mine])
             hits = np.bincount(others, minlength=len(rows))
-            for o in np.flatnonzero(hits >= share * np.maximum(size, size[r])):
-                if o > r and comp[o] != comp[r] and (i == j or block[o] != block[r]):
+            good = (hits >= share * np.maximum(size, size[r])) & (comp != comp[r])
+            good[: r + 1] = False
+            if i != j:
+                good &= block != block[r]
+            for o in np.flatnonzero(good):
+                if min(listed[r] & listed[o]) != v:
+                    continue
+                low = np.union1d(sketch[r], sketch[o])[:k]
+                both = np.intersect1d(sketch[r], sketch[o], assume_unique=True)
+                if np.searchsorted(both, low[-1], side="right") >= share * len(low):
                     a.append(min(fp[r], fp[o]))
                     b.append(max(fp[r], fp[o]))
         return pd.DataFrame({"a": a, "b": b})
@@ -158,7 +173,9 @@ def _links(lists: DataFrame, sketches: DataFrame, sets: DataFrame, threshold_pct
     mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     long = long.select("v", "fp", "root", mine.alias("blk"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
     long = long.select("v", "fp", "root", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
-    far = long.join(sketches.select("fp", "vals"), "fp").groupBy("v", "i", "j").applyInPandas(_blocks(share), "a binary, b binary").distinct()
+    stands = lists.groupBy("fp").agg(F.collect_list("v").alias("pre"))  # at most k values
+    with_sketch = long.join(sketches.select("fp", "vals").join(stands, "fp"), "fp")
+    far = with_sketch.groupBy("v", "i", "j").applyInPandas(_blocks(share, k), "a binary, b binary")
     pairs = near.union(far).distinct()
     if done is not None:
         pairs = pairs.join(done, ["a", "b"], "left_anti")
