@@ -1,17 +1,362 @@
-"""Names of the engine's own queries, their callables and their SQL."""
+"""Names of the engine's own queries, their callables and their SQL.
+
+The driver's tables stand in for the engine's entities: documents for facts,
+benchmark for claims, embeddings for the vector store, pages for web pages,
+events for the log, lineitem for the evidence of claims (orders), and
+customer, supplier, nation and region for the graph. Scores are rounded to six
+places at the output edge only.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.functions import scoring, text, urls
+from plumbline.operators import dedup, evidence, graph, retrieval
+from plumbline.session import read_table
+from plumbline.sources import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
+NOW = "1998-12-01 00:00:00"
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its own name, with the SQL that says the same."""
+
+    def put(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return put
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def _r(x: Column) -> Column:
+    return F.round(x, 6)
+
+
+# text
+
+NORMAL = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
+
+
+@query(rf"SELECT doc_id, {NORMAL} AS normal FROM documents")
+def u0_normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normal"))
+
+
+@query(rf"SELECT doc_id, trim(regexp_replace(regexp_replace({NORMAL}, '[*_`#~]', '', 'g'), '\.{{2,}}', '.', 'g')) AS clean FROM documents")
+def u2_clean_statement(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", text.clean_statement(F.col("text")).alias("clean"))
+
+
+@query("""
+WITH h AS (SELECT doc_id, text, left(text, 200) AS h, strpos(reverse(left(text, 200)), ' ') AS p FROM documents)
+SELECT doc_id, CASE WHEN length(text) <= 200 THEN text
+    WHEN p > 0 AND length(h) - p > 160 THEN trim(left(h, length(h) - p)) || '...' ELSE trim(h) || '...' END AS short FROM h
+""")
+def u3_truncate_content(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", text.truncate_content(F.col("text"), 200).alias("short"))
+
+
+@query("""
+SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g'),
+    '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', '''') AS plain FROM pages
+""")
+def u4_remove_html_tags(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "pages").select("page_id", text.remove_tags(F.col("html")).alias("plain"))
+
+
+@query(r"""
+SELECT doc_id, trim(s) AS sentence FROM (
+    SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM documents)
+WHERE length(trim(s)) > 10
+""")
+def u6_extract_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", F.explode(text.sentences(F.col("text"))).alias("sentence"))
+
+
+@query("SELECT doc_id, 'f_' || left(sha256(concat_ws('|', coalesce(text, ''), coalesce(source, ''))), 16) AS fact_id FROM documents")
+def d6_fact_id(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", text.fact_id(F.col("text"), F.col("source")).alias("fact_id"))
+
+
+@query("SELECT c_custkey, left(md5(trim(lower(c_name))), 16) AS entity_id FROM customer")
+def k8_entity_id(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "customer").select("c_custkey", text.entity_id(F.col("c_name")).alias("entity_id"))
+
+
+@query("SELECT item_id, regexp_matches(coalesce(text, ''), '[0-9]') AS numeric FROM benchmark")
+def u24_has_number(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "benchmark").select("item_id", text.has_number(F.col("text")).alias("numeric"))
+
+
+@query("SELECT item_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z\\-]{2,}'))), ' ') AS signature FROM benchmark".replace("\\\\", "\\"))
+def d14_statement_signature(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "benchmark").select("item_id", text.statement_signature(F.col("text")).alias("signature"))
+
+
+# URLs
+
+BARE = r"regexp_replace(coalesce(url, ''), '[?#].*$', '')"
+HOST = r"regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^www[.]', ''), ':.*$', '')"
+VALID = r"regexp_matches(coalesce(url, ''), '(?i)^https?://[^\s/$.?#].[^\s]*$')"
+
+
+@query(rf"SELECT page_id, lower(regexp_replace(regexp_replace({BARE}, '/+$', ''), '://www[.]', '://')) AS normal FROM pages")
+def u1_normalize_url(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("normal"))
+
+
+@query(rf"SELECT page_id, {VALID} AS valid, CASE WHEN {VALID} THEN {HOST} END AS host, regexp_extract(CASE WHEN {VALID} THEN {HOST} END, '([^.]+[.][^.]+|[^.]+)$', 1) AS root FROM pages")
+def ul2_ul3_ul4_domains(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("url")
+    return read_table(spark, d, "pages").select("page_id", urls.is_valid_url(u).alias("valid"), urls.host(u).alias("host"), urls.root_domain(u).alias("root"))
+
+
+@query(rf"SELECT n.normal, min(page_id) AS page_id FROM (SELECT page_id, lower(regexp_replace(regexp_replace({BARE}, '/+$', ''), '://www[.]', '://')) AS normal FROM pages) n GROUP BY 1")
+def d11_distinct_urls(spark: SparkSession, d: str) -> DataFrame:
+    pages = read_table(spark, d, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("normal"))
+    return pages.groupBy("normal").agg(F.min("page_id").alias("page_id"))
+
+
+@query()
+def ul8_dedupe_key(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "pages").select("page_id", urls.dedupe_key(F.col("url")).alias("key"))
+
+
+# dedup
+
+@query(rf"SELECT min(doc_id) AS doc_id, {NORMAL} AS normal FROM documents GROUP BY 2")
+def d7_dedup_normalized_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normal"))
+    return rows.groupBy("normal").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("""
+SELECT l_orderkey, l_suppkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_quantity DESC, l_linenumber) AS r FROM lineitem) WHERE r = 1
+""")
+def d8_d10_keep_best(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity")
+    return dedup.keep_best(rows, ["l_orderkey", "l_suppkey"], "l_quantity", "l_linenumber")
+
+
+@query("""
+SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events) WHERE r = 1
+""")
+def d2_d3_keep_first(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.keep_first(read_table(spark, d, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id")
+
+
+# retrieval
+
+@query(r"""
+WITH t AS (SELECT item_id AS claim, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{2,}'))) AS term FROM benchmark),
+e AS (SELECT doc_id AS doc, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{2,}') AS a FROM documents),
+size AS (SELECT count(*) AS n, avg(len(a)) AS mean FROM e),
+tf AS (SELECT term, doc, dl, count(*) AS tf FROM (SELECT doc, len(a) AS dl, unnest(a) AS term FROM e) WHERE term IN (SELECT term FROM t) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT term, doc, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) AS part FROM tf JOIN df USING (term), size),
+h AS (SELECT claim, doc, sum(part) AS score, count(*) AS got FROM s JOIN t USING (term) GROUP BY 1, 2),
+w AS (SELECT claim, count(*) AS need FROM t GROUP BY 1),
+o AS (SELECT claim, doc, round(-score, 6) AS bm25 FROM h JOIN w USING (claim) WHERE got = need)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim ORDER BY bm25, doc) AS rank FROM o) WHERE rank <= 50
+""")
+def t2_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25_topk(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+@query("""
+WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM u),
+p AS (SELECT q.vec_id AS query, r.vec_id AS neighbour, round(list_dot_product(q.v, r.v) / (q.size * r.size), 6) AS score FROM n q, n r WHERE q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbour) AS rank FROM p) WHERE rank <= 10
+""")
+def s1_vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    vectors = read_table(spark, d, "embeddings")
+    return retrieval.cosine_topk(vectors, vectors.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10)
+
+
+# graph
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    """Who lives in which nation, and which nation lies in which region."""
+    nation, region = read_table(spark, d, "nation"), read_table(spark, d, "region")
+    small = F.broadcast(nation.select("n_nationkey", "n_name"))  # the nations of the world
+    people = read_table(spark, d, "customer").join(small, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("subject"), F.lit("lives in").alias("relation"), F.col("n_name").alias("object"), F.lit(0.9).alias("confidence"))
+    firms = read_table(spark, d, "supplier").join(small, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("subject"), F.lit("based in").alias("relation"), F.col("n_name").alias("object"), F.lit(0.8).alias("confidence"))
+    lands = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("subject"), F.lit("lies in").alias("relation"), F.col("r_name").alias("object"), F.lit(0.7).alias("confidence"))
+    return people.union(firms).union(lands)
+
+
+EDGES = """
+e AS (SELECT c_name AS subject, 'lives in' AS relation, n_name AS object, 0.9::DOUBLE AS confidence FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT s_name, 'based in', n_name, 0.8::DOUBLE FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT n_name, 'lies in', r_name, 0.7::DOUBLE FROM nation JOIN region ON n_regionkey = r_regionkey)
+"""
+
+
+@query(f"WITH {EDGES} SELECT DISTINCT e.* FROM e WHERE lower(subject) IN (SELECT lower(n_name) FROM nation) OR lower(object) IN (SELECT lower(n_name) FROM nation)")
+def j1_one_hop(spark: SparkSession, d: str) -> DataFrame:
+    return graph.one_hop(_edges(spark, d), read_table(spark, d, "nation").select(F.col("n_name").alias("name")))
+
+
+@query(f"""
+WITH {EDGES} SELECT DISTINCT a.subject, a.relation AS relation1, a.object AS middle, b.relation AS relation2, b.object, round(greatest(0.0, least(a.confidence, b.confidence) - 0.15), 6) AS score
+FROM e a JOIN e b ON a.object = b.subject WHERE a.subject <> b.object AND lower(a.subject) IN (SELECT lower(s_name) FROM supplier)
+""")
+def j2_two_hop(spark: SparkSession, d: str) -> DataFrame:
+    return graph.two_hop(_edges(spark, d), read_table(spark, d, "supplier").select(F.col("s_name").alias("name")))
+
+
+# evidence
+
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as evidence of the claim that is their order."""
+    stance = F.when(F.col("l_returnflag") == "A", "entails").when(F.col("l_returnflag") == "R", "contradicts").otherwise("neutral")
+    return read_table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("claim_id"), F.col("l_linenumber").alias("evidence_id"), (F.col("l_discount") * 10).alias("semantic_score"),
+        F.concat(F.lit("https://s"), F.col("l_suppkey"), F.lit(".example/p")).alias("source_url"), F.col("l_shipdate").alias("published_at"), stance.alias("stance"),
+        (F.col("l_quantity") / 50).alias("weight"), F.col("l_discount").alias("support"), F.col("l_tax").alias("against"),
+    )
+
+
+def _trusted(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.with_trust(_evidence(spark, d), F.lit(NOW).cast("timestamp_ntz"), F.lit(0.5))
+
+
+EVIDENCE = f"""
+v AS (SELECT l_orderkey AS claim_id, l_linenumber AS evidence_id, l_discount * 10 AS semantic_score, l_suppkey AS host, l_shipdate AS published_at,
+    CASE l_returnflag WHEN 'A' THEN 'entails' WHEN 'R' THEN 'contradicts' ELSE 'neutral' END AS stance, l_quantity / 50 AS weight, l_discount AS support, l_tax AS against,
+    floor((epoch(TIMESTAMP '{NOW}') - epoch(l_shipdate)) / 86400) AS days FROM lineitem),
+t AS (SELECT *, greatest(0, least(1, 0.3::DOUBLE * semantic_score + 0.3::DOUBLE * 0.5::DOUBLE + 0.2::DOUBLE * CASE WHEN days < 180 THEN 1.0::DOUBLE WHEN days < 365 THEN 0.8 WHEN days < 1095 THEN 0.6 WHEN days < 1825 THEN 0.4 ELSE 0.3 END
+    + 0.2::DOUBLE * CASE stance WHEN 'entails' THEN 1.0::DOUBLE WHEN 'contradicts' THEN 0.0 ELSE 0.5 END)) AS trust FROM v)
+"""
+
+
+@query(f"""
+WITH {EVIDENCE}, o AS (SELECT *, row_number() OVER (PARTITION BY claim_id, host ORDER BY trust DESC, semantic_score DESC, evidence_id) AS r FROM t)
+SELECT * FROM (SELECT claim_id, evidence_id, round(trust, 6) AS trust, row_number() OVER (PARTITION BY claim_id ORDER BY trust DESC, semantic_score DESC, evidence_id) AS rank FROM o WHERE r = 1) WHERE rank <= 10
+""")
+def t6_trust_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.trust_ranked(_trusted(spark, d)).select("claim_id", "evidence_id", _r(F.col("trust")).alias("trust"), "rank")
+
+
+@query("""
+WITH w AS (SELECT l_orderkey AS claim_id, l_linenumber AS evidence_id, l_quantity AS q, min(l_quantity) OVER c AS lo, max(l_quantity) OVER c AS hi FROM lineitem WINDOW c AS (PARTITION BY l_orderkey))
+SELECT claim_id, evidence_id, round(CASE WHEN hi = lo THEN q ELSE (q - lo) / (hi - lo) END, 6) AS norm FROM w
+""")
+def w1_minmax(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("claim_id"), F.col("l_linenumber").alias("evidence_id"), "l_quantity")
+    return evidence.minmax(rows, "l_quantity", "norm").select("claim_id", "evidence_id", _r(F.col("norm")).alias("norm"))
+
+
+@query(f"""
+WITH {EVIDENCE}, a AS (SELECT *, row_number() OVER (PARTITION BY claim_id, stance = 'contradicts' ORDER BY weight DESC, evidence_id, stance) AS own FROM t),
+b AS (SELECT *, CASE WHEN stance = 'contradicts' THEN own <= 1 ELSE own <= 2 END AS first FROM a)
+SELECT * FROM (SELECT claim_id, evidence_id, stance, row_number() OVER (PARTITION BY claim_id ORDER BY first DESC, weight DESC, evidence_id, stance) AS pick FROM b) WHERE pick <= 3
+""")
+def w8_quota_interleave(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.quota_selected(_evidence(spark, d), 3, 1, "weight").select("claim_id", "evidence_id", "stance", "pick")
+
+
+@query(f"""
+WITH {EVIDENCE}, g AS (SELECT claim_id, count(*) AS n, count(DISTINCT host) AS u, avg(CASE WHEN stance <> 'contradicts' THEN 1.0 ELSE 0.0 END) AS agreement, sum(trust * trust) AS tt, sum(trust) AS t,
+    sum(CASE WHEN stance = 'entails' THEN trust ELSE 0 END) AS ts, sum(CASE WHEN stance = 'contradicts' THEN trust ELSE 0 END) AS tc FROM t GROUP BY 1)
+SELECT claim_id, n, round(CASE WHEN n <= 1 THEN 0.0 WHEN u >= n THEN 1.0 ELSE greatest(0, least(1, 1 - ln(n / u) / u)) END, 9)::DOUBLE AS diversity, round(agreement, 9) AS agreement, round(tt / t, 9) AS trust_post, round(ts / t, 9) AS support_mass, round(tc / t, 9) AS contradict_mass FROM g
+""")
+def a3_a4_a9_a11_claim_metrics(spark: SparkSession, d: str) -> DataFrame:
+    m = evidence.claim_metrics(_trusted(spark, d))
+    return m.select("claim_id", "n", *[F.round(c, 9).alias(c) for c in ("diversity", "agreement", "trust_post", "support_mass", "contradict_mass")])
+
+
+@query(f"""
+WITH {EVIDENCE}, g AS (SELECT claim_id, 1 - product(1 - support * trust) AS support, 1 - product(1 - against * trust) AS against, sum(trust) AS mass FROM t GROUP BY 1)
+SELECT claim_id, round(support, 6) AS support, round(against, 6) AS against, CASE WHEN mass < 0.15 THEN 'UNKNOWN' WHEN support - against >= 0.22 THEN 'VALID' WHEN support - against <= -0.22 THEN 'INVALID'
+    WHEN support - against >= 0.06 THEN 'PARTIALLY_VALID' WHEN support - against <= -0.06 THEN 'PARTIALLY_INVALID' ELSE 'UNKNOWN' END AS status FROM g
+""")
+def a12_noisy_or(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.noisy_or(_trusted(spark, d)).select("claim_id", _r(F.col("support")).alias("support"), _r(F.col("against")).alias("against"), "status")
+
+
+@query(f"""
+WITH {EVIDENCE}, g AS (SELECT claim_id, sum(weight) AS s, sum(weight * ln(weight)) AS l, count(*) AS k FROM t WHERE weight > 0 GROUP BY 1)
+SELECT claim_id, round(greatest(0, least(1, (ln(s) - l / s) / ln(greatest(k, 2)))), 6) AS entropy FROM g
+""")
+def a13_weight_entropy(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.weight_entropy(_evidence(spark, d), "weight").select("claim_id", _r(F.col("entropy")).alias("entropy"))
+
+
+@query(f"""
+WITH {EVIDENCE}, h AS (SELECT claim_id, host, sum(weight * support) AS s, sum(weight * against) AS r FROM t WHERE weight > 0 GROUP BY 1, 2),
+c AS (SELECT claim_id, CASE WHEN s > r + 1e-9 THEN 's' WHEN r > s + 1e-9 THEN 'r' ELSE 'n' END AS side, count(*) AS c FROM h GROUP BY 1, 2)
+SELECT claim_id, round(max(c) / sum(c), 6) AS agreement FROM c GROUP BY 1
+""")
+def a14_vote_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.vote_agreement(_evidence(spark, d)).select("claim_id", _r(F.col("agreement")).alias("agreement"))
+
+
+@query("""
+WITH b AS (SELECT quality = 1 AS e, toxic = 0 AS p FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+c AS (SELECT count(*) AS n, count(*) FILTER (e = p) AS same, count(*) FILTER (e AND p) AS tp, count(*) FILTER (NOT e AND p) AS fp, count(*) FILTER (e AND NOT p) AS fn FROM b)
+SELECT n::DOUBLE AS samples, round(same / n, 4) AS accuracy, round(2.0 * tp / (2 * tp + fp + fn), 4)::DOUBLE AS f1_true FROM c
+""")
+def a22_regression_metrics(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "labels").select((F.col("quality") == 1).alias("e"), (F.col("toxic") == 0).alias("p"))
+    return evidence.binary_metrics(rows, "e", "p")
+
+
+@query(f"""
+WITH {EVIDENCE} SELECT CASE WHEN trust >= 0.9 THEN 'A+' WHEN trust >= 0.8 THEN 'A' WHEN trust >= 0.7 THEN 'B' WHEN trust >= 0.6 THEN 'C' WHEN trust >= 0.5 THEN 'D' ELSE 'F' END AS grade, count(*) AS n
+FROM (SELECT round(trust, 6) AS trust FROM t) GROUP BY 1
+""")
+def a26_grade_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return _trusted(spark, d).groupBy(scoring.grade(_r(F.col("trust"))).alias("grade")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT o_orderkey, round(least(1, pow(0.5, floor((epoch(TIMESTAMP '{NOW}') - epoch(o_orderdate)) / 86400) / 365.0)), 6) AS recency FROM orders")
+def dt1_recency_decay(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "orders").select("o_orderkey", _r(scoring.recency_decay(F.col("o_orderdate"), F.lit(NOW).cast("timestamp_ntz"))).alias("recency"))
+
+
+# the log
+
+def _logs(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("level"), F.concat(F.lit("m"), F.pmod("user_id", F.lit(50))).alias("module"), "ts", "value")
+
+
+LOGS = "g AS (SELECT event_id AS id, event_type AS level, 'm' || (user_id % 50) AS module, ts, value FROM events)"
+
+
+@query(f"WITH {LOGS} SELECT id, level, module, ts FROM g WHERE level = 'click' ORDER BY ts DESC, id LIMIT 100 OFFSET 5")
+def s7_log_query(spark: SparkSession, d: str) -> DataFrame:
+    return logs.query(_logs(spark, d), level="click", limit=100, offset=5).select("id", "level", "module", "ts")
+
+
+@query(f"WITH {LOGS} SELECT count(*) AS total, count(*) FILTER (level = 'click') AS n_click, count(*) FILTER (level = 'view') AS n_view FROM g")
+def a1_level_counts(spark: SparkSession, d: str) -> DataFrame:
+    return logs.level_counts(_logs(spark, d), ["click", "view"])
+
+
+@query(f"WITH {LOGS} SELECT module, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, module LIMIT 20")
+def a2_top_modules(spark: SparkSession, d: str) -> DataFrame:
+    return logs.top_modules(_logs(spark, d))
+
+
+@query(f"WITH {LOGS} SELECT id, ts FROM g WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 168 HOUR")
+def k13_retention(spark: SparkSession, d: str) -> DataFrame:
+    return logs.retained(_logs(spark, d), "2024-01-20 00:00:00").select("id", "ts")
