@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     each round; nothing is gathered on the driver but one count.
     """
     both = cut(edges.select(F.col("a"), F.col("b")).union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         hopped = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
