@@ -34,7 +34,9 @@ from plumbline.session import cut
 #: Rows up to which a narrow table of 16-byte keys may be broadcast (about 64 MB in memory).
 BROADCAST_ROWS = 500_000
 #: Rows of a block of a long list, and the length up to which a list is short.
-BLOCK, SHORT = 1024, 48
+BLOCK, SHORT = 512, 48
+#: Retained values that blocks compare; sets up to this size are compared whole.
+WIDE = 256
 #: Rounds of checks against first nodes before the rest is checked in full.
 ROUNDS = 2
 
@@ -94,53 +96,62 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold_pct: int, k: int, sha
     return both.filter(fits).filter(likely).filter(exact).select("a", "b")
 
 
-def _blocks(share: float, k: int):
-    """applyInPandas function: of one block, or two, of a long list, the pairs across components whose sketches agree.
+def _blocks(threshold_pct: int):
+    """applyInPandas function: links and open pairs across components, of one block, or two, of a long list.
 
-    A pair that stands together in several lists is looked at in the list of the
-    smallest value only.
+    Rows hold the WIDE smallest hashes of their sets. Where that is both whole
+    sets, overlaps counted for a row against all others at once are exact, and
+    only links that join two parts of the block go on. Other pairs go on where
+    the union-sketch estimate allows it, from the list of their smallest common
+    value only.
     """
+    share = needed_share(threshold_pct, WIDE)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         i, j, v = int(rows["i"].iloc[0]), int(rows["j"].iloc[0]), int(rows["v"].iloc[0])
         sketch = list(rows["vals"])
-        size = np.array([len(s) for s in sketch])
+        held = np.array([len(s) for s in sketch])
+        size = rows["size"].to_numpy()
+        whole = size <= WIDE
         flat = np.concatenate(sketch)
-        owner = np.repeat(np.arange(len(rows)), size)
+        owner = np.repeat(np.arange(len(rows)), held)
         order = np.argsort(flat, kind="stable")
         ranked, holder = flat[order], owner[order]
         cuts = np.flatnonzero(np.diff(ranked, prepend=ranked[0] - 1))
         ends = np.append(cuts[1:], len(ranked))
-        group = np.repeat(np.arange(len(cuts)), ends - cuts)
         of_value = np.empty(len(flat), dtype=np.int64)
-        of_value[order] = group
-        where = np.concatenate([[0], np.cumsum(size)])
-        names, comp = np.unique(np.array([bytes(x).hex() for x in rows["root"]]), return_inverse=True)
+        of_value[order] = np.repeat(np.arange(len(cuts)), ends - cuts)
+        where = np.concatenate([[0], np.cumsum(held)])
+        _, part = np.unique(np.array([bytes(x).hex() for x in rows["root"]]), return_inverse=True)
         block, fp = rows["blk"].to_numpy(), [bytes(x) for x in rows["fp"]]
         listed = [frozenset(x) for x in rows["pre"]]
-        a, b = [], []
+        out = []
         for r in range(len(rows)):
             mine = of_value[where[r] : where[r + 1]]
-            others = np.concatenate([holder[cuts[g] : ends[g]] for g in mine])
-            hits = np.bincount(others, minlength=len(rows))
-            good = (hits >= share * np.maximum(size, size[r])) & (comp != comp[r])
-            good[: r + 1] = False
+            meet = np.bincount(np.concatenate([holder[cuts[g] : ends[g]] for g in mine]), minlength=len(rows))
+            later = np.arange(len(rows)) > r
             if i != j:
-                good &= block != block[r]
-            for o in np.flatnonzero(good):
+                later &= block != block[r]
+            linked = later & whole & whole[r] & (100 * meet >= threshold_pct * (size + size[r] - meet))
+            for o in np.flatnonzero(linked):
+                if part[o] != part[r]:
+                    part[part == part[o]] = part[r]
+                    out.append((min(fp[r], fp[o]), max(fp[r], fp[o]), True))
+            fits = 100 * np.minimum(size, size[r]) >= threshold_pct * np.maximum(size, size[r])
+            likely = later & ~(whole & whole[r]) & fits & (meet >= share * np.minimum(held, held[r])) & (part != part[r])
+            for o in np.flatnonzero(likely):
                 if min(listed[r] & listed[o]) != v:
                     continue
-                low = np.union1d(sketch[r], sketch[o])[:k]
+                low = np.union1d(sketch[r], sketch[o])[:WIDE]
                 both = np.intersect1d(sketch[r], sketch[o], assume_unique=True)
                 if np.searchsorted(both, low[-1], side="right") >= share * len(low):
-                    a.append(min(fp[r], fp[o]))
-                    b.append(max(fp[r], fp[o]))
-        return pd.DataFrame({"a": a, "b": b})
+                    out.append((min(fp[r], fp[o]), max(fp[r], fp[o]), False))
+        return pd.DataFrame(out, columns=["a", "b", "sure"])
 
     return run
 
 
-def _links(lists: DataFrame, sketches: DataFrame, sets: DataFrame, threshold_pct: int, k: int, share: float) -> DataFrame | None:
+def _links(lists: DataFrame, sets: DataFrame, threshold_pct: int, k: int, share: float) -> DataFrame | None:
     """(node, root) of all nodes with links. lists: (v, fp), a row for each list that a node stands in."""
     edges, roots = None, None
     left = lists.withColumn("root", F.col("fp"))
@@ -174,12 +185,12 @@ def _links(lists: DataFrame, sketches: DataFrame, sets: DataFrame, threshold_pct
     long = long.select("v", "fp", "root", mine.alias("blk"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
     long = long.select("v", "fp", "root", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
     stands = lists.groupBy("fp").agg(F.collect_list("v").alias("pre"))  # at most k values
-    with_sketch = long.join(sketches.select("fp", "vals").join(stands, "fp"), "fp")
-    far = with_sketch.groupBy("v", "i", "j").applyInPandas(_blocks(share, k), "a binary, b binary")
-    pairs = near.union(far).distinct()
+    wide = sets.select("fp", F.size("vals").alias("size"), F.slice("vals", 1, WIDE).alias("vals")).join(stands, "fp")
+    far = cut(long.join(wide, "fp").groupBy("v", "i", "j").applyInPandas(_blocks(threshold_pct), "a binary, b binary, sure boolean").distinct())
+    pairs = near.union(far.filter("NOT sure").select("a", "b")).distinct()
     if done is not None:
         pairs = pairs.join(done, ["a", "b"], "left_anti")
-    found = cut(_verified(pairs, sets, threshold_pct, k, share))
+    found = cut(_verified(pairs, sets, threshold_pct, k, share).union(far.filter("sure").select("a", "b")))
     if not found.limit(1).count():
         return roots
     return components(found if edges is None else edges.union(found))
@@ -220,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     take = F.size("held") - F.ceil(share * F.col("s")).cast("int") + 1
     lists = cut(met.filter(take > 0).select("fp", F.explode(F.slice("held", 1, take)).alias("x")).select(F.col("x.v").alias("v"), "fp"))
     sets = _full_sets(docs, lists, nodes, id_col, text_col, shingle)
-    roots = _links(lists, nodes, sets, threshold_pct, k, share)
+    roots = _links(lists, sets, threshold_pct, k, share)
     least = nodes.select("fp", "least")
     if roots is not None:
         least = cut(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
