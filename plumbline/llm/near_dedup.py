@@ -34,7 +34,7 @@ from plumbline.session import cut
 #: Rows up to which a narrow table of 16-byte keys may be broadcast (about 64 MB in memory).
 BROADCAST_ROWS = 500_000
 #: Rows of a block of a long list, and the length up to which a list is short.
-BLOCK, SHORT = 512, 48
+BLOCK, SHORT = 2048, 48
 #: Retained values that blocks compare; sets up to this size are compared whole.
 WIDE = 256
 #: Rounds of checks against first nodes before the rest is checked in full.
