@@ -360,3 +360,6 @@ def a2_top_modules(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {LOGS} SELECT id, ts FROM g WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 168 HOUR")
 def k13_retention(spark: SparkSession, d: str) -> DataFrame:
     return logs.retained(_logs(spark, d), "2024-01-20 00:00:00").select("id", "ts")
+
+
+from plumbline.plans import claims  # noqa: E402, F401  its queries register themselves
