@@ -38,9 +38,9 @@ def merge_candidates(rows: DataFrame, key: str, seq: str, score: str, source: st
 
 
 def until_enough(rows: DataFrame, group: str, order: list[str], item: str, enough: int) -> DataFrame:
-    """Rows in order up to the one with which ``enough`` distinct items of the group are reached."""
+    """Rows in order (of equal rows those with a new item first) up to the one with which ``enough`` distinct items of the group are reached."""
     first = F.row_number().over(Window.partitionBy(group, item).orderBy(*order)) == 1
-    before = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(group).orderBy(*order, F.desc("_first")).rowsBetween(Window.unboundedPreceding, -1)
     seen = F.coalesce(F.sum(F.col("_first").cast("long")).over(before), F.lit(0))
     return rows.withColumn("_first", first).withColumn("_seen", seen).filter(F.col("_seen") < enough).drop("_first", "_seen")
 

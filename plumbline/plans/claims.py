@@ -270,7 +270,7 @@ def a25_merge_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH f AS (SELECT l_orderkey, l_linenumber, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber) = 1 AS new FROM lineitem),
-s AS (SELECT *, coalesce(sum(new::INT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM f)
+s AS (SELECT *, coalesce(sum(new::INT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, new DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM f)
 SELECT l_orderkey, l_linenumber, l_suppkey FROM s WHERE seen < 3
 """)
 def w5_s17_until_enough(spark: SparkSession, d: str) -> DataFrame:
@@ -278,9 +278,9 @@ def w5_s17_until_enough(spark: SparkSession, d: str) -> DataFrame:
     return lists.until_enough(rows, "l_orderkey", ["l_linenumber", "l_suppkey"], "l_suppkey", 3)
 
 
-@query(f"WITH {EVIDENCE} SELECT claim_id, evidence_id, round(trust - lag(trust) OVER (PARTITION BY claim_id ORDER BY evidence_id, trust), 6) AS delta FROM t")
+@query(f"WITH {EVIDENCE} SELECT claim_id, evidence_id, round(trust - lag(trust) OVER (PARTITION BY claim_id ORDER BY evidence_id, trust), 6) + 0.0 AS delta FROM t")
 def w6_trust_delta(spark: SparkSession, d: str) -> DataFrame:
-    return lists.change(_trusted(spark, d), "claim_id", ["evidence_id", "trust"], "trust", "delta").select("claim_id", "evidence_id", _r(F.col("delta")).alias("delta"))
+    return lists.change(_trusted(spark, d), "claim_id", ["evidence_id", "trust"], "trust", "delta").select("claim_id", "evidence_id", (_r(F.col("delta")) + 0.0).alias("delta"))
 
 
 @query("""
