@@ -27,6 +27,9 @@ _PUNCTUATION = np.zeros(256, dtype=bool)
 _PUNCTUATION[33:48] = _PUNCTUATION[58:65] = _PUNCTUATION[91:97] = _PUNCTUATION[123:127] = True
 _PUNCTUATION[39] = False
 
+#: Bytes that are hashed at once.
+BLOCK = 1 << 18
+
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -86,10 +89,19 @@ class Words:
         self._place()
 
     def hashes(self) -> np.ndarray:
-        size = len(self.bytes)
-        sums = np.zeros(size + 1, dtype=np.uint64)
-        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, size)[:size], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * _power_table(_INVERSE, size)[self.start])
+        """One hash per word, in runs of words of about BLOCK bytes, so that sums and powers take little memory."""
+        out = np.zeros(len(self.start), dtype=np.uint64)
+        at = 0
+        while at < len(out):
+            origin = self.start[at]
+            to = max(at + 1, int(np.searchsorted(self.end, origin + BLOCK, side="right")))
+            raw = self.bytes[origin : self.end[to - 1]]
+            sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, len(raw))[: len(raw)], out=sums[1:])
+            start, end = self.start[at:to] - origin, self.end[at:to] - origin
+            out[at:to] = mix((sums[end] - sums[start]) * _power_table(_INVERSE, len(raw))[start])
+            at = to
+        return out
 
     def text(self, i: int) -> str:
         """Word i, lower-cased if asked for."""
