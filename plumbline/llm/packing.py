@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.tokens import SPACE, Words
 
 #: Text of a shard on average, and the query terms of a seed document.
-SHARD_BYTES, QUERY_TERMS = 4 << 20, 12
+SHARD_BYTES, QUERY_TERMS = 2 << 20, 12
 K1, B = 1.2, 0.75
 
 
