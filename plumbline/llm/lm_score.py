@@ -1,20 +1,24 @@
-"""LM scoring with a weighted backoff automaton.
-
-States are the contexts that are frequent enough; the root is the empty one.
-An arc reads a word and carries the smoothed log-probability of its n-gram; a
-state's failure arc reads nothing, carries the state's backoff weight and leads
-to the context without its first word. One traversal from left to right carries
-the state and adds up what the arcs carry.
-
-Unigram counts are exact for every word, however rare. A context or n-gram is
-kept when it makes up at least ``1 / states`` of the training tokens, so at most
-``states`` of each order can be: that bound, not the corpus, limits what is
-broadcast. Words too rare for that take root arcs only; their counts come by
-joining narrow rows of (text, word), whose keys are rare by definition.
+"""LM scoring with a weighted backoff automaton of order 3, kept as tables.
+
+States are the contexts seen in training; the root is the empty one. An arc
+reads a word and carries the smoothed log-probability of its n-gram; a state's
+failure arc reads nothing, carries the state's backoff weight and leads to the
+context without its first word.
+
+Every word has its exact count, and every pair and triple that training texts
+hold ``LEAST`` times or more is an arc, so the model grows with the corpus. It
+is never in one place: n-grams are dealt by hash, counted there, and later meet
+the n-grams of the texts there. What a traversal adds up is written as one
+number per n-gram, ``Automaton`` being the plain version in memory: a word
+brings its root arc and its failure weight, a pair or triple what its arc
+changes of that. Only the most frequent words, at most ``STATES``, are
+broadcast, to spare rows; the others' numbers come by a join.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,17 +26,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.tokens import Words, chunks
-from plumbline.session import cut
+from plumbline.llm.tokens import Words, chunks, mix
+from plumbline.session import cut, shared_dir
 
 #: What is added to each count of the base, and taken off each kept n-gram's count.
 ADD, DISCOUNT = 0.1, 0.5
-#: At most so many words and as many n-grams of each higher order can be kept.
+#: Pairs and triples seen less often have no arc of their own.
+LEAST = 2
+#: At most so many words are broadcast; what is scored does not depend on it.
 STATES = 1 << 16
 #: The end of a text, as a word.
 END = np.int64(-1)
 #: Distinct counts that a task holds before it hands them on.
 HELD = 3_000_000
+#: Pairs and triples of the texts that are dealt to one part.
+PART = 4_000_000
 
 
 def fold(id_value: Column, n: int) -> Column:
@@ -116,14 +124,8 @@ def _counts(docs: DataFrame, keys) -> DataFrame:
     return docs.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """A bounded table of (w, c), sorted by w."""
-    got = df.toPandas().sort_values("w")
-    return got["w"].to_numpy(dtype=np.int64), got["c"].to_numpy(dtype=np.int64)
-
-
 class Automaton:
-    """Words, states, arcs and failure arcs as sorted arrays; the same object counts and scores."""
+    """Words, states, arcs and failure arcs as sorted arrays in memory: the plain version of what the tables hold."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int):
         self.words, self.counts, self.total, self.distinct = words, counts, total, distinct
@@ -195,31 +197,145 @@ class Automaton:
         return w, root, value
 
 
-def build(docs: DataFrame, counts: DataFrame, total: int, distinct: int, states: int = STATES) -> Automaton:
-    """The automaton of the training texts ``docs`` (text), whose word counts are ``counts`` (w, c)."""
-    least = total / states
-    spark = docs.sparkSession
-    auto = Automaton(*_collected(counts.filter(F.col("c") >= least)), total, distinct)
-    shared = spark.sparkContext.broadcast(auto)
+def join_keys(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
+    """Hashes of 62 bits, and the kind (0: pair, 1: triple) as the last bit."""
+    h = mix(a.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + mix(b.view(np.uint64) + np.uint64(kind)))
+    return (h >> np.uint64(2) << np.uint64(1) | np.uint64(kind)).astype(np.int64)
 
-    def pairs(stream: Stream) -> np.ndarray:
-        w, _, _ = shared.value.places(stream)
-        before = np.append(-1, w[:-1])
-        before[stream.begin] = -1
-        both = (w >= 0) & (before >= 0)
-        return before[both] << 32 | w[both]
 
-    auto = Automaton(auto.words, auto.counts, total, distinct).with_pairs(*_collected(_counts(docs, pairs).filter(F.col("c") >= least)))
-    shared2 = spark.sparkContext.broadcast(auto)
+def grams(stream: Stream) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, a, b, text) of all pairs, then all triples. A pair's a and b are its words, a triple's the keys of its pairs."""
+    t = stream.tokens
+    two = np.flatnonzero(~stream.begin)
+    pair = np.zeros(len(t), dtype=np.int64)
+    pair[two] = join_keys(t[two - 1], t[two], 0)
+    three = two[~stream.begin[two - 1]]
+    a, b = np.concatenate([t[two - 1], pair[three - 1]]), np.concatenate([t[two], pair[three]])
+    key = np.concatenate([pair[two], join_keys(pair[three - 1], pair[three], 1)])
+    return key, a, b, stream.text[np.concatenate([two, three])]
 
-    def triples(stream: Stream) -> np.ndarray:
-        w, pair, _ = shared2.value.places(stream)
-        earlier = np.append(-1, pair[:-1])
-        earlier[stream.begin] = -1
-        all3 = (pair >= 0) & (earlier >= 0)
-        return earlier[all3] << 32 | w[all3]
 
-    return auto.with_triples(*_collected(_counts(docs, triples).filter(F.col("c") >= least)))
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """The part that an n-gram is dealt to: ranges of keys."""
+    return (key >> 31) * parts >> 32
+
+
+def _gram_counts(docs: DataFrame, parts: int) -> DataFrame:
+    """(key, a, b, c) of all pairs and triples with counts of LEAST or more."""
+
+    def summed(key: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        return key[first], a[order[first]], b[order[first]], np.add.reduceat(c[order], first) if len(first) else c
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            got = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            for kind in (0, 1):
+                key, a, b, c = (x[got[0] & 1 == kind] for x in got)
+                at = np.searchsorted(part_of(key, parts), np.arange(parts + 1))
+                some = np.flatnonzero(np.diff(at))
+                columns = [pa.array([x[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()) for x in (a, b, c.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), kind)), *columns], names=["p", "kind", "a", "b", "c"])
+
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for part in chunks(texts):
+                key, a, b, _ = grams(Stream(texts[part]))
+                held.append(summed(key, a, b, np.ones(len(key), dtype=np.int64)))
+                if sum(len(x[0]) for x in held) > HELD:
+                    yield from flush()
+        yield from flush()
+
+    def total(table: pa.Table) -> pa.Table:
+        found = []
+        for kind, a, b, c in zip(*(table.column(x) for x in ("kind", "a", "b", "c")), strict=True):
+            first, second = (np.frombuffer(x.as_buffer(), dtype=np.int64) for x in (a, b))
+            found.append((join_keys(first, second, kind.as_py()), first, second, np.frombuffer(c.as_buffer(), dtype=np.int32).astype(np.int64)))
+        got = summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        kept = got[3] >= LEAST
+        return pa.table([pa.array(x[kept]) for x in got], names=["key", "a", "b", "c"])
+
+    blobs = docs.select("text").mapInArrow(count, "p long, kind long, a binary, b binary, c binary")
+    return blobs.groupBy("p").applyInArrow(total, "key long, a long, b long, c long")
+
+
+def _stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, whose numbers take less room there than as rows of a checkpoint."""
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.parquet(f"{folder}/{name}")
+
+
+def build(docs: DataFrame, counts: DataFrame, norm: float, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(words, grams) of the training texts ``docs`` (text), whose word counts are ``counts`` (w, c).
+
+    words: w, c, root, back. grams: key, delta, of pairs and triples alike.
+    """
+    folder = f"{shared_dir(docs.sparkSession).rstrip('/')}/lm-{uuid.uuid4().hex}"
+    c, s = F.col("c"), F.coalesce(F.col("s"), F.lit(0.0))
+    kept = _stored(_gram_counts(docs, parts), folder, "counts")
+    spent = kept.groupBy(F.col("a").alias("of")).agg(F.sum(c - DISCOUNT).alias("s"))
+    left = F.greatest(1 - s / c, F.lit(1e-12))
+    words = counts.join(spent, F.col("w") == F.col("of"), "left").select("w", "c", F.log10((c + ADD) / norm).alias("root"), F.log10(left).alias("back"))
+    words = _stored(words, folder, "words")
+    first = words.select(F.col("w").alias("a"), F.col("c").alias("c1"), F.col("back").alias("back1"))
+    second = words.select(F.col("w").alias("b"), F.col("root").alias("root2"))
+    pairs = kept.filter("key % 2 = 0").join(first, "a").join(second, "b").join(spent, F.col("key") == F.col("of"), "left")
+    p = F.log10((c - DISCOUNT) / F.col("c1") + F.pow(F.lit(10.0), F.col("back1") + F.col("root2")))
+    pairs = pairs.select("key", "c", p.alias("p"), F.log10(left).alias("back"), F.col("back1"), F.col("root2"))
+    pairs = _stored(pairs.select("key", "c", "p", "back", (F.col("p") - F.col("back1") - F.col("root2") + F.col("back")).alias("delta")), folder, "pairs")
+    before = pairs.select(F.col("key").alias("a"), F.col("c").alias("c1"), F.col("back").alias("back1"))
+    lower = pairs.select(F.col("key").alias("b"), F.col("p").alias("p2"))
+    p = F.log10((c - DISCOUNT) / F.col("c1") + F.pow(F.lit(10.0), F.col("back1") + F.col("p2")))
+    triples = kept.filter("key % 2 = 1").join(before, "a").join(lower, "b").select("key", (p - F.col("back1") - F.col("p2")).alias("delta"))
+    return words, pairs.select("key", "delta").unionByName(triples)
+
+
+def _gram_sums(rows: DataFrame, deltas: DataFrame, parts: int) -> DataFrame:
+    """(rid, arcs): what the kept pairs and triples of each text add up to."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, rid = batch.column(1).to_pylist(), batch.column(0).to_numpy()
+            for part in chunks(texts):
+                own = rid[part]
+                key, _, _, text = grams(Stream(texts[part]))
+                slot = part_of(key, parts) * len(own) + text
+                order = np.argsort(slot)
+                key, slot = key[order], slot[order]
+                first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])[: len(slot)])
+                p, times = slot[first] // len(own), np.diff(np.append(first, len(slot)))
+                ids, many = own[slot[first] % len(own)], np.append(first, len(slot))
+                at = np.searchsorted(p, np.arange(parts + 1))
+                some = np.flatnonzero(np.diff(at))
+                columns = [[ids[at[i] : at[i + 1]].tobytes() for i in some], [times[at[i] : at[i + 1]].astype(np.int32).tobytes() for i in some], [key[many[at[i]] : many[at[i + 1]]].tobytes() for i in some]]
+                yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(x, pa.binary()) for x in columns]], names=["p", "ids", "times", "keys"])
+
+    def meet(table: pa.Table, texts: pa.Table) -> pa.Table:
+        key, delta = table.column("key").to_numpy(), table.column("delta").to_numpy()
+        order = np.argsort(key)
+        key, delta = key[order], delta[order]
+        ids, sums = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+        for own, times, keys in zip(*(texts.column(x) for x in ("ids", "times", "keys")), strict=True):
+            at = lookup(key, np.frombuffer(keys.as_buffer(), dtype=np.int64))
+            value = np.where(at >= 0, delta[at], 0.0) if len(key) else np.zeros(len(at))
+            begin = np.cumsum(np.frombuffer(times.as_buffer(), dtype=np.int32), dtype=np.int64)
+            ids.append(np.frombuffer(own.as_buffer(), dtype=np.int64))
+            sums.append(np.add.reduceat(value, np.append(0, begin[:-1])))
+        ids, sums = np.concatenate(ids), np.concatenate(sums)
+        some = sums != 0
+        return pa.table([pa.array(ids[some]), pa.array(sums[some])], names=["rid", "arcs"])
+
+    blobs = rows.select("rid", "text").mapInArrow(deal, "p long, ids binary, times binary, keys binary")
+    placed = deltas.select(F.shiftright(F.shiftright("key", 31) * F.lit(parts).cast("long"), 32).alias("p"), "key", "delta")
+    met = placed.groupBy("p").cogroup(blobs.groupBy("p")).applyInArrow(meet, "rid long, arcs double")
+    return met.groupBy("rid").agg(F.sum("arcs").alias("arcs"))
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, states: int = STATES) -> DataFrame:
@@ -233,7 +349,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text counts as empty: the end token alone. A null id is in fold 0.
     Repeated rows are counted and scored each. If nothing is left to train on,
-    all tokens have count 0. An empty table gives no rows.
+    all tokens have count 0. An empty table gives no rows. ``docs`` is read
+    several times and must give its rows in the same order each time.
     """
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -241,17 +358,23 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = cut(_counts(training, lambda s: s.tokens))
     got = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = got["n"] or 0, got["v"]
-    auto = build(training, counts, total, distinct, states)
-    shared = spark.sparkContext.broadcast(auto)
+    norm = total + ADD * (distinct + 1)
+    parts = max(1, -(-2 * total // PART))
+    words, deltas = build(training, counts, norm, parts)
+    head = words.filter(F.col("c") >= max(1, total / states)).toPandas().sort_values("w")
+    shared = spark.sparkContext.broadcast(tuple(head[x].to_numpy() for x in ("w", "root", "back")))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        table, head_root, head_back = shared.value
+        sieve = sieve_of(table)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for part in chunks(texts):
                 stream = Stream(texts[part])
-                w, root, value = model.traverse(stream)
+                w = lookup_words(table, sieve, stream.tokens)
+                root = np.where(w >= 0, head_root[w] if len(table) else 0.0, 0.0)
+                value = root + np.where(w >= 0, head_back[w] if len(table) else 0.0, 0.0)
                 n = len(stream.at) - 1
                 rare = np.flatnonzero(w < 0)
                 # one row per text and rare word
@@ -281,12 +404,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     part = cut(rows.mapInArrow(run, f"rid long, id {kind}, n_tokens long, known long, base double, value double, rare array<long>, times array<int>"))
     each = part.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("w"), F.col("x.times").alias("t"))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    tail = each.join(counts, "w", "left").groupBy("rid").agg(
-        F.sum(F.col("t") * F.log10((c + ADD) / F.lit(auto.norm))).alias("more"), F.sum(F.when(c > 0, F.col("t")).otherwise(0)).alias("seen")
+    c, none = F.coalesce(F.col("c"), F.lit(0)), F.lit(math.log10(ADD / norm))
+    tail = each.join(words, "w", "left").groupBy("rid").agg(
+        F.sum(F.col("t") * F.coalesce("root", none)).alias("more"),
+        F.sum(F.col("t") * F.coalesce("back", F.lit(0.0))).alias("falls"),
+        F.sum(F.when(c > 0, F.col("t")).otherwise(0)).alias("seen"),
     )
-    out = part.select("rid", "id", "n_tokens", "known", "base", "value").join(tail, "rid", "left")
-    more = F.coalesce(F.col("more"), F.lit(0.0))
+    out = part.select("rid", "id", "n_tokens", "known", "base", "value").join(tail, "rid", "left").join(_gram_sums(rows, deltas, parts), "rid", "left")
+    more, falls, arcs = (F.coalesce(F.col(x), F.lit(0.0)) for x in ("more", "falls", "arcs"))
     return out.select(
         F.col("id").alias(id_col),
         (fold(F.col("id"), folds) == held).alias("held_out"),
@@ -294,5 +419,5 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("value") + more).alias("score"),
+        (F.col("value") + more + falls + arcs).alias("score"),
     )
