@@ -2,8 +2,8 @@
 
 Built-in functions only. One pass over the texts finds candidates; from then on
 rows are narrow. A candidate's value is counted over distinct repositories and
-owners: a value that many owners have is a copied example, one that a single
-owner (or two) has looks live.
+owners: a value that many owners or many repositories have is a copied example,
+one that a single owner (or two) has in few repositories looks live.
 """
 
 from __future__ import annotations
@@ -32,15 +32,16 @@ def _listed(found: Column) -> Column:
     return F.array_join(one, ",")
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 2) -> DataFrame:
-    """One row per row of ``docs``: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 2, max_repos: int = 5) -> DataFrame:
+    """One row per row of ``docs``: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, owners, repos.
 
     Base spans stand whatever their ownership. The method adds key-like strings
     (``owned``: 20 characters or more of a key's alphabet, with upper case, lower
     case and two digits, not inside a base span) whose value at most
-    ``max_owners`` owners hold. n_live and n_copied count all spans of the row
-    by that same limit. ``repo_col`` names the repository; by default each
-    document is one. Places are code points, ends exclusive.
+    ``max_owners`` owners hold, in at most ``max_repos`` repositories. n_live and
+    n_copied count all spans of the row by those same limits; owners and repos
+    have the counts of each listed span's value, in the order of spans.
+    ``repo_col`` names the repository; by default each document is one. Places are code points, ends exclusive.
 
     Null and empty texts have no spans. Null owners are one owner, null ids one
     repository. Repeated rows are scanned each and are one repository. An empty
@@ -67,10 +68,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by_repo = each.groupBy(F.col("x.h").alias("h"), "owner", "repo").agg(F.lit(1).alias("one"))
     by_owner = by_repo.groupBy("h", "owner").agg(F.count("one").alias("repos"))
     ownership = by_owner.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
-    judged = each.select("rid", "x", F.col("x.h").alias("h")).join(ownership, "h").select("rid", "x", (F.col("owners") <= max_owners).alias("live"))
+    judged = each.select("rid", "x", F.col("x.h").alias("h")).join(ownership, "h").select("rid", "x", "owners", "repos", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live"))
     kept = judged.filter(F.col("live") | (F.col("x.k") < 3))
     per_row = kept.groupBy("rid").agg(
-        F.collect_list(F.struct("x.s", "x.k", "x.e")).alias("all"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied")
+        F.sort_array(F.collect_list(F.struct("x.s", "x.k", "x.e", "owners", "repos"))).alias("all"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied")
     )
     out = rows.join(per_row, "rid", "left")
 
@@ -86,4 +87,6 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce(_listed("all"), F.lit("")).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        F.coalesce("all.owners", F.array().cast("array<long>")).alias("owners"),
+        F.coalesce("all.repos", F.array().cast("array<long>")).alias("repos"),
     )

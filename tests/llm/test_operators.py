@@ -290,6 +290,15 @@ def test_secret_ownership(spark):
     assert rows[9].spans == "owned:4:26" and all(rows[i].spans == "" for i in range(5))
 
 
+def test_secret_copied_within_one_owner(spark):
+    copied, own = "Abcdefghij0123456789kl", "Zyxwvutsrq9876543210kl"
+    table = spark.createDataFrame([(i, f"key {copied} here", "s1") for i in range(40)] + [(50, f"key {own} here password={copied}", "s1")], "doc_id long, text string, source string")
+    rows = {r.doc_id: r for r in scan_secrets(table).collect()}
+    assert all(rows[i].spans == "" for i in range(40))
+    assert (rows[50].spans, rows[50].n_live, rows[50].n_copied) == ("owned:4:26,assign:32:63", 1, 1)
+    assert (rows[50].owners, rows[50].repos) == ([1, 1], [1, 41])
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
