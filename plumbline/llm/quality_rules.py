@@ -115,11 +115,12 @@ def line_passes(line: Column, furnished: Column, symbolic: Column, rules: LineRu
 
 
 def quality_columns(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, kept_words, base_failed and kept.
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, kept_words, base_failed, kept and clean_text.
 
     base_failed: fewer than ``min_words`` words, or more than ``max_repeat_pct``
     percent of them in repeated 3-word windows. kept: not base_failed, and the
-    lines that pass hold at least ``min_kept_share`` of the words. Null text has
+    lines that pass hold at least ``min_kept_share`` of the words. clean_text:
+    the lines that pass and those without words, in their order. Null text has
     no words; a text without words has base_failed true. Rows are judged one by
     one, repeated rows alike. Columns of ``docs`` with these names are replaced.
     """
@@ -129,7 +130,8 @@ def quality_columns(docs: DataFrame, text_col: str = "text", rules: LineRules =
         n = F.size(w).cast("long")
         return F.struct(n.alias("n"), F.length(F.array_join(w, "")).cast("long").alias("c"), repeated_words(w).cast("long").alias("r"))
 
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    def has_words(line: Column) -> Column:
+        return line.rlike(r"[^\x20\x09-\x0D]")
 
     def furnished(low: Column) -> Column:
         found = F.lit(False)
@@ -139,14 +141,18 @@ def quality_columns(docs: DataFrame, text_col: str = "text", rules: LineRules =
 
     def from_lines(ls: Column) -> Column:
         def held(flags: Column) -> Column:
-            good = F.filter(ls, lambda x: line_passes(x, flags["f"], flags["s"] > 0, rules))
-            kept = F.aggregate(good, F.lit(0), lambda n, x: n + F.size(words_of(x)))
-            twins = F.size(ls) - F.size(F.array_distinct(ls))
-            return F.struct(twins.cast("long").alias("d"), kept.cast("long").alias("g"), flags["s"].cast("long").alias("s"))
+            good = F.filter(ls, lambda x: ~has_words(x) | line_passes(x, flags["f"], flags["s"] > 0, rules))
+            twins = let(F.filter(ls, has_words), lambda own: F.size(own) - F.size(F.array_distinct(own)))
+
+            def figures(good: Column) -> Column:
+                kept = F.aggregate(good, F.lit(0), lambda n, x: n + F.size(words_of(x)))
+                return F.struct(twins.cast("long").alias("d"), kept.cast("long").alias("g"), flags["s"].cast("long").alias("s"), F.array_join(good, "\n").alias("t"))
+
+            return let(good, figures)
 
         return let(F.struct(let(F.lower(text), furnished).alias("f"), symbols_in(text).alias("s")), held)
 
-    made = docs.select(*[F.col(f"`{c}`") for c in docs.columns], let(words_of(text), from_words).alias("_w"), let(lines, from_lines).alias("_l"))
+    made = docs.select(*[F.col(f"`{c}`") for c in docs.columns], let(words_of(text), from_words).alias("_w"), let(F.split(text, "\n"), from_lines).alias("_l"))
     n = F.col("_w.n")
     failed = (n < rules.min_words) | (100 * F.col("_w.r") > rules.max_repeat_pct * n)
     figures = {
@@ -158,13 +164,13 @@ def quality_columns(docs: DataFrame, text_col: str = "text", rules: LineRules =
         "kept_words": F.col("_l.g"),
         "base_failed": failed,
         "kept": ~failed & (F.col("_l.g") >= rules.min_kept_share * n),
+        "clean_text": F.col("_l.t"),
     }
     own = [F.col(f"`{c}`") for c in docs.columns if c not in figures]
     return made.select(*own, *[v.alias(k) for k, v in figures.items()])
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, their texts whole."""
-    clash = [c for c in docs.columns]
-    judged = quality_columns(docs.select(F.struct(*[F.col(f"`{c}`") for c in clash]).alias("_row"), F.col(text_col).alias("_text")), "_text", rules)
-    return judged.filter("kept").select("_row.*")
+    """The rows of ``docs`` that the rules keep, their failing lines removed; other columns as they are."""
+    judged = quality_columns(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text")), "_text", rules)
+    return judged.filter("kept").select(*[(F.col("clean_text") if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

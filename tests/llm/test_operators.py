@@ -357,6 +357,15 @@ def test_quality_keeps_what_is_labelled_good(spark, docs):
     assert keep_good(docs).columns == docs.columns
 
 
+def test_quality_removes_failing_lines(spark):
+    prose = [f"Line {i} speaks of item{i}, of place{i} and of the day{i} that followed." for i in range(8)]
+    text = "\n".join([*prose[:4], "Home | News | Sport | More", "", "We use cookies to serve you", *prose[4:]])
+    table = spark.createDataFrame([(1, text), (2, None), (3, "too short")], "doc_id long, text string")
+    rows = keep_good(table).collect()
+    assert [(r.doc_id, r.text) for r in rows] == [(1, "\n".join([*prose[:4], "", *prose[4:]]))]
+    assert {r.doc_id: r.clean_text for r in quality_columns(table).collect()}[2] == ""
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
