@@ -1,6 +1,8 @@
 """Lexical retrieval packing: a sharded BM25 index chooses which documents share a window.
 
-Documents are dealt to shards of bounded size by a hash of their id. Inside a
+Documents are dealt to shards of bounded size so that alike ones meet: each has
+a sketch, the words that a draw weighted by their rarity in the whole corpus
+picks, and shards are runs of the corpus in the order of sketches. Inside a
 shard, a seed document asks the shard's inverted index for its nearest unused
 neighbours, which follow it until the window is full; the document that fills
 it is cut there and seeds the next window. What remains at a shard's end goes
@@ -16,14 +18,20 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.tokens import SPACE, Words
+from plumbline.llm.lm_score import HELD, Counter, lookup
+from plumbline.llm.tokens import SPACE, Words, chunks, mix
+from plumbline.session import cut
 
 #: Text of a shard on average, and the query terms of a seed document.
-SHARD_BYTES, QUERY_TERMS = 2 << 20, 12
+SHARD_BYTES, QUERY_TERMS = 4 << 20, 12
 K1, B = 1.2, 0.75
+#: Words of a sketch, and how much rarity counts in their draw: the power of the IDF.
+SKETCH, RARITY = 3, 3
+#: At most so many words' document frequencies are broadcast; the sketches do not depend on it.
+COMMON = 1 << 16
 
 
 #: The letters that byte-level vocabularies write bytes of Latin letters as: printable Latin-1
@@ -202,6 +210,88 @@ def lay_out(sizes: list[int], window: int) -> Iterator[tuple[int, int, int, int,
                 sequence, offset = sequence + 1, 0
 
 
+def _distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, word hash) of each text's distinct words."""
+    words = Words(texts)
+    h = (words.hashes() >> np.uint64(1)).astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), words.count)
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    fresh = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))[: len(h)]
+    return text[fresh], h[fresh]
+
+
+def _draw(h: np.ndarray) -> np.ndarray:
+    """A word's exponential draw, the same wherever it stands."""
+    u = (mix(h.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64)
+    return -np.log((u + 0.5) / (1 << 53))
+
+
+def shards_of(rows: DataFrame, n: int, shard_bytes: int) -> DataFrame:
+    """(rid, shard) for ``rows`` (rid, text), n in number: runs of about shard_bytes in the order of the sketches.
+
+    A sketch is the SKETCH words of lowest draw / IDF ** RARITY, lowest first. Words
+    of one document or of more than an eighth of all cannot be drawn.
+    """
+    spark = rows.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter()
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for part in chunks(texts):
+                counter.add(_distinct(texts[part])[1])
+                yield from counter.flush(HELD)
+        yield from counter.flush(0)
+
+    c = F.col("c")
+    found = cut(rows.select("text").mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).filter(c > 1))
+    least = max(2, (found.agg(F.sum("c").alias("n")).first()["n"] or 0) / COMMON)
+    common = found.filter(c >= least).toPandas().sort_values("w")
+    shared = spark.sparkContext.broadcast((common["w"].to_numpy(dtype=np.int64), common["c"].to_numpy(dtype=np.int64)))
+    most = max(2, n // 8)
+    highest = np.log(1 + n / 2) ** RARITY
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, df = shared.value
+        for batch in batches:
+            texts, rid = batch.column(1).to_pylist(), batch.column(0).to_numpy()
+            for part in chunks(texts):
+                text, h = _distinct(texts[part])
+                at, draw = lookup(table, h), _draw(h)
+                known = at >= 0
+                usable = known & (df[at] <= most) if len(df) else known
+                value = np.full(len(h), np.inf)
+                value[usable] = draw[usable] / np.log(1 + n / df[at[usable]]) ** RARITY
+                order = np.lexsort((value, text))
+                own = text[order]
+                rank = np.arange(len(own)) - np.searchsorted(own, own)
+                third = np.full(len(texts[part]), np.inf)
+                last = order[rank == SKETCH - 1]
+                third[text[last]] = value[last]
+                sure = order[(rank < SKETCH) & np.isfinite(value[order])]
+                # of the other words, those that could come lower, were they as rare as can be
+                maybe = np.flatnonzero(~known & (draw / highest <= third[text]))
+                both = np.concatenate([sure, maybe])
+                real = np.concatenate([value[sure], np.full(len(maybe), np.nan)])
+                yield pa.RecordBatch.from_arrays([pa.array(rid[part][text[both]]), pa.array(h[both]), pa.array(draw[both]), pa.array(real)], names=["rid", "w", "draw", "value"])
+
+    drawn = rows.select("rid", "text").mapInArrow(sketch, "rid long, w long, draw double, value double")
+    rare = drawn.filter(F.isnan("value")).join(found, "w").filter(c <= most).select("rid", "w", (F.col("draw") / F.pow(F.log(1 + F.lit(n) / c), F.lit(RARITY))).alias("value"))
+    every = drawn.filter(~F.isnan("value")).select("rid", "w", "value").unionByName(rare)
+    words = every.groupBy("rid").agg(F.slice(F.sort_array(F.collect_list(F.struct("value", "w"))), 1, SKETCH).alias("s"))
+    narrow = rows.select("rid", (F.octet_length("text") + 1).cast("long").alias("bytes")).join(words, "rid", "left").select("rid", "bytes", F.col("s.w").alias("s"))
+    keys = [*[F.get("s", F.lit(i)).alias(f"k{i}") for i in range(SKETCH)], F.col("rid")]
+    order = [f"k{i}" for i in range(SKETCH)] + ["rid"]
+    ranged = cut(narrow.select(*keys, "bytes").repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    sums = sorted((r["part"], r["b"]) for r in ranged.groupBy("part").agg(F.sum("bytes").alias("b")).collect())
+    before = np.cumsum([0] + [b for _, b in sums]).tolist()
+    begin = spark.createDataFrame([(p, b) for (p, _), b in zip(sums, before[:-1], strict=True)], "part int, begin long")
+    run = F.sum("bytes").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
+    placed = ranged.withColumn("run", run).join(F.broadcast(begin), "part")
+    return placed.select("rid", F.floor((F.col("begin") + F.col("run")) / shard_bytes).alias("shard"))
+
+
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length.
 
@@ -213,16 +303,21 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     gives no rows; other columns are ignored.
 
     The number of shards follows the bytes of text, so a shard's memory does
-    not grow with the table; texts cross the network once, ids never.
+    not grow with the table; texts cross the network twice, token ids never.
+    Neighbours are searched inside a shard, with its own document frequencies.
+    ``docs`` is read several times and must give its rows in the same order
+    each time.
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(text) + 1).alias("b")).first()["b"] or 0
-    shards = max(1, -(-total // shard_bytes))
-    shard = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.octet_length(text)), F.lit(shards))
-    dealt = docs.select(F.col(id_col).alias("id"), text.alias("text"), shard.alias("shard"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), text.alias("text"))
+    got = rows.agg(F.sum(F.octet_length("text") + 1).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    if (got["b"] or 0) > shard_bytes:
+        dealt = rows.join(shards_of(rows, got["n"], shard_bytes), "rid").select("id", "text", "shard")
+    else:
+        dealt = rows.select("id", "text", F.lit(0).cast("long").alias("shard"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending"), ("text", "ascending")])

@@ -324,6 +324,23 @@ def test_packing(docs, texts):
         assert at <= 4096 and at & (at - 1) == 0
 
 
+def test_packing_alike_documents_meet(spark):
+    import random
+
+    draw = random.Random(5)
+    common = [f"common{i}" for i in range(60)]
+    rows = []
+    for g in range(60):
+        rare = [f"rare{g}x{i}" for i in range(25)]
+        for k in range(4):
+            rows.append((1000 * k + g, " ".join(draw.sample(rare, 20) + draw.choices(common, k=40) + [f"once{g}x{k}x{i}" for i in range(10)])))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    shard = {r.doc_id: r.sequence_id >> 32 for r in pack(table, queries.tokenizer_file(), shard_bytes=10_000).collect()}
+    assert len(shard) == 240 and len(set(shard.values())) >= 10
+    pairs = [(1000 * a + g, 1000 * b + g) for g in range(60) for a in range(4) for b in range(a)]
+    assert sum(shard[a] == shard[b] for a, b in pairs) >= 0.4 * len(pairs)
+
+
 def test_tokenizer_pieces(spark):
     from tokenizers import Tokenizer
 
