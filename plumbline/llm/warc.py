@@ -1,9 +1,9 @@
 """WARC: a deterministic sharded writer, and the reader of its archives.
 
-Records are range-sorted by id. Shard bounds come from a histogram of bytes
-over id ranges, so they depend on the rows alone. Each shard is written by one
-task, as files that roll when their compressed size reaches a limit; a record
-is a gzip member of its own. Tasks write under temporary names. The commit
+Records are range-sorted by id. Shards are ranges of ids whose payloads add up
+to a given number of bytes. Each shard is written by one task, as files that
+roll when their compressed size reaches a limit; a record is a gzip member of
+its own. Tasks write under temporary names. The commit
 renames one attempt's files of each shard and writes a manifest; readers open
 what the manifest names and nothing else, so lost or repeated attempts leave
 no trace in the archive.
@@ -20,16 +20,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.session import cut, shared_dir
 
-#: Compressed size at which a file rolls, and bytes of payload of a shard on average.
-ROLL_BYTES, SHARD_BYTES = 256 << 20, 16 << 20
-#: Id ranges of one histogram; a range that is too heavy gets a histogram of its own.
-RANGES = 4096
+#: Payload bytes of a shard at least, and how many shards there are at most (one number each reaches the driver).
+SHARD_BYTES, MAX_SHARDS = 32 << 20, 1 << 15
 #: Records carry this date; a crawl would pass its own.
 DATE = "1970-01-01T00:00:00Z"
 FORMAT = "WARC/1.1"
@@ -93,34 +91,32 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def shard_bounds(pages: DataFrame, id_col: str, bytes_col: str, shard_bytes: int) -> list[int]:
-    """Ids at which shards end, from byte counts over at most RANGES equal id ranges at a time."""
-    span = pages.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), F.sum(bytes_col).alias("b")).first()
-    if span["lo"] is None:
+    """Ids at which shards end: those that bring the running sum of bytes over all smaller ids to a multiple of ``shard_bytes``.
+
+    The bounds depend on the rows alone. A few jobs whatever the table's size:
+    rows are narrow, sorted in ranges, and one sum per range reaches the driver.
+    """
+    spark = pages.sparkSession
+    total = pages.agg(F.sum(bytes_col).alias("b")).first()["b"]
+    if not total:
         return []
-    bounds: list[int] = []
-    todo = [(span["lo"], span["hi"])]
-    carried = 0
-    while todo:
-        lo, hi = todo.pop(0)
-        width = max(1, -(-(hi - lo + 1) // RANGES))
-        cells = pages.filter(F.col(id_col).between(lo, hi)).groupBy(F.floor((F.col(id_col) - lo) / width).alias("c")).agg(F.sum(bytes_col).alias("b"))
-        for row in sorted(cells.collect(), key=lambda r: r["c"]):
-            first = lo + row["c"] * width
-            if row["b"] > 2 * shard_bytes and width > 1:
-                # a heavy range goes through its own histogram; what follows it comes after
-                todo[:0] = [(first, min(hi, first + width - 1)), *([(first + width, hi)] if first + width <= hi else [])]
-                break
-            carried += row["b"]
-            if carried >= shard_bytes:
-                bounds.append(first + width)
-                carried = 0
-    return bounds
+    ranges = max(1, min(-(-total // shard_bytes), MAX_SHARDS))
+    sized = cut(pages.groupBy(F.col(id_col).alias("id")).agg(F.sum(bytes_col).alias("b")))
+    ranged = cut(sized.repartitionByRange(ranges, "id").withColumn("part", F.spark_partition_id()))
+    begin, before = [], 0
+    for part, b in sorted((r["part"], r["b"]) for r in ranged.groupBy("part").agg(F.sum("b").alias("b")).collect()):
+        begin.append((part, before))
+        before += b
+    known = spark.createDataFrame(begin, "part int, begin long")  # at most MAX_SHARDS rows
+    run = F.sum("b").over(Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    cell = ranged.withColumn("run", run).join(F.broadcast(known), "part").withColumn("cell", F.floor((F.col("begin") + F.col("run") - 1) / shard_bytes))
+    return sorted(r["last"] + 1 for r in cell.groupBy("cell").agg(F.max("id").alias("last")).collect())[:-1]
 
 
 _WRITTEN = "shard int, seq int, temp string, name string, records long, bytes long, attempt long"
 
 
-def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, date: str = DATE) -> DataFrame:
+def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, roll_bytes: int | None = None, shard_bytes: int | None = None, date: str = DATE) -> DataFrame:
     """Write one record per row of ``pages`` under ``out``; returns the manifest (shard, seq, name, records, bytes).
 
     Of rows with equal payloads of at least ``min_bytes`` bytes the one with the
@@ -128,7 +124,14 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
     with that id each is a response. Null html is an empty payload, a null url
     is written as urn:x-none, a null id as none: such rows go to the first shard,
     revisit the smallest id, and are responses where no row of their payload has
-    an id. ``out`` must be reachable by all executors, through pyarrow.
+    an id. An empty table gives an empty manifest; other columns are ignored.
+    ``out`` must be reachable by all executors, through pyarrow.
+
+    ``shard_bytes`` of payload make a shard; by default SHARD_BYTES, or what
+    makes MAX_SHARDS of them where the table is larger. A file rolls at
+    ``roll_bytes`` compressed, by default an eighth of that. Payloads cross the
+    network once: what a page revisits goes to its shard as a row of its own,
+    which the writer reads before the page.
     """
     spark = pages.sparkSession
     html = F.coalesce(F.col(html_col), F.lit(""))
@@ -137,23 +140,27 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
     first = narrow.filter(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL")
     # only rows that revisit another take part in the way back
     refers = narrow.join(first, "digest").filter(~F.col("page").eqNullSafe(F.col("first"))).select("page", "digest", "first").distinct()
+    if shard_bytes is None:
+        shard_bytes = max(SHARD_BYTES, (narrow.agg(F.sum("bytes").alias("b")).first()["b"] or 0) // MAX_SHARDS)
+    if roll_bytes is None:
+        roll_bytes = shard_bytes // 8
     bounds = shard_bounds(narrow.filter("page IS NOT NULL"), "page", "bytes", shard_bytes)
     shards = len(bounds) + 1
-    edges = spark.sparkContext.broadcast(bounds)  # one number per shard
-    keyed = rows.withColumn("digest", F.unhex(F.sha2("html", 256)))
-    joined = keyed.join(refers.withColumnRenamed("page", "rpage").withColumnRenamed("digest", "rdigest"), F.col("page").eqNullSafe(F.col("rpage")) & (F.col("digest") == F.col("rdigest")), "left")
-    lean = joined.select("page", "url", F.when(F.col("first").isNull(), F.col("html")).alias("html"), F.when(F.col("first").isNotNull(), F.col("html")).alias("twin"), "first")
+    none = {k: F.lit(None).cast(t) for k, t in (("url", "string"), ("html", "string"), ("digest", "binary"), ("first", "long"))}
+    marks = refers.select("page", none["url"].alias("url"), none["html"].alias("html"), "digest", "first")
+    every = rows.select("page", "url", "html", none["digest"].alias("digest"), none["first"].alias("first")).unionByName(marks)
     shard = F.lit(0)
     if bounds:
         shard = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("page"))), F.lit(0)) if len(bounds) <= 64 else _shard_of(bounds)
-    dealt = lean.withColumn("shard", shard.cast("int")).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("page").asc_nulls_first(), "url", "html", "twin")
-    del edges
+    # a page's marks have no html, so they come first
+    dealt = every.withColumn("shard", shard.cast("int")).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("page").asc_nulls_first(), F.col("html").asc_nulls_first(), F.col("url").asc_nulls_first())
     token = uuid.uuid4().hex
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(out)
         attempt = TaskContext.get().taskAttemptId()
         done, sink, size, records, current, seq = [], None, 0, 0, None, 0
+        marked, of = {}, None
 
         def close() -> None:
             nonlocal sink
@@ -164,7 +171,13 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
 
         temp = name = ""
         for batch in batches:
-            for page, url, page_html, twin, refers_to, own in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
+            for page, url, page_html, digest, refers_to, own in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
+                if page_html is None:
+                    if of != page:
+                        marked, of = {}, page
+                    marked[digest] = refers_to
+                    continue
+                refers_to = marked.get(hashlib.sha256(page_html.encode()).digest()) if marked and of == page else None
                 if sink is not None and (own != current or size >= roll_bytes):
                     close()
                     seq = seq + 1 if own == current else 0
@@ -177,7 +190,7 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
                     sink = fs.open_output_stream(f"{root}/{temp}", compression=None)
                     size = sink.write(gzip_member(info_record(name, date)))
                     records = 0
-                size += sink.write(gzip_member(page_record(page, url, twin if refers_to is not None else page_html, refers_to, date)))
+                size += sink.write(gzip_member(page_record(page, url, page_html, refers_to, date)))
                 records += 1
         close()
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["shard", "seq", "temp", "name", "records", "bytes", "attempt"])
