@@ -1,46 +1,54 @@
-"""LM scoring with a weighted backoff automaton of order 3, kept as tables.
+"""LM scoring with a weighted backoff automaton of order 3 that is never in one place.
 
 States are the contexts seen in training; the root is the empty one. An arc
-reads a word and carries the smoothed log-probability of its n-gram; a state's
+reads a word and carries the smoothed probability of its n-gram; a state's
 failure arc reads nothing, carries the state's backoff weight and leads to the
-context without its first word.
-
-Every word has its exact count, and every pair and triple that training texts
-hold ``LEAST`` times or more is an arc, so the model grows with the corpus. It
-is never in one place: n-grams are dealt by hash, counted there, and later meet
-the n-grams of the texts there. What a traversal adds up is written as one
-number per n-gram, ``Automaton`` being the plain version in memory: a word
-brings its root arc and its failure weight, a pair or triple what its arc
-changes of that. Only the most frequent words, at most ``STATES``, are
-broadcast, to spare rows; the others' numbers come by a join.
+context without its first word. Every word, and every pair and triple that
+training texts hold ``LEAST`` times or more, is an arc, so the model grows with
+the corpus. ``Automaton`` is the plain version of it in memory.
+
+Texts are read three times, in chunks of a few megabytes whose places (task,
+number in the task) name them. First, each chunk asks for the corpus-wide
+counts of its distinct words, pairs and triples, sending its own along; n-grams
+are dealt to parts by ranges of their keys, summed there, and answered to every
+chunk that asked, in the order of the question. Then each chunk asks in the
+same way for what its states spend on their arcs. Last, each text is traversed
+from left to right, the state being the last two words that are a state.
+Questions are sorted keys as differences, 5 or 6 bytes each; answers are small
+integers. What crosses the network is thus a few times the text, and memory is
+bounded by a chunk or a part.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.tokens import Words, chunks, mix
-from plumbline.session import cut, shared_dir
+from plumbline.session import open_fs, shared_dir
 
 #: What is added to each count of the base, and taken off each kept n-gram's count.
 ADD, DISCOUNT = 0.1, 0.5
 #: Pairs and triples seen less often have no arc of their own.
 LEAST = 2
-#: At most so many words are broadcast; what is scored does not depend on it.
-STATES = 1 << 16
 #: The end of a text, as a word.
 END = np.int64(-1)
 #: Distinct counts that a task holds before it hands them on.
 HELD = 3_000_000
-#: Pairs and triples of the texts that are dealt to one part.
-PART = 4_000_000
+#: Characters of a chunk, and bytes of text whose n-grams are summed in one part.
+CHUNK, PART = 1 << 22, 8 << 20
+#: Keys have so many bits; the last two tell words, pairs and triples apart.
+BITS = 56
 
 
 def fold(id_value: Column, n: int) -> Column:
@@ -109,21 +117,6 @@ def sieve_of(table: np.ndarray) -> np.ndarray:
     return out
 
 
-def _counts(docs: DataFrame, keys) -> DataFrame:
-    """(w, c): counts of ``keys(Stream)`` over all texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter()
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for part in chunks(texts):
-                counter.add(keys(Stream(texts[part])))
-                yield from counter.flush(HELD)
-        yield from counter.flush(0)
-
-    return docs.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-
-
 class Automaton:
     """Words, states, arcs and failure arcs as sorted arrays in memory: the plain version of what the tables hold."""
 
@@ -197,148 +190,207 @@ class Automaton:
         return w, root, value
 
 
-def join_keys(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
-    """Hashes of 62 bits, and the kind (0: pair, 1: triple) as the last bit."""
-    h = mix(a.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + mix(b.view(np.uint64) + np.uint64(kind)))
-    return (h >> np.uint64(2) << np.uint64(1) | np.uint64(kind)).astype(np.int64)
-
-
-def grams(stream: Stream) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, a, b, text) of all pairs, then all triples. A pair's a and b are its words, a triple's the keys of its pairs."""
-    t = stream.tokens
-    two = np.flatnonzero(~stream.begin)
-    pair = np.zeros(len(t), dtype=np.int64)
-    pair[two] = join_keys(t[two - 1], t[two], 0)
-    three = two[~stream.begin[two - 1]]
-    a, b = np.concatenate([t[two - 1], pair[three - 1]]), np.concatenate([t[two], pair[three]])
-    key = np.concatenate([pair[two], join_keys(pair[three - 1], pair[three], 1)])
-    return key, a, b, stream.text[np.concatenate([two, three])]
-
-
-def part_of(key: np.ndarray, parts: int) -> np.ndarray:
-    """The part that an n-gram is dealt to: ranges of keys."""
-    return (key >> 31) * parts >> 32
-
-
-def _gram_counts(docs: DataFrame, parts: int) -> DataFrame:
-    """(key, a, b, c) of all pairs and triples with counts of LEAST or more."""
+def keys_of(words: np.ndarray, kind: int) -> np.ndarray:
+    """Keys from 64-bit hashes."""
+    return (mix(words) >> np.uint64(64 - BITS) & ~np.uint64(3) | np.uint64(kind)).astype(np.int64)
+
+
+class Grams:
+    """A chunk's distinct n-grams: sorted ``keys``, and the place in them of the word, pair and triple that end at each token (-1: none)."""
+
+    def __init__(self, stream: Stream):
+        t = stream.tokens.view(np.uint64)
+        n = len(t)
+        one = keys_of(t, 0)
+        two = np.flatnonzero(~stream.begin)
+        three = two[~stream.begin[two - 1]]
+        pair = np.zeros(n, dtype=np.int64)
+        pair[two] = keys_of(one[two - 1].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + t[two], 1)
+        triple = keys_of(pair[three - 1].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + t[three], 2)
+        every = np.concatenate([one, pair[two], triple])
+        self.keys, self.where, inverse = np.unique(every, return_index=True, return_inverse=True)
+        self.word = inverse[:n]
+        self.pair = np.full(n, -1, dtype=np.int64)
+        self.pair[two] = inverse[n : n + len(two)]
+        self.triple = np.full(n, -1, dtype=np.int64)
+        self.triple[three] = inverse[n + len(two) :]
+        self.inverse, self.two, self.three = inverse, two, three
+
+    def counts(self, stream: Stream, training: np.ndarray) -> np.ndarray:
+        """How often each n-gram stands in the texts that are for training."""
+        own = training[stream.text]
+        own = np.concatenate([own, own[self.two], own[self.three]])
+        return np.bincount(self.inverse[own], minlength=len(self.keys))
+
+    def contexts(self, which: np.ndarray) -> np.ndarray:
+        """The place of the context of each of the pairs and triples ``which``."""
+        n = len(self.word)
+        at = self.where[which]
+        is_pair = at < n + len(self.two)
+        out = np.empty(len(at), dtype=np.int64)
+        out[is_pair] = self.word[self.two[at[is_pair] - n] - 1]
+        out[~is_pair] = self.pair[self.three[at[~is_pair] - n - len(self.two)] - 1]
+        return out
+
+
+def part_edges(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(parts that sorted keys fall into, where each part's keys begin, and the end)."""
+    part = (keys >> (BITS - 32)) * parts >> 32
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+    return part[first], np.append(first, len(keys))
+
+
+def pack_keys(keys: np.ndarray) -> tuple[int, bytes]:
+    """Sorted keys as differences of as many bytes as the largest takes."""
+    step = np.diff(keys, prepend=0)
+    width = max(1, (int(step.max()).bit_length() + 7) // 8)
+    return width, step.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_keys(width: int, data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
+    wide = np.zeros((len(raw), 8), dtype=np.uint8)
+    wide[:, :width] = raw
+    return np.cumsum(wide.view("<i8").ravel())
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """A byte each; those of 255 and more follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def unpack_counts(n: int, data: bytes) -> np.ndarray:
+    out = np.frombuffer(data[:n], dtype=np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(data[n:], dtype="<i8")
+    return out
 
-    def summed(key: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.argsort(key)
-        key = key[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-        return key[first], a[order[first]], b[order[first]], np.add.reduceat(c[order], first) if len(first) else c
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+ASKED = "part long, task long, chunk long, n long, width int, keys binary, counts binary"
+ANSWERED = "task long, chunk long, part long, n long, counts binary, first binary, tokens long, words long"
+
+
+def asked(task: int, chunk: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A chunk's question: a row for each part that its keys fall into."""
+    which, edges = part_edges(keys, parts)
+    packed = [pack_keys(keys[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    same = np.ones(len(which), dtype=np.int64)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(which),
+            pa.array(same * task),
+            pa.array(same * chunk),
+            pa.array(np.diff(edges)[: len(which)]),
+            pa.array([w for w, _ in packed], pa.int32()),
+            pa.array([k for _, k in packed], pa.binary()),
+            pa.array([pack_counts(counts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
+        ],
+        names=["part", "task", "chunk", "n", "width", "keys", "counts"],
+    )
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            got = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            held.clear()
-            for kind in (0, 1):
-                key, a, b, c = (x[got[0] & 1 == kind] for x in got)
-                at = np.searchsorted(part_of(key, parts), np.arange(parts + 1))
-                some = np.flatnonzero(np.diff(at))
-                columns = [pa.array([x[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()) for x in (a, b, c.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), kind)), *columns], names=["p", "kind", "a", "b", "c"])
 
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for part in chunks(texts):
-                key, a, b, _ = grams(Stream(texts[part]))
-                held.append(summed(key, a, b, np.ones(len(key), dtype=np.int64)))
-                if sum(len(x[0]) for x in held) > HELD:
-                    yield from flush()
-        yield from flush()
+def answer(table: pa.Table) -> pa.Table:
+    """A part's sums, to each question in its own order; the first to ask for a key is told so."""
+    table = table.sort_by([("task", "ascending"), ("chunk", "ascending")])
+    n = table.column("n").to_numpy()
+    rows = list(zip(table.column("width").to_pylist(), table.column("keys"), n, table.column("counts"), strict=True))
+    keys = np.concatenate([unpack_keys(w, k.as_buffer()) for w, k, _, _ in rows])
+    counts = np.concatenate([unpack_counts(m, c.as_buffer().to_pybytes()) for _, _, m, c in rows])
+    distinct, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    sums = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)
+    first = np.zeros(len(keys), dtype=bool)
+    first[index] = True
+    seen = sums[(distinct & 3) == 0]
+    total = sums[inverse]
+    edges = np.append(0, np.cumsum(n))
+    out = [(pack_counts(total[a:b]), np.packbits(first[a:b]).tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    once = np.zeros(len(n), dtype=np.int64)
+    once[0] = 1
+    return pa.table(
+        [table.column("task"), table.column("chunk"), table.column("part"), pa.array(n), pa.array([c for c, _ in out], pa.binary()), pa.array([f for _, f in out], pa.binary()), pa.array(once * seen.sum()), pa.array(once * np.count_nonzero(seen))],
+        names=["task", "chunk", "part", "n", "counts", "first", "tokens", "words"],
+    )
 
-    def total(table: pa.Table) -> pa.Table:
-        found = []
-        for kind, a, b, c in zip(*(table.column(x) for x in ("kind", "a", "b", "c")), strict=True):
-            first, second = (np.frombuffer(x.as_buffer(), dtype=np.int64) for x in (a, b))
-            found.append((join_keys(first, second, kind.as_py()), first, second, np.frombuffer(c.as_buffer(), dtype=np.int32).astype(np.int64)))
-        got = summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        kept = got[3] >= LEAST
-        return pa.table([pa.array(x[kept]) for x in got], names=["key", "a", "b", "c"])
 
-    blobs = docs.select("text").mapInArrow(count, "p long, kind long, a binary, b binary, c binary")
-    return blobs.groupBy("p").applyInArrow(total, "key long, a long, b long, c long")
+def exchange(questions: DataFrame, folder: str) -> None:
+    """Answer all questions, and store the answers by the task that asked, in the order of its chunks."""
+    answers = questions.groupBy("part").applyInArrow(answer, ANSWERED)
+    answers.repartition("task").sortWithinPartitions("task", "chunk", "part").write.partitionBy("task").parquet(folder)
+
+
+def answers_of(folder: str, task: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(chunk, counts, first) for the chunks of a task, one after the other."""
+    fs, root = open_fs(f"{folder}/task={task}")
+    held: tuple[int, list, list] | None = None
+    files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.base_name.endswith(".parquet"))
+    for path in files:
+        with fs.open_input_file(path) as source:
+            for batch in pq.ParquetFile(source).iter_batches(batch_size=256, columns=["chunk", "n", "counts", "first"]):
+                for chunk, n, counts, first in zip(*(batch.column(i) for i in range(4)), strict=True):
+                    if held is not None and held[0] != chunk.as_py():
+                        yield held[0], np.concatenate(held[1]), np.concatenate(held[2])
+                        held = None
+                    if held is None:
+                        held = chunk.as_py(), [], []
+                    n = n.as_py()
+                    held[1].append(unpack_counts(n, counts.as_buffer().to_pybytes()))
+                    held[2].append(np.unpackbits(np.frombuffer(first.as_buffer(), dtype=np.uint8), count=n).astype(bool))
+    if held is not None:
+        yield held[0], np.concatenate(held[1]), np.concatenate(held[2])
+
+
+def met(answers: Iterator[tuple[int, np.ndarray, np.ndarray]], chunk: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The answers to a chunk's question about n keys."""
+    if not n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+    got, counts, first = next(answers, (-1, (), ()))
+    if got != chunk or len(counts) != n:
+        raise RuntimeError("the table did not give the same rows in the same order when it was read again")
+    return counts, first
+
+
+@contextmanager
+def same_splits(spark: SparkSession) -> Iterator[None]:
+    """Files are split alike while this lasts, also when executors come or go."""
+    name = "spark.sql.files.minPartitionNum"
+    old = spark.conf.get(name, None)
+    if old is None:
+        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(name)
+
+
+def states_asked(grams: Grams, counts: np.ndarray) -> np.ndarray:
+    """Places of the words and pairs that are states with arcs, or may be."""
+    return np.flatnonzero(((grams.keys & 3) < 2) & (counts >= LEAST))
+
+
+def traverse(stream: Stream, grams: Grams, counts: np.ndarray, spent: np.ndarray, norm: float) -> tuple[np.ndarray, np.ndarray]:
+    """(base, probability) of every token, read from left to right.
+
+    The state before a token is the pair that ends there, else the word, else the
+    root; a token falls back from it along failure arcs, whose weights are what
+    the states' arcs leave.
+    """
+    rest = 1 - spent / np.maximum(counts, 1)
 
+    def before(places: np.ndarray) -> np.ndarray:
+        out = np.append(-1, places[:-1])
+        out[stream.begin] = -1
+        return out
 
-def _stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder, whose numbers take less room there than as rows of a checkpoint."""
-    df.write.parquet(f"{folder}/{name}")
-    return df.sparkSession.read.parquet(f"{folder}/{name}")
+    def step(state: np.ndarray, gram: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        arc = np.where((gram >= 0) & (counts[gram] >= LEAST), (counts[gram] - DISCOUNT) / np.maximum(counts[state], 1), 0.0)
+        return arc + np.where(state >= 0, rest[state], 1.0) * lower
 
+    base = (counts[grams.word] + ADD) / norm
+    after_word = step(before(grams.word), grams.pair, base)
+    return base, step(before(grams.pair), grams.triple, after_word)
 
-def build(docs: DataFrame, counts: DataFrame, norm: float, parts: int) -> tuple[DataFrame, DataFrame]:
-    """(words, grams) of the training texts ``docs`` (text), whose word counts are ``counts`` (w, c).
 
-    words: w, c, root, back. grams: key, delta, of pairs and triples alike.
-    """
-    folder = f"{shared_dir(docs.sparkSession).rstrip('/')}/lm-{uuid.uuid4().hex}"
-    c, s = F.col("c"), F.coalesce(F.col("s"), F.lit(0.0))
-    kept = _stored(_gram_counts(docs, parts), folder, "counts")
-    spent = kept.groupBy(F.col("a").alias("of")).agg(F.sum(c - DISCOUNT).alias("s"))
-    left = F.greatest(1 - s / c, F.lit(1e-12))
-    words = counts.join(spent, F.col("w") == F.col("of"), "left").select("w", "c", F.log10((c + ADD) / norm).alias("root"), F.log10(left).alias("back"))
-    words = _stored(words, folder, "words")
-    first = words.select(F.col("w").alias("a"), F.col("c").alias("c1"), F.col("back").alias("back1"))
-    second = words.select(F.col("w").alias("b"), F.col("root").alias("root2"))
-    pairs = kept.filter("key % 2 = 0").join(first, "a").join(second, "b").join(spent, F.col("key") == F.col("of"), "left")
-    p = F.log10((c - DISCOUNT) / F.col("c1") + F.pow(F.lit(10.0), F.col("back1") + F.col("root2")))
-    pairs = pairs.select("key", "c", p.alias("p"), F.log10(left).alias("back"), F.col("back1"), F.col("root2"))
-    pairs = _stored(pairs.select("key", "c", "p", "back", (F.col("p") - F.col("back1") - F.col("root2") + F.col("back")).alias("delta")), folder, "pairs")
-    before = pairs.select(F.col("key").alias("a"), F.col("c").alias("c1"), F.col("back").alias("back1"))
-    lower = pairs.select(F.col("key").alias("b"), F.col("p").alias("p2"))
-    p = F.log10((c - DISCOUNT) / F.col("c1") + F.pow(F.lit(10.0), F.col("back1") + F.col("p2")))
-    triples = kept.filter("key % 2 = 1").join(before, "a").join(lower, "b").select("key", (p - F.col("back1") - F.col("p2")).alias("delta"))
-    return words, pairs.select("key", "delta").unionByName(triples)
-
-
-def _gram_sums(rows: DataFrame, deltas: DataFrame, parts: int) -> DataFrame:
-    """(rid, arcs): what the kept pairs and triples of each text add up to."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, rid = batch.column(1).to_pylist(), batch.column(0).to_numpy()
-            for part in chunks(texts):
-                own = rid[part]
-                key, _, _, text = grams(Stream(texts[part]))
-                slot = part_of(key, parts) * len(own) + text
-                order = np.argsort(slot)
-                key, slot = key[order], slot[order]
-                first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])[: len(slot)])
-                p, times = slot[first] // len(own), np.diff(np.append(first, len(slot)))
-                ids, many = own[slot[first] % len(own)], np.append(first, len(slot))
-                at = np.searchsorted(p, np.arange(parts + 1))
-                some = np.flatnonzero(np.diff(at))
-                columns = [[ids[at[i] : at[i + 1]].tobytes() for i in some], [times[at[i] : at[i + 1]].astype(np.int32).tobytes() for i in some], [key[many[at[i]] : many[at[i + 1]]].tobytes() for i in some]]
-                yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(x, pa.binary()) for x in columns]], names=["p", "ids", "times", "keys"])
-
-    def meet(table: pa.Table, texts: pa.Table) -> pa.Table:
-        key, delta = table.column("key").to_numpy(), table.column("delta").to_numpy()
-        order = np.argsort(key)
-        key, delta = key[order], delta[order]
-        ids, sums = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
-        for own, times, keys in zip(*(texts.column(x) for x in ("ids", "times", "keys")), strict=True):
-            at = lookup(key, np.frombuffer(keys.as_buffer(), dtype=np.int64))
-            value = np.where(at >= 0, delta[at], 0.0) if len(key) else np.zeros(len(at))
-            begin = np.cumsum(np.frombuffer(times.as_buffer(), dtype=np.int32), dtype=np.int64)
-            ids.append(np.frombuffer(own.as_buffer(), dtype=np.int64))
-            sums.append(np.add.reduceat(value, np.append(0, begin[:-1])))
-        ids, sums = np.concatenate(ids), np.concatenate(sums)
-        some = sums != 0
-        return pa.table([pa.array(ids[some]), pa.array(sums[some])], names=["rid", "arcs"])
-
-    blobs = rows.select("rid", "text").mapInArrow(deal, "p long, ids binary, times binary, keys binary")
-    placed = deltas.select(F.shiftright(F.shiftright("key", 31) * F.lit(parts).cast("long"), 32).alias("p"), "key", "delta")
-    met = placed.groupBy("p").cogroup(blobs.groupBy("p")).applyInArrow(meet, "rid long, arcs double")
-    return met.groupBy("rid").agg(F.sum("arcs").alias("arcs"))
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, states: int = STATES) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, part_bytes: int = PART, chunk_chars: int = CHUNK) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Training texts are those whose fold (crc32 of the id as text, modulo
@@ -349,75 +401,67 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text counts as empty: the end token alone. A null id is in fold 0.
     Repeated rows are counted and scored each. If nothing is left to train on,
-    all tokens have count 0. An empty table gives no rows. ``docs`` is read
-    several times and must give its rows in the same order each time.
+    all tokens have count 0. An empty table gives no rows; other columns are
+    ignored. ``docs`` is read several times and must give its rows in the same
+    order each time, as a scan does; if not, an error says so.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    training = rows.filter(fold(F.col("id"), folds) != held)
-    counts = cut(_counts(training, lambda s: s.tokens))
-    got = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, distinct = got["n"] or 0, got["v"]
-    norm = total + ADD * (distinct + 1)
-    parts = max(1, -(-2 * total // PART))
-    words, deltas = build(training, counts, norm, parts)
-    head = words.filter(F.col("c") >= max(1, total / states)).toPandas().sort_values("w")
-    shared = spark.sparkContext.broadcast(tuple(head[x].to_numpy() for x in ("w", "root", "back")))
+    folder = f"{shared_dir(spark).rstrip('/')}/lm-{uuid.uuid4().hex}"
+    rows = docs.select(F.col(id_col).alias("id"), (fold(F.col(id_col), folds) != held).alias("training"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, head_root, head_back = shared.value
-        sieve = sieve_of(table)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, Stream, Grams]]:
+        number = 0
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for part in chunks(texts):
+            for part in chunks(texts, chunk_chars):
                 stream = Stream(texts[part])
-                w = lookup_words(table, sieve, stream.tokens)
-                root = np.where(w >= 0, head_root[w] if len(table) else 0.0, 0.0)
-                value = root + np.where(w >= 0, head_back[w] if len(table) else 0.0, 0.0)
-                n = len(stream.at) - 1
-                rare = np.flatnonzero(w < 0)
-                # one row per text and rare word
-                pair = np.stack([stream.text[rare], stream.tokens[rare]], axis=1)
-                order = np.lexsort((pair[:, 1], pair[:, 0]))
-                pair = pair[order]
-                fresh = np.ones(len(pair), dtype=bool)
-                fresh[1:] = (pair[1:] != pair[:-1]).any(axis=1)
-                first = np.flatnonzero(fresh)
-                times = np.diff(np.append(first, len(pair)))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(pair[first, 0], minlength=n))]).astype(np.int32))
-                per_text = lambda v: np.add.reduceat(v, stream.at[:-1]) if n else np.zeros(0)
-                keep = slice(part.start, part.stop)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(keep.start, keep.stop - keep.start),
-                        batch.column(1).slice(keep.start, keep.stop - keep.start),
-                        pa.array(np.diff(stream.at)),
-                        pa.array(per_text((w >= 0).astype(np.int64))),
-                        pa.array(per_text(root)),
-                        pa.array(per_text(value)),
-                        pa.ListArray.from_arrays(offsets, pa.array(pair[first, 1])),
-                        pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
-                    ],
-                    names=["rid", "id", "n_tokens", "known", "base", "value", "rare", "times"],
-                )
-
-    part = cut(rows.mapInArrow(run, f"rid long, id {kind}, n_tokens long, known long, base double, value double, rare array<long>, times array<int>"))
-    each = part.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("w"), F.col("x.times").alias("t"))
-    c, none = F.coalesce(F.col("c"), F.lit(0)), F.lit(math.log10(ADD / norm))
-    tail = each.join(words, "w", "left").groupBy("rid").agg(
-        F.sum(F.col("t") * F.coalesce("root", none)).alias("more"),
-        F.sum(F.col("t") * F.coalesce("back", F.lit(0.0))).alias("falls"),
-        F.sum(F.when(c > 0, F.col("t")).otherwise(0)).alias("seen"),
-    )
-    out = part.select("rid", "id", "n_tokens", "known", "base", "value").join(tail, "rid", "left").join(_gram_sums(rows, deltas, parts), "rid", "left")
-    more, falls, arcs = (F.coalesce(F.col(x), F.lit(0.0)) for x in ("more", "falls", "arcs"))
-    return out.select(
-        F.col("id").alias(id_col),
-        (fold(F.col("id"), folds) == held).alias("held_out"),
-        "n_tokens",
-        (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("value") + more + falls + arcs).alias("score"),
-    )
+                yield number, batch.slice(part.start, part.stop - part.start), stream, Grams(stream)
+                number += 1
+
+    def over(run: Callable, schema: str) -> DataFrame:
+        return rows.mapInArrow(run, schema)
+
+    def ask_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for number, batch, stream, grams in each(batches):
+            training = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            yield asked(task, number, grams.keys, grams.counts(stream, training), parts)
+
+    def ask_spent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        answers = answers_of(f"{folder}/counts", task)
+        for number, _, _, grams in each(batches):
+            counts, first = met(answers, number, len(grams.keys))
+            # each arc is counted by the chunk that asked first; twice its discounted count is whole
+            arcs = np.flatnonzero(first & ((grams.keys & 3) > 0) & (counts >= LEAST))
+            twice = np.bincount(grams.contexts(arcs), weights=2 * counts[arcs] - 2 * DISCOUNT, minlength=len(counts)).astype(np.int64)
+            states = states_asked(grams, counts)
+            if len(states):
+                yield asked(task, number, grams.keys[states], twice[states], parts)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        answers, spendings = answers_of(f"{folder}/counts", task), answers_of(f"{folder}/spent", task)
+        for number, batch, stream, grams in each(batches):
+            counts, _ = met(answers, number, len(grams.keys))
+            states = states_asked(grams, counts)
+            spent = np.zeros(len(counts))
+            spent[states] = met(spendings, number, len(states))[0] / 2
+            base, p = traverse(stream, grams, counts, spent, norm)
+            at = stream.at[:-1]
+            known = np.add.reduceat((counts[grams.word] > 0).astype(np.int64), at)
+            columns = [pa.array(np.diff(stream.at)), pa.array(known), pa.array(np.add.reduceat(np.log10(base), at)), pa.array(np.add.reduceat(np.log10(p), at))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "training", "n_tokens", "n_known", "base_score", "score"])
+
+    with same_splits(spark):
+        size = rows.agg(F.sum(F.octet_length("text") + 1).alias("b")).first()["b"] or 0
+        parts = max(1, -(-size // part_bytes))
+        exchange(over(ask_counts, ASKED), f"{folder}/counts")
+        got = spark.read.schema(ANSWERED).parquet(f"{folder}/counts").agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
+        total, distinct = got["n"] or 0, got["v"] or 0
+        norm = total + ADD * (distinct + 1)
+        exchange(over(ask_spent, ASKED), f"{folder}/spent")
+        over(score, f"id {kind}, training boolean, n_tokens long, n_known long, base_score double, score double").write.parquet(f"{folder}/scores")
+    out = spark.read.parquet(f"{folder}/scores")
+    return out.select(F.col("id").alias(id_col), (~F.col("training")).alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.session import cut, shared_dir
+from plumbline.session import cut, open_fs, shared_dir
 
 #: Payload bytes of a shard at least, and how many shards there are at most (one number each reaches the driver).
 SHARD_BYTES, MAX_SHARDS = 32 << 20, 1 << 15
@@ -85,11 +85,6 @@ def info_record(name: str, date: str = DATE) -> bytes:
     return record_bytes([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name, "info")), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], body)
 
 
-def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI or of a local path; on a cluster the path must be a shared one."""
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 def shard_bounds(pages: DataFrame, id_col: str, bytes_col: str, shard_bytes: int) -> list[int]:
     """Ids at which shards end: those that bring the running sum of bytes over all smaller ids to a multiple of ``shard_bytes``.
 
