@@ -3,35 +3,40 @@
 Documents are dealt to shards of bounded size so that alike ones meet: each has
 a sketch, the words that a draw weighted by their rarity in the whole corpus
 picks, and shards are runs of the corpus in the order of sketches. Inside a
-shard, a seed document asks the shard's inverted index for its nearest unused
-neighbours, which follow it until the window is full; the document that fills
-it is cut there and seeds the next window. What remains at a shard's end goes
+shard, a seed document asks the shard's inverted index with all its words for
+its nearest unused neighbours, which follow it until the window is full; the
+document that fills it is cut there and seeds the next window. What remains at
+the ends of many shards is laid out together; only what remains there goes
 into sequences whose lengths are powers of two, which take no padding.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.lm_score import HELD, Counter, lookup
+from plumbline.llm.exchange import ASKED, answers_of, asked, distinct, exchange, key_bits, keys_of, met, same_splits
 from plumbline.llm.tokens import SPACE, Words, chunks, mix
-from plumbline.session import cut
+from plumbline.session import cut, open_fs, shared_dir
 
-#: Text of a shard on average, and the query terms of a seed document.
-SHARD_BYTES, QUERY_TERMS = 4 << 20, 12
+#: Text of a shard on average, and shards whose remainders are laid out together.
+SHARD_BYTES, TAIL_SHARDS = 4 << 20, 1024
 K1, B = 1.2, 0.75
 #: Words of a sketch, and how much rarity counts in their draw: the power of the IDF.
 SKETCH, RARITY = 3, 3
-#: At most so many words' document frequencies are broadcast; the sketches do not depend on it.
-COMMON = 1 << 16
+#: Characters of a chunk, and bytes of text whose words are counted in one part.
+CHUNK, PART = 1 << 22, 32 << 20
 
 
 #: The letters that byte-level vocabularies write bytes of Latin letters as: printable Latin-1
@@ -126,37 +131,35 @@ def tokenizer(path: str) -> WordTokenizer:
 
 
 class Index:
-    """BM25 over one shard: postings by term, and what each document asks for."""
+    """BM25 over one shard: postings by term, and each document's terms."""
 
     def __init__(self, doc: np.ndarray, term: np.ndarray, n: int):
         key, tf = np.unique(term * n + doc, return_counts=True)
         self.term, self.doc = np.divmod(key, max(n, 1))
         length = np.bincount(doc, minlength=n)
         terms = int(self.term[-1]) + 1 if len(key) else 0
-        df = np.bincount(self.term, minlength=terms)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        self.df = np.bincount(self.term, minlength=terms)
+        idf = np.log(1 + (n - self.df + 0.5) / (self.df + 0.5))
         norm = K1 * (1 - B + B * length / max(1.0, length.mean() if n else 1.0))
         self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.first = np.concatenate([[0], np.cumsum(df)])
-        # a term of one document finds nobody, one of very many tells nothing
-        ask = np.flatnonzero((df[self.term] > 1) & (df[self.term] <= max(2, n // 8)))
-        rank = np.argsort(-self.weight[ask], kind="stable")
-        order = ask[rank[np.argsort(self.doc[ask[rank]], kind="stable")]]
-        start = np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.asks = [self.term[order[a : min(b, a + QUERY_TERMS)]] for a, b in zip(start[:-1], start[1:], strict=True)]
-
-    def neighbours(self, seed: int, n: int) -> np.ndarray:
-        """Documents that share terms with the seed, best first, ties by place."""
-        score = np.zeros(n)
-        for t in self.asks[seed]:
-            a, b = self.first[t], self.first[t + 1]
-            score[self.doc[a:b]] += self.weight[a:b]
-        hit = np.flatnonzero(score)
-        return hit[np.argsort(-score[hit], kind="stable")]
+        self.first = np.concatenate([[0], np.cumsum(self.df)])
+        # a term of one document finds nobody
+        ask = np.flatnonzero(self.df[self.term] > 1)
+        ask = ask[np.argsort(self.doc[ask], kind="stable")]
+        self.asks = self.term[ask]
+        self.start = np.searchsorted(self.doc[ask], np.arange(n + 1))
+
+    def scores(self, seed: int, n: int) -> np.ndarray:
+        """Every document's BM25 score for all terms of the seed, each asked once."""
+        terms = self.asks[self.start[seed] : self.start[seed + 1]]
+        size = self.df[terms]
+        end = np.cumsum(size)
+        at = np.arange(end[-1] if len(end) else 0) + np.repeat(self.first[terms] - end + size, size)
+        return np.bincount(self.doc[at], weights=self.weight[at], minlength=n)
 
 
 def order_documents(sizes: np.ndarray, doc: np.ndarray, term: np.ndarray, window: int) -> list[int]:
-    """The shard's documents in the order that they are laid out."""
+    """The shard's documents in the order that they are laid out; ties of scores by place."""
     n = len(sizes)
     index = Index(doc, term, n)
     used, order, room, seed, at = np.zeros(n, dtype=bool), [], window, -1, 0
@@ -168,13 +171,16 @@ def order_documents(sizes: np.ndarray, doc: np.ndarray, term: np.ndarray, window
             used[seed] = True
             order.append(seed)
             room -= sizes[seed]
-        for other in index.neighbours(seed, n):
-            if room <= 0:
-                break
-            if not used[other]:
-                used[other] = True
-                order.append(int(other))
-                room -= sizes[other]
+        if room > 0:
+            score = index.scores(seed, n)
+            score[used] = 0
+            hit = np.flatnonzero(score)
+            best = hit[np.argsort(-score[hit], kind="stable")]
+            # as many of the best as it takes to fill the window
+            taken = best[: int(np.searchsorted(np.cumsum(sizes[best]), room)) + 1]
+            used[taken] = True
+            order.extend(taken.tolist())
+            room -= int(sizes[taken].sum())
         # the document that is cut at the window's end asks for the next one; else a fresh seed
         seed = order[-1] if room < 0 else -1
         if room <= 0:
@@ -184,20 +190,23 @@ def order_documents(sizes: np.ndarray, doc: np.ndarray, term: np.ndarray, window
     return order
 
 
-def lay_out(sizes: list[int], window: int) -> Iterator[tuple[int, int, int, int, int]]:
+def lay_out(sizes: list[int], window: int, tail: bool) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) for documents put end to end.
 
-    Sequences are ``window`` long; the remainder is split into powers of two.
+    Sequences are ``window`` long; the remainder is one shorter sequence or, at
+    the ``tail`` of all, split into powers of two.
     """
     total = int(sum(sizes))
     rest = total % window
     lengths = [window] * (total // window)
     power = window
-    while rest:
+    while rest and tail:
         power //= 2
         if rest >= power:
             lengths.append(power)
             rest -= power
+    if rest:
+        lengths.append(rest)
     sequence, offset = 0, 0
     for d, size in enumerate(sizes):
         start = 0
@@ -210,15 +219,14 @@ def lay_out(sizes: list[int], window: int) -> Iterator[tuple[int, int, int, int,
                 sequence, offset = sequence + 1, 0
 
 
-def _distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, word hash) of each text's distinct words."""
-    words = Words(texts)
-    h = (words.hashes() >> np.uint64(1)).astype(np.int64)
-    text = np.repeat(np.arange(len(texts)), words.count)
-    order = np.lexsort((h, text))
-    h, text = h[order], text[order]
-    fresh = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))[: len(h)]
-    return text[fresh], h[fresh]
+class Vocabulary:
+    """A chunk's words: its distinct ``keys``, and each text's distinct words as places in them."""
+
+    def __init__(self, texts: list[str], bits: int):
+        words = Words(texts)
+        self.keys, _, place = distinct(keys_of(words.hashes(), bits), bits)
+        pair = np.unique(np.repeat(np.arange(len(texts)), words.count) * max(1, len(self.keys)) + place)
+        self.text, self.place = np.divmod(pair, max(1, len(self.keys)))
 
 
 def _draw(h: np.ndarray) -> np.ndarray:
@@ -227,69 +235,91 @@ def _draw(h: np.ndarray) -> np.ndarray:
     return -np.log((u + 0.5) / (1 << 53))
 
 
-def shards_of(rows: DataFrame, n: int, shard_bytes: int) -> DataFrame:
-    """(rid, shard) for ``rows`` (rid, text), n in number: runs of about shard_bytes in the order of the sketches.
+def _sketches(rows: DataFrame, n: int, size: int, folder: str) -> DataFrame:
+    """(task, row, bytes, k0, k1, ..) for ``rows`` (id, text), n in number: the SKETCH words of lowest draw / IDF ** RARITY.
 
-    A sketch is the SKETCH words of lowest draw / IDF ** RARITY, lowest first. Words
-    of one document or of more than an eighth of all cannot be drawn.
+    Words of one document or of more than an eighth of all cannot be drawn.
     """
-    spark = rows.sparkSession
+    parts, bits = max(1, -(-size // PART)), key_bits(size)
+    most = max(2, n // 8)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter()
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for part in chunks(texts):
-                counter.add(_distinct(texts[part])[1])
-                yield from counter.flush(HELD)
-        yield from counter.flush(0)
-
-    c = F.col("c")
-    found = cut(rows.select("text").mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).filter(c > 1))
-    least = max(2, (found.agg(F.sum("c").alias("n")).first()["n"] or 0) / COMMON)
-    common = found.filter(c >= least).toPandas().sort_values("w")
-    shared = spark.sparkContext.broadcast((common["w"].to_numpy(dtype=np.int64), common["c"].to_numpy(dtype=np.int64)))
-    most = max(2, n // 8)
-    highest = np.log(1 + n / 2) ** RARITY
+            texts = batch.column(1).to_pylist()
+            for part in chunks(texts, CHUNK):
+                own = Vocabulary(texts[part], bits)
+                yield asked(0, task, number, own.keys, np.bincount(own.place, minlength=len(own.keys)), parts, bits)
+                number += 1
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, df = shared.value
+        task, number, row = TaskContext.get().partitionId(), 0, 0
+        answers = answers_of(f"{folder}/words", 0, task)
         for batch in batches:
-            texts, rid = batch.column(1).to_pylist(), batch.column(0).to_numpy()
-            for part in chunks(texts):
-                text, h = _distinct(texts[part])
-                at, draw = lookup(table, h), _draw(h)
-                known = at >= 0
-                usable = known & (df[at] <= most) if len(df) else known
-                value = np.full(len(h), np.inf)
-                value[usable] = draw[usable] / np.log(1 + n / df[at[usable]]) ** RARITY
-                order = np.lexsort((value, text))
-                own = text[order]
-                rank = np.arange(len(own)) - np.searchsorted(own, own)
-                third = np.full(len(texts[part]), np.inf)
-                last = order[rank == SKETCH - 1]
-                third[text[last]] = value[last]
-                sure = order[(rank < SKETCH) & np.isfinite(value[order])]
-                # of the other words, those that could come lower, were they as rare as can be
-                maybe = np.flatnonzero(~known & (draw / highest <= third[text]))
-                both = np.concatenate([sure, maybe])
-                real = np.concatenate([value[sure], np.full(len(maybe), np.nan)])
-                yield pa.RecordBatch.from_arrays([pa.array(rid[part][text[both]]), pa.array(h[both]), pa.array(draw[both]), pa.array(real)], names=["rid", "w", "draw", "value"])
-
-    drawn = rows.select("rid", "text").mapInArrow(sketch, "rid long, w long, draw double, value double")
-    rare = drawn.filter(F.isnan("value")).join(found, "w").filter(c <= most).select("rid", "w", (F.col("draw") / F.pow(F.log(1 + F.lit(n) / c), F.lit(RARITY))).alias("value"))
-    every = drawn.filter(~F.isnan("value")).select("rid", "w", "value").unionByName(rare)
-    words = every.groupBy("rid").agg(F.slice(F.sort_array(F.collect_list(F.struct("value", "w"))), 1, SKETCH).alias("s"))
-    narrow = rows.select("rid", (F.octet_length("text") + 1).cast("long").alias("bytes")).join(words, "rid", "left").select("rid", "bytes", F.col("s.w").alias("s"))
-    keys = [*[F.get("s", F.lit(i)).alias(f"k{i}") for i in range(SKETCH)], F.col("rid")]
-    order = [f"k{i}" for i in range(SKETCH)] + ["rid"]
-    ranged = cut(narrow.select(*keys, "bytes").repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    sums = sorted((r["part"], r["b"]) for r in ranged.groupBy("part").agg(F.sum("bytes").alias("b")).collect())
-    before = np.cumsum([0] + [b for _, b in sums]).tolist()
-    begin = spark.createDataFrame([(p, b) for (p, _), b in zip(sums, before[:-1], strict=True)], "part int, begin long")
+            texts = batch.column(1).to_pylist()
+            for part in chunks(texts, CHUNK):
+                own = Vocabulary(texts[part], bits)
+                m = len(texts[part])
+                df, _ = met(answers, number, len(own.keys))
+                value = np.full(len(df), np.inf)
+                can = np.flatnonzero((df > 1) & (df <= most))
+                value[can] = _draw(own.keys[can]) / np.log(1 + n / df[can]) ** RARITY
+                value = value[own.place]
+                order = np.lexsort((value, own.text))
+                order = order[np.isfinite(value[order])]
+                text = own.text[order]
+                rank = np.arange(len(text)) - np.searchsorted(text, text)
+                k = [pa.nulls(m, pa.int64())] * SKETCH
+                for i in range(SKETCH):
+                    at = order[rank == i]
+                    key, none = np.zeros(m, dtype=np.int64), np.ones(m, dtype=bool)
+                    key[own.text[at]], none[own.text[at]] = own.keys[own.place[at]], False
+                    k[i] = pa.array(key, mask=none)
+                bytes_ = pa.array([len(t.encode()) + 1 for t in texts[part]], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, task)), pa.array(np.arange(row, row + m)), bytes_, *k], names=["task", "row", "bytes", *(f"k{i}" for i in range(SKETCH))])
+                number, row = number + 1, row + m
+
+    exchange(rows.mapInArrow(ask, ASKED), f"{folder}/words", bits)
+    return cut(rows.mapInArrow(sketch, "task long, row long, bytes long, " + ", ".join(f"k{i} long" for i in range(SKETCH))))
+
+
+def _store_shards(sketched: DataFrame, shard_bytes: int, folder: str) -> None:
+    """Write (row, shard) by task: shards are runs of about shard_bytes in the order of the sketches."""
+    spark = sketched.sparkSession
+    order = [*(f"k{i}" for i in range(SKETCH)), "task", "row"]
+    ranged = cut(sketched.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    begin, before = [], 0
+    for part, b in sorted((r["part"], r["b"]) for r in ranged.groupBy("part").agg(F.sum("bytes").alias("b")).collect()):
+        begin.append((part, before))
+        before += b
+    known = spark.createDataFrame(begin, "part int, begin long")  # one row per shuffle partition
     run = F.sum("bytes").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
-    placed = ranged.withColumn("run", run).join(F.broadcast(begin), "part")
-    return placed.select("rid", F.floor((F.col("begin") + F.col("run")) / shard_bytes).alias("shard"))
+    placed = ranged.withColumn("run", run).join(F.broadcast(known), "part").select("task", "row", F.floor((F.col("begin") + F.col("run")) / shard_bytes).alias("shard"))
+    placed.repartition("task").sortWithinPartitions("task", "row").write.partitionBy("task").parquet(f"{folder}/shards")
+
+
+def _shards_of(folder: str, task: int) -> np.ndarray:
+    """The shards of a task's rows, in their order."""
+    fs, root = open_fs(f"{folder}/shards/task={task}")
+    out = []
+    for f in sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.base_name.endswith(".parquet")):
+        with fs.open_input_file(f) as source:
+            out.append(pq.read_table(source, columns=["shard"]).column(0).to_numpy())
+    return np.concatenate(out)
+
+
+_PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
+
+
+def _pieces(ids: pa.Array, rows: list[tuple], held: list[bytes | None]) -> pa.Table:
+    """Rows (place of the id, start, length, crc, doc_tokens, sequence, offset) as a table, with the ids of pieces still to be laid out."""
+    cols = list(zip(*rows, strict=True)) or [()] * 7
+    last: dict[int, int] = {}
+    for sequence, offset, length in zip(cols[5], cols[6], cols[2], strict=True):
+        last[sequence] = offset + length
+    arrays = [pa.array(c, pa.int64()) for c in cols[1:]]
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length", "held"]
+    return pa.table([ids.take(pa.array(cols[0], pa.int64())), *arrays, pa.array([last[s] for s in cols[5]], pa.int64()), pa.array(held, pa.binary())], names=names)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -303,21 +333,27 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     gives no rows; other columns are ignored.
 
     The number of shards follows the bytes of text, so a shard's memory does
-    not grow with the table; texts cross the network twice, token ids never.
-    Neighbours are searched inside a shard, with its own document frequencies.
-    ``docs`` is read several times and must give its rows in the same order
-    each time.
+    not grow with the table; texts cross the network once. Neighbours are
+    searched inside a shard, with its own document frequencies; what a shard
+    leaves over, less than a window, is cut anew with the remainders of up to
+    TAIL_SHARDS shards. ``docs`` is read several times and must give its rows in
+    the same order each time, as a scan does; if not, an error says so.
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/pack-{uuid.uuid4().hex}"
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), text.alias("text"))
-    got = rows.agg(F.sum(F.octet_length("text") + 1).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    if (got["b"] or 0) > shard_bytes:
-        dealt = rows.join(shards_of(rows, got["n"], shard_bytes), "rid").select("id", "text", "shard")
-    else:
-        dealt = rows.select("id", "text", F.lit(0).cast("long").alias("shard"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, at = None, 0
+        for batch in batches:
+            if shards is None:
+                shards = _shards_of(folder, TaskContext.get().partitionId())
+            own = shards[at : at + batch.num_rows]
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(own), batch.column(0), batch.column(1)], names=["shard", "id", "text"])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending"), ("text", "ascending")])
@@ -328,20 +364,37 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         begin = np.concatenate([[0], np.cumsum(size)])[words.first]
         sizes = np.diff(begin) + 1
         order = order_documents(sizes, doc, term, window)
-        rows = []
-        for d, start, length, sequence, offset in lay_out([int(sizes[i]) for i in order], window):
+        whole = int(sizes.sum()) // window
+        out, held = [], []
+        end = np.array([end_id], dtype="<u4").tobytes()
+        for d, start, length, sequence, offset in lay_out([int(sizes[i]) for i in order], window, False):
             i = order[d]
-            ids = flat[begin[i] + start : min(begin[i] + start + length, begin[i + 1])]
-            crc = zlib.crc32(ids.astype("<u4").tobytes())
+            ids = flat[begin[i] + start : min(begin[i] + start + length, begin[i + 1])].astype("<u4").tobytes()
             if start + length == sizes[i]:
-                crc = zlib.crc32(np.array([end_id], dtype="<u4").tobytes(), crc)
-            rows.append((i, start, length, crc, int(sizes[i]), (which << 32) | sequence, offset))
-        cols = list(zip(*rows, strict=True))
-        last: dict[int, int] = {}
-        for sequence, offset, length in zip(cols[5], cols[6], cols[2], strict=True):
-            last[sequence] = offset + length
-        arrays = [pa.array(c, pa.int64()) for c in cols[1:]]
-        return pa.table([table.column("id").take(pa.array(cols[0])), *arrays, pa.array([last[s] for s in cols[5]], pa.int64())], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length"])
-
-    schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
-    return dealt.groupBy("shard").applyInArrow(run, schema).withColumnRenamed("id", id_col)
+                ids += end
+            out.append((i, start, length, zlib.crc32(ids), int(sizes[i]), (which << 32) | sequence, offset))
+            held.append(ids if sequence == whole else None)
+        return _pieces(table.column("id").combine_chunks(), out, held)
+
+    def finish(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+        group = (table.column("sequence_id")[0].as_py() >> 32) // TAIL_SHARDS
+        ids = [x.as_py() for x in table.column("held")]
+        start, total = table.column("start").to_pylist(), table.column("doc_tokens").to_pylist()
+        out = []
+        for i, cut_at, length, sequence, offset in lay_out(table.column("length").to_pylist(), window, True):
+            part = ids[i][4 * cut_at : 4 * (cut_at + length)]
+            out.append((i, start[i] + cut_at, length, zlib.crc32(part), total[i], (1 << 62) | (group << 32) | sequence, offset))
+        return _pieces(table.column("id").combine_chunks(), out, [None] * len(out))
+
+    with same_splits(spark):
+        got = rows.agg(F.sum(F.octet_length("text") + 1).alias("b"), F.count(F.lit(1)).alias("n")).first()
+        if (got["b"] or 0) > shard_bytes:
+            _store_shards(_sketches(rows, got["n"], got["b"], folder), shard_bytes, folder)
+            dealt = rows.mapInArrow(deal, f"shard long, id {kind}, text string")
+        else:
+            dealt = rows.select(F.lit(0).cast("long").alias("shard"), "id", "text")
+        dealt.groupBy("shard").applyInArrow(run, f"id {kind}, {_PIECE}, held binary").write.parquet(f"{folder}/pieces")
+    pieces = spark.read.schema(f"id {kind}, {_PIECE}, held binary").parquet(f"{folder}/pieces")
+    tails = pieces.filter("held IS NOT NULL").groupBy(F.floor(F.shiftright("sequence_id", 32) / TAIL_SHARDS)).applyInArrow(finish, f"id {kind}, {_PIECE}, held binary")
+    return pieces.filter("held IS NULL").unionByName(tails).drop("held").withColumnRenamed("id", id_col)
