@@ -7,35 +7,28 @@ context without its first word. Every word, and every pair and triple that
 training texts hold ``LEAST`` times or more, is an arc, so the model grows with
 the corpus. ``Automaton`` is the plain version of it in memory.
 
-Texts are read three times, in chunks of a few megabytes whose places (task,
-number in the task) name them. First, each chunk asks for the corpus-wide
-counts of its distinct words, pairs and triples, sending its own along; n-grams
-are dealt to parts by ranges of their keys, summed there, and answered to every
-chunk that asked, in the order of the question. Then each chunk asks in the
-same way for what its states spend on their arcs. Last, each text is traversed
-from left to right, the state being the last two words that are a state.
-Questions are sorted keys as differences, 5 or 6 bytes each; answers are small
-integers. What crosses the network is thus a few times the text, and memory is
-bounded by a chunk or a part.
+Texts are read four times, in chunks of a few megabytes. First, each chunk asks
+for the corpus-wide counts of its distinct words and pairs, sending its own
+along (see ``exchange``). Then it asks for those of the triples whose two pairs
+are kept, as others cannot be; then for what its states spend on their arcs.
+Last, each text is traversed from left to right, the state being the last two
+words that are a state. Memory is bounded by a chunk or a part of the keys.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.exchange import ANSWERED, ASKED, answers_of, asked, distinct, exchange, key_bits, keys_of, met, same_splits
 from plumbline.llm.tokens import Words, chunks, mix
-from plumbline.session import open_fs, shared_dir
+from plumbline.session import shared_dir
 
 #: What is added to each count of the base, and taken off each kept n-gram's count.
 ADD, DISCOUNT = 0.1, 0.5
@@ -43,12 +36,10 @@ ADD, DISCOUNT = 0.1, 0.5
 LEAST = 2
 #: The end of a text, as a word.
 END = np.int64(-1)
-#: Distinct counts that a task holds before it hands them on.
-HELD = 3_000_000
 #: Characters of a chunk, and bytes of text whose n-grams are summed in one part.
-CHUNK, PART = 1 << 22, 8 << 20
-#: Keys have so many bits; the last two tell words, pairs and triples apart.
-BITS = 56
+CHUNK, PART = 1 << 22, 16 << 20
+#: Kinds of keys.
+WORD, PAIR, TRIPLE = 0, 1, 2
 
 
 def fold(id_value: Column, n: int) -> Column:
@@ -72,322 +63,79 @@ class Stream:
         self.text = np.repeat(np.arange(len(count)), count)
 
 
-class Counter:
-    """Sums of counts by 64-bit key, handed on when they grow large."""
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray) -> None:
-        part = np.unique(keys, return_counts=True)
-        self.parts.append(part)
-        self.size += len(part[0])
-
-    def flush(self, least: int) -> Iterator[pa.RecordBatch]:
-        if self.size <= least or not self.parts:
-            return
-        keys = np.concatenate([p[0] for p in self.parts])
-        counts = np.concatenate([p[1] for p in self.parts])
-        keys, at = np.unique(keys, return_inverse=True)
-        sums = np.bincount(at, weights=counts).astype(np.int64)
-        self.parts, self.size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], names=["w", "c"])
-
-
-def lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Each key's place in the sorted table, -1 for those that it lacks."""
-    if not len(table):
-        return np.full(len(keys), -1, dtype=np.int64)
-    place = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[place] == keys, place, -1)
-
-
-def lookup_words(table: np.ndarray, sieve: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """lookup() for words, most of which a table of low bits rules out."""
-    out = np.full(len(tokens), -1, dtype=np.int64)
-    some = np.flatnonzero(sieve[tokens & 0x3FFFFF])
-    out[some] = lookup(table, tokens[some])
-    return out
-
-
-def sieve_of(table: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << 22, dtype=bool)
-    out[table & 0x3FFFFF] = True
-    return out
-
-
-class Automaton:
-    """Words, states, arcs and failure arcs as sorted arrays in memory: the plain version of what the tables hold."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int):
-        self.words, self.counts, self.total, self.distinct = words, counts, total, distinct
-        self.norm = total + ADD * (distinct + 1)
-        self.root = np.log10((counts + ADD) / self.norm)
-        self.pairs = self.triples = np.zeros(0, dtype=np.int64)
-        self.pair_p = self.triple_p = self.word_back = self.pair_back = np.zeros(0)
-
-    def with_pairs(self, keys: np.ndarray, counts: np.ndarray) -> Automaton:
-        """Arcs out of word states. keys: first word's place << 32 | second's."""
-        self.pairs, self.pair_counts = keys, counts
-        first = keys >> 32
-        kept = (counts - DISCOUNT) / self.counts[first]
-        rest = 1 - np.bincount(first, weights=kept, minlength=len(self.words))
-        self.word_back = np.log10(np.maximum(rest, 1e-12))
-        self.pair_p = np.log10(kept + rest[first] * 10 ** self.root[keys & 0xFFFFFFFF])
-        self.pair_back = np.zeros(len(keys))
-        return self
-
-    def with_triples(self, keys: np.ndarray, counts: np.ndarray) -> Automaton:
-        """Arcs out of pair states. keys: pair's place << 32 | word's place."""
-        self.triples = keys
-        pair, word = keys >> 32, keys & 0xFFFFFFFF
-        kept = (counts - DISCOUNT) / self.pair_counts[pair]
-        rest = 1 - np.bincount(pair, weights=kept, minlength=len(self.pairs))
-        self.pair_back = np.log10(np.maximum(rest, 1e-12))
-        lower = self._after_word(self.pairs[pair] & 0xFFFFFFFF, word)
-        self.triple_p = np.log10(kept + rest[pair] * 10**lower)
-        return self
-
-    def _after_word(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """log10 of the second word's probability in the first one's state."""
-        at = lookup(self.pairs, first << 32 | second)
-        return np.where(at >= 0, self.pair_p[at] if len(self.pairs) else 0.0, self.word_back[first] + self.root[second])
-
-    def places(self, stream: Stream) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token its word's place, that of the pair it ends, and that of the triple it ends; -1: none kept."""
-        if not hasattr(self, "sieve"):
-            self.sieve = sieve_of(self.words)
-        w = lookup_words(self.words, self.sieve, stream.tokens)
-        before = np.append(-1, w[:-1])
-        before[stream.begin] = -1
-        pair = np.full(len(w), -1, dtype=np.int64)
-        both = np.flatnonzero((w >= 0) & (before >= 0))
-        pair[both] = lookup(self.pairs, before[both] << 32 | w[both])
-        earlier = np.append(-1, pair[:-1])
-        earlier[stream.begin] = -1
-        triple = np.full(len(w), -1, dtype=np.int64)
-        all3 = np.flatnonzero((pair >= 0) & (earlier >= 0))
-        triple[all3] = lookup(self.triples, earlier[all3] << 32 | w[all3])
-        return w, pair, triple
-
-    def traverse(self, stream: Stream) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per token: its word's place, and what the traversal adds, with and without the root arcs of words not kept.
-
-        The state before a token is the pair that ends there, else the word, else
-        the root; so all states of a batch follow from ``places`` at once.
-        """
-        w, pair, triple = self.places(stream)
-        known = w >= 0
-        root = np.where(known, self.root[w] if len(self.words) else 0.0, 0.0)
-        state_pair = np.append(-1, pair[:-1])
-        state_word = np.append(-1, w[:-1])
-        state_pair[stream.begin] = state_word[stream.begin] = -1
-        fall = np.where(state_word >= 0, self.word_back[state_word] if len(self.words) else 0.0, 0.0)
-        value = np.where(pair >= 0, self.pair_p[pair] if len(self.pairs) else 0.0, fall + root)
-        fail = np.where(state_pair >= 0, self.pair_back[state_pair] if len(self.pairs) else 0.0, 0.0)
-        value = np.where(triple >= 0, self.triple_p[triple] if len(self.triples) else 0.0, fail + value)
-        return w, root, value
-
-
-def keys_of(words: np.ndarray, kind: int) -> np.ndarray:
-    """Keys from 64-bit hashes."""
-    return (mix(words) >> np.uint64(64 - BITS) & ~np.uint64(3) | np.uint64(kind)).astype(np.int64)
+def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first) * np.uint64(0xD6E8FEB86659FD93) + second
 
 
 class Grams:
-    """A chunk's distinct n-grams: sorted ``keys``, and the place in them of the word, pair and triple that end at each token (-1: none)."""
+    """A chunk's distinct n-grams.
 
-    def __init__(self, stream: Stream):
-        t = stream.tokens.view(np.uint64)
-        n = len(t)
-        one = keys_of(t, 0)
+    ``keys[kind]``: sorted keys. ``at[kind]``: at each token, the place there of
+    the word, pair or triple that ends with it; -1 for none. ``where[kind]``: a
+    token that each n-gram ends with.
+    """
+
+    def __init__(self, stream: Stream, bits: int):
+        self.stream, self.bits = stream, bits
+        self.keys, self.at, self.where = {}, {}, {}
+        tokens = stream.tokens.view(np.uint64)
+        self._put(WORD, np.arange(len(tokens)), tokens)
         two = np.flatnonzero(~stream.begin)
-        three = two[~stream.begin[two - 1]]
-        pair = np.zeros(n, dtype=np.int64)
-        pair[two] = keys_of(one[two - 1].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + t[two], 1)
-        triple = keys_of(pair[three - 1].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + t[three], 2)
-        every = np.concatenate([one, pair[two], triple])
-        self.keys, self.where, inverse = np.unique(every, return_index=True, return_inverse=True)
-        self.word = inverse[:n]
-        self.pair = np.full(n, -1, dtype=np.int64)
-        self.pair[two] = inverse[n : n + len(two)]
-        self.triple = np.full(n, -1, dtype=np.int64)
-        self.triple[three] = inverse[n + len(two) :]
-        self.inverse, self.two, self.three = inverse, two, three
-
-    def counts(self, stream: Stream, training: np.ndarray) -> np.ndarray:
-        """How often each n-gram stands in the texts that are for training."""
-        own = training[stream.text]
-        own = np.concatenate([own, own[self.two], own[self.three]])
-        return np.bincount(self.inverse[own], minlength=len(self.keys))
-
-    def contexts(self, which: np.ndarray) -> np.ndarray:
-        """The place of the context of each of the pairs and triples ``which``."""
-        n = len(self.word)
-        at = self.where[which]
-        is_pair = at < n + len(self.two)
-        out = np.empty(len(at), dtype=np.int64)
-        out[is_pair] = self.word[self.two[at[is_pair] - n] - 1]
-        out[~is_pair] = self.pair[self.three[at[~is_pair] - n - len(self.two)] - 1]
+        self.pair_hash = np.zeros(len(tokens), dtype=np.uint64)
+        self.pair_hash[two] = _joined(tokens[two - 1], tokens[two])
+        self._put(PAIR, two, self.pair_hash[two])
+
+    def _put(self, kind: int, ends: np.ndarray, hashes: np.ndarray) -> None:
+        self.keys[kind], first, inverse = distinct(keys_of(hashes, self.bits), self.bits)
+        self.where[kind] = ends[first]
+        self.at[kind] = np.full(len(self.stream.tokens), -1, dtype=np.int64)
+        self.at[kind][ends] = inverse
+
+    def before(self, kind: int) -> np.ndarray:
+        """At each token, the place of the n-gram that ends just before it in the same text."""
+        out = np.append(-1, self.at[kind][:-1])
+        out[self.stream.begin] = -1
         return out
 
+    def with_triples(self, pair_counts: np.ndarray) -> Grams:
+        """Adds the triples whose two pairs are kept."""
+        pair, earlier = self.at[PAIR], self.before(PAIR)
+        three = np.flatnonzero((pair >= 0) & (earlier >= 0))
+        three = three[(pair_counts[pair[three]] >= LEAST) & (pair_counts[earlier[three]] >= LEAST)]
+        self._put(TRIPLE, three, _joined(self.pair_hash[three - 1], self.stream.tokens.view(np.uint64)[three]))
+        return self
+
+    def counts(self, kind: int, training: np.ndarray) -> np.ndarray:
+        """How often each n-gram stands in the texts that are for training."""
+        at = self.at[kind][(self.at[kind] >= 0) & training[self.stream.text]]
+        return np.bincount(at, minlength=len(self.keys[kind]))
+
+    def spent(self, kind: int, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """What the arcs that this chunk asked for first take from the contexts one word shorter, twice so that it is whole."""
+        arcs = np.flatnonzero(first & (counts >= LEAST))
+        context = self.at[kind - 1][self.where[kind][arcs] - 1]
+        return np.bincount(context, weights=2 * counts[arcs] - 2 * DISCOUNT, minlength=len(self.keys[kind - 1])).astype(np.int64)
+
 
-def part_edges(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(parts that sorted keys fall into, where each part's keys begin, and the end)."""
-    part = (keys >> (BITS - 32)) * parts >> 32
-    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
-    return part[first], np.append(first, len(keys))
-
-
-def pack_keys(keys: np.ndarray) -> tuple[int, bytes]:
-    """Sorted keys as differences of as many bytes as the largest takes."""
-    step = np.diff(keys, prepend=0)
-    width = max(1, (int(step.max()).bit_length() + 7) // 8)
-    return width, step.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def unpack_keys(width: int, data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
-    wide = np.zeros((len(raw), 8), dtype=np.uint8)
-    wide[:, :width] = raw
-    return np.cumsum(wide.view("<i8").ravel())
-
-
-def pack_counts(counts: np.ndarray) -> bytes:
-    """A byte each; those of 255 and more follow in full."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
-
-
-def unpack_counts(n: int, data: bytes) -> np.ndarray:
-    out = np.frombuffer(data[:n], dtype=np.uint8).astype(np.int64)
-    out[out == 255] = np.frombuffer(data[n:], dtype="<i8")
-    return out
-
-
-ASKED = "part long, task long, chunk long, n long, width int, keys binary, counts binary"
-ANSWERED = "task long, chunk long, part long, n long, counts binary, first binary, tokens long, words long"
-
-
-def asked(task: int, chunk: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
-    """A chunk's question: a row for each part that its keys fall into."""
-    which, edges = part_edges(keys, parts)
-    packed = [pack_keys(keys[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    same = np.ones(len(which), dtype=np.int64)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(which),
-            pa.array(same * task),
-            pa.array(same * chunk),
-            pa.array(np.diff(edges)[: len(which)]),
-            pa.array([w for w, _ in packed], pa.int32()),
-            pa.array([k for _, k in packed], pa.binary()),
-            pa.array([pack_counts(counts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
-        ],
-        names=["part", "task", "chunk", "n", "width", "keys", "counts"],
-    )
-
-
-def answer(table: pa.Table) -> pa.Table:
-    """A part's sums, to each question in its own order; the first to ask for a key is told so."""
-    table = table.sort_by([("task", "ascending"), ("chunk", "ascending")])
-    n = table.column("n").to_numpy()
-    rows = list(zip(table.column("width").to_pylist(), table.column("keys"), n, table.column("counts"), strict=True))
-    keys = np.concatenate([unpack_keys(w, k.as_buffer()) for w, k, _, _ in rows])
-    counts = np.concatenate([unpack_counts(m, c.as_buffer().to_pybytes()) for _, _, m, c in rows])
-    distinct, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    sums = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)
-    first = np.zeros(len(keys), dtype=bool)
-    first[index] = True
-    seen = sums[(distinct & 3) == 0]
-    total = sums[inverse]
-    edges = np.append(0, np.cumsum(n))
-    out = [(pack_counts(total[a:b]), np.packbits(first[a:b]).tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    once = np.zeros(len(n), dtype=np.int64)
-    once[0] = 1
-    return pa.table(
-        [table.column("task"), table.column("chunk"), table.column("part"), pa.array(n), pa.array([c for c, _ in out], pa.binary()), pa.array([f for _, f in out], pa.binary()), pa.array(once * seen.sum()), pa.array(once * np.count_nonzero(seen))],
-        names=["task", "chunk", "part", "n", "counts", "first", "tokens", "words"],
-    )
-
-
-def exchange(questions: DataFrame, folder: str) -> None:
-    """Answer all questions, and store the answers by the task that asked, in the order of its chunks."""
-    answers = questions.groupBy("part").applyInArrow(answer, ANSWERED)
-    answers.repartition("task").sortWithinPartitions("task", "chunk", "part").write.partitionBy("task").parquet(folder)
-
-
-def answers_of(folder: str, task: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(chunk, counts, first) for the chunks of a task, one after the other."""
-    fs, root = open_fs(f"{folder}/task={task}")
-    held: tuple[int, list, list] | None = None
-    files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.base_name.endswith(".parquet"))
-    for path in files:
-        with fs.open_input_file(path) as source:
-            for batch in pq.ParquetFile(source).iter_batches(batch_size=256, columns=["chunk", "n", "counts", "first"]):
-                for chunk, n, counts, first in zip(*(batch.column(i) for i in range(4)), strict=True):
-                    if held is not None and held[0] != chunk.as_py():
-                        yield held[0], np.concatenate(held[1]), np.concatenate(held[2])
-                        held = None
-                    if held is None:
-                        held = chunk.as_py(), [], []
-                    n = n.as_py()
-                    held[1].append(unpack_counts(n, counts.as_buffer().to_pybytes()))
-                    held[2].append(np.unpackbits(np.frombuffer(first.as_buffer(), dtype=np.uint8), count=n).astype(bool))
-    if held is not None:
-        yield held[0], np.concatenate(held[1]), np.concatenate(held[2])
-
-
-def met(answers: Iterator[tuple[int, np.ndarray, np.ndarray]], chunk: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The answers to a chunk's question about n keys."""
-    if not n:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
-    got, counts, first = next(answers, (-1, (), ()))
-    if got != chunk or len(counts) != n:
-        raise RuntimeError("the table did not give the same rows in the same order when it was read again")
-    return counts, first
-
-
-@contextmanager
-def same_splits(spark: SparkSession) -> Iterator[None]:
-    """Files are split alike while this lasts, also when executors come or go."""
-    name = "spark.sql.files.minPartitionNum"
-    old = spark.conf.get(name, None)
-    if old is None:
-        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
-    try:
-        yield
-    finally:
-        if old is None:
-            spark.conf.unset(name)
-
-
-def states_asked(grams: Grams, counts: np.ndarray) -> np.ndarray:
-    """Places of the words and pairs that are states with arcs, or may be."""
-    return np.flatnonzero(((grams.keys & 3) < 2) & (counts >= LEAST))
-
-
-def traverse(stream: Stream, grams: Grams, counts: np.ndarray, spent: np.ndarray, norm: float) -> tuple[np.ndarray, np.ndarray]:
+def traverse(grams: Grams, counts: dict[int, np.ndarray], spent: dict[int, np.ndarray], norm: float) -> tuple[np.ndarray, np.ndarray]:
     """(base, probability) of every token, read from left to right.
 
     The state before a token is the pair that ends there, else the word, else the
     root; a token falls back from it along failure arcs, whose weights are what
     the states' arcs leave.
     """
-    rest = 1 - spent / np.maximum(counts, 1)
 
-    def before(places: np.ndarray) -> np.ndarray:
-        out = np.append(-1, places[:-1])
-        out[stream.begin] = -1
+    def step(state: int, lower: np.ndarray) -> np.ndarray:
+        before, arc = grams.before(state), grams.at[state + 1]
+        c, n = counts[state + 1], np.maximum(counts[state], 1)
+        out = np.where(before >= 0, (1 - spent[state] / n)[before] * lower, lower)
+        taken = np.flatnonzero(arc >= 0)
+        taken = taken[c[arc[taken]] >= LEAST]
+        out[taken] += (c[arc[taken]] - DISCOUNT) / n[before[taken]]
         return out
 
-    def step(state: np.ndarray, gram: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        arc = np.where((gram >= 0) & (counts[gram] >= LEAST), (counts[gram] - DISCOUNT) / np.maximum(counts[state], 1), 0.0)
-        return arc + np.where(state >= 0, rest[state], 1.0) * lower
-
-    base = (counts[grams.word] + ADD) / norm
-    after_word = step(before(grams.word), grams.pair, base)
-    return base, step(before(grams.pair), grams.triple, after_word)
+    base = (counts[WORD][grams.at[WORD]] + ADD) / norm
+    return base, step(PAIR, step(WORD, base))
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, part_bytes: int = PART, chunk_chars: int = CHUNK) -> DataFrame:
@@ -410,58 +158,81 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), (fold(F.col(id_col), folds) != held).alias("training"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, Stream, Grams]]:
+    class Known:
+        """The answers that a task has got, read along with its chunks."""
+
+        def __init__(self, task: int, *wanted: tuple[str, int]):
+            self.answers = {(name, k): answers_of(f"{folder}/{name}", k, task) for name, k in wanted}
+
+        def of(self, name: str, k: int, chunk: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+            return met(self.answers[name, k], chunk, n)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, Grams]]:
         number = 0
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for part in chunks(texts, chunk_chars):
-                stream = Stream(texts[part])
-                yield number, batch.slice(part.start, part.stop - part.start), stream, Grams(stream)
+                yield number, batch.slice(part.start, part.stop - part.start), Grams(Stream(texts[part]), bits)
                 number += 1
 
-    def over(run: Callable, schema: str) -> DataFrame:
-        return rows.mapInArrow(run, schema)
+    def training_of(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+
+    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for number, batch, grams in each(batches):
+            for k in (WORD, PAIR):
+                yield asked(k, task, number, grams.keys[k], grams.counts(k, training_of(batch)), parts, bits)
 
-    def ask_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for number, batch, stream, grams in each(batches):
-            training = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            yield asked(task, number, grams.keys, grams.counts(stream, training), parts)
+        known = Known(task, ("pairs", PAIR))
+        for number, batch, grams in each(batches):
+            grams.with_triples(known.of("pairs", PAIR, number, len(grams.keys[PAIR]))[0])
+            yield asked(TRIPLE, task, number, grams.keys[TRIPLE], grams.counts(TRIPLE, training_of(batch)), parts, bits)
+
+    def counted(known: Known, number: int, grams: Grams) -> tuple[dict, dict]:
+        """Counts by kind, and which n-grams this chunk was the first to ask for."""
+        got = {k: known.of("pairs", k, number, len(grams.keys[k])) for k in (WORD, PAIR)}
+        grams.with_triples(got[PAIR][0])
+        got[TRIPLE] = known.of("triples", TRIPLE, number, len(grams.keys[TRIPLE]))
+        return {k: c for k, (c, _) in got.items()}, {k: f for k, (_, f) in got.items()}
 
     def ask_spent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        answers = answers_of(f"{folder}/counts", task)
-        for number, _, _, grams in each(batches):
-            counts, first = met(answers, number, len(grams.keys))
-            # each arc is counted by the chunk that asked first; twice its discounted count is whole
-            arcs = np.flatnonzero(first & ((grams.keys & 3) > 0) & (counts >= LEAST))
-            twice = np.bincount(grams.contexts(arcs), weights=2 * counts[arcs] - 2 * DISCOUNT, minlength=len(counts)).astype(np.int64)
-            states = states_asked(grams, counts)
-            if len(states):
-                yield asked(task, number, grams.keys[states], twice[states], parts)
+        known = Known(task, ("pairs", WORD), ("pairs", PAIR), ("triples", TRIPLE))
+        for number, _, grams in each(batches):
+            counts, first = counted(known, number, grams)
+            for k in (WORD, PAIR):
+                states = np.flatnonzero(counts[k] >= LEAST)
+                yield asked(k, task, number, grams.keys[k][states], grams.spent(k + 1, counts[k + 1], first[k + 1])[states], parts, bits)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        answers, spendings = answers_of(f"{folder}/counts", task), answers_of(f"{folder}/spent", task)
-        for number, batch, stream, grams in each(batches):
-            counts, _ = met(answers, number, len(grams.keys))
-            states = states_asked(grams, counts)
-            spent = np.zeros(len(counts))
-            spent[states] = met(spendings, number, len(states))[0] / 2
-            base, p = traverse(stream, grams, counts, spent, norm)
-            at = stream.at[:-1]
-            known = np.add.reduceat((counts[grams.word] > 0).astype(np.int64), at)
-            columns = [pa.array(np.diff(stream.at)), pa.array(known), pa.array(np.add.reduceat(np.log10(base), at)), pa.array(np.add.reduceat(np.log10(p), at))]
+        known = Known(task, ("pairs", WORD), ("pairs", PAIR), ("triples", TRIPLE), ("spent", WORD), ("spent", PAIR))
+        for number, batch, grams in each(batches):
+            counts, _ = counted(known, number, grams)
+            spent = {}
+            for k in (WORD, PAIR):
+                states = np.flatnonzero(counts[k] >= LEAST)
+                spent[k] = np.zeros(len(counts[k]))
+                spent[k][states] = known.of("spent", k, number, len(states))[0] / 2
+            base, p = traverse(grams, counts, spent, norm)
+            at = grams.stream.at[:-1]
+            seen = np.add.reduceat((counts[WORD][grams.at[WORD]] > 0).astype(np.int64), at)
+            columns = [pa.array(np.diff(grams.stream.at)), pa.array(seen), pa.array(np.add.reduceat(np.log10(base), at)), pa.array(np.add.reduceat(np.log10(p), at))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "training", "n_tokens", "n_known", "base_score", "score"])
 
     with same_splits(spark):
         size = rows.agg(F.sum(F.octet_length("text") + 1).alias("b")).first()["b"] or 0
-        parts = max(1, -(-size // part_bytes))
-        exchange(over(ask_counts, ASKED), f"{folder}/counts")
-        got = spark.read.schema(ANSWERED).parquet(f"{folder}/counts").agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
-        total, distinct = got["n"] or 0, got["v"] or 0
-        norm = total + ADD * (distinct + 1)
-        exchange(over(ask_spent, ASKED), f"{folder}/spent")
-        over(score, f"id {kind}, training boolean, n_tokens long, n_known long, base_score double, score double").write.parquet(f"{folder}/scores")
+        parts, bits = max(1, -(-size // part_bytes)), key_bits(size)
+        exchange(rows.mapInArrow(ask_pairs, ASKED), f"{folder}/pairs", bits, LEAST)
+        words = spark.read.schema(ANSWERED).parquet(f"{folder}/pairs").filter(F.col("kind") == WORD)
+        got = words.agg(F.sum("total").alias("n"), F.sum("known").alias("v")).first()
+        total, known_words = got["n"] or 0, got["v"] or 0
+        norm = total + ADD * (known_words + 1)
+        exchange(rows.mapInArrow(ask_triples, ASKED), f"{folder}/triples", bits, LEAST)
+        exchange(rows.mapInArrow(ask_spent, ASKED), f"{folder}/spent", bits)
+        rows.mapInArrow(score, f"id {kind}, training boolean, n_tokens long, n_known long, base_score double, score double").write.parquet(f"{folder}/scores")
     out = spark.read.parquet(f"{folder}/scores")
     return out.select(F.col("id").alias(id_col), (~F.col("training")).alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -152,7 +152,8 @@ def test_lm_base_and_normalisation(docs, texts):
 def test_lm_probabilities_sum_to_one():
     import numpy as np
 
-    from plumbline.llm.lm_score import ADD, Automaton, Stream
+    from plumbline.llm.lm_score import ADD, Stream
+    from plain_automaton import Automaton
 
     stream = Stream(["a b a b c", "a b c", "b a b", "a b a"] * 30)
     words, counts = np.unique(stream.tokens, return_counts=True)
@@ -184,7 +185,8 @@ def test_lm_probabilities_sum_to_one():
 def test_lm_keeps_every_repeated_ngram(spark):
     import numpy as np
 
-    from plumbline.llm.lm_score import LEAST, Automaton, Stream, fold
+    from plumbline.llm.lm_score import LEAST, Stream, fold
+    from plain_automaton import Automaton
 
     texts = ["the red fox runs far", "the red fox sleeps", "a new red fox runs far away", "one two three", ""] + [f"w{i} w{i + 1} w{i + 2} w{i}" for i in range(40)] * 2
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
