@@ -43,7 +43,8 @@ CHUNK, PART = 1 << 22, 32 << 20
 #: characters stand for themselves, all other bytes follow from 256 in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-LATIN_WORD = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: Lower-case Latin letters in UTF-8, read as Latin-1.
+LATIN_WORD = re.compile("(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
 
 
 class WordTokenizer:
@@ -51,7 +52,7 @@ class WordTokenizer:
 
     Right for vocabularies that lower case, whose pre-tokenizer drops white space
     and parts letters from punctuation, as no token then reaches over either.
-    Pieces are remembered by 64-bit hash.
+    Pieces are remembered by 62-bit hash.
     """
 
     #: Pieces remembered at most; then it starts anew.
@@ -63,29 +64,29 @@ class WordTokenizer:
         self.encoder = Tokenizer.from_file(path)
         probe = ["plain", "mêlé", "straße"]
         self.plain = False
-        self.plain = all(list(self._encode_new([x])[0]) == [t.id for t in self.encoder.model.tokenize(x.encode().decode("latin-1").translate(BYTE_LETTERS))] for x in probe)
+        self.plain = all(list(self._encode_new([x])[0]) == [t.id for t in self.encoder.model.tokenize(x.translate(BYTE_LETTERS))] for x in (x.encode().decode("latin-1") for x in probe))
         self.specials = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.zeros(0, dtype=np.uint64)
+        self.known = np.zeros(0, dtype=np.int64)
         self.place = np.zeros(0, dtype=np.int64)
         self.first = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
     def _encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and how many are each piece's."""
+        """All ids in order, and how many are each piece's. Pieces are UTF-8 read as Latin-1."""
         out: list[list[int] | None] = [None] * len(pieces)
         if self.plain:
             # lower-case Latin letters pass the normaliser unchanged: the merges alone are left to do
             merge, byte = self.encoder.model.tokenize, BYTE_LETTERS
             for i, x in enumerate(pieces):
                 if LATIN_WORD(x):
-                    out[i] = [t.id for t in merge(x if x.isascii() else x.encode().decode("latin-1").translate(byte))]
+                    out[i] = [t.id for t in merge(x if x.isascii() else x.translate(byte))]
         rest = [i for i, ids in enumerate(out) if ids is None]
         for lo in range(0, len(rest), 5000):
             part = rest[lo : lo + 5000]
-            for i, e in zip(part, self.encoder.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False), strict=True):
+            for i, e in zip(part, self.encoder.encode_batch_fast([pieces[i].encode("latin-1").decode() for i in part], add_special_tokens=False), strict=True):
                 out[i] = e.ids
         sizes = np.fromiter(map(len, out), dtype=np.int64, count=len(out))
         return np.fromiter(chain.from_iterable(out), dtype=np.uint32, count=int(sizes.sum())), sizes
@@ -98,8 +99,7 @@ class WordTokenizer:
             words = Words(texts, SPACE, lower=False)
         else:
             words.split_punctuation()
-        h = words.hashes()
-        value, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+        value, at, inverse = distinct((words.hashes() >> np.uint64(2)).astype(np.int64), 62)
         if len(self.known) > self.REMEMBERED:
             self.forget()
         place = np.searchsorted(self.known, value)
@@ -108,7 +108,8 @@ class WordTokenizer:
         old[inside] = self.known[place[inside]] == value[inside]
         new = np.flatnonzero(~old)
         if len(new):
-            flat, sizes = self._encode_new([words.text(at[i]) for i in new])
+            letters = words.bytes.tobytes().decode("latin-1")
+            flat, sizes = self._encode_new([letters[a:b] for a, b in zip(words.start[at[new]].tolist(), words.end[at[new]].tolist(), strict=True)])
             where = len(self.first) - 1 + np.arange(len(new))
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
             self.ids = np.concatenate([self.ids, flat])
@@ -124,7 +125,7 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    """The worker's own, with what it remembers of earlier shards."""
+    """The process's own, with what it remembers of earlier shards."""
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
@@ -220,14 +221,30 @@ def lay_out(sizes: list[int], window: int, tail: bool) -> Iterator[tuple[int, in
 
 
 class Vocabulary:
-    """A chunk's words: its distinct ``keys``, and each text's distinct words as places in them."""
+    """A chunk's words: its distinct ``keys``, and each text's distinct words as places in them, text by text."""
 
     def __init__(self, texts: list[str], bits: int):
         words = Words(texts)
         self.keys, _, place = distinct(keys_of(words.hashes(), bits), bits)
-        pair = np.unique(np.repeat(np.arange(len(texts)), words.count) * max(1, len(self.keys)) + place)
+        self.bytes = np.diff(words.base)
+        pair = np.repeat(np.arange(len(texts)), words.count) * max(1, len(self.keys)) + place
+        pair.sort()
+        pair = pair[np.append(True, pair[1:] != pair[:-1])[: len(pair)]]
         self.text, self.place = np.divmod(pair, max(1, len(self.keys)))
 
+    def lowest(self, value: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """k times: (texts, places of the word of the next lowest finite value)."""
+        value = value[self.place]
+        begin = np.flatnonzero(np.append(True, self.text[1:] != self.text[:-1])[: len(self.text)])
+        own = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(self.text))))
+        for _ in range(k):
+            least = np.minimum.reduceat(value, begin) if len(begin) else value
+            at = np.flatnonzero((value == least[own]) & np.isfinite(value))
+            # of equal values the first
+            at = at[np.append(True, own[at][1:] != own[at][:-1])[: len(at)]]
+            yield self.text[at], self.place[at]
+            value[at] = np.inf
+
 
 def _draw(h: np.ndarray) -> np.ndarray:
     """A word's exponential draw, the same wherever it stands."""
@@ -264,19 +281,12 @@ def _sketches(rows: DataFrame, n: int, size: int, folder: str) -> DataFrame:
                 value = np.full(len(df), np.inf)
                 can = np.flatnonzero((df > 1) & (df <= most))
                 value[can] = _draw(own.keys[can]) / np.log(1 + n / df[can]) ** RARITY
-                value = value[own.place]
-                order = np.lexsort((value, own.text))
-                order = order[np.isfinite(value[order])]
-                text = own.text[order]
-                rank = np.arange(len(text)) - np.searchsorted(text, text)
-                k = [pa.nulls(m, pa.int64())] * SKETCH
-                for i in range(SKETCH):
-                    at = order[rank == i]
+                k = []
+                for text, place in own.lowest(value, SKETCH):
                     key, none = np.zeros(m, dtype=np.int64), np.ones(m, dtype=bool)
-                    key[own.text[at]], none[own.text[at]] = own.keys[own.place[at]], False
-                    k[i] = pa.array(key, mask=none)
-                bytes_ = pa.array([len(t.encode()) + 1 for t in texts[part]], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, task)), pa.array(np.arange(row, row + m)), bytes_, *k], names=["task", "row", "bytes", *(f"k{i}" for i in range(SKETCH))])
+                    key[text], none[text] = own.keys[place], False
+                    k.append(pa.array(key, mask=none))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, task)), pa.array(np.arange(row, row + m)), pa.array(own.bytes), *k], names=["task", "row", "bytes", *(f"k{i}" for i in range(SKETCH))])
                 number, row = number + 1, row + m
 
     exchange(rows.mapInArrow(ask, ASKED), f"{folder}/words", bits)

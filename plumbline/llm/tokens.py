@@ -68,9 +68,9 @@ class Words:
         self.raw = np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8)
         self.bytes = LOWER[self.raw] if lower else self.raw
         gap = separators[self.raw]
-        edge = np.diff(gap.astype(np.int8), prepend=1)
-        self.start = np.flatnonzero(edge == -1)
-        self.end = np.flatnonzero(edge == 1)
+        # starts and ends take turns, as what stands before and the last byte are gaps
+        edge = np.flatnonzero(np.append(True, gap[:-1]) != gap)
+        self.start, self.end = edge[::2].copy(), edge[1::2].copy()
         self._place()
 
     def _place(self) -> None:
@@ -103,10 +103,6 @@ class Words:
             at = to
         return out
 
-    def text(self, i: int) -> str:
-        """Word i, lower-cased if asked for."""
-        return self.bytes[self.start[i] : self.end[i]].tobytes().decode()
-
 
 def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
     """Each text's set of word shingles as sorted distinct 63-bit hashes.

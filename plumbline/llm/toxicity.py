@@ -89,7 +89,7 @@ def norms(owner: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int) -> np
 class Landmarks:
     """Landmark strings, and the likenesses of whole batches of texts to them."""
 
-    #: Words whose likenesses a worker remembers at most; then it starts anew.
+    #: Words whose likenesses a process remembers at most; then it starts anew.
     REMEMBERED = 1_000_000
 
     def __init__(self, strings: list[str]):
@@ -195,7 +195,7 @@ _landmarks: dict[tuple[str, ...], Landmarks] = {}
 
 
 def landmarks(strings: list[str]) -> Landmarks:
-    """The worker's own, with what it remembers of earlier batches."""
+    """The process's own, with what it remembers of earlier batches."""
     if tuple(strings) not in _landmarks:
         _landmarks.clear()
         _landmarks[tuple(strings)] = Landmarks(strings)
