@@ -44,8 +44,30 @@ def grade(score: Column) -> Column:
     return F.when(score >= 0.9, "A+").when(score >= 0.8, "A").when(score >= 0.7, "B").when(score >= 0.6, "C").when(score >= 0.5, "D").otherwise("F")
 
 
+def post_grade(trust: Column) -> Column:
+    """Letter of a claim's trust, whose bounds are lower."""
+    return F.when(trust >= 0.85, "A+").when(trust >= 0.75, "A").when(trust >= 0.65, "B").when(trust >= 0.50, "C").when(trust >= 0.35, "D").otherwise("F")
+
+
+def semantic_label(score: Column) -> Column:
+    """How sure a vector score is, in a word."""
+    return F.when(score >= 0.9, "HIGH").when(score >= 0.75, "GOOD").when(score >= 0.6, "FAIR").when(score >= 0.4, "LOW").otherwise("NONE")
+
+
+def truth_band(score: Column) -> Column:
+    """In which of five bands a truthfulness of 0 to 100 lies; null counts as 0."""
+    x = F.coalesce(score, F.lit(0.0))
+    return F.when(x <= 24, "LIKELY_FALSE").when(x <= 44, "MOSTLY_FALSE").when(x <= 55, "MIXED_OR_UNCLEAR").when(x <= 74, "MOSTLY_TRUE").otherwise("LIKELY_TRUE")
+
+
+def untrusted_band(score: Column) -> Column:
+    """The band where trust failed, which has no likely ends."""
+    x = F.coalesce(score, F.lit(0.0))
+    return F.when(x <= 44, "MOSTLY_FALSE").when(x <= 55, "MIXED_OR_UNCLEAR").otherwise("MOSTLY_TRUE")
+
+
 def support_contradiction(anchor: Column, predicate: Column, semantic: Column, trusted: Column, contradiction: Column, intervention: Column) -> tuple[Column, Column]:
-    """Logistic support and contradiction of one statement."""
+    """Logistic support and contradiction of one statement; the coefficients are fixed values."""
     support = 1.35 * semantic + 1.10 * anchor + 1.15 * predicate + 0.55 * trusted + 0.40 * intervention - 1.85 * contradiction - 1.05
     against = 1.30 * contradiction + 0.70 * predicate + 0.35 * trusted + 0.20 * intervention - 0.80 * semantic - 0.55 * anchor - 0.85
     return sigmoid(support), sigmoid(against)

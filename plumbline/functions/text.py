@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumbline.functions import words
+
 
 def normalize_text(x: Column) -> Column:
     """Outer white space off, inner white space to one space; the case stays."""
@@ -57,15 +59,25 @@ def has_number(x: Column) -> Column:
     return F.coalesce(x, F.lit("")).rlike(r"[0-9]")
 
 
+def folded(x: Column) -> Column:
+    """Lower case, outer white space off, inner white space to one space."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"(?U)\s+", " "))
+
+
 def fact_id(statement: Column, source: Column) -> Column:
-    """f_ and 16 hex digits of the SHA-256 of statement and source."""
-    return F.concat(F.lit("f_"), F.substring(F.sha2(F.concat_ws("|", F.coalesce(statement, F.lit("")), F.coalesce(source, F.lit(""))), 256), 1, 16))
+    """f_ and 16 hex digits of the SHA-256 of the source, without closing slashes, and the statement, both folded to lower case."""
+    url = F.rtrim(F.lower(F.coalesce(source, F.lit(""))), F.lit("/"))
+    return F.concat(F.lit("f_"), F.substring(F.sha2(F.concat_ws("|", url, folded(statement)), 256), 1, 16))
 
 
 def entity_id(name: Column) -> Column:
     return F.substring(F.md5(F.trim(F.lower(name))), 1, 16)
 
 
+#: Negations that a signature leaves out, so that a claim and its denial share it.
+SIGNATURE_NEGATIONS = ("no", "not", "never", "without", "cannot", "can't", "doesn't", "don't", "didn't")
+
+
 def statement_signature(x: Column) -> Column:
-    """The sorted distinct tokens as one string."""
-    return F.array_join(F.array_sort(tokens(x)), " ")
+    """The sorted distinct words of three letters or more, without stop words and negations, as one string."""
+    return F.array_join(F.array_sort(words.token_set(x, words.ALPHA, (*words.STOP, *SIGNATURE_NEGATIONS))), " ")

@@ -19,36 +19,64 @@ def is_valid_url(u: Column) -> Column:
     return F.coalesce(u, F.lit("")).rlike(r"(?i)^https?://[^\s/$.?#].[^\s]*$")
 
 
-def netloc(u: Column) -> Column:
-    """The host as written, with its port; null for what is no URL."""
-    return F.when(is_valid_url(u), F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)))
+def _rest(u: Column) -> Column:
+    """What follows the scheme, without the fragment; null where there is no scheme with two slashes."""
+    return F.when(u.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), F.substring_index(F.substr(u, F.locate("://", u) + 3), "#", 1))
+
+
+def _authority(u: Column) -> Column:
+    """The host as written, lower-cased, with its port, without www."""
+    net = F.lower(F.substring_index(F.substring_index(_rest(u), "/", 1), "?", 1))
+    return F.when(net.startswith("www."), F.substr(net, F.lit(5))).otherwise(net)
+
+
+def domain(u: Column) -> Column:
+    """Lower case, no www., the port kept; null for what is no URL."""
+    return F.when(is_valid_url(u), _authority(u))
 
 
 def host(u: Column) -> Column:
-    """Lower case, no www., no port."""
-    return F.regexp_replace(F.regexp_replace(netloc(u), r"^www[.]", ""), ":.*$", "")
+    """Lower case, no www., no port; null for what is no URL."""
+    return F.substring_index(domain(u), ":", 1)
 
 
 def root_domain(u: Column) -> Column:
-    """The last two labels of the host."""
-    return F.regexp_extract(host(u), r"([^.]+[.][^.]+|[^.]+)$", 1)
+    """The last two labels of the domain, with its port."""
+    return F.substring_index(domain(u), ".", -2)
+
+
+def _decoded(x: Column) -> Column:
+    return F.coalesce(F.try_url_decode(x), x)
+
+
+def _encoded(x: Column) -> Column:
+    """As forms encode: letters, digits and _.-~ stay, a space becomes a plus sign."""
+    return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
 def dedupe_key(u: Column) -> Column:
-    """https, bare host, path, and the parameters that do not track, sorted by name."""
-    path = F.regexp_replace(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1), "/+$", "")
+    """https, bare host, path, and the parameters with values that do not track, by name, encoded anew.
+
+    What has no scheme is taken for a path; null and empty texts have no key.
+    """
+    rest = F.coalesce(_rest(u), F.substring_index(u, "#", 1))
+    where = F.substring_index(rest, "?", 1)
+    net = F.when(_rest(u).isNotNull(), F.substring_index(where, "/", 1)).otherwise("")
+    path = F.rtrim(F.substr(where, F.length(net) + 1), F.lit("/"))
     path = F.when(path == "", F.lit("/")).otherwise(path)
-    query = F.regexp_extract(u, r"[?]([^#]*)", 1)
+    plain = F.concat(F.lit("https://"), F.when(net == "", "").otherwise(F.substring_index(_authority(u), ":", 1)), path)
     names = F.array(*[F.lit(t) for t in TRACKING])
-    kept = F.filter(F.split(query, "&"), lambda p: p.contains("=") & ~F.array_contains(names, F.substring_index(p, "=", 1)))
-    params = F.array_join(F.array_sort(kept), "&")
-    return F.concat(F.lit("https://"), host(u), path, F.when(params != "", F.concat(F.lit("?"), params)).otherwise(""))
+    pairs = F.filter(F.split(F.substr(rest, F.length(where) + 2), "&"), lambda p: p.contains("=") & ~p.endswith("=") | p.rlike("=.*="))
+    named = F.transform(pairs, lambda p, i: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("n"), i.alias("i"), _decoded(F.substr(p, F.locate("=", p) + 1)).alias("v")))
+    kept = F.filter(named, lambda x: ~F.array_contains(names, x["n"]) & (x["v"] != ""))
+    query = F.array_join(F.transform(F.array_sort(kept), lambda x: F.concat(_encoded(x["n"]), F.lit("="), _encoded(x["v"]))), "&")
+    # most URLs have no parameters, and need not look for them
+    full = F.when(F.contains(rest, F.lit("?")), F.when(query != "", F.concat(plain, F.lit("?"), query)).otherwise(plain)).otherwise(plain)
+    return F.when(u != "", full)
 
 
 def domain_in(u: Column, domains: list[str]) -> Column:
-    """The host is one of the domains or lies below one."""
-    h = F.coalesce(host(u), F.lit(""))
-    found = F.lit(False)
-    for d in domains:
-        found = found | (h == d) | h.endswith("." + d)
-    return found
+    """The domain, or its last two labels, are those of one of the listed ones."""
+    listed = [d.lower().replace("www.", "") for d in domains]
+    roots = [".".join(d.split(".")[-2:]) for d in listed]
+    return F.coalesce(domain(u).isin(listed) | root_domain(u).isin(roots), F.lit(False))

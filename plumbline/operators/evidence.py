@@ -23,14 +23,24 @@ def minmax(df: DataFrame, col: str, out: str) -> DataFrame:
 
 
 def with_trust(df: DataFrame, now: Column, source_score: Column) -> DataFrame:
-    return df.withColumn("trust", scoring.trust(F.col("semantic_score"), source_score, scoring.recency_bucket(F.col("published_at"), now), F.col("stance")))
+    """Evidence with its trust and the parts that it is made of."""
+    parts = df.withColumns({"source_part": source_score, "recency_part": scoring.recency_bucket(F.col("published_at"), now), "stance_part": scoring.stance_share(F.col("stance"))})
+    return parts.withColumn("trust", scoring.trust(F.col("semantic_score"), F.col("source_part"), F.col("recency_part"), F.col("stance")))
+
+
+def evidence_key(url: Column, statement: Column) -> Column:
+    """What makes evidence the same: its normalised URL, or where it has none the hash of its statement."""
+    return F.coalesce(urls.dedupe_key(url), F.md5(F.trim(F.lower(F.coalesce(statement, F.lit(""))))))
 
 
 def trust_ranked(df: DataFrame, k: int = 10) -> DataFrame:
-    """By trust, then semantic score, then id; one row per normalised URL; the k first per claim."""
-    best = df.withColumn("key", urls.dedupe_key(F.col("source_url")))
+    """By trust, then semantic score, then id; one row per evidence_key; the k first per claim.
+
+    Dealt by claim once: what is kept per key and the ranks need no other shuffle.
+    """
+    keyed = df.withColumn("key", evidence_key(F.col("source_url"), F.col("statement"))).repartition("claim_id")
     order = F.struct(-F.col("trust"), -F.col("semantic_score"), F.col("evidence_id"))
-    one = best.groupBy("claim_id", "key").agg(F.min_by(F.struct(*df.columns), order).alias("r")).select("r.*")
+    one = keyed.groupBy("claim_id", "key").agg(F.min_by(F.struct(*keyed.columns), order).alias("r")).select("r.*")
     rank = F.row_number().over(_claim().orderBy(F.desc("trust"), F.desc("semantic_score"), "evidence_id"))
     return one.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -45,30 +55,47 @@ def quota_selected(df: DataFrame, k: int, quota: int, score: str) -> DataFrame:
     return tier.withColumn("pick", pick).filter(F.col("pick") <= k).drop("own", "first")
 
 
-def claim_metrics(df: DataFrame) -> DataFrame:
-    """Per claim: diversity of hosts, agreement, trust after all evidence, and the shares of trust by stance."""
-    t = F.col("trust")
-    agg = df.groupBy("claim_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.countDistinct(urls.host(F.col("source_url"))).alias("u"),
-        F.avg(F.when(F.col("stance") != "contradicts", 1.0).otherwise(0.0)).alias("agreement"),
-        F.sum(t * t).alias("tt"),
-        F.sum(t).alias("t"),
-        F.sum(F.when(F.col("stance") == "entails", t).otherwise(0.0)).alias("ts"),
-        F.sum(F.when(F.col("stance") == "contradicts", t).otherwise(0.0)).alias("tc"),
-    )
+def claim_metrics(ranked: DataFrame) -> DataFrame:
+    """Per claim, over its ranked first rows: diversity of domains, agreement, trust with its grade, means weighted by trust, and the shares of trust by stance."""
+    t, st = F.col("trust"), F.col("stance")
+    weighted = {"semantic_mean": "semantic_score", "source_mean": "source_part", "recency_mean": "recency_part", "stance_mean": "stance_part"}
+    agg = ranked.groupBy("claim_id").agg(
+        F.count(F.lit(1)).alias("n"), F.size(F.collect_set(F.coalesce(urls.domain(F.col("source_url")), F.lit("")))).alias("u"),
+        F.avg(F.when(st != "contradicts", 1.0).otherwise(0.0)).alias("agreement"), F.sum(t * t).alias("tt"), F.sum(t).alias("t"),
+        F.count_if(st == "entails").alias("n_entails"), F.count_if(st == "contradicts").alias("n_contradicts"), F.count_if(st == "neutral").alias("n_neutral"),
+        *[F.sum(F.when(st == name, t).otherwise(0.0)).alias(out) for name, out in (("entails", "ts"), ("contradicts", "tc"))], *[F.sum(F.col(c) * t).alias(out) for out, c in weighted.items()],
+    )
     n, u = F.col("n"), F.col("u")
     diversity = F.when(n <= 1, 0.0).when(u >= n, 1.0).otherwise(scoring.clamp01(1 - F.log(n / u) / u))
     share = lambda c: F.when(F.col("t") > 0, F.col(c) / F.col("t")).otherwise(0.0)
-    return agg.select("claim_id", "n", diversity.alias("diversity"), "agreement", share("tt").alias("trust_post"), share("ts").alias("support_mass"), share("tc").alias("contradict_mass"))
+    rest = F.when(F.col("t") > 0, (F.col("t") - F.col("ts") - F.col("tc")) / F.col("t")).otherwise(1.0)
+    return agg.select(
+        "claim_id", "n", diversity.alias("diversity"), "agreement", share("tt").alias("trust_post"), scoring.post_grade(F.round(share("tt"), 9)).alias("trust_grade"), *[share(c).alias(c) for c in weighted],
+        "n_entails", "n_contradicts", "n_neutral", share("ts").alias("support_mass"), share("tc").alias("contradict_mass"), rest.alias("uncertain_mass"),
+    )
+
+
+def top_domains(ranked: DataFrame, k: int = 5) -> DataFrame:
+    """(claim_id, domains): the k most frequent domains of a claim's ranked rows, ties by the better rank; 'unknown' for rows without a URL."""
+    key = F.when(F.coalesce(F.col("source_url"), F.lit("")) == "", "unknown").otherwise(F.substring_index(F.substring_index(F.col("key"), "/", 3), "/", -1))
+    each = ranked.groupBy("claim_id", key.alias("domain")).agg(F.count(F.lit(1)).alias("c"), F.min("rank").alias("r"))
+    by_count = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "r", "domain")))
+    return each.groupBy("claim_id").agg(F.slice(F.transform(by_count, lambda x: x["domain"]), 1, k).alias("domains"))
 
 
 def noisy_or(df: DataFrame) -> DataFrame:
-    """Per claim: one less the product of what each row leaves open, for and against, and the status by their margin."""
-    w = scoring.clamp01(F.col("trust"))
-    left = lambda p: F.product(1 - scoring.clamp01(F.col(p)) * w)
-    agg = df.groupBy("claim_id").agg((1 - left("support")).alias("support"), (1 - left("against")).alias("against"), F.sum(w).alias("mass"))
-    m = F.col("support") - F.col("against")
+    """Per claim, over its admissible rows: one less the product of what each leaves open, for and against, the status by their margin, and the rows' ids.
+
+    A claim all of whose rows are inadmissible is UNKNOWN, with no ids.
+    """
+    w, ok = scoring.clamp01(F.col("trust")), F.col("admissible")
+    left = lambda p: F.coalesce(F.product(F.when(ok, 1 - scoring.clamp01(F.col(p)) * w)), F.lit(1.0))
+    rounded = lambda x: F.round(scoring.clamp01(x), 9)
+    agg = df.groupBy("claim_id").agg(
+        rounded(1 - left("support")).alias("support"), rounded(1 - left("against")).alias("against"), F.round(F.coalesce(F.sum(F.when(ok, w)), F.lit(0.0)), 9).alias("mass"),
+        F.array_sort(F.collect_set(F.when(ok, F.col("evidence_id")))).alias("evidence_ids"),
+    )
+    m = F.round(F.col("support") - F.col("against"), 9)
     status = (
         F.when(F.col("mass") < 0.15, "UNKNOWN").when(m >= 0.22, "VALID").when(m <= -0.22, "INVALID")
         .when(m >= 0.06, "PARTIALLY_VALID").when(m <= -0.06, "PARTIALLY_INVALID").otherwise("UNKNOWN")
@@ -96,11 +123,31 @@ def vote_agreement(df: DataFrame) -> DataFrame:
     return votes.groupBy("claim_id").agg((F.max("c") / F.sum("c")).alias("agreement"))
 
 
-def binary_metrics(df: DataFrame, expected: str, predicted: str) -> DataFrame:
-    """samples, accuracy and F1 of TRUE over rows that have both verdicts."""
-    e, p = F.col(expected), F.col(predicted)
-    agg = df.filter(e.isNotNull() & p.isNotNull()).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(e == p).alias("same"), F.count_if(e & p).alias("tp"), F.count_if(~e & p).alias("fp"), F.count_if(e & ~p).alias("fn")
-    )
-    f1 = F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
-    return agg.select(F.col("n").cast("double").alias("samples"), F.round(F.coalesce(F.try_divide(F.col("same"), F.col("n")), F.lit(0.0)), 4).alias("accuracy"), F.round(F.coalesce(f1, F.lit(0.0)), 4).alias("f1_true"))
+def binary_verdict(x: Column) -> Column:
+    """TRUE, FALSE or null, partial verdicts on the side that they lean to."""
+    v = F.upper(F.trim(x))
+    return F.when(v.isin("TRUE", "PARTIALLY_TRUE", "MOSTLY_TRUE"), "TRUE").when(v.isin("FALSE", "PARTIALLY_FALSE", "MISLEADING"), "FALSE")
+
+
+def regression_metrics(df: DataFrame) -> DataFrame:
+    """samples, accuracy, F1 of TRUE, and precision of the first three domains, over rows that have both verdicts.
+
+    df: expected_verdict, predicted_verdict, expected_domains, predicted_domains.
+    """
+    clean = lambda a: F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))), lambda x: x != "")
+    rows = df.select(binary_verdict(F.col("expected_verdict")).alias("e"), binary_verdict(F.col("predicted_verdict")).alias("p"), clean(F.col("expected_domains")).alias("want"), F.slice(clean(F.col("predicted_domains")), 1, 3).alias("got"))
+    rows = rows.filter("e IS NOT NULL AND p IS NOT NULL")
+    e, p, asked = F.col("e") == "TRUE", F.col("p") == "TRUE", (F.size("want") > 0) & (F.size("got") > 0)
+    hits = F.size(F.filter("got", lambda d: F.array_contains(F.col("want"), d)))
+    agg = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(e == p).alias("same"), F.count_if(e & p).alias("tp"), F.count_if(~e & p).alias("fp"), F.count_if(e & ~p).alias("fn"),
+        F.sum(F.when(asked, hits).otherwise(0)).alias("hits"), F.sum(F.when(asked, F.size("got")).otherwise(0)).alias("asked"),
+    )
+    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 4)
+    f1 = ratio(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
+    return agg.select(F.col("n").cast("double").alias("samples"), ratio(F.col("same"), F.col("n")).alias("accuracy"), f1.alias("f1_true"), ratio(F.col("hits"), F.col("asked")).alias("evidence_precision_at_3"))
+
+
+def thresholds_pass(metrics: DataFrame, accuracy: float = 0.85, f1_true: float = 0.82, precision: float = 0.70) -> DataFrame:
+    """metrics with ``passed``: no figure is below its threshold."""
+    return metrics.withColumn("passed", (F.col("accuracy") >= accuracy) & (F.col("f1_true") >= f1_true) & (F.col("evidence_precision_at_3") >= precision))

@@ -16,9 +16,15 @@ RELATIONS = (
     (r"\b(increases?|raises?)\b", "increases"),
     (r"\b(prevents?|protects?)\b", "prevents"),
 )
-#: What marks a relation as causal, and a statement as negated.
+#: What marks a relation as causal, and a statement as one that denies a relation.
 CAUSAL = ("cause", "contribut", "associat", "link", "increase risk", "lead to", "result in")
-NEGATION = r"\b(no|not|never|without|cannot|can't|does not|do not|did not|doesn't|don't|didn't)\b"
+NEGATION = (
+    r"\b(?:do|does|did|is|are|was|were|can|could|may|might|must|should|would|will)\s+not\b",
+    r"\bno\s+(?:evidence|link|association|causal link)\b",
+    r"\bnot\s+(?:associated|linked|causal)\b",
+    r"\bunrelated to\b",
+    r"\b(?:myth|debunked|false claim|no link)\b",
+)
 
 
 def relation_label(relation: Column) -> Column:
@@ -44,15 +50,23 @@ def _blank(x: str) -> Column:
     return F.trim(F.coalesce(F.col(x), F.lit(""))) == ""
 
 
-def unusable_triple() -> Column:
-    """Blank parts, no stance, or a causal relation drawn from a statement that negates it."""
-    rel = F.lower(F.trim("relation"))
+def unusable_triple(as_written: bool = True) -> Column:
+    """Blank parts, no stance, or a causal relation drawn from a statement that denies it.
+
+    The relation is read with spaces for underscores. Relations that deny by
+    themselves are meant to pass (``does_not_``, ``not_``), but these marks are
+    looked for when the underscores are gone, so that none does; with
+    ``as_written`` off they do pass.
+    """
+    rel = F.trim(F.regexp_replace(F.lower(F.trim(F.replace(F.coalesce("relation", F.lit("")), F.lit("_"), F.lit(" ")))), r"\s+", " "))
     causal = F.lit(False)
     for mark in CAUSAL:
         causal = causal | rel.contains(mark)
-    denies = rel.startswith("does_not_") | rel.startswith("not_")
-    negated = F.lower(F.coalesce(F.col("statement"), F.lit(""))).rlike(NEGATION)
-    stance = F.coalesce(F.upper("stance"), F.lit(""))
+    denies = rel.startswith("does_not_") | rel.startswith("not_") if as_written else rel.startswith("does not ") | rel.startswith("not ")
+    negated = F.lit(False)
+    for pattern in NEGATION:
+        negated = negated | F.lower(F.coalesce(F.col("statement"), F.lit(""))).rlike(pattern)
+    stance = F.coalesce(F.upper(F.trim("stance")), F.lit(""))
     return _blank("subject") | _blank("relation") | _blank("object") | ~stance.isin("SUPPORTS", "REFUTES") | (~denies & causal & negated)
 
 
@@ -63,8 +77,8 @@ def relations(triples: DataFrame) -> DataFrame:
 
 
 def ingest_counts(triples: DataFrame) -> DataFrame:
-    """attempted, succeeded and skipped, in one pass."""
-    return triples.agg(F.count(F.lit(1)).alias("attempted"), F.count_if(~unusable_triple()).alias("succeeded"), F.count_if(unusable_triple()).alias("skipped"))
+    """attempted, succeeded and failed, which is all that is not usable, in one pass."""
+    return triples.agg(F.count(F.lit(1)).alias("attempted"), F.count_if(~unusable_triple()).alias("succeeded"), F.count_if(unusable_triple()).alias("failed"))
 
 
 def merge_relations(old: DataFrame | None, new: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import hashlib
 import random
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +33,18 @@ def revalidation_events(pending: DataFrame, decisions: DataFrame) -> DataFrame:
     return new.select("fact_id", urls.host(F.col("source_url")).alias("domain"), "old_validation_state", "old_verdict_state", F.col("validation_state").alias("new_validation_state"), F.col("verdict_state").alias("new_verdict_state"))
 
 
-def _interval(rows: pd.DataFrame, draws: int) -> tuple[float, float]:
-    """2.5 and 97.5 per cent of the trust of ``draws`` resamples; the seed follows from the evidence's keys."""
-    trust = rows["trust"].tolist()
+def _interval(trust: list[float], keys: list[str], draws: int) -> tuple[float, float]:
+    """2.5 and 97.5 per cent of the trust of ``draws`` resamples.
+
+    The seed follows from the evidence's keys, and the draws are those of the
+    standard generator, as the figures must be the same everywhere.
+    """
     post = lambda xs: sum(x * x for x in xs) / sum(xs) if sum(xs) > 0 else 0.0
     if len(trust) < 2:
         return (post(trust),) * 2
-    digest = hashlib.md5("".join(sorted(rows["key"])).encode()).hexdigest()
+    digest = hashlib.md5("".join(sorted(keys)).encode()).hexdigest()
     rng = random.Random(int(digest, 16) % 2**32)
-    runs = sorted(post([trust[rng.choice(range(len(trust)))] for _ in trust]) for _ in range(draws))
+    runs = sorted(post([rng.choice(trust) for _ in trust]) for _ in range(draws))
     return runs[int(0.025 * draws)], runs[int(0.975 * draws)]
 
 
@@ -53,9 +56,9 @@ def trust_interval(ranked: DataFrame, draws: int = 200) -> DataFrame:
     per_claim = ranked.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("rank", "trust", "key"))).alias("rows"))
     per_claim = per_claim.select("claim_id", F.col("rows.trust").alias("trust"), F.col("rows.key").alias("key"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ends = [_interval(pd.DataFrame({"trust": t, "key": k}), draws) for t, k in zip(frame["trust"], frame["key"], strict=True)]
-            yield pd.DataFrame({"claim_id": frame["claim_id"], "ci_low": [e[0] for e in ends], "ci_high": [e[1] for e in ends]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [_interval(t, k, draws) for t, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e[0] for e in ends], pa.float64()), pa.array([e[1] for e in ends], pa.float64())], names=["claim_id", "ci_low", "ci_high"])
 
-    return per_claim.mapInPandas(run, "claim_id long, ci_low double, ci_high double")
+    return per_claim.mapInArrow(run, "claim_id long, ci_low double, ci_high double")

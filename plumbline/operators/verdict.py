@@ -33,7 +33,8 @@ def evidence_mass(scores: DataFrame) -> DataFrame:
         votes(lean > 1e-9).alias("vs"), votes(lean < -1e-9).alias("vr"), votes(F.abs(lean) <= 1e-9).alias("vn"),
     )
     total = F.greatest(F.lit(1e-9), F.coalesce(F.col("s") + F.col("r") + F.col("n"), F.lit(0.0)))
-    part = lambda c: clamp01(F.coalesce(F.col(c), F.lit(0.0)) / total)
+    # rounded, as masses meet thresholds and the order of additions must not show
+    part = lambda c: F.round(clamp01(F.coalesce(F.col(c), F.lit(0.0)) / total), 9)
     entropy = F.coalesce(clamp01((F.log("w") - F.col("wl") / F.col("w")) / F.log(F.greatest(F.col("k"), F.lit(2)))), F.lit(1.0))
     camps = F.col("vs") + F.col("vr") + F.col("vn")
     return agg.select(
@@ -60,8 +61,15 @@ def posteriors(mass: DataFrame) -> DataFrame:
     return d.withColumn("confidence_raw", clamp01(sure)).drop("t0", "f0", "u0", "directed")
 
 
-def calibrated_classes(p_true: Column, p_false: Column, p_unv: Column, coverage: Column, admissible: Column, support: Column, against: Column) -> tuple[Column, Column, Column]:
-    """Class probabilities after the lifts that polarity and sparse evidence give, summing to 1."""
+def calibrated_classes(p_true: Column, p_false: Column, p_unv: Column, coverage: Column, admissible: Column, support: Column, against: Column, temperature: dict[str, float] | None = None) -> tuple[Column, Column, Column]:
+    """Class probabilities after the lifts that polarity and sparse evidence give, summing to 1.
+
+    ``temperature``: an artifact's temperatures of true, false and unverifiable.
+    """
+    total = p_true + p_false + p_unv
+    p_true, p_false, p_unv = (F.when(total <= 0, other).otherwise(F.greatest(F.lit(0.0), p / total)) for p, other in ((p_true, 0.0), (p_false, 0.0), (p_unv, 1.0)))
+    if temperature:
+        p_true, p_false, p_unv = (tempered(p, float(temperature.get(k) or 1.0)) for p, k in ((p_true, "true"), (p_false, "false"), (p_unv, "unverifiable")))
     high, gap = F.greatest(support, against), F.abs(support - against)
     times = lambda cond, x, other=1.0: F.when(cond, x).otherwise(other)
     sparse = (clamp01(coverage) < 0.35) | (clamp01(admissible) < 0.40)
@@ -78,21 +86,46 @@ def calibrated_classes(p_true: Column, p_false: Column, p_unv: Column, coverage:
     return clamp01(t / total), clamp01(f / total), clamp01(u / total)
 
 
-def calibrated_confidence(score: Column, coverage: Column, agreement: Column, diversity: Column, against: Column, admissible: Column, top: Column) -> Column:
+def mapped_confidence(score: Column, artifact: dict) -> Column:
+    """A raw confidence through an artifact's line, knots (the first at or above it) and reliability bins (the first that holds it)."""
+    mode = str(artifact.get("mode") or "linear").lower()
+    x = clamp01(score)
+    if mode == "linear":
+        x = float(artifact.get("slope") or 1.0) * x + float(artifact.get("intercept") or 0.0)
+    elif mode == "piecewise" and artifact.get("knots"):
+        knots = [(float(k.get("x") or 0.0), float(k.get("y") or k.get("x") or 0.0)) for k in artifact["knots"]]
+        x = F.coalesce(*[F.when(x <= at, y) for at, y in knots], F.lit(knots[-1][1]))
+    bins = [(float(b.get("min") or 0.0), float(1.0 if b.get("max") is None else b["max"] or 1.0), b.get("calibrated")) for b in artifact.get("reliability_bins") or []]
+    if bins:
+        x = F.coalesce(*[F.when(x.between(lo, hi), F.lit(float(y)) if y else x) for lo, hi, y in bins], x)
+    return x
+
+
+def calibrated_confidence(score: Column, coverage: Column, agreement: Column, diversity: Column, against: Column, admissible: Column, top: Column, quality: Column | None = None, depth: Column | None = None, artifact: dict | None = None) -> Column:
     """One confidence out of a raw one and what is known of the evidence.
 
-    A share of admissible rows that is 0 counts as 1, and a top probability of 0
-    as the score: zero stands for unknown here.
+    A share of admissible rows that is 0 counts as 1, a quality of 0 as 0.5, and
+    a top probability of 0 as the score: zero stands for unknown here.
     """
-    adm = F.when(admissible == 0, 1.0).otherwise(clamp01(admissible))
-    top = F.when(top == 0, score).otherwise(clamp01(top))
-    quality = 0.30 * clamp01(coverage) + 0.25 * clamp01(agreement) + 0.15 * clamp01(diversity) + 0.20 * adm + 0.10 * 0.5
-    x = 0.62 * clamp01(score) + 0.18 * quality + 0.20 * top - 0.35 * clamp01(against)
+    score = mapped_confidence(score, artifact) if artifact else clamp01(score)
+    unknown = lambda x, default: F.when(F.coalesce(x, F.lit(0.0)) == 0, default).otherwise(clamp01(x))
+    adm, top = unknown(admissible, 1.0), unknown(top, clamp01(score))
+    quality = F.lit(0.5) if quality is None else unknown(quality, 0.5)
+    made = 0.30 * clamp01(coverage) + 0.25 * clamp01(agreement) + 0.15 * clamp01(diversity) + 0.20 * adm + 0.10 * quality
+    x = 0.62 * score + 0.18 * made + 0.20 * top - 0.35 * clamp01(against)
     x = F.when(top >= 0.55, F.greatest(x, 0.5 * top)).otherwise(x)
+    if depth is not None:
+        x = F.when((clamp01(F.coalesce(depth, F.lit(0.0))) >= 0.66) & (quality < 0.45), 0.92 * x).otherwise(x)
     x = F.when((clamp01(against) >= 0.60) & (clamp01(coverage) < 0.50), F.least(x, F.lit(0.62))).otherwise(x)
     return clamp01(F.when(adm < 0.40, 0.85 * x).otherwise(x))
 
 
+def tempered(p: Column, temperature: float) -> Column:
+    """A probability whose logit is divided by the temperature."""
+    q = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p))
+    return sigmoid(F.log(q / (1 - q)) / max(1e-3, temperature))
+
+
 def _first_of(t: Column, f: Column, u: Column) -> Column:
     """The class of the largest probability; ties go to TRUE, then FALSE."""
     return F.when((t >= f) & (t >= u), "TRUE").when(f >= u, "FALSE").otherwise("UNVERIFIABLE")
@@ -124,28 +157,33 @@ def verdicts(post: DataFrame, steepness: float = 2.5) -> DataFrame:
         .when(F.col("verdict") == "FALSE", clip(45 * (1 - F.col("p_false")), 2.0, 45.0))
         .otherwise(clip(45 + 10 * (F.col("p_true") - F.col("p_false")), 30.0, 60.0))
     )
-    two = 1 / (1 + F.exp(-steepness * (s - r)))
+    two = F.round(1 / (1 + F.exp(-steepness * (s - r))), 9)
     d = d.withColumns({"confidence": F.least(F.col("sure"), cap), "truthfulness": truth, "truth_score_binary": two})
-    return d.withColumn("verdict_binary", F.when(s >= r, "TRUE").otherwise("FALSE")).drop("sure", "ct", "cf", "cu")
+    return d.withColumn("verdict_binary", F.when(F.col("truth_score_binary") >= 0.5, "TRUE").otherwise("FALSE")).drop("sure", "ct", "cf", "cu")
 
 
-def sufficient(coverage: Column, diversity: Column, agreement: Column, count: Column, relevance: Column, strong: Column, contradicted: Column, confidence_mode: bool = False) -> Column:
-    """Whether the evidence is enough for a verdict, by the first rule that decides."""
+def sufficiency_rule(coverage: Column, diversity: Column, agreement: Column, count: Column, relevance: Column, strong: Column, contradicted: Column, confidence_mode: bool = False) -> Column:
+    """The first rule that decides whether the evidence is enough; its name starts with fail where it is not."""
     least = 1 if confidence_mode else 3
     high, mid = (0.35, 0.20) if confidence_mode else (0.60, 0.40)
-    alone = contradicted == 0
-    rule = F.when((count < least) & (coverage < 0.20) & ~((diversity >= 0.85) & (F.coalesce(relevance, F.lit(0.0)) >= 0.75)), False)
+    alone, rel = contradicted == 0, F.coalesce(relevance, F.lit(0.0))
+    rule = F.when((count < least) & (coverage < 0.20) & ~((diversity >= 0.85) & (rel >= 0.75)), "fail_count")
     if confidence_mode:
-        rule = rule.when((count >= least) & (coverage >= 0.5) & (diversity >= 0.3) & (agreement >= 0.8), True)
+        rule = rule.when((count >= least) & (coverage >= 0.5) & (diversity >= 0.3) & (agreement >= 0.8), "confidence_mode")
     return (
-        rule.when(alone & (coverage >= 0.25) & (diversity >= 0.95) & (agreement >= 0.95), True)
-        .when(alone & (strong > 0) & (((coverage >= 0.25) & (diversity >= 0.75)) | (F.coalesce(relevance, F.lit(0.0)) >= 0.55)), True)
-        .when((coverage >= high) & (agreement >= 0.8), True)
-        .when((coverage >= mid) & (diversity >= 0.7) & (agreement >= 0.8), True)
-        .otherwise(False)
+        rule.when(alone & (coverage >= 0.25) & (diversity >= 0.95) & (agreement >= 0.95), "consensus")
+        .when(alone & (strong > 0) & (((coverage >= 0.25) & (diversity >= 0.75)) | (rel >= 0.55)), "adaptive_override")
+        .when((coverage >= high) & (agreement >= 0.8), "high_coverage")
+        .when((coverage >= mid) & (diversity >= 0.7) & (agreement >= 0.8), "medium_coverage")
+        .otherwise("fail")
     )
 
 
+def sufficient(*figures: Column, confidence_mode: bool = False) -> Column:
+    """Whether the evidence is enough for a verdict."""
+    return ~sufficiency_rule(*figures, confidence_mode=confidence_mode).startswith("fail")
+
+
 def reconciled(segments: DataFrame) -> DataFrame:
     """(claim_id, status) of segments to one verdict per claim, weighted truth and its cap; null is UNKNOWN."""
     st = F.upper(F.coalesce(F.col("status"), F.lit("UNKNOWN")))

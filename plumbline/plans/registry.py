@@ -363,3 +363,4 @@ def k13_retention(spark: SparkSession, d: str) -> DataFrame:
 
 
 from plumbline.plans import claims  # noqa: E402, F401  its queries register themselves
+from plumbline.plans import ranking  # noqa: E402, F401
