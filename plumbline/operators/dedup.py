@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,3 +17,20 @@ def keep_best(df: DataFrame, keys: list[str], score: str, order: str, default: f
     rank = F.struct(-F.coalesce(F.col(score), F.lit(default)), F.col(order))
     row = F.struct(*[F.col(c) for c in df.columns])
     return df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by(row, rank).alias("_row")).select("_row.*")
+
+
+def keep_confident(df: DataFrame, keys: list[str], score: str, order: str, default: float = 0.5) -> DataFrame:
+    """Of rows alike in ``keys`` the one that a fold in ``order`` ends with.
+
+    The next row replaces the one held if its score, or ``default`` where it has
+    none, is larger than the score held, 0 where that has none. So a row without
+    a score always comes in while the best score is below ``default``, and any
+    score above 0 replaces it: what stays is the first best of the rows from the
+    last such row on, or of all where a score reaches ``default``.
+    """
+    group = Window.partitionBy(*keys)
+    gap = F.max(F.when(F.col(score).isNull(), F.col(order))).over(group)
+    rows = df.withColumns({"_best": F.max(score).over(group), "_gap": gap})
+    in_play = (F.coalesce("_best", F.lit(0.0)) >= default) | F.col("_gap").isNull() | (F.col(order) >= F.col("_gap"))
+    rank = F.row_number().over(group.orderBy(in_play.desc(), F.coalesce(F.col(score), F.lit(0.0)).desc(), order))
+    return rows.withColumn("_rank", rank).filter("_rank = 1").drop("_best", "_gap", "_rank")

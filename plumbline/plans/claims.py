@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import domains, urls
+from plumbline.functions import domains
 from plumbline.operators import evidence, ingest, lists, trust, verdict
 from plumbline.plans.registry import EVIDENCE, LOGS, _logs, _r, _trusted, query
 from plumbline.session import read_table
@@ -39,7 +39,7 @@ i AS (SELECT l_orderkey AS claim_id, l_suppkey AS host, l_linestatus = 'F' AND l
 h AS (SELECT claim_id, host, sum(w * ps) AS s, sum(w * pr) AS r FROM i WHERE ok GROUP BY 1, 2),
 v AS (SELECT claim_id, max(c) / sum(c) AS agreement FROM (SELECT claim_id, CASE WHEN s - r > 1e-9 THEN 1 WHEN s - r < -1e-9 THEN 2 ELSE 3 END AS side, count(*) AS c FROM h GROUP BY 1, 2) GROUP BY 1),
 g AS (SELECT claim_id, count(*) AS n, count(*) FILTER (ok) AS k, sum(w) FILTER (ok) AS w, sum(w * ln(w)) FILTER (ok) AS wl, coalesce(sum(w * ps) FILTER (ok), 0) AS s, coalesce(sum(w * pr) FILTER (ok), 0) AS r, coalesce(sum(w * 0.1::DOUBLE) FILTER (ok), 0) AS u FROM i GROUP BY 1),
-m AS (SELECT g.claim_id, {_c01('s / greatest(1e-9, s + r + u)')} AS sm, {_c01('r / greatest(1e-9, s + r + u)')} AS rm, {_c01('u / greatest(1e-9, s + r + u)')} AS nm,
+m AS (SELECT g.claim_id, round({_c01('s / greatest(1e-9, s + r + u)')}, 9) AS sm, round({_c01('r / greatest(1e-9, s + r + u)')}, 9) AS rm, round({_c01('u / greatest(1e-9, s + r + u)')}, 9) AS nm,
     coalesce({_c01('(ln(w) - wl / w) / ln(greatest(k, 2))')}, 1.0) AS ent, coalesce(agreement, 0.0) AS agr, k / n AS adm, (o_custkey % 100) / 100.0::DOUBLE AS cov, (o_orderkey % 10) / 10.0::DOUBLE AS div
     FROM g LEFT JOIN v USING (claim_id) JOIN orders ON o_orderkey = g.claim_id),
 a AS (SELECT *, {_c01('abs(sm - rm)')} AS margin, {_c01('sm + rm')} AS dm, {_c01('greatest(sm, rm)')} AS ds FROM m),
@@ -77,7 +77,7 @@ z3 AS (SELECT *, CASE WHEN rm >= 0.60 AND cov < 0.50 THEN least(s2, 0.62) ELSE s
 z4 AS (SELECT *, {_c01('CASE WHEN ad < 0.40 THEN 0.85 * s3 ELSE s3 END')} AS s4 FROM z3)
 SELECT claim_id, verdict, round(CASE WHEN verdict <> 'UNVERIFIABLE' THEN s4 WHEN suff < 0.58 OR margin < 0.24 OR adm < 0.50 THEN least(s4, 0.58) WHEN hi >= 0.60 AND abs(ct - cf) >= 0.20 THEN least(s4, 0.62) ELSE s4 END, 6) AS confidence,
     round(CASE verdict WHEN 'TRUE' THEN greatest(55, least(98, 60 + 40 * pt)) WHEN 'FALSE' THEN greatest(2, least(45, 45 * (1 - pf))) ELSE greatest(30, least(60, 45 + 10 * (pt - pf))) END, 6) AS truthfulness,
-    round(1 / (1 + exp(-2.5 * (sm - rm))), 6) AS truth_score_binary, CASE WHEN sm >= rm THEN 'TRUE' ELSE 'FALSE' END AS verdict_binary FROM z4
+    round(1 / (1 + exp(-2.5 * (sm - rm))), 6) AS truth_score_binary, CASE WHEN round(1 / (1 + exp(-2.5 * (sm - rm))), 9) >= 0.5 THEN 'TRUE' ELSE 'FALSE' END AS verdict_binary FROM z4
 """)
 def a41_a42_a43_verdict_policy(spark: SparkSession, d: str) -> DataFrame:
     v = verdict.verdicts(verdict.posteriors(_mass(spark, d)))
@@ -99,12 +99,12 @@ def a16_reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 
 METRICS = f"""{EVIDENCE}, g AS (SELECT claim_id, count(*) AS n, count(DISTINCT host) AS u, round(avg(CASE WHEN stance <> 'contradicts' THEN 1.0 ELSE 0.0 END), 9) AS agr, round(avg(weight), 9) AS cov, round(avg(semantic_score), 9) AS rel,
-    count(*) FILTER (stance = 'entails') AS strong, count(*) FILTER (stance = 'contradicts') AS bad FROM t GROUP BY 1),
+    count(*) FILTER (stance = 'entails') AS strong, count(*) FILTER (stance = 'contradicts') AS bad FROM k WHERE rank <= 10 GROUP BY 1),
 f AS (SELECT *, round(CASE WHEN n <= 1 THEN 0.0 WHEN u >= n THEN 1.0 ELSE greatest(0, least(1, 1 - ln(n / u) / u)) END, 9)::DOUBLE AS div FROM g)"""
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    rows = _trusted(spark, d)
+    rows = evidence.trust_ranked(_trusted(spark, d))
     extra = rows.groupBy("claim_id").agg(F.round(F.avg("weight"), 9).alias("coverage"), F.round(F.avg("semantic_score"), 9).alias("relevance"), F.count_if(F.col("stance") == "entails").alias("strong"), F.count_if(F.col("stance") == "contradicts").alias("bad"))
     return evidence.claim_metrics(rows).join(extra, "claim_id").withColumns({c: F.round(c, 9) for c in ("diversity", "agreement")})
 
@@ -145,19 +145,19 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
 
 def _decisions(spark: SparkSession, d: str) -> DataFrame:
     """Orders as decisions on the hosts of suppliers; later ones replace earlier ones."""
-    rows = read_table(spark, d, "orders").filter("o_orderkey % 3 = 0")
+    rows = read_table(spark, d, "orders")
     return rows.select(F.concat(F.lit("s"), F.col("o_custkey") % 20 + 1, F.lit(".example")).alias("domain"), (F.col("o_orderstatus") == "F").alias("approved"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("seq"))
 
 
 VALIDATED = """
-w AS (SELECT 's' || (o_custkey % 20 + 1) || '.example' AS domain, arg_max(o_orderstatus = 'F', (o_orderdate, o_orderkey)) AS approved FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1),
+w AS (SELECT 's' || (o_custkey % 20 + 1) || '.example' AS domain, arg_max(o_orderstatus = 'F', (o_orderdate, o_orderkey)) AS approved FROM orders GROUP BY 1),
 x AS (SELECT l_orderkey || '-' || l_linenumber AS fact_id, CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_partkey % 5 = 0 THEN 'cdc.gov' ELSE 's' || l_suppkey || '.example' END AS host FROM lineitem),
 s AS (SELECT fact_id, host, CASE WHEN host IS NULL THEN 'UNTRUSTED' WHEN host = 'cdc.gov' OR approved THEN 'TRUSTED' WHEN approved IS NOT NULL THEN 'UNTRUSTED' ELSE 'PENDING_DOMAIN_TRUST' END AS validation_state FROM x LEFT JOIN w ON host = domain),
 y AS (SELECT *, CASE validation_state WHEN 'TRUSTED' THEN 'CONFIRMED' WHEN 'UNTRUSTED' THEN 'REVOKED' ELSE 'PROVISIONAL' END AS verdict_state FROM s)
 """
 
 
-@query("SELECT domain, approved FROM (SELECT 's' || (o_custkey % 20 + 1) || '.example' AS domain, arg_max(o_orderstatus = 'F', (o_orderdate, o_orderkey)) AS approved FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)")
+@query("SELECT domain, approved FROM (SELECT 's' || (o_custkey % 20 + 1) || '.example' AS domain, arg_max(o_orderstatus = 'F', (o_orderdate, o_orderkey)) AS approved FROM orders GROUP BY 1)")
 def k15_k16_domain_decisions(spark: SparkSession, d: str) -> DataFrame:
     return trust.newest_decisions(_decisions(spark, d))
 
@@ -186,15 +186,14 @@ def f56_accessible(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def a10_trust_interval(spark: SparkSession, d: str) -> DataFrame:
-    ranked = evidence.trust_ranked(_trusted(spark, d)).withColumn("key", urls.dedupe_key(F.col("source_url")))
-    return trust.trust_interval(ranked).select("claim_id", _r(F.col("ci_low")).alias("ci_low"), _r(F.col("ci_high")).alias("ci_high"))
+    return trust.trust_interval(evidence.trust_ranked(_trusted(spark, d))).select("claim_id", _r(F.col("ci_low")).alias("ci_low"), _r(F.col("ci_high")).alias("ci_high"))
 
 
 # upserts
 
 def _triples(spark: SparkSession, d: str) -> DataFrame:
     """Order lines as triples of part and supplier."""
-    names = F.array(*[F.lit(x) for x in ("causes", "is linked_to", "does_not_cause", "", "prevents", "leads to")])
+    names = F.array(*[F.lit(x) for x in ("causes", "is linked_to", "does_not_cause", "", "prevents", "lead_to")])
     statement = F.when(F.col("l_tax") > 0.05, "it does not harm").otherwise("it harms")
     stance = F.when(F.col("l_returnflag") == "A", "SUPPORTS").when(F.col("l_returnflag") == "R", "refutes").otherwise(F.when(F.col("l_linenumber") == 1, "SUPPORTS").otherwise("NEUTRAL"))
     return read_table(spark, d, "lineitem").select(
@@ -204,9 +203,9 @@ def _triples(spark: SparkSession, d: str) -> DataFrame:
 
 
 TRIPLES = """
-i AS (SELECT 'Part ' || (l_partkey % 40) AS subject, ['causes', 'is linked_to', 'does_not_cause', '', 'prevents', 'leads to'][l_partkey % 6 + 1] AS relation, 'Firm ' || (l_suppkey % 7) AS object, l_discount AS confidence,
+i AS (SELECT 'Part ' || (l_partkey % 40) AS subject, ['causes', 'is linked_to', 'does_not_cause', '', 'prevents', 'lead_to'][l_partkey % 6 + 1] AS relation, 'Firm ' || (l_suppkey % 7) AS object, l_discount AS confidence,
     CASE WHEN l_returnflag = 'A' THEN 'SUPPORTS' WHEN l_returnflag = 'R' THEN 'refutes' WHEN l_linenumber = 1 THEN 'SUPPORTS' ELSE 'NEUTRAL' END AS stance, l_tax > 0.05 AS negated, 'https://s' || l_suppkey || '.example' AS source_url, l_orderkey * 10 + l_linenumber AS seq FROM lineitem),
-k AS (SELECT *, relation <> '' AND stance <> 'NEUTRAL' AND NOT (negated AND relation IN ('causes', 'is linked_to')) AS ok, left(md5(lower(subject)), 16) || '|' || relation || '|' || left(md5(lower(object)), 16) AS rid FROM i)
+k AS (SELECT *, relation <> '' AND stance <> 'NEUTRAL' AND NOT (negated AND relation IN ('causes', 'is linked_to', 'does_not_cause', 'lead_to')) AS ok, left(md5(lower(subject)), 16) || '|' || relation || '|' || left(md5(lower(object)), 16) AS rid FROM i)
 """
 
 
@@ -216,7 +215,7 @@ def k3_k4_merge_relations(spark: SparkSession, d: str) -> DataFrame:
     return ingest.merge_relations(t.filter("seq <= 1000"), t.filter("seq > 1000"))
 
 
-@query(f"WITH {TRIPLES} SELECT count(*) AS attempted, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS skipped FROM k")
+@query(f"WITH {TRIPLES} SELECT count(*) AS attempted, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed FROM k")
 def k6_k7_ingest_counts(spark: SparkSession, d: str) -> DataFrame:
     return ingest.ingest_counts(_triples(spark, d))
 
@@ -227,7 +226,7 @@ def k5_relation_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {TRIPLES}, n AS (SELECT DISTINCT subject, relation, object, CASE relation WHEN 'is linked_to' THEN 'associated_with' WHEN 'leads to' THEN 'causes' WHEN 'does_not_cause' THEN 'causes' ELSE relation END AS label FROM k)
+WITH {TRIPLES}, n AS (SELECT DISTINCT subject, relation, object, CASE relation WHEN 'is linked_to' THEN 'associated_with' WHEN 'lead_to' THEN 'causes' WHEN 'does_not_cause' THEN 'causes' ELSE relation END AS label FROM k)
 SELECT *, CASE WHEN label IN ('causes', 'prevents') THEN 'causal_or_effect' WHEN label = 'associated_with' THEN 'associative' ELSE 'other' END AS kind, CASE WHEN relation = '' THEN subject || ' ' || object ELSE subject || ' ' || replace(relation, '_', ' ') || ' ' || object END || '.' AS statement FROM n
 """)
 def g2_g3_g6_triple_text(spark: SparkSession, d: str) -> DataFrame:

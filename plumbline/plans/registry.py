@@ -14,8 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import scoring, text, urls
+from plumbline.functions import scoring, text, urls, words
 from plumbline.operators import dedup, evidence, graph, retrieval
+from plumbline.plans import worded
 from plumbline.session import read_table
 from plumbline.sources import logs
 
@@ -52,6 +53,9 @@ def _r(x: Column) -> Column:
 # text
 
 NORMAL = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
+#: White space of all scripts.
+WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+FOLDED = f"trim(regexp_replace(lower(coalesce(text, '')), '{WHITE}', ' ', 'g'))"
 
 
 @query(rf"SELECT doc_id, {NORMAL} AS normal FROM documents")
@@ -90,7 +94,7 @@ def u6_extract_sentences(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").select("doc_id", F.explode(text.sentences(F.col("text"))).alias("sentence"))
 
 
-@query("SELECT doc_id, 'f_' || left(sha256(concat_ws('|', coalesce(text, ''), coalesce(source, ''))), 16) AS fact_id FROM documents")
+@query(f"SELECT doc_id, 'f_' || left(sha256(rtrim(lower(coalesce(source, '')), '/') || '|' || {FOLDED}), 16) AS fact_id FROM documents")
 def d6_fact_id(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").select("doc_id", text.fact_id(F.col("text"), F.col("source")).alias("fact_id"))
 
@@ -105,15 +109,16 @@ def u24_has_number(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "benchmark").select("item_id", text.has_number(F.col("text")).alias("numeric"))
 
 
-@query("SELECT item_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z\\-]{2,}'))), ' ') AS signature FROM benchmark".replace("\\\\", "\\"))
+@query(f"WITH {worded.EVIDENCE_SQL} SELECT DISTINCT statement, array_to_string(list_sort({worded.s_set(worded.s_low('statement'), words.ALPHA, (*words.STOP, *text.SIGNATURE_NEGATIONS))}), ' ') AS signature FROM ev")
 def d14_statement_signature(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "benchmark").select("item_id", text.statement_signature(F.col("text")).alias("signature"))
+    rows = worded.evidence(spark, d).select("statement").distinct()
+    return rows.select("statement", text.statement_signature(F.col("statement")).alias("signature"))
 
 
 # URLs
 
 BARE = r"regexp_replace(coalesce(url, ''), '[?#].*$', '')"
-HOST = r"regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^www[.]', ''), ':.*$', '')"
+DOMAIN = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^www[.]', '')"
 VALID = r"regexp_matches(coalesce(url, ''), '(?i)^https?://[^\s/$.?#].[^\s]*$')"
 
 
@@ -122,10 +127,16 @@ def u1_normalize_url(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("normal"))
 
 
-@query(rf"SELECT page_id, {VALID} AS valid, CASE WHEN {VALID} THEN {HOST} END AS host, regexp_extract(CASE WHEN {VALID} THEN {HOST} END, '([^.]+[.][^.]+|[^.]+)$', 1) AS root FROM pages")
+@query(rf"""
+WITH {worded.EVIDENCE_SQL}, u AS (SELECT page_id::VARCHAR AS id, url FROM pages UNION ALL SELECT DISTINCT '', source_url FROM ev),
+h AS (SELECT *, {VALID} AS valid, CASE WHEN {VALID} THEN {DOMAIN} END AS domain FROM u)
+SELECT id, url, valid, domain, regexp_replace(domain, ':.*$', '') AS host, regexp_extract(domain, '([^.]+[.][^.]+|[^.]+)$', 1) AS root FROM h
+""")
 def ul2_ul3_ul4_domains(spark: SparkSession, d: str) -> DataFrame:
     u = F.col("url")
-    return read_table(spark, d, "pages").select("page_id", urls.is_valid_url(u).alias("valid"), urls.host(u).alias("host"), urls.root_domain(u).alias("root"))
+    own = worded.evidence(spark, d).select(F.lit("").alias("id"), F.col("source_url").alias("url")).distinct()
+    rows = read_table(spark, d, "pages").select(F.col("page_id").cast("string").alias("id"), "url").unionByName(own)
+    return rows.select("id", "url", urls.is_valid_url(u).alias("valid"), urls.domain(u).alias("domain"), urls.host(u).alias("host"), urls.root_domain(u).alias("root"))
 
 
 @query(rf"SELECT n.normal, min(page_id) AS page_id FROM (SELECT page_id, lower(regexp_replace(regexp_replace({BARE}, '/+$', ''), '://www[.]', '://')) AS normal FROM pages) n GROUP BY 1")
@@ -134,25 +145,44 @@ def d11_distinct_urls(spark: SparkSession, d: str) -> DataFrame:
     return pages.groupBy("normal").agg(F.min("page_id").alias("page_id"))
 
 
-@query()
+#: What each of worded.URLS is keyed by.
+KEYS = (
+    "https://cdc.gov/p", "https://pubmed.ncbi.nlm.nih.gov/1?a=1&b=2", "https://cochrane.org/review", "https://news.example.com/a", "https://blog.example/b?a=2&a=1&z=1",
+    None, None, "https://none", "https://who.int/fact", "https://sub.nhs.uk/zinc",
+)
+
+
+@query(f"""
+SELECT DISTINCT {worded.sql_pick(worded.URLS, 'l_suppkey')} AS url, {worded.sql_pick(KEYS, 'l_suppkey')} AS key FROM lineitem
+UNION SELECT url, 'https://' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '://([^#]*)', 1), '^www[.]', ''), '([?&])utm_[a-z]+=[^&]*&?', '\\1'), '[?&]$', ''), '/+([?]|$)', '\\1') FROM pages
+""")
 def ul8_dedupe_key(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "pages").select("page_id", urls.dedupe_key(F.col("url")).alias("key"))
+    rows = worded.evidence(spark, d).select(F.col("source_url").alias("url")).union(read_table(spark, d, "pages").select("url")).distinct()
+    return rows.select("url", urls.dedupe_key(F.col("url")).alias("key"))
 
 
 # dedup
 
-@query(rf"SELECT min(doc_id) AS doc_id, {NORMAL} AS normal FROM documents GROUP BY 2")
-def d7_dedup_normalized_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normal"))
-    return rows.groupBy("normal").agg(F.min("doc_id").alias("doc_id"))
+@query(f"SELECT min(doc_id) AS doc_id, {FOLDED} AS folded FROM documents GROUP BY 2")
+def d7_dedup_folded_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "documents").select("doc_id", text.folded(F.col("text")).alias("folded"))
+    return rows.groupBy("folded").agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("""
-SELECT l_orderkey, l_suppkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_quantity DESC, l_linenumber) AS r FROM lineitem) WHERE r = 1
-""")
-def d8_d10_keep_best(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity")
-    return dedup.keep_best(rows, ["l_orderkey", "l_suppkey"], "l_quantity", "l_linenumber")
+#: Rows alike, folded one after the other: the next one stays if its confidence (0.5 where it has none) beats that of the one held (0 where it has none).
+FOLD = "list_reduce(list_sort(list({'seq': seq, 'c': conf})), lambda a, b: CASE WHEN coalesce(a.c, 0) < coalesce(b.c, 0.5) THEN b ELSE a END)"
+
+
+@query(f"WITH {worded.EVIDENCE_SQL}, f AS (SELECT lower(trim(coalesce(statement, ''))) AS statement, source_url, seq, CASE WHEN is_backfill THEN NULL ELSE score END AS conf FROM ev), g AS (SELECT statement, source_url, {FOLD} AS r FROM f GROUP BY 1, 2) SELECT statement, source_url, r.seq AS seq, r.c AS confidence FROM g")
+def d8_facts_by_confidence(spark: SparkSession, d: str) -> DataFrame:
+    rows = worded.evidence(spark, d).select(F.lower(F.trim(F.coalesce("statement", F.lit("")))).alias("statement"), "source_url", "seq", F.when(~F.col("is_backfill"), F.col("score")).alias("confidence"))
+    return dedup.keep_confident(rows, ["statement", "source_url"], "confidence", "seq")
+
+
+@query(f"WITH {worded.EVIDENCE_SQL}, f AS (SELECT claim_id, lower(trim(coalesce(statement, ''))) AS statement, source_url, seq, score FROM ev) SELECT claim_id, statement, source_url, seq, score FROM (SELECT *, row_number() OVER (PARTITION BY claim_id, statement, source_url ORDER BY coalesce(score, 0) DESC, seq) AS r FROM f) WHERE r = 1")
+def d10_candidates_by_score(spark: SparkSession, d: str) -> DataFrame:
+    rows = worded.evidence(spark, d).select("claim_id", F.lower(F.trim(F.coalesce("statement", F.lit("")))).alias("statement"), "source_url", "seq", "score")
+    return dedup.keep_best(rows, ["claim_id", "statement", "source_url"], "score", "seq")
 
 
 @query("""
@@ -226,12 +256,14 @@ def j2_two_hop(spark: SparkSession, d: str) -> DataFrame:
 # evidence
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Order lines as evidence of the claim that is their order."""
-    stance = F.when(F.col("l_returnflag") == "A", "entails").when(F.col("l_returnflag") == "R", "contradicts").otherwise("neutral")
+    """Order lines as evidence of the claim that is their order; one supplier in six has no URL."""
+    c = F.col
+    stance = F.when(c("l_returnflag") == "A", "entails").when(c("l_returnflag") == "R", "contradicts").otherwise("neutral")
+    url = F.concat(F.lit("https://www.S"), "l_suppkey", F.lit(".example:8080/p/?utm_source=a&b="), c("l_linenumber") % 2, F.lit("#x"))
     return read_table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("claim_id"), F.col("l_linenumber").alias("evidence_id"), (F.col("l_discount") * 10).alias("semantic_score"),
-        F.concat(F.lit("https://s"), F.col("l_suppkey"), F.lit(".example/p")).alias("source_url"), F.col("l_shipdate").alias("published_at"), stance.alias("stance"),
-        (F.col("l_quantity") / 50).alias("weight"), F.col("l_discount").alias("support"), F.col("l_tax").alias("against"),
+        c("l_orderkey").alias("claim_id"), (c("l_linenumber") * 100000000 + c("l_partkey") * 1000 + c("l_suppkey")).alias("evidence_id"), (c("l_discount") * 10).alias("semantic_score"),
+        F.when(c("l_suppkey") % 12 == 0, None).when(c("l_suppkey") % 12 == 1, "").otherwise(url).alias("source_url"), worded.pick(worded.STATEMENTS, c("l_partkey") + 3 * c("l_orderkey")).alias("statement"), c("l_shipdate").alias("published_at"), stance.alias("stance"),
+        (c("l_quantity") / 50).alias("weight"), c("l_discount").alias("support"), c("l_tax").alias("against"), (c("l_linenumber") % 4 != 0).alias("admissible"),
     )
 
 
@@ -240,20 +272,20 @@ def _trusted(spark: SparkSession, d: str) -> DataFrame:
 
 
 EVIDENCE = f"""
-v AS (SELECT l_orderkey AS claim_id, l_linenumber AS evidence_id, l_discount * 10 AS semantic_score, l_suppkey AS host, l_shipdate AS published_at,
+v AS (SELECT l_orderkey AS claim_id, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS evidence_id, l_discount * 10 AS semantic_score, CASE WHEN l_suppkey % 12 < 2 THEN '' ELSE 's' || l_suppkey || '.example:8080' END AS host,
+    CASE WHEN l_suppkey % 12 < 2 THEN md5(lower(trim({worded.sql_pick(worded.STATEMENTS, 'l_partkey + 3 * l_orderkey')}))) ELSE 'https://s' || l_suppkey || '.example/p?b=' || (l_linenumber % 2) END AS key, l_shipdate AS published_at, l_linenumber % 4 <> 0 AS admissible,
     CASE l_returnflag WHEN 'A' THEN 'entails' WHEN 'R' THEN 'contradicts' ELSE 'neutral' END AS stance, l_quantity / 50 AS weight, l_discount AS support, l_tax AS against,
     floor((epoch(TIMESTAMP '{NOW}') - epoch(l_shipdate)) / 86400) AS days FROM lineitem),
-t AS (SELECT *, greatest(0, least(1, 0.3::DOUBLE * semantic_score + 0.3::DOUBLE * 0.5::DOUBLE + 0.2::DOUBLE * CASE WHEN days < 180 THEN 1.0::DOUBLE WHEN days < 365 THEN 0.8 WHEN days < 1095 THEN 0.6 WHEN days < 1825 THEN 0.4 ELSE 0.3 END
-    + 0.2::DOUBLE * CASE stance WHEN 'entails' THEN 1.0::DOUBLE WHEN 'contradicts' THEN 0.0 ELSE 0.5 END)) AS trust FROM v)
+t0 AS (SELECT *, CASE WHEN days < 180 THEN 1.0::DOUBLE WHEN days < 365 THEN 0.8 WHEN days < 1095 THEN 0.6 WHEN days < 1825 THEN 0.4 ELSE 0.3 END AS recency_part, CASE stance WHEN 'entails' THEN 1.0::DOUBLE WHEN 'contradicts' THEN 0.0 ELSE 0.5 END AS stance_part FROM v),
+t AS (SELECT *, greatest(0, least(1, 0.3::DOUBLE * semantic_score + 0.3::DOUBLE * 0.5::DOUBLE + 0.2::DOUBLE * recency_part + 0.2::DOUBLE * stance_part)) AS trust FROM t0),
+o AS (SELECT *, row_number() OVER (PARTITION BY claim_id, key ORDER BY trust DESC, semantic_score DESC, evidence_id) AS nth FROM t),
+k AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY trust DESC, semantic_score DESC, evidence_id) AS rank FROM o WHERE nth = 1)
 """
 
 
-@query(f"""
-WITH {EVIDENCE}, o AS (SELECT *, row_number() OVER (PARTITION BY claim_id, host ORDER BY trust DESC, semantic_score DESC, evidence_id) AS r FROM t)
-SELECT * FROM (SELECT claim_id, evidence_id, round(trust, 6) AS trust, row_number() OVER (PARTITION BY claim_id ORDER BY trust DESC, semantic_score DESC, evidence_id) AS rank FROM o WHERE r = 1) WHERE rank <= 10
-""")
+@query(f"WITH {EVIDENCE} SELECT claim_id, evidence_id, key, round(trust, 6) AS trust, rank FROM k WHERE rank <= 10")
 def t6_trust_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.trust_ranked(_trusted(spark, d)).select("claim_id", "evidence_id", _r(F.col("trust")).alias("trust"), "rank")
+    return evidence.trust_ranked(_trusted(spark, d)).select("claim_id", "evidence_id", "key", _r(F.col("trust")).alias("trust"), "rank")
 
 
 @query("""
@@ -275,22 +307,37 @@ def w8_quota_interleave(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {EVIDENCE}, g AS (SELECT claim_id, count(*) AS n, count(DISTINCT host) AS u, avg(CASE WHEN stance <> 'contradicts' THEN 1.0 ELSE 0.0 END) AS agreement, sum(trust * trust) AS tt, sum(trust) AS t,
-    sum(CASE WHEN stance = 'entails' THEN trust ELSE 0 END) AS ts, sum(CASE WHEN stance = 'contradicts' THEN trust ELSE 0 END) AS tc FROM t GROUP BY 1)
-SELECT claim_id, n, round(CASE WHEN n <= 1 THEN 0.0 WHEN u >= n THEN 1.0 ELSE greatest(0, least(1, 1 - ln(n / u) / u)) END, 9)::DOUBLE AS diversity, round(agreement, 9) AS agreement, round(tt / t, 9) AS trust_post, round(ts / t, 9) AS support_mass, round(tc / t, 9) AS contradict_mass FROM g
+WITH {EVIDENCE}, g AS (SELECT claim_id, count(*) AS n, count(DISTINCT host) AS u, avg(CASE WHEN stance <> 'contradicts' THEN 1.0 ELSE 0.0 END) AS agreement, sum(trust * trust) AS tt, sum(trust) AS t, sum(semantic_score * trust) AS sem, sum(0.5::DOUBLE * trust) AS src, sum(recency_part * trust) AS rec,
+    sum(stance_part * trust) AS sta, count(*) FILTER (stance = 'entails') AS n_entails, count(*) FILTER (stance = 'contradicts') AS n_contradicts, count(*) FILTER (stance = 'neutral') AS n_neutral,
+    sum(CASE WHEN stance = 'entails' THEN trust ELSE 0 END) AS ts, sum(CASE WHEN stance = 'contradicts' THEN trust ELSE 0 END) AS tc, sum(CASE WHEN stance = 'neutral' THEN trust ELSE 0 END) AS tn FROM k WHERE rank <= 3 GROUP BY 1),
+p AS (SELECT *, round(tt / t, 9) AS post FROM g)
+SELECT claim_id, n, round(CASE WHEN n <= 1 THEN 0.0 WHEN u >= n THEN 1.0 ELSE greatest(0, least(1, 1 - ln(n / u) / u)) END, 9)::DOUBLE AS diversity, round(agreement, 9) AS agreement, post AS trust_post, n_entails, n_contradicts, n_neutral,
+    CASE WHEN post >= 0.85 THEN 'A+' WHEN post >= 0.75 THEN 'A' WHEN post >= 0.65 THEN 'B' WHEN post >= 0.5 THEN 'C' WHEN post >= 0.35 THEN 'D' ELSE 'F' END AS trust_grade, round(sem / t, 9) AS semantic_mean, round(src / t, 9) AS source_mean, round(rec / t, 9) AS recency_mean, round(sta / t, 9) AS stance_mean,
+    round(ts / t, 9) AS support_mass, round(tc / t, 9) AS contradict_mass, round(tn / t, 9) + 0.0 AS uncertain_mass FROM p
 """)
 def a3_a4_a9_a11_claim_metrics(spark: SparkSession, d: str) -> DataFrame:
-    m = evidence.claim_metrics(_trusted(spark, d))
-    return m.select("claim_id", "n", *[F.round(c, 9).alias(c) for c in ("diversity", "agreement", "trust_post", "support_mass", "contradict_mass")])
+    m = evidence.claim_metrics(evidence.trust_ranked(_trusted(spark, d), 3))
+    rounded = ("diversity", "agreement", "trust_post", "semantic_mean", "source_mean", "recency_mean", "stance_mean", "support_mass", "contradict_mass", "uncertain_mass")
+    return m.select("claim_id", "n", "trust_grade", "n_entails", "n_contradicts", "n_neutral", *[(F.round(c, 9) + 0.0).alias(c) for c in rounded])
+
+
+@query(f"""
+WITH {EVIDENCE}, c AS (SELECT claim_id, CASE WHEN host = '' THEN 'unknown' ELSE regexp_replace(host, ':.*', '') END AS domain, count(*) AS n, min(rank) AS r FROM k WHERE rank <= 10 GROUP BY 1, 2),
+w AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY n DESC, r) AS i FROM c)
+SELECT claim_id, string_agg(domain, ' ' ORDER BY i) AS domains FROM w WHERE i <= 5 GROUP BY 1
+""")
+def a9_a34_top_domains(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.top_domains(evidence.trust_ranked(_trusted(spark, d))).select("claim_id", F.array_join("domains", " ").alias("domains"))
 
 
 @query(f"""
-WITH {EVIDENCE}, g AS (SELECT claim_id, 1 - product(1 - support * trust) AS support, 1 - product(1 - against * trust) AS against, sum(trust) AS mass FROM t GROUP BY 1)
-SELECT claim_id, round(support, 6) AS support, round(against, 6) AS against, CASE WHEN mass < 0.15 THEN 'UNKNOWN' WHEN support - against >= 0.22 THEN 'VALID' WHEN support - against <= -0.22 THEN 'INVALID'
-    WHEN support - against >= 0.06 THEN 'PARTIALLY_VALID' WHEN support - against <= -0.06 THEN 'PARTIALLY_INVALID' ELSE 'UNKNOWN' END AS status FROM g
+WITH {EVIDENCE}, g AS (SELECT claim_id, round(1 - coalesce(product(1 - support * trust) FILTER (admissible), 1), 9) AS support, round(1 - coalesce(product(1 - against * trust) FILTER (admissible), 1), 9) AS against, round(coalesce(sum(trust) FILTER (admissible), 0), 9) AS mass,
+    list_sort(list(DISTINCT evidence_id) FILTER (admissible)) AS ids FROM t GROUP BY 1), m AS (SELECT *, round(support - against, 9) AS m FROM g)
+SELECT claim_id, round(support, 6) AS support, round(against, 6) AS against, CASE WHEN mass < 0.15 THEN 'UNKNOWN' WHEN m >= 0.22 THEN 'VALID' WHEN m <= -0.22 THEN 'INVALID' WHEN m >= 0.06 THEN 'PARTIALLY_VALID' WHEN m <= -0.06 THEN 'PARTIALLY_INVALID' ELSE 'UNKNOWN' END AS status,
+    coalesce(array_to_string(ids, ' '), '') AS evidence_ids FROM m
 """)
 def a12_noisy_or(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.noisy_or(_trusted(spark, d)).select("claim_id", _r(F.col("support")).alias("support"), _r(F.col("against")).alias("against"), "status")
+    return evidence.noisy_or(_trusted(spark, d)).select("claim_id", _r(F.col("support")).alias("support"), _r(F.col("against")).alias("against"), "status", F.array_join("evidence_ids", " ").alias("evidence_ids"))
 
 
 @query(f"""
@@ -310,14 +357,26 @@ def a14_vote_agreement(spark: SparkSession, d: str) -> DataFrame:
     return evidence.vote_agreement(_evidence(spark, d)).select("claim_id", _r(F.col("agreement")).alias("agreement"))
 
 
-@query("""
-WITH b AS (SELECT quality = 1 AS e, toxic = 0 AS p FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL),
-c AS (SELECT count(*) AS n, count(*) FILTER (e = p) AS same, count(*) FILTER (e AND p) AS tp, count(*) FILTER (NOT e AND p) AS fp, count(*) FILTER (e AND NOT p) AS fn FROM b)
-SELECT n::DOUBLE AS samples, round(same / n, 4) AS accuracy, round(2.0 * tp / (2 * tp + fp + fn), 4)::DOUBLE AS f1_true FROM c
-""")
-def a22_regression_metrics(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "labels").select((F.col("quality") == 1).alias("e"), (F.col("toxic") == 0).alias("p"))
-    return evidence.binary_metrics(rows, "e", "p")
+#: Orders as rows of a regression run.
+VERDICTS = ("TRUE", "false", "Partially_True", "MISLEADING", "unverifiable", "mostly_true", None)
+DOMAINS = ("a.org", " B.org ", "c.org", "", "d.org")
+REGRESSION = f"""
+r AS (SELECT upper(trim({worded.sql_pick(VERDICTS, 'o_orderkey')})) AS e0, upper(trim({worded.sql_pick(VERDICTS, 'o_custkey')})) AS p0, [{worded.sql_pick(DOMAINS, 'o_orderkey')}, {worded.sql_pick(DOMAINS, 'o_orderkey + 1')}] AS want,
+    [{', '.join(worded.sql_pick(DOMAINS, f'o_custkey + {i}') for i in range(4))}] AS got FROM orders),
+s AS (SELECT CASE WHEN e0 IN ('TRUE', 'PARTIALLY_TRUE', 'MOSTLY_TRUE') THEN 1 WHEN e0 IN ('FALSE', 'PARTIALLY_FALSE', 'MISLEADING') THEN 0 END AS e, CASE WHEN p0 IN ('TRUE', 'PARTIALLY_TRUE', 'MOSTLY_TRUE') THEN 1 WHEN p0 IN ('FALSE', 'PARTIALLY_FALSE', 'MISLEADING') THEN 0 END AS p,
+    list_filter(list_transform(want, lambda x: lower(trim(x))), lambda x: x <> '') AS want, list_filter(list_transform(got, lambda x: lower(trim(x))), lambda x: x <> '')[:3] AS got FROM r),
+g AS (SELECT count(*) AS n, count(*) FILTER (e = p) AS same, count(*) FILTER (e = 1 AND p = 1) AS tp, count(*) FILTER (e = 0 AND p = 1) AS fp, count(*) FILTER (e = 1 AND p = 0) AS fn,
+    sum(len(list_filter(got, lambda x: list_contains(want, x)))) FILTER (len(want) > 0 AND len(got) > 0) AS hits, sum(len(got)) FILTER (len(want) > 0 AND len(got) > 0) AS asked FROM s WHERE e IS NOT NULL AND p IS NOT NULL)
+"""
+
+
+@query(f"WITH {REGRESSION}, m AS (SELECT n::DOUBLE AS samples, round(same / n, 4) AS accuracy, round(2.0 * tp / (2 * tp + fp + fn), 4)::DOUBLE AS f1_true, round(hits / asked, 4)::DOUBLE AS evidence_precision_at_3 FROM g) SELECT *, accuracy >= 0.4 AND f1_true >= 0.4 AND evidence_precision_at_3 >= 0.4 AS passed FROM m")
+def a22_a23_regression_metrics(spark: SparkSession, d: str) -> DataFrame:
+    many = lambda first, n: F.array(*[worded.pick(DOMAINS, F.col(first) + i) for i in range(n)])
+    rows = read_table(spark, d, "orders").select(
+        worded.pick(VERDICTS, F.col("o_orderkey")).alias("expected_verdict"), worded.pick(VERDICTS, F.col("o_custkey")).alias("predicted_verdict"), many("o_orderkey", 2).alias("expected_domains"), many("o_custkey", 4).alias("predicted_domains")
+    )
+    return evidence.thresholds_pass(evidence.regression_metrics(rows), 0.4, 0.4, 0.4)
 
 
 @query(f"""
