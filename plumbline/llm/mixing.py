@@ -20,10 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.ranges import with_running_sum
 from plumbline.session import cut
 
 #: Documents of a bucket on average, and buckets whose residuals meet in one of the next level.
 BUCKET_ROWS, FAN_IN = 4096, 64
+#: Sources up to which their table may be broadcast (some tens of MB).
+BROADCAST_SOURCES = 200_000
 EPS = 1e-9
 
 
@@ -35,7 +38,8 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float], share: float
     """Each source's words: ``share`` of all words by weight, none above ``cap`` times its size.
 
     Sources take the weights in turn, in code point order, null last. What the
-    cap cuts off goes to the others by weight, until none is above.
+    cap cuts off goes to the others by weight, until none is above. This is the
+    plain version of source_targets(), for sizes that lie in memory.
     """
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
@@ -52,6 +56,34 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float], share: float
     return out
 
 
+def source_targets(rows: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
+    """(src, none, source_size, n, target) of the sources of ``rows`` (source, size), as a table: there may be many sources.
+
+    A source's place in code point order, null last, is a running count over
+    ranges. Words per weight are worked out in rounds: a round takes out the
+    sources that would get more than their cap, and ends when none does.
+    """
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    sums = sums.select(F.col("source").isNull().alias("none"), F.col("source").alias("src"), "source_size", "n")
+    placed = with_running_sum(sums, ["none", "src"], F.lit(1).cast("long"), "place")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("place", F.lit(len(weights))).cast("int"))
+    known = cut(placed.select("src", "none", "source_size", "n", weight.alias("weight")))
+    goal = share * (known.agg(F.sum("source_size").alias("s")).first()["s"] or 0)
+    capped, unit = F.lit(False), 0.0
+    while True:
+        got = known.agg(F.sum(F.when(capped, 0.0).otherwise(F.col("weight"))).alias("w"), F.sum(F.when(capped, cap * F.col("source_size")).otherwise(0.0)).alias("c"), F.count_if(capped).alias("k")).first()
+        if not got["w"]:
+            break
+        unit = (goal - got["c"]) / got["w"]
+        more = capped | (unit * F.col("weight") > cap * F.col("source_size"))
+        if known.filter(more).count() == got["k"]:
+            break
+        # the words per weight only grow from round to round, so who was out stays out
+        capped = F.lit(unit) * F.col("weight") > cap * F.col("source_size")
+    target = F.when(capped, cap * F.col("source_size")).otherwise(unit * F.col("weight"))
+    return known.select("src", "none", "source_size", "n", target.cast("double").alias("target"))
+
+
 def settle(size: np.ndarray, p: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int]:
     """Round fractions ``p`` of documents of ``size`` words; the place of the one left, or -1.
 
@@ -102,23 +134,23 @@ def mix_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """One row per row of ``docs``: id, source, size, source_size, target, copies, taken.
 
     ``copies`` is how often the mix takes the document, ``taken`` the words of
-    that. The totals by source, one number each, are gathered on the driver;
-    documents are not. Runs agree for the same rows, however they are partitioned.
-    Null text has size 0; documents without words are taken floor(rate) times,
-    which adds no words. A null source is a source of its own, the last one.
-    Repeated rows are documents each; which of them is taken more often is
-    not told apart. An empty table gives no rows.
+    that. Sources are a table of their own, broadcast where it is small. Runs
+    agree for the same rows, however they are partitioned. Null text has size 0;
+    documents without words are taken floor(rate) times, which adds no words. A
+    null source is a source of its own, the last one. Repeated rows are
+    documents each; which of them is taken more often is not told apart, and
+    rows alike in id, source and text share a bucket. An empty table gives no
+    rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size")))
-    totals = {r["source"]: (r["words"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).collect()}
-    goal = targets({s: w for s, (w, _) in totals.items()}, weights, share, cap)
-    table = [(s, s is None, int(w), float(goal[s]), goal[s] / w if w else 0.0) for s, (w, _) in totals.items()]
-    known = spark.createDataFrame(table, "src string, none boolean, source_size long, target double, rate double")
-    rated = rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("src"))).drop("src", "none")
-    buckets = max(1, -(-sum(n for _, n in totals.values()) // BUCKET_ROWS))
-    draw = F.xxhash64(F.col("id"), F.lit(seed))
-    rated = rated.select("*", F.floor(F.col("rate") + EPS).cast("int").alias("whole"), draw.alias("draw"), F.pmod(draw, F.lit(buckets)).alias("bucket"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), text, F.lit(seed)).alias("draw")))
+    known = cut(source_targets(rows, weights, share, cap))
+    counts = known.agg(F.count(F.lit(1)).alias("sources"), F.sum("n").alias("rows")).first()
+    small = counts["sources"] <= BROADCAST_SOURCES
+    known = known.drop("n").withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    rated = rows.join(F.broadcast(known) if small else known, F.col("source").eqNullSafe(F.col("src"))).drop("src", "none")
+    buckets = max(1, -(-(counts["rows"] or 0) // BUCKET_ROWS))
+    rated = rated.select("*", F.floor(F.col("rate") + EPS).cast("int").alias("whole"), F.pmod("draw", F.lit(buckets)).alias("bucket"))
     rated = rated.withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
     done, level = [], 0
     schema = T.StructType([f for f in rated.schema if f.name != "rate"])
