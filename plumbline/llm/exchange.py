@@ -23,7 +23,7 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm.tokens import mix
+from plumbline.llm.tokens import mix, tidy_group
 from plumbline.session import open_fs
 
 #: A key meets another of its corpus by chance with a probability of 2 ** -SPARE at most (below 2 ** 44 keys).
@@ -160,7 +160,7 @@ def exchange(questions: DataFrame, folder: str, bits: int, least: int = 0) -> No
         own = [table.column(x) for x in ("kind", "task", "chunk", "part", "n")]
         return pa.table([*own, *told, pa.array(once * total), pa.array(once * known)], names=[x.split()[0] for x in ANSWERED.split(", ")])
 
-    answers = questions.groupBy("kind", "part").applyInArrow(answer, ANSWERED)
+    answers = questions.groupBy("kind", "part").applyInArrow(tidy_group(answer), ANSWERED)
     answers.repartition("task").sortWithinPartitions("kind", "task", "chunk", "part").write.partitionBy("kind", "task").parquet(folder)
 
 

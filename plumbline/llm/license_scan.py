@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.tokens import NOT_ALNUM, Words, chunks
+from plumbline.llm.tokens import NOT_ALNUM, Words, text_chunks, tidy
 
 #: Phrases that count by themselves, wherever their words stand together.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -227,11 +227,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, phrases)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in chunks(texts):
-                rows = list(scanner.scan(texts[part]))
+            for part, texts in text_chunks(batch.column(1)):
+                rows = list(scanner.scan(texts))
                 arrays = [pa.array([r[name] for r in rows], type) for name, type in _FIELDS]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), *arrays], names=["id", *[n for n, _ in _FIELDS]])
 
     schema = f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,last:long,covered:double>>"
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.exchange import ANSWERED, ASKED, answers_of, asked, distinct, exchange, key_bits, keys_of, met, same_splits
-from plumbline.llm.tokens import Words, chunks, mix
+from plumbline.llm.tokens import Words, mix, text_chunks, tidy
 from plumbline.session import shared_dir
 
 #: What is added to each count of the base, and taken off each kept n-gram's count.
@@ -36,7 +36,7 @@ ADD, DISCOUNT = 0.1, 0.5
 LEAST = 2
 #: The end of a text, as a word.
 END = np.int64(-1)
-#: Characters of a chunk, and bytes of text whose n-grams are summed in one part.
+#: Bytes of a chunk, and of the text whose n-grams are summed in one part.
 CHUNK, PART = 1 << 22, 16 << 20
 #: Kinds of keys.
 WORD, PAIR, TRIPLE = 0, 1, 2
@@ -138,7 +138,7 @@ def traverse(grams: Grams, counts: dict[int, np.ndarray], spent: dict[int, np.nd
     return base, step(PAIR, step(WORD, base))
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, part_bytes: int = PART, chunk_chars: int = CHUNK) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, part_bytes: int = PART, chunk_bytes: int = CHUNK) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Training texts are those whose fold (crc32 of the id as text, modulo
@@ -170,9 +170,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, Grams]]:
         number = 0
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for part in chunks(texts, chunk_chars):
-                yield number, batch.slice(part.start, part.stop - part.start), Grams(Stream(texts[part]), bits)
+            for part, texts in text_chunks(batch.column(2), chunk_bytes):
+                yield number, batch.slice(part.start, part.stop - part.start), Grams(Stream(texts), bits)
                 number += 1
 
     def training_of(batch: pa.RecordBatch) -> np.ndarray:
@@ -226,13 +225,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with same_splits(spark):
         size = rows.agg(F.sum(F.octet_length("text") + 1).alias("b")).first()["b"] or 0
         parts, bits = max(1, -(-size // part_bytes)), key_bits(size)
-        exchange(rows.mapInArrow(ask_pairs, ASKED), f"{folder}/pairs", bits, LEAST)
+        exchange(rows.mapInArrow(tidy(ask_pairs), ASKED), f"{folder}/pairs", bits, LEAST)
         words = spark.read.schema(ANSWERED).parquet(f"{folder}/pairs").filter(F.col("kind") == WORD)
         got = words.agg(F.sum("total").alias("n"), F.sum("known").alias("v")).first()
         total, known_words = got["n"] or 0, got["v"] or 0
         norm = total + ADD * (known_words + 1)
-        exchange(rows.mapInArrow(ask_triples, ASKED), f"{folder}/triples", bits, LEAST)
-        exchange(rows.mapInArrow(ask_spent, ASKED), f"{folder}/spent", bits)
-        rows.mapInArrow(score, f"id {kind}, training boolean, n_tokens long, n_known long, base_score double, score double").write.parquet(f"{folder}/scores")
+        exchange(rows.mapInArrow(tidy(ask_triples), ASKED), f"{folder}/triples", bits, LEAST)
+        exchange(rows.mapInArrow(tidy(ask_spent), ASKED), f"{folder}/spent", bits)
+        rows.mapInArrow(tidy(score), f"id {kind}, training boolean, n_tokens long, n_known long, base_score double, score double").write.parquet(f"{folder}/scores")
     out = spark.read.parquet(f"{folder}/scores")
     return out.select(F.col("id").alias(id_col), (~F.col("training")).alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")

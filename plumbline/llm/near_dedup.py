@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.tokens import Words, chunks, mix, shingle_sets
-from plumbline.session import cut
+from plumbline.llm.tokens import Words, mix, shingle_sets, text_chunks, tidy, tidy_group
+from plumbline.session import cut, spare_name
 
 #: Rows up to which a narrow table of 16-byte keys may be broadcast (about 64 MB in memory).
 BROADCAST_ROWS = 500_000
@@ -52,9 +52,9 @@ def _sets_of(shingle: int, k: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, texts = batch.column(0), batch.column(1).to_pylist()
-            for part in chunks(texts):
-                sets = shingle_sets(Words(texts[part]), shingle)
+            key = batch.column(0)
+            for part, texts in text_chunks(batch.column(1)):
+                sets = shingle_sets(Words(texts), shingle)
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 at = np.concatenate([[0], np.cumsum(n)])
                 flat = np.concatenate([*sets, np.zeros(1, np.int64)]).astype(np.uint64)
@@ -78,7 +78,7 @@ _SCHEMA = "rid {}, n long, fp binary, vals array<long>"
 def shingle_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, k: int | None) -> DataFrame:
     """rid, n (set size), fp (128-bit fingerprint of the set) and vals (the k smallest hashes) of each row."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("rid"), F.col(text_col).alias("text")).mapInArrow(_sets_of(shingle, k), _SCHEMA.format(kind))
+    return docs.select(F.col(id_col).alias("rid"), F.col(text_col).alias("text")).mapInArrow(tidy(_sets_of(shingle, k)), _SCHEMA.format(kind))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold_pct: int, k: int, share: float) -> DataFrame:
@@ -186,7 +186,7 @@ def _links(lists: DataFrame, sets: DataFrame, threshold_pct: int, k: int, share:
     long = long.select("v", "fp", "root", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
     stands = lists.groupBy("fp").agg(F.collect_list("v").alias("pre"))  # at most k values
     wide = sets.select("fp", F.size("vals").alias("size"), F.slice("vals", 1, WIDE).alias("vals")).join(stands, "fp")
-    far = cut(long.join(wide, "fp").groupBy("v", "i", "j").applyInPandas(_blocks(threshold_pct), "a binary, b binary, sure boolean").distinct())
+    far = cut(long.join(wide, "fp").groupBy("v", "i", "j").applyInPandas(tidy_group(_blocks(threshold_pct)), "a binary, b binary, sure boolean").distinct())
     pairs = near.union(far.filter("NOT sure").select("a", "b")).distinct()
     if done is not None:
         pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -248,7 +248,10 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """``docs`` with one document of each component, the one with the smallest id.
 
     Rows without an id are never dropped; of rows repeated with one id all stay or all go.
+    Null and empty texts are linked with nothing and stay. An empty table gives
+    no rows. All columns stay as they are, whatever their names.
     """
-    gone = cut(near_duplicates(docs, id_col, text_col, **options).filter(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_gone")).distinct())
+    name = spare_name(docs, "_gone")
+    gone = cut(near_duplicates(docs, id_col, text_col, **options).filter(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias(name)).distinct())
     small = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, F.col(id_col) == F.col(name), "left_anti")

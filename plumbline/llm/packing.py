@@ -23,19 +23,20 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.exchange import ASKED, answers_of, asked, distinct, exchange, key_bits, keys_of, met, same_splits
-from plumbline.llm.tokens import SPACE, Words, chunks, mix
-from plumbline.session import cut, open_fs, shared_dir
+from plumbline.llm.ranges import with_running_sum
+from plumbline.llm.tokens import SPACE, Words, mix, text_chunks, tidy, tidy_group
+from plumbline.session import open_fs, shared_dir
 
 #: Text of a shard on average, and shards whose remainders are laid out together.
 SHARD_BYTES, TAIL_SHARDS = 4 << 20, 1024
 K1, B = 1.2, 0.75
 #: Words of a sketch, and how much rarity counts in their draw: the power of the IDF.
 SKETCH, RARITY = 3, 3
-#: Characters of a chunk, and bytes of text whose words are counted in one part.
+#: Bytes of a chunk, and of the text whose words are counted in one part.
 CHUNK, PART = 1 << 22, 32 << 20
 
 
@@ -56,7 +57,7 @@ class WordTokenizer:
     """
 
     #: Pieces remembered at most; then it starts anew.
-    REMEMBERED = 1_500_000
+    REMEMBERED = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -263,9 +264,8 @@ def _sketches(rows: DataFrame, n: int, size: int, folder: str) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in chunks(texts, CHUNK):
-                own = Vocabulary(texts[part], bits)
+            for _, texts in text_chunks(batch.column(1), CHUNK):
+                own = Vocabulary(texts, bits)
                 yield asked(0, task, number, own.keys, np.bincount(own.place, minlength=len(own.keys)), parts, bits)
                 number += 1
 
@@ -273,10 +273,9 @@ def _sketches(rows: DataFrame, n: int, size: int, folder: str) -> DataFrame:
         task, number, row = TaskContext.get().partitionId(), 0, 0
         answers = answers_of(f"{folder}/words", 0, task)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in chunks(texts, CHUNK):
-                own = Vocabulary(texts[part], bits)
-                m = len(texts[part])
+            for _, texts in text_chunks(batch.column(1), CHUNK):
+                own = Vocabulary(texts, bits)
+                m = len(texts)
                 df, _ = met(answers, number, len(own.keys))
                 value = np.full(len(df), np.inf)
                 can = np.flatnonzero((df > 1) & (df <= most))
@@ -289,22 +288,14 @@ def _sketches(rows: DataFrame, n: int, size: int, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, task)), pa.array(np.arange(row, row + m)), pa.array(own.bytes), *k], names=["task", "row", "bytes", *(f"k{i}" for i in range(SKETCH))])
                 number, row = number + 1, row + m
 
-    exchange(rows.mapInArrow(ask, ASKED), f"{folder}/words", bits)
-    return cut(rows.mapInArrow(sketch, "task long, row long, bytes long, " + ", ".join(f"k{i} long" for i in range(SKETCH))))
+    exchange(rows.mapInArrow(tidy(ask), ASKED), f"{folder}/words", bits)
+    return rows.mapInArrow(tidy(sketch), "task long, row long, bytes long, " + ", ".join(f"k{i} long" for i in range(SKETCH)))
 
 
 def _store_shards(sketched: DataFrame, shard_bytes: int, folder: str) -> None:
     """Write (row, shard) by task: shards are runs of about shard_bytes in the order of the sketches."""
-    spark = sketched.sparkSession
     order = [*(f"k{i}" for i in range(SKETCH)), "task", "row"]
-    ranged = cut(sketched.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    begin, before = [], 0
-    for part, b in sorted((r["part"], r["b"]) for r in ranged.groupBy("part").agg(F.sum("bytes").alias("b")).collect()):
-        begin.append((part, before))
-        before += b
-    known = spark.createDataFrame(begin, "part int, begin long")  # one row per shuffle partition
-    run = F.sum("bytes").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
-    placed = ranged.withColumn("run", run).join(F.broadcast(known), "part").select("task", "row", F.floor((F.col("begin") + F.col("run")) / shard_bytes).alias("shard"))
+    placed = with_running_sum(sketched, order, "bytes", "before").select("task", "row", F.floor(F.col("before") / shard_bytes).alias("shard"))
     placed.repartition("task").sortWithinPartitions("task", "row").write.partitionBy("task").parquet(f"{folder}/shards")
 
 
@@ -401,10 +392,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         got = rows.agg(F.sum(F.octet_length("text") + 1).alias("b"), F.count(F.lit(1)).alias("n")).first()
         if (got["b"] or 0) > shard_bytes:
             _store_shards(_sketches(rows, got["n"], got["b"], folder), shard_bytes, folder)
-            dealt = rows.mapInArrow(deal, f"shard long, id {kind}, text string")
+            dealt = rows.mapInArrow(tidy(deal), f"shard long, id {kind}, text string")
         else:
             dealt = rows.select(F.lit(0).cast("long").alias("shard"), "id", "text")
-        dealt.groupBy("shard").applyInArrow(run, f"id {kind}, {_PIECE}, held binary").write.parquet(f"{folder}/pieces")
+        dealt.groupBy("shard").applyInArrow(tidy_group(run), f"id {kind}, {_PIECE}, held binary").write.parquet(f"{folder}/pieces")
     pieces = spark.read.schema(f"id {kind}, {_PIECE}, held binary").parquet(f"{folder}/pieces")
-    tails = pieces.filter("held IS NOT NULL").groupBy(F.floor(F.shiftright("sequence_id", 32) / TAIL_SHARDS)).applyInArrow(finish, f"id {kind}, {_PIECE}, held binary")
+    tails = pieces.filter("held IS NOT NULL").groupBy(F.floor(F.shiftright("sequence_id", 32) / TAIL_SHARDS)).applyInArrow(tidy_group(finish), f"id {kind}, {_PIECE}, held binary")
     return pieces.filter("held IS NULL").unionByName(tails).drop("held").withColumnRenamed("id", id_col)

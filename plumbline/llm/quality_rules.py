@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.native_text import count_class, let
+from plumbline.llm.native_text import let
+from plumbline.session import spare_name
 
 #: Up to so many repeated windows are looked up in a list.
 FEW = 48
@@ -122,7 +123,8 @@ def quality_columns(docs: DataFrame, text_col: str = "text", rules: LineRules =
     lines that pass hold at least ``min_kept_share`` of the words. clean_text:
     the lines that pass and those without words, in their order. Null text has
     no words; a text without words has base_failed true. Rows are judged one by
-    one, repeated rows alike. Columns of ``docs`` with these names are replaced.
+    one, repeated rows alike. An empty table gives no rows. Columns of ``docs`` with
+    these names are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
 
@@ -152,25 +154,31 @@ def quality_columns(docs: DataFrame, text_col: str = "text", rules: LineRules =
 
         return let(F.struct(let(F.lower(text), furnished).alias("f"), symbols_in(text).alias("s")), held)
 
-    made = docs.select(*[F.col(f"`{c}`") for c in docs.columns], let(words_of(text), from_words).alias("_w"), let(F.split(text, "\n"), from_lines).alias("_l"))
-    n = F.col("_w.n")
-    failed = (n < rules.min_words) | (100 * F.col("_w.r") > rules.max_repeat_pct * n)
+    w, ls = spare_name(docs, "_w"), spare_name(docs, "_l")
+    made = docs.select(*[F.col(f"`{c}`") for c in docs.columns], let(words_of(text), from_words).alias(w), let(F.split(text, "\n"), from_lines).alias(ls))
+    n = F.col(f"{w}.n")
+    failed = (n < rules.min_words) | (100 * F.col(f"{w}.r") > rules.max_repeat_pct * n)
     figures = {
         "n_words": n,
-        "word_chars": F.col("_w.c"),
-        "n_symbols": F.col("_l.s"),
-        "n_dup_lines": F.col("_l.d"),
-        "n_repeat_words": F.col("_w.r"),
-        "kept_words": F.col("_l.g"),
+        "word_chars": F.col(f"{w}.c"),
+        "n_symbols": F.col(f"{ls}.s"),
+        "n_dup_lines": F.col(f"{ls}.d"),
+        "n_repeat_words": F.col(f"{w}.r"),
+        "kept_words": F.col(f"{ls}.g"),
         "base_failed": failed,
-        "kept": ~failed & (F.col("_l.g") >= rules.min_kept_share * n),
-        "clean_text": F.col("_l.t"),
+        "kept": ~failed & (F.col(f"{ls}.g") >= rules.min_kept_share * n),
+        "clean_text": F.col(f"{ls}.t"),
     }
     own = [F.col(f"`{c}`") for c in docs.columns if c not in figures]
     return made.select(*own, *[v.alias(k) for k, v in figures.items()])
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, their failing lines removed; other columns as they are."""
+    """The rows of ``docs`` that the rules keep, their failing lines removed; other columns as they are, whatever their names.
+
+    Null and empty texts have too few words and go, as do all rows that
+    quality_columns() does not keep; repeated rows stay or go alike. An empty
+    table gives no rows.
+    """
     judged = quality_columns(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text")), "_text", rules)
     return judged.filter("kept").select(*[(F.col("clean_text") if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

@@ -7,9 +7,12 @@ byte array. Word hashes are polynomial, taken from one prefix sum, then mixed;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -128,13 +131,43 @@ def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
     return out
 
 
-def chunks(texts: list[str | None], limit: int = 1 << 21) -> Iterator[slice]:
-    """Runs of texts of about ``limit`` characters, so that arrays stay small; no text is cut."""
-    at, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or "") + 1
-        if held >= limit:
-            yield slice(at, i + 1)
-            at, held = i + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
+def text_chunks(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[slice, list[str | None]]]:
+    """Runs of texts of about ``limit`` bytes, so that strings and arrays stay small; no text is cut."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(ends):
+        to = min(len(ends), int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit)) + 1)
+        yield slice(at, to), column.slice(at, to - at).to_pylist()
+        at = to
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which a process that waits for its next task would keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator]) -> Callable[[Iterator[pa.RecordBatch]], Iterator]:
+    """``run`` over batches, giving memory back when a task is done."""
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return done
+
+
+def tidy_group(run: Callable) -> Callable:
+    """``run`` on a group, giving memory back after each."""
+
+    def done(group):
+        try:
+            return run(group)
+        finally:
+            give_back()
+
+    return done

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.tokens import Words, chunks, shingle_sets
+from plumbline.llm.tokens import Words, shingle_sets, text_chunks, tidy
 
 DECAY, MAX_SPAN, FLOOR = 0.7, 6, 0.5
 #: The kernel is this power of the normalised one, a kernel too, which parts the very alike from the rather alike.
@@ -348,10 +348,9 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            values = [score(texts[part]) for part in chunks(texts)]
+            values = [score(texts) for _, texts in text_chunks(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([*values, np.zeros(0)]))], names=["id", "score"])
 
-    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
+    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, score double")
     n, out = held_out
     return scored.select(F.col("id").alias(id_col), (fold(F.col("id"), n) == out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

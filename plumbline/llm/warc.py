@@ -20,10 +20,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.ranges import with_running_sum
+from plumbline.llm.tokens import tidy
 from plumbline.session import cut, open_fs, shared_dir
 
 #: Payload bytes of a shard at least, and how many shards there are at most (one number each reaches the driver).
@@ -91,20 +93,12 @@ def shard_bounds(pages: DataFrame, id_col: str, bytes_col: str, shard_bytes: int
     The bounds depend on the rows alone. A few jobs whatever the table's size:
     rows are narrow, sorted in ranges, and one sum per range reaches the driver.
     """
-    spark = pages.sparkSession
     total = pages.agg(F.sum(bytes_col).alias("b")).first()["b"]
     if not total:
         return []
     ranges = max(1, min(-(-total // shard_bytes), MAX_SHARDS))
-    sized = cut(pages.groupBy(F.col(id_col).alias("id")).agg(F.sum(bytes_col).alias("b")))
-    ranged = cut(sized.repartitionByRange(ranges, "id").withColumn("part", F.spark_partition_id()))
-    begin, before = [], 0
-    for part, b in sorted((r["part"], r["b"]) for r in ranged.groupBy("part").agg(F.sum("b").alias("b")).collect()):
-        begin.append((part, before))
-        before += b
-    known = spark.createDataFrame(begin, "part int, begin long")  # at most MAX_SHARDS rows
-    run = F.sum("b").over(Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    cell = ranged.withColumn("run", run).join(F.broadcast(known), "part").withColumn("cell", F.floor((F.col("begin") + F.col("run") - 1) / shard_bytes))
+    sized = pages.groupBy(F.col(id_col).alias("id")).agg(F.sum(bytes_col).alias("b"))
+    cell = with_running_sum(sized, ["id"], "b", "before", ranges).withColumn("cell", F.floor((F.col("before") + F.col("b") - 1) / shard_bytes))
     return sorted(r["last"] + 1 for r in cell.groupBy("cell").agg(F.max("id").alias("last")).collect())[:-1]
 
 
@@ -191,7 +185,7 @@ def write_warc(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["shard", "seq", "temp", "name", "records", "bytes", "attempt"])
 
     # the checkpoint fixes one attempt per shard before anything is renamed
-    written = cut(dealt.mapInArrow(write, _WRITTEN))
+    written = cut(dealt.mapInArrow(tidy(write), _WRITTEN))
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(out)
@@ -286,7 +280,7 @@ def read_warc(spark: SparkSession, out: str) -> DataFrame:
                             rows, held = [], 0
                 yield _batch(rows)
 
-    return files.repartition(n, "shard", "seq").mapInArrow(read, _READ)
+    return files.repartition(n, "shard", "seq").mapInArrow(tidy(read), _READ)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -190,7 +190,7 @@ def test_lm_keeps_every_repeated_ngram(spark):
 
     texts = ["the red fox runs far", "the red fox sleeps", "a new red fox runs far away", "one two three", ""] + [f"w{i} w{i + 1} w{i + 2} w{i}" for i in range(40)] * 2
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in score_texts(table, part_bytes=200, chunk_chars=150).collect()}
+    got = {r.doc_id: r for r in score_texts(table, part_bytes=200, chunk_bytes=150).collect()}
     train = {r.doc_id for r in table.filter(fold(F.col("doc_id"), 10) != 0).collect()}
     stream = Stream([t for i, t in enumerate(texts) if i in train])
     words, counts = np.unique(stream.tokens, return_counts=True)
