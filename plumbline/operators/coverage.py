@@ -88,8 +88,8 @@ def covered(parts: DataFrame, evidence: DataFrame) -> DataFrame:
     rows = rows.withColumn("status", status)
     return rows.select(
         "claim_id", "part", "subclaim", "status", F.when(c("status") == "STRONGLY_VALID", 1.0).when(c("status") == "PARTIALLY_VALID", PARTIAL_WEIGHT).otherwise(0.0).alias("weight"),
-        F.coalesce("b.evidence_id", F.lit(-1)).cast("long").alias("evidence_id"), F.round(F.coalesce("b.relevance", F.lit(0.0)), 4).alias("relevance"), F.round(semantic, 4).alias("semantic"),
-        F.round(F.coalesce("b.overlap", F.lit(0.0)), 4).alias("overlap"), hits.cast("long").alias("anchors_matched"), F.size("terms").cast("long").alias("n_anchors"),
+        F.coalesce("b.evidence_id", F.lit(-1)).cast("long").alias("evidence_id"), F.coalesce("b.relevance", F.lit(0.0)).alias("relevance"), semantic.alias("semantic"),
+        F.coalesce("b.overlap", F.lit(0.0)).alias("overlap"), hits.cast("long").alias("anchors_matched"), F.size("terms").cast("long").alias("n_anchors"),
         (denied | opposed).alias("contradicted"), F.coalesce("b.trust", F.lit(0.0)).alias("best_trust"), c("b.predicate_match").alias("predicate_match"), c("b.target_overlap").alias("target_overlap"),
     )
 

@@ -261,7 +261,7 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
     stance = F.when(c("l_returnflag") == "A", "entails").when(c("l_returnflag") == "R", "contradicts").otherwise("neutral")
     url = F.concat(F.lit("https://www.S"), "l_suppkey", F.lit(".example:8080/p/?utm_source=a&b="), c("l_linenumber") % 2, F.lit("#x"))
     return read_table(spark, d, "lineitem").select(
-        c("l_orderkey").alias("claim_id"), (c("l_linenumber") * 100000000 + c("l_partkey") * 1000 + c("l_suppkey")).alias("evidence_id"), (c("l_discount") * 10).alias("semantic_score"),
+        c("l_orderkey").alias("claim_id"), worded.sequence().alias("evidence_id"), (c("l_discount") * 10).alias("semantic_score"),
         F.when(c("l_suppkey") % 12 == 0, None).when(c("l_suppkey") % 12 == 1, "").otherwise(url).alias("source_url"), worded.pick(worded.STATEMENTS, c("l_partkey") + 3 * c("l_orderkey")).alias("statement"), c("l_shipdate").alias("published_at"), stance.alias("stance"),
         (c("l_quantity") / 50).alias("weight"), c("l_discount").alias("support"), c("l_tax").alias("against"), (c("l_linenumber") % 4 != 0).alias("admissible"),
     )
@@ -272,7 +272,7 @@ def _trusted(spark: SparkSession, d: str) -> DataFrame:
 
 
 EVIDENCE = f"""
-v AS (SELECT l_orderkey AS claim_id, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS evidence_id, l_discount * 10 AS semantic_score, CASE WHEN l_suppkey % 12 < 2 THEN '' ELSE 's' || l_suppkey || '.example:8080' END AS host,
+v AS (SELECT l_orderkey AS claim_id, {worded.SEQUENCE_SQL} AS evidence_id, l_discount * 10 AS semantic_score, CASE WHEN l_suppkey % 12 < 2 THEN '' ELSE 's' || l_suppkey || '.example:8080' END AS host,
     CASE WHEN l_suppkey % 12 < 2 THEN md5(lower(trim({worded.sql_pick(worded.STATEMENTS, 'l_partkey + 3 * l_orderkey')}))) ELSE 'https://s' || l_suppkey || '.example/p?b=' || (l_linenumber % 2) END AS key, l_shipdate AS published_at, l_linenumber % 4 <> 0 AS admissible,
     CASE l_returnflag WHEN 'A' THEN 'entails' WHEN 'R' THEN 'contradicts' ELSE 'neutral' END AS stance, l_quantity / 50 AS weight, l_discount AS support, l_tax AS against,
     floor((epoch(TIMESTAMP '{NOW}') - epoch(l_shipdate)) / 86400) AS days FROM lineitem),
@@ -423,3 +423,6 @@ def k13_retention(spark: SparkSession, d: str) -> DataFrame:
 
 from plumbline.plans import claims  # noqa: E402, F401  its queries register themselves
 from plumbline.plans import ranking  # noqa: E402, F401
+from plumbline.plans import policy  # noqa: E402, F401
+from plumbline.plans import covering  # noqa: E402, F401
+from plumbline.plans import searching  # noqa: E402, F401

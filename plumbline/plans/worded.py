@@ -101,22 +101,29 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "orders").select(key.alias("claim_id"), pick(CLAIMS, key).alias("claim"), pick(ENTITIES, key).alias("entities"))
 
 
+def sequence() -> Column:
+    """A number of an order line that no other line of its order has."""
+    c = F.col
+    return c("l_linenumber").cast("long") * 10000000000 + c("l_partkey") * 100000 + c("l_suppkey") * 100 + c("l_quantity").cast("long")
+
+
 def evidence(spark: SparkSession, d: str) -> DataFrame:
     """Order lines as evidence in words: of the same claim, with ties, gaps, copies, and both kinds of source."""
     c = F.col
     pair = c("l_partkey") + 3 * c("l_orderkey")
     stance = F.when(c("l_returnflag") == "A", "entails").when(c("l_returnflag") == "R", "contradicts").otherwise("neutral")
     return read_table(spark, d, "lineitem").select(
-        c("l_orderkey").alias("claim_id"), (c("l_linenumber") * 100000000 + c("l_partkey") * 1000 + c("l_suppkey")).alias("seq"), pick(STATEMENTS, pair).alias("statement"), pick(URLS, c("l_suppkey")).alias("source_url"),
+        c("l_orderkey").alias("claim_id"), sequence().alias("seq"), pick(STATEMENTS, pair).alias("statement"), pick(URLS, c("l_suppkey")).alias("source_url"),
         F.when(c("l_linestatus") == "F", "kg").otherwise("sem").alias("side"), (c("l_discount") * 10).alias("score"), F.when(c("l_linenumber") % 5 != 0, c("l_shipdate")).alias("published_at"),
         F.when(c("l_partkey") % 3 == 0, c("l_tax") * 12).alias("credibility"), (c("l_quantity") < 10).alias("is_backfill"), pick(ENTITIES, c("l_partkey")).alias("entities"), stance.alias("stance"),
         (c("l_quantity") / 50).alias("weight"), c("l_quantity").alias("quantity"), (c("l_tax") * 12).alias("trust"), F.lit(None).cast("string").alias("candidate_type"),
     )
 
 
+SEQUENCE_SQL = "(l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey * 100 + l_quantity::BIGINT)"
 CLAIMS_SQL = f"c AS (SELECT o_orderkey AS claim_id, {sql_pick(CLAIMS, 'o_orderkey')} AS claim, {sql_pick(ENTITIES, 'o_orderkey')} AS entities FROM orders)"
 EVIDENCE_SQL = f"""
-ev AS (SELECT l_orderkey AS claim_id, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS seq, {sql_pick(STATEMENTS, 'l_partkey + 3 * l_orderkey')} AS statement, {sql_pick(URLS, 'l_suppkey')} AS source_url,
+ev AS (SELECT l_orderkey AS claim_id, {SEQUENCE_SQL} AS seq, {sql_pick(STATEMENTS, 'l_partkey + 3 * l_orderkey')} AS statement, {sql_pick(URLS, 'l_suppkey')} AS source_url,
     CASE l_linestatus WHEN 'F' THEN 'kg' ELSE 'sem' END AS side, l_discount * 10 AS score, CASE WHEN l_linenumber % 5 <> 0 THEN l_shipdate END AS published_at,
     CASE WHEN l_partkey % 3 = 0 THEN l_tax * 12 END AS credibility, l_quantity < 10 AS is_backfill, {sql_pick(ENTITIES, 'l_partkey')} AS entities,
     CASE l_returnflag WHEN 'A' THEN 'entails' WHEN 'R' THEN 'contradicts' ELSE 'neutral' END AS stance, l_quantity / 50 AS weight, l_quantity AS quantity, l_tax * 12 AS trust FROM lineitem)
