@@ -54,3 +54,16 @@ def fetch_statistics(attempts: DataFrame) -> DataFrame:
     """(domain, method, success, latency) to success rate and mean latency per domain and method, with totals of each."""
     agg = attempts.groupingSets([["domain", "method"], ["domain"], ["method"]], "domain", "method")
     return agg.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("success").cast("double")).alias("success_rate"), F.avg("latency").alias("latency"))
+
+
+def selected_results(rows: DataFrame, group: str, order: str, url: str) -> DataFrame:
+    """Search results (gate: search.quality_gate) by score, then address: 3 of a group if two of its first three pass, 5 if one does, else 8.
+
+    Only the first eight in ``order`` are looked at.
+    """
+    own = Window.partitionBy(group)
+    placed = rows.withColumn("_place", F.row_number().over(own.orderBy(order)))
+    good = F.count_if((F.col("_place") <= 3) & F.col("gate.passed")).over(own)
+    placed = placed.withColumn("_top", F.when(good >= 2, 3).when(good == 1, 5).otherwise(8)).filter("_place <= 8")
+    rank = F.row_number().over(own.orderBy(F.col("gate.score").desc(), F.coalesce(url, F.lit("")), order))
+    return placed.withColumn("rank", rank).filter("rank <= _top").drop("_place", "_top")

@@ -426,3 +426,4 @@ from plumbline.plans import ranking  # noqa: E402, F401
 from plumbline.plans import policy  # noqa: E402, F401
 from plumbline.plans import covering  # noqa: E402, F401
 from plumbline.plans import searching  # noqa: E402, F401
+from plumbline.plans import extracting  # noqa: E402, F401
