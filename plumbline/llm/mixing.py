@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from plumbline.llm.ranges import with_running_sum
 from plumbline.session import cut
 
-#: Documents of a bucket on average, and buckets whose residuals meet in one of the next level.
-BUCKET_ROWS, FAN_IN = 4096, 64
+#: Documents of one source that make a bucket on average, and buckets whose residuals meet in one of the next level.
+BUCKET_ROWS, FAN_IN = 1024, 64
 #: Sources up to which their table may be broadcast (some tens of MB).
 BROADCAST_SOURCES = 200_000
 EPS = 1e-9
@@ -145,12 +145,12 @@ def mix_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), text, F.lit(seed)).alias("draw")))
     known = cut(source_targets(rows, weights, share, cap))
-    counts = known.agg(F.count(F.lit(1)).alias("sources"), F.sum("n").alias("rows")).first()
+    counts = known.agg(F.count(F.lit(1)).alias("sources"), F.max("n").alias("most")).first()
     small = counts["sources"] <= BROADCAST_SOURCES
-    known = known.drop("n").withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    known = known.withColumn("own", F.ceil(F.col("n") / BUCKET_ROWS)).drop("n").withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     rated = rows.join(F.broadcast(known) if small else known, F.col("source").eqNullSafe(F.col("src"))).drop("src", "none")
-    buckets = max(1, -(-(counts["rows"] or 0) // BUCKET_ROWS))
-    rated = rated.select("*", F.floor(F.col("rate") + EPS).cast("int").alias("whole"), F.pmod("draw", F.lit(buckets)).alias("bucket"))
+    buckets = max(1, -(-(counts["most"] or 0) // BUCKET_ROWS))  # of the largest source
+    rated = rated.select("*", F.floor(F.col("rate") + EPS).cast("int").alias("whole"), F.pmod("draw", "own").alias("bucket")).drop("own")
     rated = rated.withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
     done, level = [], 0
     schema = T.StructType([f for f in rated.schema if f.name != "rate"])
