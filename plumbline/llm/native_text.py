@@ -18,6 +18,33 @@ def count_class(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
+#: Items of a block of prefix_sums().
+BLOCK = 64
+
+
+def prefix_sums(values: Column) -> Column:
+    """Sums up to and with each item of an array of integers.
+
+    Block by block, so that the work is a fixed number of steps an item; a fold
+    that appends to its result copies it for every item.
+    """
+
+    def total(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0), lambda s, x: s + x)
+
+    def in_blocks(blocks: Column) -> Column:
+        def placed(sums: Column) -> Column:
+            def ends(block: Column, b: Column) -> Column:
+                return let(total(F.slice(sums, 1, b)), lambda before: F.transform(block, lambda _, i: before + total(F.slice(block, 1, i + 1))))
+
+            return F.flatten(F.transform(blocks, ends))
+
+        return let(F.transform(blocks, total), placed)
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(BLOCK))
+    return let(F.transform(starts, lambda i: F.slice(values, i, BLOCK)), in_blocks)
+
+
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """Leftmost non-overlapping matches of a pattern that matches no empty string.
 
@@ -26,18 +53,11 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     pieces between them give the places; texts without a match skip both.
     """
 
-    def placed(pieces: Column) -> Column:
-        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-        step = F.arrays_zip(pieces.alias("p"), whole.alias("w"), part.alias("v"))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
-
-        def add(acc: Column, x: Column) -> Column:
-            s = acc["at"] + F.length(x["p"])
-            e = s + F.length(x["w"])
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("out"))
-
-        return F.aggregate(F.filter(step, lambda x: x["w"].isNotNull()), zero, add, lambda acc: acc["out"])
+    def placed(x: Column) -> Column:
+        steps = F.transform(x["w"], lambda w, i: F.length(F.get(x["p"], i)) + F.length(w))
+        return let(prefix_sums(steps), lambda ends: F.transform(x["w"], lambda w, i: F.struct((F.get(ends, i) - F.length(w)).alias("s"), F.get(ends, i).alias("e"), F.get(x["v"], i).alias("v"))))
 
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     none = F.array().cast("array<struct<s:int,e:int,v:string>>")
-    return F.when(text.rlike(pattern), let(F.split(text, pattern, -1), placed)).otherwise(none)
+    return F.when(text.rlike(pattern), let(F.struct(F.split(text, pattern, -1).alias("p"), whole.alias("w"), part.alias("v")), placed)).otherwise(none)
