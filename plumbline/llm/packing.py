@@ -136,10 +136,14 @@ class Index:
     """BM25 over one shard: postings by term, and each document's terms."""
 
     def __init__(self, doc: np.ndarray, term: np.ndarray, n: int):
-        key, tf = np.unique(term * n + doc, return_counts=True)
-        self.term, self.doc = np.divmod(key, max(n, 1))
+        key = term * n + doc
+        key.sort()
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        tf = np.diff(np.append(new, len(key)))
+        self.term, self.doc = np.divmod(key[new], max(n, 1))
+        del key, new
         length = np.bincount(doc, minlength=n)
-        terms = int(self.term[-1]) + 1 if len(key) else 0
+        terms = int(self.term[-1]) + 1 if len(self.term) else 0
         self.df = np.bincount(self.term, minlength=terms)
         idf = np.log(1 + (n - self.df + 0.5) / (self.df + 0.5))
         norm = K1 * (1 - B + B * length / max(1.0, length.mean() if n else 1.0))
@@ -364,7 +368,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         doc = np.repeat(np.arange(n), words.count)
         begin = np.concatenate([[0], np.cumsum(size)])[words.first]
         sizes = np.diff(begin) + 1
+        # the index is the largest part of a shard's memory: what it does not need goes first
+        ids_col = table.column("id").combine_chunks()
+        del words, size, table
         order = order_documents(sizes, doc, term, window)
+        del doc, term
         whole = int(sizes.sum()) // window
         out, held = [], []
         end = np.array([end_id], dtype="<u4").tobytes()
@@ -375,7 +383,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 ids += end
             out.append((i, start, length, zlib.crc32(ids), int(sizes[i]), (which << 32) | sequence, offset))
             held.append(ids if sequence == whole else None)
-        return _pieces(table.column("id").combine_chunks(), out, held)
+        return _pieces(ids_col, out, held)
 
     def finish(table: pa.Table) -> pa.Table:
         table = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])

@@ -236,10 +236,44 @@ def test_suffix_automaton_finds_longest_runs():
     for end, length, state in auto.matches(text, 1):
         run = tuple(text[end - length + 1 : end + 1])
         assert run in subs and (end + 1 == len(text) or (*run, text[end + 1]) not in subs)
-        for which, at in auto.ends[state].items():
+        for which, at in auto.ends[state]:
             assert tuple(seqs[which][at - length + 1 : at + 1]) == run
 
 
+def test_every_copy_of_a_template_is_a_span(spark):
+    from plumbline.llm.license_scan import BODIES, TEMPLATES
+
+    mit = BODIES[0][1]
+    notice = TEMPLATES[6][1]
+    text = f"start {mit} some words between the two of them that belong to nobody {mit} {notice} end"
+    table = spark.createDataFrame([(1, text), (2, notice.replace("binary", "source")), (3, "nothing here")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in scan_licenses(table).collect()}
+    whole = [s for s in rows[1].spans if s["label"] == "mit" and s["last"] - s["first"] > 100]
+    assert len(whole) == 2 and whole[0]["last"] < whole[1]["first"] and all(s["covered"] == 1.0 for s in whole)
+    assert [s["label"] for s in rows[2].spans] == ["bsd"] and rows[3].labels == ""
+
+
+def chains_by_force(text, template, least):
+    """The most words of the template that places in text and template, both rising, cover; runs of ``least`` words or more."""
+    w, t = text.split(), template.split()
+    runs = [(i, j, n) for i in range(len(w)) for j in range(len(t)) for n in range(least, len(t) + 1) if w[i : i + n] == t[j : j + n] and len(w[i : i + n]) == n]
+    runs = [(i, j, n) for i, j, n in runs if not (i and j and w[i - 1] == t[j - 1]) and not (i + n < len(w) and j + n < len(t) and w[i + n] == t[j + n])]
+    best = {}
+    for i, j, n in sorted(runs):
+        best[i, j, n] = max([n] + [best[a, b, m] + n for a, b, m in best if a + m <= i <= a + m + 6 and b + m <= j])
+    return max(best.values(), default=0) / len(t)
+
+
+def test_license_score_by_force():
+    from plumbline.llm.license_scan import Scanner
+
+    template = "one may use the software and copy the software and sell the software at will"
+    scanner = Scanner([("x", template)], {})
+    for text in ("use the software and copy", "we say that one may use the software and then copy the software and sell the software", "the software and the software and the software", "sell the software at will one may use the software", "nothing at all"):
+        got = next(scanner.scan([text]))["score"]
+        assert math.isclose(got, chains_by_force(text, template, 3)), text
+
+
 def test_mixing(docs, texts):
     rows = mix_rates(docs).collect()
     assert all(r.size == len(WORD.findall(texts[r.doc_id])) and r.taken <= 2 * r.size for r in rows)
@@ -256,6 +290,31 @@ def test_mixing_targets():
     assert got["a"] == 20 and math.isclose(sum(got.values()), 315) and math.isclose(got[None], 2 * got["b"])
 
 
+def test_mixing_targets_as_a_table(spark):
+    import random
+
+    from plumbline.llm.mixing import source_targets
+
+    draw = random.Random(2)
+    for case in range(4):
+        sizes = {None if i == 3 else f"s{draw.randrange(1000)}é{i}": draw.choice((0, 3, 50, 400, 9000)) for i in range(draw.randrange(1, 14))}
+        rows = [(s, n) for s, n in sizes.items()]
+        got = {r.src: r.target for r in source_targets(spark.createDataFrame(rows, "source string, size long"), (3, 1, 2), 1.5, 2.0).collect()}
+        want = targets(sizes, (3, 1, 2), 1.5, 2.0)
+        assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], abs_tol=1e-6) for s in want), case
+
+
+def test_running_sums(spark):
+    from plumbline.llm.ranges import with_running_sum
+
+    rows = [(i * 7919 % 501, None if i % 50 == 0 else str(i), i) for i in range(500)]
+    got = with_running_sum(spark.createDataFrame(rows, "a int, b string, v long").repartition(3), ["b", "a"], "v", "before", 5).collect()
+    total = 0
+    for r in sorted(got, key=lambda r: (r.b is not None, r.b or "", r.a)):
+        assert r.before == total
+        total += r.v
+
+
 def test_warc(spark):
     rows = [(i, f"http://x/{i}", f"<p>{i % 40}</p>") for i in range(200)] + [(1000, None, None), (1001, "u\r\nv", ""), (None, "n", "<p>3</p>"), (5, "again", "<p>5</p>")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -343,6 +402,46 @@ def test_packing_alike_documents_meet(spark):
     assert sum(shard[a] == shard[b] for a, b in pairs) >= 0.4 * len(pairs)
 
 
+def bm25_by_force(texts, seed):
+    """Every text's BM25 score for the distinct words of texts[seed], other than its own words' alone."""
+    n = len(texts)
+    counts = [Counter(t) for t in texts]
+    mean = sum(map(len, texts)) / n
+    df = Counter(w for c in counts for w in c)
+    idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+    return [sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in counts[seed] if df[w] > 1 and c[w]) for c, t in zip(counts, texts, strict=True)]
+
+
+def test_packing_index_and_order_by_force():
+    import random
+
+    import numpy as np
+
+    from plumbline.llm.packing import Index, order_documents
+
+    draw = random.Random(11)
+    texts = [[draw.choice("abcdefghijklmnop") + str(draw.randrange(3)) for _ in range(draw.randrange(0, 30))] for _ in range(60)]
+    vocabulary = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
+    doc = np.array([i for i, t in enumerate(texts) for _ in t], dtype=np.int64)
+    term = np.array([vocabulary[w] for t in texts for w in t], dtype=np.int64)
+    index = Index(doc, term, len(texts))
+    for seed in range(len(texts)):
+        assert np.allclose(index.scores(seed, len(texts)), bm25_by_force(texts, seed))
+    sizes = np.array([len(t) + 1 for t in texts])
+    order = order_documents(sizes, doc, term, 64)
+    assert sorted(order) == list(range(len(texts)))
+    # the documents of the first window are the seed's best, in the order of their scores
+    score = bm25_by_force(texts, order[0])
+    best = sorted((i for i in range(len(texts)) if i != order[0] and score[i] > 0), key=lambda i: (-score[i], i))
+    assert order[1:4] == best[:3]
+
+
+def test_packing_carries_remainders(docs):
+    rows = pack(docs, queries.tokenizer_file(), shard_bytes=60_000).collect()
+    length = {r.sequence_id: r.padded_length for r in rows}
+    assert len({s >> 32 for s in length}) > 3 and sum(x < 4096 for x in length.values()) <= 12
+
+
 def test_tokenizer_pieces(spark):
     from tokenizers import Tokenizer
 
