@@ -3,10 +3,13 @@
 Two strings are alike by the subsequences of three letters that they share,
 each weighted by how far it is stretched: decay ** span, spans up to MAX_SPAN.
 An insult with letters put in, left out or set apart keeps most of them.
-A text's likeness to a landmark is that of its most alike word; words that are
-less alike than FLOOR count as nothing. The landmarks' own kernel matrix turns
-likenesses into Nystrom coordinates, on which the machine is linear; its
-margins are made probabilities by a logistic fit.
+Texts are compared as their words: the kernel of a text and a landmark, a word
+of a labelled sentence, is the sum of the kernels of the text's words, where
+words less alike than FLOOR count as nothing. The landmarks' own kernel matrix
+turns these sums into Nystrom coordinates x, divided by SOFT + |x|: the kernel
+saturates, so that one bent insult weighs almost as much as several plain ones.
+On that the machine is linear; its margins are made probabilities by a logistic
+fit.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.exchange import distinct
 from plumbline.llm.tokens import Words, shingle_sets, text_chunks, tidy
 
 DECAY, MAX_SPAN, FLOOR = 0.7, 6, 0.5
@@ -30,8 +34,8 @@ POWER = 2
 LANDMARKS, LEAST_TEXTS = 48, 3
 #: Frequent words of other texts, among which each landmark's nearest is looked for as a landmark too.
 OTHERS = 20_000
-#: Landmarks that this share of the toxic texts and no other text holds are bent, too, to learn what tampering does.
-SURE = 0.05
+#: What is added to the length of a text's coordinates before it divides them.
+SOFT = 0.2
 #: Bound of the labelled sample that the machine is fitted on: rows with the smallest hashes of their ids.
 SAMPLE_ROWS = 12_000
 #: The pairs of steps that spread three letters over at most MAX_SPAN places.
@@ -90,7 +94,7 @@ class Landmarks:
     """Landmark strings, and the likenesses of whole batches of texts to them."""
 
     #: Words whose likenesses a process remembers at most; then it starts anew.
-    REMEMBERED = 1_000_000
+    REMEMBERED = 300_000
 
     def __init__(self, strings: list[str]):
         self.strings, n = strings, len(strings)
@@ -115,7 +119,7 @@ class Landmarks:
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.zeros(0, dtype=np.uint64)
+        self.known = np.zeros(0, dtype=np.int64)
         self.row = np.zeros(0, dtype=np.int64)
         self.rows = np.zeros((1, len(self.strings)))
 
@@ -155,14 +159,13 @@ class Landmarks:
         return out
 
     def of_texts(self, texts: list[str | None]) -> np.ndarray:
-        """A row of likenesses for each text: the largest over its words, and over runs of single letters put together."""
+        """A row of kernel values for each text: the sum over its words, and over runs of single letters put together."""
         out = np.zeros((len(texts), len(self.strings)))
         words = Words(texts)
         if not self.strings or not len(words.start):
             return out
         doc = np.repeat(np.arange(len(texts)), words.count)
-        h = words.hashes()
-        value, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        value, first, inverse = distinct((words.hashes() >> np.uint64(2)).astype(np.int64), 62)
         if len(self.known) > self.REMEMBERED:
             self.forget()
         place = np.searchsorted(self.known, value)
@@ -178,7 +181,7 @@ class Landmarks:
         self.known, self.row = np.insert(self.known, place[new], value[new]), np.insert(self.row, place[new], row)
         mine = self.row[np.searchsorted(self.known, value)][inverse]
         hit = np.flatnonzero(mine)
-        np.maximum.at(out, doc[hit], self.rows[mine[hit]])
+        np.add.at(out, doc[hit], self.rows[mine[hit]])
         # runs of three or more single letters
         single = (words.end - words.start == 1) & (KLASS[words.bytes[words.start]] > 10)
         fresh = np.ones(len(single) + 1, dtype=bool)
@@ -187,10 +190,16 @@ class Landmarks:
         runs = np.flatnonzero(single[edges[:-1]] & (np.diff(edges) >= 3))
         if len(runs):
             lo, hi = edges[runs], edges[runs + 1]
-            np.maximum.at(out, doc[lo], self.of_words(words.bytes, words.start[lo], words.end[hi - 1]))
+            np.add.at(out, doc[lo], self.of_words(words.bytes, words.start[lo], words.end[hi - 1]))
         return out
 
 
+def coordinates(marks: Landmarks, texts: list[str | None]) -> np.ndarray:
+    """The texts' places on which the machine is linear."""
+    x = marks.of_texts(texts) @ marks.map
+    return x / (SOFT + np.linalg.norm(x, axis=1, keepdims=True))
+
+
 _landmarks: dict[tuple[str, ...], Landmarks] = {}
 
 
@@ -214,7 +223,7 @@ class Model:
         marks = landmarks(self.landmarks)
 
         def score(texts: list[str | None]) -> np.ndarray:
-            margin = marks.of_texts(texts) @ marks.map @ self.weights + self.bias if self.landmarks else np.full(len(texts), self.bias)
+            margin = coordinates(marks, texts) @ self.weights + self.bias if self.landmarks else np.full(len(texts), self.bias)
             return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
         return score
@@ -281,7 +290,11 @@ def fold(id_value: Column, n: int) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: tuple[int, int] = (3, 1), sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on a bounded sample of labelled rows outside the held-out fold; near copies count once.
 
-    The sample's size bounds all that reaches the driver or is broadcast.
+    The sample's size bounds all that reaches the driver or is broadcast. Labels
+    that are null, or of null ids, are left out; of labels repeated for an id the
+    largest counts; of texts repeated for it each. Without a text of either
+    class, or an empty table, the model gives every text the share of toxic rows,
+    0.5 for none. Ties among words go by spelling.
     """
     n, out = held_out
     usable = labels.select(F.col(id_col).alias("doc"), F.col(label_col).cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & F.col("doc").isNotNull())
@@ -309,27 +322,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if len(chosen) < LANDMARKS and all(gram[i, j] < 0.4 for j in chosen):
             chosen.append(i)
     strings = [ranked[i] for i in chosen]
-    sure = [ranked[i] for i in chosen if top[i]["b"] == 0 and top[i]["a"] >= SURE * n1]
     plain = counted.filter((F.col("b") >= LEAST_TEXTS) & (odds < 0.7)).orderBy(F.desc("b"), "word").limit(OTHERS).select("word").collect()
     if plain and strings:
         words = Words([r["word"] for r in plain])
         near = Landmarks(strings).of_words(words.bytes, words.start, words.end)
         strings += sorted({plain[i]["word"] for i, k in zip(near.argmax(axis=0), near.max(axis=0), strict=True) if k > 0} - set(strings))
-    marks = Landmarks(strings)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = landmarks(strings)
         for rows in batches:
-            yield pd.DataFrame({"toxic": rows["toxic"], "x": list(own.of_texts(rows["text"].tolist()))})
+            yield pd.DataFrame({"toxic": rows["toxic"], "x": list(coordinates(own, rows["text"].tolist()))})
 
     got = known.select("toxic", "text").mapInPandas(features, "toxic int, x array<double>").toPandas()
     known.unpersist()
     y = (got["toxic"].to_numpy() == 1).astype(int)
-    x = np.array(got["x"].tolist()).reshape(len(y), len(strings))
-    # what toxic words look like with a letter put in: rows of their own
-    bent = [w[:i] + c + w[i:] for w in sure for i in range(1, len(w)) for c in ("x", "e", w[i])]
-    x = np.concatenate([x, marks.of_texts(bent)]) @ marks.map
-    y = np.concatenate([y, np.ones(len(bent), dtype=int)])
+    x = np.array(got["x"].tolist()).reshape(len(y), -1)
     weights, bias = fit_svm(x, y)
     slope, shift = fit_logistic(x @ weights + bias, y)
     return Model(strings, weights, bias, slope, shift)
@@ -340,8 +347,8 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
     Null text counts as empty; empty texts get the score of a text without any
     likeness. The score sees the text alone. Rows are scored one by one, so
-    repeated rows agree and nothing is shuffled; other columns are ignored.
-    Without labels of both classes all scores are the share of toxic rows.
+    repeated rows agree and nothing is shuffled; other columns are ignored, and an
+    empty table gives no rows. Without labels of both classes all scores are the share of toxic rows.
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 

@@ -484,6 +484,42 @@ def test_quality_removes_failing_lines(spark):
     assert {r.doc_id: r.clean_text for r in quality_columns(table).collect()}[2] == ""
 
 
+def word_kernel(a, b, decay=0.7, span=6):
+    """Shared subsequences of three signs, each weighted by its stretch in both words, over the words' own."""
+
+    def weights(w):
+        w, out = f"<{w}>", Counter()
+        for i in range(len(w)):
+            for j in range(i + 1, len(w)):
+                for k in range(j + 1, min(len(w), i + span)):
+                    out[w[i], w[j], w[k]] += decay ** (k - i + 1)
+        return out
+
+    x, y = weights(a), weights(b)
+    dot = lambda p, q: sum(v * q[c] for c, v in p.items())
+    return dot(x, y) / math.sqrt(dot(x, x) * dot(y, y))
+
+
+def test_toxicity_kernel_by_force():
+    import random
+
+    import numpy as np
+
+    from plumbline.llm.toxicity import FLOOR, POWER, Landmarks
+
+    marks = ["idiot", "moron", "stupid", "ediot", "fool"]
+    own = Landmarks(marks)
+    assert np.allclose(own.gram, [[word_kernel(a, b) ** POWER for b in marks] for a in marks])
+    draw = random.Random(4)
+    bend = lambda w: "".join(c + draw.choice(("", "", "x", c)) for c in w)
+    texts = [" ".join(draw.choice((bend(draw.choice(marks)), draw.choice(marks), "plain", "word" + str(draw.randrange(9)))) for _ in range(draw.randrange(0, 12))) for _ in range(80)]
+    got = own.of_texts([*texts, None])
+    for text, row in zip(texts, got, strict=False):
+        want = [sum(k**POWER for w in text.split() if (k := word_kernel(w, m)) >= FLOOR) for m in marks]
+        assert np.allclose(row, want), text
+    assert not got[-1].any()
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -492,7 +528,7 @@ def test_toxicity(spark):
     rows = [r for r in score_toxicity(known, model).join(labels, "doc_id").collect() if r.held_out]
     hit = [r for r in rows if r.predicted]
     assert sum(r.toxic for r in hit) / len(hit) >= 0.9
-    assert sum(r.toxic for r in hit) / sum(r.toxic for r in rows) >= 0.75
+    assert sum(r.toxic for r in hit) / sum(r.toxic for r in rows) >= 0.85
     score = model.scorer()
     assert all(score([f"what an {x} he is"])[0] >= 0.7 for x in ("idiot", "id-iot", "idxiot", "i d i o t"))
     assert score(["the and thanedble ereating"])[0] < 0.3 and score([None])[0] < 0.3
