@@ -12,8 +12,8 @@ from plumbline.llm.lm_score import score_texts
 from plumbline.llm.mixing import mix_rates
 from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.packing import pack
-from plumbline.llm.quality_rules import quality_columns
-from plumbline.llm.secret_scan import scan_secrets
+from plumbline.llm.quality_rules import BOILERPLATE, quality_columns
+from plumbline.llm.secret_scan import ACCESS, ASSIGN, HEX, MIN_ASSIGN, OWNED, scan_secrets
 from plumbline.llm.toxicity import score_toxicity, train
 from plumbline.llm.warc import round_trip
 from plumbline.session import read_table
@@ -94,5 +94,44 @@ FROM d
 """
 
 
+
+def _sql_spans(pattern: str, group: int, least: int) -> str:
+    """A list of (s, e, v) of a pattern's matches in t, from the pieces between them."""
+    quoted = pattern.replace("'", "''")
+    pieces, whole, part = f"string_split_regex(t, '{quoted}')", f"regexp_extract_all(t, '{quoted}')", f"regexp_extract_all(t, '{quoted}', {group})"
+    ends = f"list_transform(range(1, len({whole}) + 1), lambda i: {{'e': list_sum(list_transform(({pieces})[1:i], lambda x: length(x)))::BIGINT + list_sum(list_transform(({whole})[1:i], lambda x: length(x)))::BIGINT, 'w': length(({whole})[i]), 'v': ({part})[i]}})"
+    return f"list_transform(list_filter({ends}, lambda x: length(x.v) >= {least}), lambda x: {{'s': x.e - x.w, 'e': x.e, 'v': x.v}})"
+
+
+_LISTED = "array_to_string(list_transform(list_sort({0}), lambda x: ['assign', 'access', 'hex', 'owned'][x.k + 1] || ':' || x.s || ':' || x.e), ',')"
+_KIND = "list_transform({0}, lambda x: {{'s': x.s, 'k': {1}, 'e': x.e, 'h': sha256(x.v)}})"
+
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS owner, coalesce(text, '') AS t FROM documents),
+f AS (SELECT rid, doc_id, owner, {_KIND.format(_sql_spans(ASSIGN, 2, MIN_ASSIGN), 0)} AS a, {_KIND.format(_sql_spans(ACCESS, 0, 0), 1)} AS b, {_KIND.format(_sql_spans(HEX, 0, 0), 2)} AS c,
+    {_KIND.format("list_filter(" + _sql_spans(OWNED, 0, 0) + ", lambda x: regexp_matches(x.v, '[A-Z]') AND regexp_matches(x.v, '[a-z]') AND regexp_matches(x.v, '[0-9].*[0-9]'))", 3)} AS o FROM d),
+g AS (SELECT *, list_concat(a, b, c) AS base FROM f), r AS (SELECT rid, doc_id, owner, base, list_filter(o, lambda x: len(list_filter(base, lambda y: y.s < x.e AND x.s < y.e)) = 0) AS more, len(a) AS n_assign, len(b) AS n_access, len(c) AS n_hex FROM g),
+e AS (SELECT rid, doc_id, owner, unnest(list_concat(base, more)) AS x FROM r), n AS (SELECT x.h AS h, count(DISTINCT coalesce(owner, chr(1))) AS owners, count(DISTINCT (coalesce(owner, chr(1)), doc_id)) AS repos FROM e GROUP BY 1),
+j AS (SELECT rid, x, owners, repos, owners <= 2 AND repos <= 5 AS live FROM e JOIN n ON x.h = n.h),
+k AS (SELECT rid, list({{'s': x.s, 'k': x.k, 'e': x.e, 'owners': owners, 'repos': repos, 'live': live}}) AS every, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM j WHERE live OR x.k < 3 GROUP BY 1)
+SELECT doc_id, n_assign, n_access, n_hex, sha256({_LISTED.format('base')}) AS base_sha256, coalesce({_LISTED.format('every')}, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+    coalesce(list_transform(list_sort(every), lambda x: x.live), []) AS live, coalesce(list_transform(list_sort(every), lambda x: x.owners), []) AS owners, coalesce(list_transform(list_sort(every), lambda x: x.repos), []) AS repos FROM r LEFT JOIN k USING (rid)
+"""
+
+_W = r"[^\x20\x09-\x0D]+"
+OP9_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT *, regexp_extract_all(t, '{_W}') AS w FROM d),
+tri AS (SELECT rid, i, list_extract(w, i) || chr(1) || list_extract(w, i + 1) || chr(1) || list_extract(w, i + 2) AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+tw AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM tri) WHERE c > 1), rp AS (SELECT rid, count(DISTINCT p) AS n_repeat FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM tw) GROUP BY 1),
+ln AS (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d), lw AS (SELECT *, regexp_extract_all(l, '{_W}') AS lw FROM ln WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+lf AS (SELECT rid, l, len(lw) AS n, regexp_matches(l, '(?i){'|'.join(BOILERPLATE)}') OR len(list_filter(lw, lambda x: list_contains(['|', '>', '»', '/', '-', '·'], x))) >= 0.2 * len(lw) OR length(regexp_replace(l, '[^#*$%&|<>]+', '', 'g')) > 0.08 * length(l)
+    OR (len(lw) >= 4 AND NOT regexp_matches(l, '\p{{Ll}}') AND regexp_matches(l, '\p{{Lu}}')) OR (len(lw) >= 12 AND len(list_distinct(lw)) < 0.25 * len(lw)) OR (len(lw) >= 40 AND NOT regexp_matches(l, '[.!?,;:…。！？，؟۔]')) AS bad FROM lw),
+la AS (SELECT rid, coalesce(sum(n) FILTER (NOT bad), 0) AS good, count(*) - count(DISTINCT l) AS dup FROM lf GROUP BY 1),
+a AS (SELECT w.rid, doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, coalesce(good, 0) AS good FROM w LEFT JOIN la USING (rid) LEFT JOIN rp USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good >= 0.7 * n_words AS kept FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_quality_rules": OP9_SQL}

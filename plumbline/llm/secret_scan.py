@@ -19,7 +19,7 @@ ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: Further key-like strings, of which the method takes those with few owners.
-OWNED = r"[A-Za-z0-9_+/-]{20,}"
+OWNED = r"[A-Za-z0-9_+/-]{16,}"
 #: The kinds, in the order that ties are listed in.
 KINDS = ("assign", "access", "hex", "owned")
 MIN_ASSIGN = 12
@@ -33,14 +33,15 @@ def _listed(found: Column) -> Column:
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, max_owners: int = 2, max_repos: int = 5) -> DataFrame:
-    """One row per row of ``docs``: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, owners, repos.
+    """One row per row of ``docs``: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, live, owners, repos.
 
     Base spans stand whatever their ownership. The method adds key-like strings
-    (``owned``: 20 characters or more of a key's alphabet, with upper case, lower
+    (``owned``: 16 characters or more of a key's alphabet, with upper case, lower
     case and two digits, not inside a base span) whose value at most
     ``max_owners`` owners hold, in at most ``max_repos`` repositories. n_live and
-    n_copied count all spans of the row by those same limits; owners and repos
-    have the counts of each listed span's value, in the order of spans.
+    n_copied count all spans of the row by those same limits; live, owners and
+    repos have the verdict on each listed span's value and the counts that it
+    rests on, in the order of spans.
     ``repo_col`` names the repository; by default each document is one. Places are code points, ends exclusive.
 
     Null and empty texts have no spans. Null owners are one owner, null ids one
@@ -71,7 +72,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     judged = each.select("rid", "x", F.col("x.h").alias("h")).join(ownership, "h").select("rid", "x", "owners", "repos", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live"))
     kept = judged.filter(F.col("live") | (F.col("x.k") < 3))
     per_row = kept.groupBy("rid").agg(
-        F.sort_array(F.collect_list(F.struct("x.s", "x.k", "x.e", "owners", "repos"))).alias("all"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied")
+        F.sort_array(F.collect_list(F.struct("x.s", "x.k", "x.e", "owners", "repos", "live"))).alias("all"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied")
     )
     out = rows.join(per_row, "rid", "left")
 
@@ -87,6 +88,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce(_listed("all"), F.lit("")).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        F.coalesce("all.live", F.array().cast("array<boolean>")).alias("live"),
         F.coalesce("all.owners", F.array().cast("array<long>")).alias("owners"),
         F.coalesce("all.repos", F.array().cast("array<long>")).alias("repos"),
     )
