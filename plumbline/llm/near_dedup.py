@@ -41,9 +41,11 @@ WIDE = 256
 ROUNDS = 2
 
 
-def needed_share(threshold_pct: int, k: int) -> float:
-    """The share of retained values that a true pair has in common: t less 6.5 standard deviations."""
+def needed_share(threshold_pct: int, k: int | None) -> float:
+    """The share of retained values that a true pair has in common: t less 6.5 standard deviations; t itself where all are retained."""
     t = threshold_pct / 100
+    if k is None:
+        return t
     return max(1 / k, t - 6.5 * math.sqrt(t * (1 - t) / k))
 
 
@@ -81,38 +83,40 @@ def shingle_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, k: i
     return docs.select(F.col(id_col).alias("rid"), F.col(text_col).alias("text")).mapInArrow(tidy(_sets_of(shingle, k)), _SCHEMA.format(kind))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold_pct: int, k: int, share: float) -> DataFrame:
-    """The pairs (a, b) of nodes that pass the union-sketch estimate and then the exact test."""
+def _verified(pairs: DataFrame, sets: DataFrame, threshold_pct: int, k: int | None, share: float) -> DataFrame:
+    """The pairs (a, b) of nodes that pass the union-sketch estimate (k is None: without it) and then the exact test."""
     left = sets.select(F.col("fp").alias("b"), F.col("vals").alias("vb"))
     right = sets.select(F.col("fp").alias("a"), F.col("vals").alias("va"))
     both = pairs.join(left, "b").join(right, "a")
     va, vb = F.col("va"), F.col("vb")
     fits = 100 * F.least(F.size(va), F.size(vb)) >= threshold_pct * F.greatest(F.size(va), F.size(vb))
-    low = F.slice(F.array_sort(F.array_union(F.slice(va, 1, k), F.slice(vb, 1, k))), 1, k)
-    shared = F.size(F.array_intersect(low, F.array_intersect(F.slice(va, 1, k), F.slice(vb, 1, k))))
-    likely = shared >= share * F.size(low)
+    likely = F.lit(True)
+    if k is not None:
+        low = F.slice(F.array_sort(F.array_union(F.slice(va, 1, k), F.slice(vb, 1, k))), 1, k)
+        shared = F.size(F.array_intersect(low, F.array_intersect(F.slice(va, 1, k), F.slice(vb, 1, k))))
+        likely = shared >= share * F.size(low)
     meet = F.size(F.array_intersect(va, vb))
     exact = 100 * meet >= threshold_pct * (F.size(va) + F.size(vb) - meet)
     return both.filter(fits).filter(likely).filter(exact).select("a", "b")
 
 
-def _blocks(threshold_pct: int):
+def _blocks(threshold_pct: int, wide: int | None):
     """applyInPandas function: links and open pairs across components, of one block, or two, of a long list.
 
-    Rows hold the WIDE smallest hashes of their sets. Where that is both whole
+    Rows hold the ``wide`` smallest hashes of their sets, or all. Where that is both whole
     sets, overlaps counted for a row against all others at once are exact, and
     only links that join two parts of the block go on. Other pairs go on where
     the union-sketch estimate allows it, from the list of their smallest common
     value only.
     """
-    share = needed_share(threshold_pct, WIDE)
+    share = needed_share(threshold_pct, wide)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         i, j, v = int(rows["i"].iloc[0]), int(rows["j"].iloc[0]), int(rows["v"].iloc[0])
         sketch = list(rows["vals"])
         held = np.array([len(s) for s in sketch])
         size = rows["size"].to_numpy()
-        whole = size <= WIDE
+        whole = size <= wide if wide else np.ones(len(size), dtype=bool)
         flat = np.concatenate(sketch)
         owner = np.repeat(np.arange(len(rows)), held)
         order = np.argsort(flat, kind="stable")
@@ -142,7 +146,7 @@ def _blocks(threshold_pct: int):
             for o in np.flatnonzero(likely):
                 if min(listed[r] & listed[o]) != v:
                     continue
-                low = np.union1d(sketch[r], sketch[o])[:WIDE]
+                low = np.union1d(sketch[r], sketch[o])[:wide]
                 both = np.intersect1d(sketch[r], sketch[o], assume_unique=True)
                 if np.searchsorted(both, low[-1], side="right") >= share * len(low):
                     out.append((min(fp[r], fp[o]), max(fp[r], fp[o]), False))
@@ -151,7 +155,7 @@ def _blocks(threshold_pct: int):
     return run
 
 
-def _links(lists: DataFrame, sets: DataFrame, threshold_pct: int, k: int, share: float) -> DataFrame | None:
+def _links(lists: DataFrame, sets: DataFrame, threshold_pct: int, k: int | None, share: float) -> DataFrame | None:
     """(node, root) of all nodes with links. lists: (v, fp), a row for each list that a node stands in."""
     edges, roots = None, None
     left = lists.withColumn("root", F.col("fp"))
@@ -185,8 +189,9 @@ def _links(lists: DataFrame, sets: DataFrame, threshold_pct: int, k: int, share:
     long = long.select("v", "fp", "root", mine.alias("blk"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
     long = long.select("v", "fp", "root", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"))
     stands = lists.groupBy("fp").agg(F.collect_list("v").alias("pre"))  # at most k values
-    wide = sets.select("fp", F.size("vals").alias("size"), F.slice("vals", 1, WIDE).alias("vals")).join(stands, "fp")
-    far = cut(long.join(wide, "fp").groupBy("v", "i", "j").applyInPandas(tidy_group(_blocks(threshold_pct)), "a binary, b binary, sure boolean").distinct())
+    least = None if k is None else WIDE
+    wide = sets.select("fp", F.size("vals").alias("size"), (F.slice("vals", 1, least) if least else F.col("vals")).alias("vals")).join(stands, "fp")
+    far = cut(long.join(wide, "fp").groupBy("v", "i", "j").applyInPandas(tidy_group(_blocks(threshold_pct, least)), "a binary, b binary, sure boolean").distinct())
     pairs = near.union(far.filter("NOT sure").select("a", "b")).distinct()
     if done is not None:
         pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -207,7 +212,7 @@ def _full_sets(docs: DataFrame, lists: DataFrame, nodes: DataFrame, id_col: str,
     return cut(full.groupBy("fp").agg(F.first("vals").alias("vals")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold_pct: int = 80, k: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold_pct: int = 80, k: int | None = 64) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
     Rows are linked when 100 * |A and B| >= threshold_pct * |A or B| for their
@@ -215,6 +220,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     white space; the whole sequence if there are fewer words). component_id is
     the smallest id that links lead to; kept marks the rows that bear it.
 
+    With ``k`` values retained of each set a link at the threshold is missed with
+    a chance of about 1e-8, for each of the lists that it may be found in; with
+    ``k`` None all values are retained and no link is missed, at the cost of
+    longer lists.
+
     Null and empty texts, and texts of white space, have n_shingles 0 and stand
     alone. Rows with equal ids are judged each by its own text. A component
     whose rows all lack an id, and an empty text without one, has component_id

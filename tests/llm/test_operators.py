@@ -129,6 +129,29 @@ def test_near_duplicates(spark, docs, texts):
     assert got == near_by_force(more, 3, 85)
 
 
+@pytest.mark.parametrize("k", [64, None])
+def test_near_blocks_and_wide_sets(spark, monkeypatch, k):
+    """Long lists cut to blocks, sets above and below what blocks hold whole, chains across blocks."""
+    import random
+
+    from plumbline.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "SHORT", 4)
+    draw = random.Random(9)
+    texts = {}
+    for g, size in enumerate((150, 400, 700)):
+        base = [f"w{g}x{draw.randrange(10**6)}" for _ in range(size)]
+        for i in range(30):
+            own = list(base)
+            for _ in range(draw.randrange(0, max(2, size // 45))):
+                own[draw.randrange(size)] = f"new{draw.randrange(10**9)}"
+            texts[1000 * g + i] = " ".join(own)
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(table, shingle=3, threshold_pct=85, k=k).collect()}
+    assert got == near_by_force(texts, 3, 85)
+
+
 def test_near_odd_rows(odd):
     rows = near_duplicates(odd).collect()
     assert all(r.component_id == 1 for r in rows if r.n_shingles and r.doc_id in (1, 2, 3))
@@ -455,6 +478,27 @@ def test_tokenizer_pieces(spark):
         assert flat.tolist() == Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_against_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, SF), con.sql(queries.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = want.fetchall()
+    place = [want.columns.index(c) for c in got.columns]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted((tuple(r[i] for i in place) for r in rows), key=repr)
+
+
+def test_clashing_names(spark):
+    rows = [(i, f"Line {i} speaks of item{i}, of place{i}. " * 12, "x", "y", "z") for i in range(3)] + [(None, None, None, None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _w string, _l string, _gone string")
+    assert keep_good(table).columns == drop_near(table).columns == table.columns
+    assert drop_near(table).count() == 4 and keep_good(table.limit(0)).count() == 0
+    assert mix_documents(table.withColumnRenamed("_w", "source")).columns == [*["doc_id", "text", "source"], "_l", "_gone"]
+
+
 def test_quality(docs, texts):
     for r in quality_columns(docs).collect():
         t = texts[r.doc_id]
