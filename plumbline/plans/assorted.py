@@ -278,3 +278,10 @@ def t3_b7_j18_j19_rank_phase(spark: SparkSession, d: str) -> DataFrame:
     claims = worded.claims(spark, d).withColumn("must_have", F.slice(F.coalesce("entities", F.array().cast("array<string>")), 1, 1))
     rows = tracking.rank_phase(_ranked(spark, d), claims)
     return rows.select("claim_id", "statement", "source_url", "stance", "rank", "grade", "core", _r(F.col("final_score")).alias("final_score"), _r(F.col("stage1")).alias("stage1"))
+
+
+@query()
+def u34_u35_u36_u37_u38_u39_u40_w7_claim_segments(spark: SparkSession, d: str) -> DataFrame:
+    from plumbline.functions.segments import segmented
+
+    return segmented(worded.claims(spark, d))
