@@ -77,11 +77,11 @@ z3 AS (SELECT *, CASE WHEN rm >= 0.60 AND cov < 0.50 THEN least(s2, 0.62) ELSE s
 z4 AS (SELECT *, {_c01('CASE WHEN ad < 0.40 THEN 0.85 * s3 ELSE s3 END')} AS s4 FROM z3)
 SELECT claim_id, verdict, round(CASE WHEN verdict <> 'UNVERIFIABLE' THEN s4 WHEN suff < 0.58 OR margin < 0.24 OR adm < 0.50 THEN least(s4, 0.58) WHEN hi >= 0.60 AND abs(ct - cf) >= 0.20 THEN least(s4, 0.62) ELSE s4 END, 6) AS confidence,
     round(CASE verdict WHEN 'TRUE' THEN greatest(55, least(98, 60 + 40 * pt)) WHEN 'FALSE' THEN greatest(2, least(45, 45 * (1 - pf))) ELSE greatest(30, least(60, 45 + 10 * (pt - pf))) END, 6) AS truthfulness,
-    round(1 / (1 + exp(-2.5 * (sm - rm))), 6) AS truth_score_binary, CASE WHEN round(1 / (1 + exp(-2.5 * (sm - rm))), 9) >= 0.5 THEN 'TRUE' ELSE 'FALSE' END AS verdict_binary FROM z4
+    round(1 / (1 + exp(-2.5 * (sm - rm))), 9) AS truth_score_binary, CASE WHEN round(1 / (1 + exp(-2.5 * (sm - rm))), 9) >= 0.5 THEN 'TRUE' ELSE 'FALSE' END AS verdict_binary FROM z4
 """)
 def a41_a42_a43_verdict_policy(spark: SparkSession, d: str) -> DataFrame:
     v = verdict.verdicts(verdict.posteriors(_mass(spark, d)))
-    return v.select("claim_id", "verdict", *[_r(F.col(c)).alias(c) for c in ("confidence", "truthfulness", "truth_score_binary")], "verdict_binary")
+    return v.select("claim_id", "verdict", *[_r(F.col(c)).alias(c) for c in ("confidence", "truthfulness")], "truth_score_binary", "verdict_binary")
 
 
 @query("""

@@ -333,11 +333,11 @@ def a9_a34_top_domains(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
 WITH {EVIDENCE}, g AS (SELECT claim_id, round(1 - coalesce(product(1 - support * trust) FILTER (admissible), 1), 9) AS support, round(1 - coalesce(product(1 - against * trust) FILTER (admissible), 1), 9) AS against, round(coalesce(sum(trust) FILTER (admissible), 0), 9) AS mass,
     list_sort(list(DISTINCT evidence_id) FILTER (admissible)) AS ids FROM t GROUP BY 1), m AS (SELECT *, round(support - against, 9) AS m FROM g)
-SELECT claim_id, round(support, 6) AS support, round(against, 6) AS against, CASE WHEN mass < 0.15 THEN 'UNKNOWN' WHEN m >= 0.22 THEN 'VALID' WHEN m <= -0.22 THEN 'INVALID' WHEN m >= 0.06 THEN 'PARTIALLY_VALID' WHEN m <= -0.06 THEN 'PARTIALLY_INVALID' ELSE 'UNKNOWN' END AS status,
+SELECT claim_id, support, against, CASE WHEN mass < 0.15 THEN 'UNKNOWN' WHEN m >= 0.22 THEN 'VALID' WHEN m <= -0.22 THEN 'INVALID' WHEN m >= 0.06 THEN 'PARTIALLY_VALID' WHEN m <= -0.06 THEN 'PARTIALLY_INVALID' ELSE 'UNKNOWN' END AS status,
     coalesce(array_to_string(ids, ' '), '') AS evidence_ids FROM m
 """)
 def a12_noisy_or(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.noisy_or(_trusted(spark, d)).select("claim_id", _r(F.col("support")).alias("support"), _r(F.col("against")).alias("against"), "status", F.array_join("evidence_ids", " ").alias("evidence_ids"))
+    return evidence.noisy_or(_trusted(spark, d)).select("claim_id", "support", "against", "status", F.array_join("evidence_ids", " ").alias("evidence_ids"))
 
 
 @query(f"""
