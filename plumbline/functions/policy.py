@@ -100,7 +100,7 @@ def strength(claim: Column, text: Column, credibility: Column, hint: Column) ->
     stance = F.when(said.isin("CONTRADICTS", "REFUTES", "INVALID", "PARTIALLY_INVALID"), "REFUTES").when(said.isin("SUPPORTS", "VALID", "PARTIALLY_VALID", "ENTAILS"), "SUPPORTS").otherwise(by_words)
     return F.struct(
         F.round(clamp01(base - 0.55 * hedge - 0.45 * rarity), 4).alias("support"), F.round(hedge, 4).alias("hedge"), F.round(rarity, 4).alias("rarity"), F.round(quality, 4).alias("quality"), stance.alias("stance"),
-        F.round(words.negation_anchor(claim, text, share), 4).alias("negation_anchor"),
+        F.round(words.negation_anchor(words.about_symptoms(claim), text, share), 4).alias("negation_anchor"),
     )
 
 

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumbline.functions.once import once
+
 #: Words that say nothing about a topic.
 STOP = ("the", "a", "an", "and", "or", "but", "to", "for", "of", "in", "on", "with", "by", "at", "is", "are", "was", "were", "be", "been", "being")
 #: Runs of word letters; with apostrophes or hyphens inside; words of three letters or more.
@@ -127,21 +129,28 @@ def direction_tokens(x: Column) -> tuple[Column, Column]:
     return token_set(F.regexp_extract(text, both, 1), APOSTROPHE, stop, 2), token_set(F.regexp_extract(text, both, 2), APOSTROPHE, stop, 2)
 
 
-def overlap(claim: Column, statement: Column) -> Column:
-    """Share of the claim's words that the statement has."""
-    c, s = token_set(claim, RUN, OVERLAP_STOP), token_set(statement, RUN, OVERLAP_STOP)
-    return F.when((F.size(c) == 0) | (F.size(s) == 0), 0.0).otherwise(shared(c, s) / F.size(c))
+def word_share(own: Column, statement: Column) -> Column:
+    """Share of a claim's own words (RUN, without OVERLAP_STOP) that the statement has."""
+    return once(shared(own, token_set(statement, RUN, OVERLAP_STOP)), lambda n: F.when(F.size(own) == 0, 0.0).otherwise(n / F.size(own)))
+
+
+def clean_entities(entities: Column) -> Column:
+    return F.array_distinct(F.transform(F.filter(F.coalesce(entities, F.array().cast("array<string>")), lambda e: F.coalesce(e, F.lit("")) != ""), lambda e: F.lower(F.trim(e))))
+
+
+def entity_words(entities: Column) -> Column:
+    return token_set(F.array_join(F.coalesce(entities, F.array().cast("array<string>")), " \n "), ALPHA, STOP)
 
 
-def entity_overlap(asked: Column, own: Column) -> Column:
-    """The larger of the shares of asked entities, and of asked words, that the own entities hold."""
-    clean = lambda a: F.array_distinct(F.transform(F.filter(F.coalesce(a, F.array().cast("array<string>")), lambda e: F.coalesce(e, F.lit("")) != ""), lambda e: F.lower(F.trim(e))))
-    words = lambda a: token_set(F.array_join(a, " \n "), ALPHA, STOP)
-    q, i = clean(asked), clean(own)
-    exact = shared(q, i) / F.size(q)
-    qt, it = words(q), words(i)
-    by_word = F.when((F.size(qt) == 0) | (F.size(it) == 0), exact).otherwise(F.greatest(exact, shared(qt, it) / F.size(qt)))
-    return F.when((F.size(q) == 0) | (F.size(i) == 0), 0.0).otherwise(by_word)
+def entity_share(asked: Column, asked_words: Column, own: Column) -> Column:
+    """The larger of the shares of asked entities (clean_entities) and of their words (entity_words) that the own entities hold."""
+
+    def share(x: Column) -> Column:
+        exact = shared(asked, x["i"]) / F.size(asked)
+        by_word = F.when((F.size(asked_words) == 0) | (F.size(x["t"]) == 0), exact).otherwise(F.greatest(exact, shared(asked_words, x["t"]) / F.size(asked_words)))
+        return F.when((F.size(asked) == 0) | (F.size(x["i"]) == 0), 0.0).otherwise(by_word)
+
+    return once(F.struct(clean_entities(own).alias("i"), entity_words(own).alias("t")), share)
 
 
 def strip_negation(x: Column) -> Column:
@@ -168,9 +177,12 @@ def anchor_hits(anchors: Column, statement: Column) -> Column:
     return F.size(F.filter(anchors, lambda a: (a != "") & inside(a)))
 
 
-def negation_anchor(claim: Column, statement: Column, anchor_share: Column) -> Column:
-    """How far a statement of missing symptoms meets a claim about symptoms."""
-    about = (phrase_hits(claim, SYMPTOM_PHRASES) > 0) | has(claim, SYMPTOM_WORDS)
+def about_symptoms(claim: Column) -> Column:
+    return (phrase_hits(claim, SYMPTOM_PHRASES) > 0) | has(claim, SYMPTOM_WORDS)
+
+
+def negation_anchor(about: Column, statement: Column, anchor_share: Column) -> Column:
+    """How far a statement of missing symptoms meets a claim that is about symptoms."""
     return F.when(about & (phrase_hits(statement, NO_SYMPTOMS) > 0), 0.50 + 0.50 * anchor_share).otherwise(0.0)
 
 

@@ -36,20 +36,26 @@ def part_signals(parts: DataFrame) -> DataFrame:
     )
 
 
-def relevance(pairs: DataFrame) -> DataFrame:
-    """part_signals() rows joined with evidence, with the relevance of each pair and what its status depends on."""
+def row_signals(evidence: DataFrame) -> DataFrame:
+    """What the coverage needs to know of each row of evidence, worked out before it meets the parts."""
     c = F.col
     s = c("statement")
-    tokens = words.token_set(s, words.HYPHEN, words.STOP)
-    plain = words.token_set(words.strip_negation(s), words.HYPHEN, words.STOP)
-    common = words.shared(c("part_plain"), plain)
-    aligned = (F.size("part_plain") > 0) & (F.size(plain) > 0) & ((common >= 2) | (common / F.greatest(F.lit(1), F.size("part_plain")) >= 0.50))
-    rows = pairs.withColumns({
-        "semantic": clamp01(F.greatest(F.coalesce("semantic_score", F.lit(0.0)), F.coalesce("trust", F.lit(0.0)))), "hits": words.anchor_hits(c("terms"), s),
-        "lexical": words.shared(c("part_tokens"), tokens) / F.greatest(F.lit(1), F.size("part_tokens")), "object_match": F.arrays_overlap("part_objects", objects(s)),
-        "cue": words.contains_any(s, words.REFUTATION_CUES), "negation_differs": c("part_negated") != words.has(s, words.NEGATED_COVERAGE), "aligned": aligned,
+    return evidence.withColumns({
+        "semantic": clamp01(F.greatest(F.coalesce("semantic_score", F.lit(0.0)), F.coalesce("trust", F.lit(0.0)))), "row_tokens": words.token_set(s, words.HYPHEN, words.STOP),
+        "row_plain": words.token_set(words.strip_negation(s), words.HYPHEN, words.STOP), "row_objects": objects(s), "cue": words.contains_any(s, words.REFUTATION_CUES), "row_negated": words.has(s, words.NEGATED_COVERAGE),
         "opposes": F.lower(F.coalesce("stance", F.lit("neutral"))) == "contradicts", "is_kg": F.upper(F.coalesce("candidate_type", F.lit(""))) == "KG",
     })
+
+
+def relevance(pairs: DataFrame) -> DataFrame:
+    """part_signals() joined with row_signals(), with the relevance of each pair and what its status depends on."""
+    c = F.col
+    rows = pairs.withColumns({
+        "hits": words.anchor_hits(c("terms"), c("statement")), "lexical": words.shared(c("part_tokens"), c("row_tokens")) / F.greatest(F.lit(1), F.size("part_tokens")), "object_match": F.arrays_overlap("part_objects", "row_objects"),
+        "negation_differs": c("part_negated") != c("row_negated"), "_common": words.shared(c("part_plain"), c("row_plain")),
+    })
+    aligned = (c("_common") >= 2) | ((c("_common") > 0) & (c("_common") / F.greatest(F.lit(1), F.size("part_plain")) >= 0.50))
+    rows = rows.withColumn("aligned", aligned)
     by_anchor = F.when(F.size("terms") > 0, c("hits") / F.size("terms")).otherwise(0.0)
     over = F.greatest(c("lexical"), by_anchor)
     x = F.greatest(SEM_WEIGHT * c("semantic") + (1 - SEM_WEIGHT) * F.least(F.lit(1.0), c("hits") / MIN_HITS), 0.60 * c("semantic") + 0.40 * over)
@@ -69,7 +75,7 @@ def covered(parts: DataFrame, evidence: DataFrame) -> DataFrame:
     c = F.col
     asked = part_signals(parts)
     own = evidence.select("claim_id", "evidence_id", "statement", "semantic_score", "trust", "stance", "candidate_type", *[(c(x) if x in evidence.columns else F.lit(None)).cast("double").alias(x) for x in ("predicate_match", "target_overlap")])
-    pairs = relevance(asked.join(own, "claim_id"))
+    pairs = relevance(asked.join(row_signals(own), "claim_id"))
     row = F.struct("evidence_id", "relevance", "semantic", "overlap", "lexical", "hits", "object_match", "cue", "negation_differs", "aligned", "opposes", "is_kg", "trust", "predicate_match", "target_overlap")
     by_relevance = F.max_by(row, F.when(c("relevance") > 0, F.struct("relevance", -c("evidence_id"))))
     by_vector = F.max_by(row, F.when(c("semantic") >= PARTIAL, F.struct("semantic", -c("evidence_id"))))

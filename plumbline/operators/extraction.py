@@ -119,10 +119,8 @@ def admissible_facts(facts: DataFrame, claims: DataFrame) -> DataFrame:
     return d.filter(F.when(c("_any"), c("_in")).otherwise(c("_back"))).select(*facts.columns)
 
 
-def triple_alignment(subject: Column, relation: Column, obj: Column, statement: Column) -> Column:
-    """How much of a triple's words a statement has, 0 to 1."""
-    own = words.token_set(statement, words.ALPHA, words.STOP)
-    s, o, r = (words.token_set(x, words.ALPHA, words.STOP) for x in (subject, obj, relation))
+def triple_alignment(s: Column, r: Column, o: Column, own: Column) -> Column:
+    """How much of a triple's words (of subject, relation and object) a statement's words hold, 0 to 1."""
     ends = F.array_union(s, o)
     share = lambda t: F.when(F.size(t) > 0, words.shared(own, t) / F.size(t)).otherwise(0.0)
     whole = lambda t: F.when((F.size(t) > 0) & (words.shared(own, t) >= F.greatest(F.lit(1), F.when(F.size(t) == 1, 1).otherwise(F.size(t) - 1))), 0.12).otherwise(0.0)
@@ -138,8 +136,10 @@ def resolved_triples(triples: DataFrame, facts: DataFrame) -> DataFrame:
     fact_index, statement; a batch is one answer's handful.
     """
     c = F.col
-    pairs = triples.join(facts.select("batch", c("fact_index").alias("_i"), c("statement").alias("_s")), "batch")
-    pairs = pairs.withColumn("_a", triple_alignment(c("subject"), c("relation"), c("object"), c("_s")))
+    of = lambda x: words.token_set(c(x), words.ALPHA, words.STOP)
+    spoken = triples.select("batch", "triple_id", "fact_index", of("subject").alias("_s"), of("relation").alias("_r"), of("object").alias("_o"))
+    pairs = spoken.join(facts.select("batch", c("fact_index").alias("_i"), of("statement").alias("_t")), "batch")
+    pairs = pairs.withColumn("_a", triple_alignment(c("_s"), c("_r"), c("_o"), c("_t")))
     best = pairs.groupBy("batch", "triple_id").agg(F.max(F.when(c("_i") == c("fact_index"), c("_a"))).alias("given"), F.max(F.when(c("_a") > 0, F.struct("_a", (-c("_i")).alias("n")))).alias("best"))
     best = best.select("batch", "triple_id", "given", c("best._a").alias("top"), (-c("best.n")).alias("top_index"))
     index = F.when(F.coalesce("given", F.lit(0.0)) >= 0.35, c("fact_index")).when(F.coalesce("top", F.lit(0.0)) >= 0.45, c("top_index")).otherwise(-1)

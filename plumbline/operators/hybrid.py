@@ -60,7 +60,8 @@ def claim_signals(claims: DataFrame) -> DataFrame:
         "claim_id", "claim", F.col("entities").alias("asked"), kind.alias("claim_type"), (F.trim(words.low(q)) != "").alias("context"),
         words.object_tokens(q).alias("objects"), words.token_set(q, words.APOSTROPHE, words.FOCUS_STOP, 3).alias("focus"), before.alias("subject"), after.alias("target"),
         words.actions(q).alias("actions"), words.has(q, words.NEGATED_RANK).alias("negated"), words.has(q, words.BELIEF_CLAIM).alias("belief"),
-        words.anchor_terms(q).alias("anchors"), words.has(q, words.ASSERTIVE).alias("assertive"),
+        words.anchor_terms(q).alias("anchors"), words.has(q, words.ASSERTIVE).alias("assertive"), words.token_set(q, words.RUN, words.OVERLAP_STOP).alias("own_words"),
+        words.clean_entities(F.col("entities")).alias("asked_names"), words.entity_words(F.col("entities")).alias("asked_words"), words.about_symptoms(q).alias("symptoms"),
     ).withColumns({f"w_{s}": weight(i) for i, s in enumerate(SIGNALS)})
 
 
@@ -82,9 +83,9 @@ def scored(candidates: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
     s = c("statement")
     tokens = words.token_set(s, words.APOSTROPHE, (), 2)
     rows = rows.withColumns({
-        "entity_overlap": words.entity_overlap(c("asked"), c("entities")), "recency": scoring.recency_decay(c("published_at"), now),
+        "entity_overlap": words.entity_share(c("asked_names"), c("asked_words"), c("entities")), "recency": scoring.recency_decay(c("published_at"), now),
         "quality": words.source_quality(c("source_url"), F.lit(None).cast("string"), s), "anchors_matched": words.anchor_hits(c("anchors"), s),
-        "raw_overlap": words.overlap(c("claim"), s), "tokens": tokens, "done": words.actions(s), "denied": words.has(s, words.NEGATED_RANK),
+        "raw_overlap": words.word_share(c("own_words"), s), "tokens": tokens, "done": words.actions(s), "denied": words.has(s, words.NEGATED_RANK),
         "refutes": words.has(s, words.REFUTES_OBJECT), "mentions": words.has(s, words.MENTIONS_CLAIM), "doubt": words.contains_any(s, words.DOUBT),
     })
     required = F.least(F.size("anchors"), F.lit(2))
@@ -96,7 +97,7 @@ def scored(candidates: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
     })
     rows = rows.withColumns({
         "claim_overlap": F.when(c("context") & ~c("anchor_ok"), F.least(c("raw_overlap"), F.lit(0.20))).otherwise(c("raw_overlap")),
-        "negation_anchor": words.negation_anchor(c("claim"), s, c("anchor_match_score")),
+        "negation_anchor": words.negation_anchor(c("symptoms"), s, c("anchor_match_score")),
     })
     sem, kg, raw, ent, over, cred = c("sem"), c("kg"), c("kg_raw"), c("entity_overlap"), c("claim_overlap"), c("credibility")
     known = F.lit(0)

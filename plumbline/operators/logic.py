@@ -137,17 +137,19 @@ def evidence_scores(rows: DataFrame, claims: DataFrame, top_n: int = 5) -> DataF
     c = F.col
     zero = lambda x: clamp01(F.coalesce(F.col(x), F.lit(0.0)))
     unless = lambda x, d: clamp01(F.when(F.coalesce(F.col(x), F.lit(0.0)) == 0, d).otherwise(F.col(x)))
-    d = rows.filter("evidence_id >= 0").join(claims.select("claim_id", "claim"), "claim_id").withColumn("label", policy.relevance_label(c("relevance")))
-    differs = words.has(c("claim"), words.NEGATED_STANCE) != words.has(c("statement"), words.NEGATED_STANCE)
+    asked = claims.select("claim_id", (F.coalesce("claim", F.lit("")) == "").alias("_mute"), words.token_set(c("claim"), words.ALPHA, READ_STOP).alias("_own"), words.has(c("claim"), words.NEGATED_STANCE).alias("_denies"), words.has(c("claim"), words.NEGATED_NLI).alias("_negates"))
+    d = rows.filter("evidence_id >= 0").join(asked, "claim_id").withColumn("label", policy.relevance_label(c("relevance")))
+    differs = c("_denies") != words.has(c("statement"), words.NEGATED_STANCE)
     first = clamp01(0.35 * zero("negation_anchor_overlap") + 0.35 * zero("contradiction_score") + 0.20 * differs.cast("double") + 0.10 * (1 - zero("predicate_match_score")))
     d = d.withColumn("stage1", F.round(first, 9))
     turn = F.row_number().over(Window.partitionBy("claim_id").orderBy((c("stage1") >= 0.30).desc(), c("stage1").desc(), "evidence_id"))
-    own, other = (words.token_set(c(x), words.ALPHA, READ_STOP) for x in ("claim", "statement"))
+    # written once, as what is read names them many times
+    d = d.withColumns({"_turn": turn, "_other": words.token_set(c("statement"), words.ALPHA, READ_STOP), "_opposed": c("_negates") != words.has(c("statement"), words.NEGATED_NLI)})
+    turn, own, other, opposed = c("_turn"), c("_own"), c("_other"), c("_opposed")
     over = words.shared(own, other) / F.greatest(F.lit(1), F.size(own))
-    opposed = words.has(c("claim"), words.NEGATED_NLI) != words.has(c("statement"), words.NEGATED_NLI)
-    silent, wordless = (c("claim") == "") | (c("statement") == ""), (F.size(own) == 0) | (F.size(other) == 0)
+    silent, wordless = c("_mute") | (F.coalesce("statement", F.lit("")) == ""), (F.size(own) == 0) | (F.size(other) == 0)
     read = [
-        F.when(F.coalesce(silent, F.lit(True)), s).when(wordless, w).otherwise(x)
+        F.when(silent, s).when(wordless, w).otherwise(x)
         for x, s, w in zip(heuristic_nli(over, opposed), (0.0, 0.0, 1.0), (0.25, 0.25, 0.50), strict=True)
     ]
     prior = [F.coalesce(*[F.when(c("label") == k, v[i]) for k, v in PRIORS.items()]) for i in range(3)]
