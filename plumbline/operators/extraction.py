@@ -171,3 +171,43 @@ def claim_aligned(subject: Column, relation: Column, obj: Column, statement: Col
     fits = (F.size(claim_families) == 0) | (F.size(kind) == 0) | F.arrays_overlap(claim_families, kind) | (common >= 2)
     asked_nothing = (F.coalesce(profile_claim, F.lit("")) == "") & (F.size(entity_tokens) == 0) & (F.size(must_tokens) == 0)
     return asked_nothing | ((F.size(own) > 0) & named & ((F.size(claim_tokens) == 0) | (common > 0)) & fits)
+
+
+#: Words left out where a statement is looked for in its source.
+GROUND_STOP = (*words.STOP, "that", "this", "these", "those", "as", "from", "it", "its", "their")
+GROUND_TOKEN = r"\b[a-z][a-z0-9_-]{2,}\b"
+
+
+def best_sentence(statement: Column, source: Column, most: int = 250) -> Column:
+    """A struct: the sentence of a source that holds most of a statement's words, and its score; '' and 0 for none.
+
+    0.75 of the share of the statement's words, 0.25 of the sentence's, and more
+    where the statement's first words are there. Ties go to the earlier sentence.
+    """
+    from plumbline.functions.once import once
+
+    own = words.token_set(statement, GROUND_TOKEN, GROUND_STOP)
+    listed = F.slice(F.transform(text.sentences(source), text.clean_statement), 1, most)
+
+    def of(w: Column) -> Column:
+        def scored(x: Column, i: Column) -> Column:
+            def score(t: Column) -> Column:
+                common = words.shared(w, t)
+                lead = F.when(F.array_contains(t, F.coalesce(F.get(w, F.lit(0)), F.lit(""))), 0.20).otherwise(0.0) + F.when(F.array_contains(t, F.coalesce(F.get(w, F.lit(1)), F.lit(""))), 0.10).otherwise(0.0)
+                return F.when(common > 0, F.round(0.75 * common / F.size(w) + 0.25 * common / F.size(t) + lead, 9)).otherwise(0.0)
+
+            return F.struct(once(words.token_set(x, GROUND_TOKEN, GROUND_STOP), score).alias("score"), (-i).alias("i"), x.alias("sentence"))
+
+        return F.array_max(F.transform(listed, scored))
+
+    best = once(own, of)
+    hit = (F.size(own) > 0) & (best["score"] > 0)
+    return F.struct(F.when(hit, best["sentence"]).otherwise("").alias("sentence"), F.when(hit, best["score"]).otherwise(0.0).alias("score"))
+
+
+def grounded_statement(statement: Column, source: Column) -> Column:
+    """The cleaned statement, or its closest source sentence where that says the opposite or nearly the same."""
+    clean = text.clean_statement(statement)
+    best = best_sentence(clean, source)
+    opposite = (has(clean, NEGATED) != has(best["sentence"], NEGATED)) & (best["score"] >= 0.55)
+    return F.when((best["score"] >= 0.40) & (opposite | (best["score"] >= 0.88)), best["sentence"]).otherwise(clean)

@@ -428,3 +428,4 @@ from plumbline.plans import covering  # noqa: E402, F401
 from plumbline.plans import searching  # noqa: E402, F401
 from plumbline.plans import extracting  # noqa: E402, F401
 from plumbline.plans import assorted  # noqa: E402, F401
+from plumbline.plans import remaining  # noqa: E402, F401

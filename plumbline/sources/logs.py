@@ -37,5 +37,13 @@ def retained(logs: DataFrame, now: str, hours: int = 168) -> DataFrame:
     return logs.filter(F.col("ts") >= cutoff)
 
 
+def iso_range(logs: DataFrame, column: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Rows whose ISO time, a text, lies between two others as texts: '2024-01-09' comes before '2024-01-09T00'."""
+    for bound, keep in ((start, lambda c, x: c >= x), (end, lambda c, x: c <= x)):
+        if bound is not None:
+            logs = logs.filter(keep(F.col(column), F.lit(bound)))
+    return logs
+
+
 def append(logs: DataFrame, path: str) -> None:
     logs.write.mode("append").partitionBy("level").parquet(path)

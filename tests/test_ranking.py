@@ -193,3 +193,30 @@ def test_grounded_statements(spark):
 def test_labels_and_bands(spark):
     row = spark.range(1).select(scoring.semantic_label(F.lit(0.75)).alias("a"), scoring.truth_band(F.lit(None).cast("double")).alias("b"), scoring.untrusted_band(F.lit(56.0)).alias("c"), policy.relevance_label(F.lit(None).cast("string")).alias("d")).first()
     assert tuple(row) == ("GOOD", "LIKELY_FALSE", "MOSTLY_TRUE", "NEUTRAL")
+
+
+def test_best_sentence_by_force(spark):
+    import re
+
+    source = "Zinc lozenges shorten colds in adults. Smoking does not cause colds at all. *Zinc* and sugar were given to adults with colds. Nothing here."
+    listed = [re.sub(r"[*_`#~]", "", s.strip()) for s in re.split(r"(?<=[.!?])\s+", source) if len(s.strip()) > 10]
+    tokens = lambda x: list(dict.fromkeys(t for t in re.findall(r"\b[a-z][a-z0-9_-]{2,}\b", x.lower()) if t not in extraction.GROUND_STOP))
+
+    def by_force(statement):
+        own, best = tokens(statement), ("", 0.0)
+        for s in listed:
+            t = tokens(s)
+            n = len(set(own) & set(t))
+            if own and t and n:
+                score = 0.75 * n / len(own) + 0.25 * n / len(t) + 0.2 * (own[0] in t) + 0.1 * (len(own) > 1 and own[1] in t)
+                if score > best[1]:
+                    best = (s, score)
+        return best
+
+    cases = ["Zinc shortens colds", "Smoking causes colds", "adults with colds", "", "unrelated words"]
+    rows = spark.createDataFrame([(x, source) for x in cases], "x string, s string").select("x", extraction.best_sentence(F.col("x"), F.col("s")).alias("b"), extraction.grounded_statement(F.col("x"), F.col("s")).alias("g")).collect()
+    for r in rows:
+        sentence, score = by_force(r["x"])
+        assert r["b"]["sentence"] == sentence and r["b"]["score"] == pytest.approx(score)
+    got = {r["x"]: r["g"] for r in rows}
+    assert got["Smoking causes colds"] == "Smoking does not cause colds at all." and got["unrelated words"] == "unrelated words"
