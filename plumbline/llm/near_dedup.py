@@ -191,7 +191,9 @@ def _links(lists: DataFrame, sets: DataFrame, threshold_pct: int, k: int | None,
     stands = lists.groupBy("fp").agg(F.collect_list("v").alias("pre"))  # at most k values
     least = None if k is None else WIDE
     wide = sets.select("fp", F.size("vals").alias("size"), (F.slice("vals", 1, least) if least else F.col("vals")).alias("vals")).join(stands, "fp")
-    far = cut(long.join(wide, "fp").groupBy("v", "i", "j").applyInPandas(tidy_group(_blocks(threshold_pct, least)), "a binary, b binary, sure boolean").distinct())
+    # blocks are small in bytes and long in work: as many tasks as the session has partitions, which are not put together
+    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    far = cut(long.join(wide, "fp").repartition(parts, "v", "i", "j").groupBy("v", "i", "j").applyInPandas(tidy_group(_blocks(threshold_pct, least)), "a binary, b binary, sure boolean").distinct())
     pairs = near.union(far.filter("NOT sure").select("a", "b")).distinct()
     if done is not None:
         pairs = pairs.join(done, ["a", "b"], "left_anti")
