@@ -67,3 +67,12 @@ def selected_results(rows: DataFrame, group: str, order: str, url: str) -> DataF
     placed = placed.withColumn("_top", F.when(good >= 2, 3).when(good == 1, 5).otherwise(8)).filter("_place <= 8")
     rank = F.row_number().over(own.orderBy(F.col("gate.score").desc(), F.coalesce(url, F.lit("")), order))
     return placed.withColumn("rank", rank).filter("rank <= _top").drop("_place", "_top")
+
+
+def by_index(results: DataFrame, items: DataFrame, group: str, order: str, every_item: bool = False) -> DataFrame:
+    """Results that name their items by ``index``, from 0 in the ``order`` of a group, with the items; an index out of range is dropped.
+
+    With ``every_item`` items without a result stay, with nulls.
+    """
+    numbered = items.withColumn("index", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
+    return numbered.join(results, [group, "index"], "left" if every_item else "inner")
