@@ -430,3 +430,4 @@ from plumbline.plans import extracting  # noqa: E402, F401
 from plumbline.plans import assorted  # noqa: E402, F401
 from plumbline.plans import remaining  # noqa: E402, F401
 from plumbline.plans import answering  # noqa: E402, F401
+from plumbline.plans import naming  # noqa: E402, F401
