@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import entities, words
+from plumbline.functions import entities, queries, search, words
 from plumbline.functions.pages import NOISE
 from plumbline.plans import worded
 from plumbline.plans.registry import _r, query
@@ -99,3 +99,64 @@ ASK, GRAMMAR, PLAIN = zip(*ASKED, strict=True)
 def u95_u96_query_forms(spark: SparkSession, d: str) -> DataFrame:
     x = worded.pick(ASK, c("o_orderkey"))
     return read_table(spark, d, "orders").select(c("o_orderkey").alias("id"), entities.negation_grammar(x).alias("grammar"), entities.without_operators(x).alias("plain"))
+
+
+# search queries of a part
+
+TEXTS = (
+    *CLAIMS, "A diet rich in whole grains is good, and noncommunicable diseases follow", "The human heart beats 100,000 times a day", "Adults have 206 bones, hands and feet 106 bones", "New cells are made every second: 3,500,000 cells",
+    "Tongue prints are unique", "People should take vitamin C without risk", "High levels low in iron is bad bad bad iron",
+)
+NOT = lambda *lists: sql_text(tuple(dict.fromkeys(w for a in lists for w in a)))
+LESS = lambda items, out: f"list_filter({items}, lambda w: NOT list_contains({out}, w))"
+UNIQUE = lambda x: f"list_filter({x}, lambda u, k: list_position({x}, u) = k)"
+QUOTED = lambda a: f"CASE WHEN contains({a}, ' ') THEN '\"' || {a} || '\"' ELSE {a} END"
+CLEANED = lambda q: f"array_to_string(list_transform([string_split({q}, ' ')], lambda p: list_filter(p, lambda t, k: k = 1 OR lower(t) <> lower(p[k - 1]))[1:18])[1], ' ')"
+S, A, J, D = search.NO_KEY, search.ACTION, search.JUNK, queries.NO_ANCHOR
+TAIL = "(?: (?:" + "|".join(A) + "))+$"
+PARTS = f"""
+p0 AS (SELECT o_orderkey AS id, {sql_pick(TEXTS, 'o_orderkey')} AS part, coalesce({sql_pick(ENTITIES, 'o_custkey')}, []) AS ents FROM orders),
+p1 AS (SELECT id, lower(coalesce(part, '')) AS low, ents, {TOK('part')} AS tk, {TOK("array_to_string(ents, ' ')")} AS et FROM p0),
+p2 AS (SELECT *, {LESS('tk', NOT(S, A))} AS telling, {LESS('tk', NOT(S, A, J, D))} AS own, {LESS('tk', NOT(S, A, J))} AS dt, regexp_extract_all(low, {sql_text(search.NUMBER)}) AS nums0,
+    list_filter(list_transform(regexp_extract_all(low, {sql_text(queries.DIETARY)}), lambda p: regexp_replace(array_to_string({TOK('p')}, ' '), {sql_text(TAIL)}, '')), lambda p: len(string_split(p, ' ')) >= 3) || list_transform(regexp_extract_all(low, {sql_text(queries.CHRONIC)}), lambda p: array_to_string({TOK('p')}, ' ')) AS special FROM p1),
+p3 AS (SELECT *, {UNIQUE('nums0')} AS nums, list_filter(list_transform(range(1, len(telling)), lambda i: telling[i] || ' ' || telling[i + 1]), lambda p: length(p) >= 8) AS pairs,
+    list_transform(list_sort(list_transform({UNIQUE('own')}, lambda w: {{'n': -len(list_filter(own, lambda x: x = w)), 'l': -length(w), 'w': w}}))[1:8], lambda r: r.w) AS single,
+    list_transform(list_filter(list_transform(ents, lambda e: {LESS(TOK('e'), NOT(S, J, D))}), lambda e: list_has_any(e, own)), lambda e: array_to_string(e, ' ')) AS named,
+    list_transform(list_sort(list_transform({UNIQUE('dt')}, lambda w: {{'s': -(2.0 * len(list_filter(dt, lambda x: x = w)) + least(1.0, length(w) / 8.0) + CASE WHEN list_contains(et, w) THEN 1.0 ELSE 0.0 END), 'w': w}})), lambda r: r.w) AS best FROM p2),
+p4 AS (SELECT *, special || pairs AS ph0, special || list_filter(list_transform(ents, lambda e: array_to_string({TOK('e')}, ' ')), lambda e: contains(e, ' ')) || pairs AS phe0, nums[1:3] || list_transform(nums, lambda n: replace(n, ',', ''))[1:3] || best AS dq0 FROM p3),
+p5 AS (SELECT *, {UNIQUE('ph0')}[1:4] AS ph, {UNIQUE('phe0')}[1:4] AS phe, array_to_string({UNIQUE('dq0')}[1:8], ' ') AS direct FROM p4),
+p6 AS (SELECT *, list_filter(ph || named || single, lambda a: a <> '' AND NOT list_has_any({TOK('a')}, {NOT(D)})) || nums AS an0, list_filter(ph || single, lambda a: a <> '' AND NOT list_has_any({TOK('a')}, {NOT(D)})) || nums AS pl0,
+    CASE WHEN regexp_matches(low, {sql_text(queries.FIGURES)}) THEN {sql_text(queries.ENDS['figures'])} WHEN regexp_matches(low, {sql_text(queries.CAUSAL)}) AND regexp_matches(low, {sql_text(queries.DENIAL)}) THEN {sql_text(queries.ENDS['denied'])}
+        WHEN regexp_matches(low, {sql_text(queries.CAUSAL)}) THEN {sql_text(queries.ENDS['causal'])} WHEN regexp_matches(low, {sql_text(queries.ADVICE)}) THEN {sql_text(queries.ENDS['advice'])} ELSE {sql_text(queries.ENDS['other'])} END AS ends FROM p5),
+p7 AS (SELECT *, {UNIQUE('an0')}[1:10] AS an, {UNIQUE('pl0')}[1:10] AS pl FROM p6),
+p8 AS (SELECT *, list_transform(list_sort(list_transform(an, lambda a: {{'s': -(CASE WHEN regexp_matches(a, '\\d') THEN 4.0 ELSE 0.0 END::DOUBLE + CASE WHEN contains(a, ' ') THEN 1.2 ELSE 0.0 END::DOUBLE + least(2.0, length(a) / 6) - CASE WHEN list_contains({NOT(queries.VAGUE)}, a) THEN 2.0 ELSE 0.0 END::DOUBLE), 'a': a}})), lambda r: r.a) AS ranked FROM p7),
+p9 AS (SELECT *, list_filter(ranked, lambda a: contains(a, ' ') AND NOT regexp_matches(a, '\\d'))[1:2] AS w2, list_filter(ranked, lambda a: NOT contains(a, ' ') AND NOT regexp_matches(a, '\\d'))[1:3] AS s3, list_filter(ranked, lambda a: regexp_matches(a, '\\d'))[1:2] AS n2,
+    list_transform(list_filter(pl, lambda a: contains(a, ' ') AND NOT regexp_matches(a, '\\d'))[1:2], lambda a: {QUOTED('a')}) || list_filter(pl, lambda a: NOT contains(a, ' ') AND NOT regexp_matches(a, '\\d'))[1:3] || list_filter(pl, lambda a: regexp_matches(a, '\\d'))[1:1] AS pcore FROM p8),
+p10 AS (SELECT *, list_transform(w2, lambda a: {QUOTED('a')}) || list_filter(s3, lambda t: NOT list_contains(flatten(list_transform(w2, lambda a: {TOK('a')})), t)) || n2 AS c0 FROM p9),
+p11 AS (SELECT *, c0 || list_transform(ranked, lambda a: {QUOTED('a')}) AS c1 FROM p10),
+p12 AS (SELECT *, CASE WHEN len(c0) < 2 THEN {UNIQUE('c1')}[1:2] ELSE c0 END AS core FROM p11),
+p13 AS (SELECT *, list_transform(list_transform(ends, lambda e: array_to_string(core, ' ') || ' ' || e) || ['site:pubmed.ncbi.nlm.nih.gov ' || array_to_string(core, ' ') || ' ' || ends[1]], lambda q: {CLEANED('q')}) AS aq0, list_transform(ends[1:2], lambda e: {CLEANED("array_to_string(pcore[1:6], ' ') || ' ' || e")}) AS pq0 FROM p12)
+"""
+
+
+@query(f"WITH {PARTS} SELECT id, array_to_string(phe, '|') AS phrases, array_to_string(an, '|') AS anchors, direct, array_to_string(ends, '|') AS ends, CASE WHEN len(core) > 0 THEN array_to_string({UNIQUE('aq0')}, '|') ELSE '' END AS anchored, CASE WHEN len(pcore) > 0 THEN array_to_string({UNIQUE('pq0')}, '|') ELSE '' END AS plain FROM p13")
+def f52_u99_u100_u101_u104_u109_part_queries(spark: SparkSession, d: str) -> DataFrame:
+    text, ents = worded.pick(TEXTS, c("o_orderkey")), worded.pick(ENTITIES, c("o_custkey"))
+    made = {
+        "phrases": queries.phrases(text, ents), "anchors": queries.part_anchors(text, ents), "ends": queries.ends(text), "anchored": queries.anchor_queries(text, ents), "plain": queries.plain_queries(text),
+    }
+    return read_table(spark, d, "orders").select(c("o_orderkey").alias("id"), queries.direct_query(text, ents).alias("direct"), *[F.array_join(v, "|").alias(k) for k, v in made.items()])
+
+
+#: Texts and the questions that they ask.
+SPOKEN = (
+    ("Adults have 206 bones, hands and feet 106", "how many bones are in adult human hands and feet|how many bones are in the hands and feet|how many bones does an adult human have"), ("a broken bone", "how many bones does a human have"),
+    ("The heart beats daily", "how many times does the human heart beat per day"), ("The heart beats", ""), ("new cells each second", "how many new cells does the human body produce per second"),
+    ("tongue print", "are tongue prints unique|unique tongue prints individuals"), ("", ""), (None, ""), ("bone foot", "how many bones are in adult human hands and feet|how many bones are in the hands and feet|how many bones does a human have"),
+)
+SAYS, ASKS = zip(*SPOKEN, strict=True)
+
+
+@query(f"SELECT o_orderkey AS id, {sql_pick(ASKS, 'o_orderkey')} AS questions FROM orders")
+def u102_question_queries(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "orders").select(c("o_orderkey").alias("id"), F.array_join(queries.question_queries(worded.pick(SAYS, c("o_orderkey"))), "|").alias("questions"))
