@@ -171,3 +171,36 @@ def question_queries(text: Column) -> Column:
         return F.filter(F.array(*each), lambda q: q.isNotNull())
 
     return once(entity_tokens(text), asked)
+
+
+#: How a part begins that goes on with the one before, and words that let it stand by itself.
+GOES_ON = r"(?i)^\s*(?:and|or|but|however|although|while)\s+"
+MEDICAL = ("flu", "influenza", "autism", "vaccine", "vaccines", "antibiotic", "antibiotics", "virus", "viruses", "sugar", "hyperactivity", "adhd", "cholesterol", "heart")
+#: Fixed value: a denied effect, the object of which may change.
+DENIED_EFFECT = r"(?i)^(.+?\b(?:do|does|did|can|could|may|might|must|should|would|will)?\s*not\s+(?:cause|cure|treat|prevent|trigger))\s+.+$"
+LONG_FRAGMENT = 4
+
+
+def _bare(x: Column) -> Column:
+    """Single spaces, and no spaces, commas or full stops around."""
+    return F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), r"^[ ,.]+|[ ,.]+$", "")
+
+
+def merged_parts(parts: Column) -> Column:
+    """Parts of a claim, where one that begins with a conjunction takes over the denied effect before it, or joins the part before it if it is short and names nothing medical."""
+
+    def step(held: Column, raw: Column) -> Column:
+        part = F.trim(F.coalesce(raw, F.lit("")))
+        last = F.coalesce(F.get(held, F.size(held) - 1), F.lit(""))
+        fragment = F.regexp_replace(part, GOES_ON, "")
+        effect = F.regexp_extract(_bare(last), DENIED_EFFECT, 1)
+        own = F.filter(entity_tokens(fragment), lambda t: ~t.isin(*search.NO_KEY))
+        joins = (F.size(own) <= LONG_FRAGMENT) & ~F.exists(own, lambda t: t.isin(*MEDICAL))
+        joined = F.concat(F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0))), F.array(F.concat(F.regexp_replace(last, "[, ]+$", ""), F.lit(" "), part)))
+        goes_on = F.rlike(part, F.lit(r"(?i)^(?:and|or|but|however|although|while) ")) & (F.size(held) > 0)
+        return (
+            F.when(part == "", held).when(~goes_on, F.concat(held, F.array(part))).when((effect != "") & (_bare(fragment) != ""), F.concat(held, F.array(_bare(F.concat(effect, F.lit(" "), _bare(fragment))))))
+            .when(joins, joined).otherwise(F.concat(held, F.array(part)))
+        )
+
+    return F.aggregate(F.coalesce(parts, _none()), _none(), step)

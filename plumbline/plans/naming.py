@@ -160,3 +160,16 @@ SAYS, ASKS = zip(*SPOKEN, strict=True)
 @query(f"SELECT o_orderkey AS id, {sql_pick(ASKS, 'o_orderkey')} AS questions FROM orders")
 def u102_question_queries(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "orders").select(c("o_orderkey").alias("id"), F.array_join(queries.question_queries(worded.pick(SAYS, c("o_orderkey"))), "|").alias("questions"))
+
+
+#: Parts of claims, and what they are merged to.
+FRAGMENTS = (
+    (("Vaccines do not cause autism", "or the flu"), "Vaccines do not cause autism|Vaccines do not cause the flu"), (("Zinc helps, ", "and sleep"), "Zinc helps and sleep"), (("Zinc helps", "and the flu vaccine"), "Zinc helps|and the flu vaccine"),
+    (("and first", None, " ", "But iron helps adults with severe anemia daily"), "and first|But iron helps adults with severe anemia daily"), ((), ""), (None, ""), (("Tea", "and cold", "or hot", "Coffee"), "Tea and cold or hot|Coffee"),
+)
+PIECES, MERGED = zip(*FRAGMENTS, strict=True)
+
+
+@query(f"SELECT o_orderkey AS id, {sql_pick(MERGED, 'o_orderkey')} AS parts FROM orders")
+def u93_merged_parts(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "orders").select(c("o_orderkey").alias("id"), F.array_join(queries.merged_parts(worded.pick(PIECES, c("o_orderkey"))), "|").alias("parts"))
