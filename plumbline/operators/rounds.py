@@ -82,3 +82,38 @@ def retrieval_phase(claims: DataFrame, semantic: DataFrame, lexical: DataFrame,
     spoken = F.when(F.trim(text("statement")) == "", said).otherwise(c("statement"))
     kg = paths.select("claim_id", "seq", F.lit("kg").alias("side"), spoken.alias("statement"), "source_url", F.greatest(F.coalesce("score", F.lit(0.0)), lifted).alias("score"))
     return best.select("claim_id", "seq", F.lit("sem").alias("side"), "statement", "source_url", "score").unionByName(kg)
+
+
+#: How much less a further round asks for, and the least that any asks for.
+EASING, FLOOR = 0.04, 0.55
+ENOUGH_NOW, FEW_URLS, LAST_ROUND = "threshold met", "not enough new urls", "last round"
+
+
+def reinforced(ranked: DataFrame, known: DataFrame, search: Callable[[DataFrame, int], DataFrame], rank: Callable[[DataFrame, int], DataFrame], threshold: float, rounds: int = ROUNDS, least_new: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(ranked rows after up to ``rounds`` rounds of search, (claim_id, rounds, reason) for each claim).
+
+    A claim (ranked: claim_id, final_score, ..) whose best score reaches the
+    threshold is done. For the others ``search(rows below the threshold, round)``
+    gives (claim_id, url), of which those in ``known`` do not count; a claim with
+    fewer than ``least_new`` new ones stops as it is. ``rank(their new urls,
+    round)`` reads and stores them and gives those claims' new ranked rows. Each
+    round asks for EASING less, FLOOR at least. Claims that no row names take no
+    part. Every round is written once.
+    """
+    rows, urls, ends = cut(ranked), known.select("claim_id", "url").distinct(), []
+    still = rows.select("claim_id").distinct()
+    for number in range(1, rounds + 1):
+        best = rows.join(still, "claim_id", "left_semi").groupBy("claim_id").agg(F.round(F.max("final_score"), 9).alias("best"))
+        open_ = best.filter(F.col("best") < round(threshold, 9)).select("claim_id")
+        ends.append(best.filter(F.col("best") >= round(threshold, 9)).select("claim_id", F.lit(number - 1).alias("rounds"), F.lit(ENOUGH_NOW).alias("reason")))
+        weak = rows.join(open_, "claim_id", "left_semi").filter(F.round("final_score", 9) < round(threshold, 9))
+        found = cut(search(weak, number).select("claim_id", "url").distinct().join(urls, ["claim_id", "url"], "left_anti"))
+        going = found.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_new).select("claim_id")
+        ends.append(open_.join(going, "claim_id", "left_anti").select("claim_id", F.lit(number - 1).alias("rounds"), F.lit(FEW_URLS).alias("reason")))
+        fresh = found.join(going, "claim_id", "left_semi")
+        again = cut(rank(fresh, number))
+        rows = cut(rows.join(again.select("claim_id").distinct(), "claim_id", "left_anti").unionByName(again))
+        urls, still = cut(urls.unionByName(fresh)), cut(going)
+        threshold = max(threshold - EASING, FLOOR)
+    ends.append(still.select("claim_id", F.lit(rounds).alias("rounds"), F.lit(LAST_ROUND).alias("reason")))
+    return rows, reduce(DataFrame.unionByName, ends)

@@ -77,3 +77,16 @@ def test_candidates_without_anchors_and_empty_tables(spark):
     got = {r.seq: (r.statement, r.score) for r in rounds.retrieval_phase(claims, semantic, lexical, graph).collect()}
     assert got == {1: ("tea", 0.1), 3: (None, None), 5: ("Tea ", 0.9), 6: ("zinc may help", 1.0)}
     assert rounds.retrieval_phase(claims.limit(0), semantic, lexical, graph).count() == 0
+
+
+def test_reinforced_claims_stop_for_their_reasons(spark):
+    ranked = spark.createDataFrame([(1, 0.9), (1, 0.1), (2, 0.2), (3, 0.3), (4, 0.5)], "claim_id int, final_score double")
+    known = spark.createDataFrame([(2, "old")], "claim_id int, url string")
+    urls = spark.createDataFrame([(1, "x", 1), (2, "old", 1), (3, "n1", 1), (3, "n1", 2), (4, "m1", 1), (4, "m2", 2)], "claim_id int, url string, r int")
+
+    def rank(fresh, number):
+        return fresh.select("claim_id", (F.col("claim_id") * 0.15).alias("final_score"))
+
+    rows, ends = rounds.reinforced(ranked, known, lambda weak, number: urls.filter(F.col("r") == number).join(weak.select("claim_id"), "claim_id", "left_semi"), rank, 0.64, rounds=2)
+    assert {r.claim_id: (r.rounds, r.reason) for r in ends.collect()} == {1: (0, rounds.ENOUGH_NOW), 2: (0, rounds.FEW_URLS), 3: (1, rounds.FEW_URLS), 4: (1, rounds.ENOUGH_NOW)}
+    assert sorted((r.claim_id, round(r.final_score, 2)) for r in rows.collect()) == [(1, 0.1), (1, 0.9), (2, 0.2), (3, 0.45), (4, 0.6)]
