@@ -9,6 +9,9 @@ by claim_id, so after the merge no row moves again.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,3 +190,32 @@ def hybrid_rank(candidates: DataFrame, claims: DataFrame, now: Column) -> DataFr
     rows = rows.withColumn("_best", best).filter(c("_in") | back)
     order = [c("final_score").desc(), c("credibility").desc(), c("support_score").desc(), c("recency").desc(), c("statement"), c("source_url").asc_nulls_first()]
     return rows.withColumn("rank", F.row_number().over(claim.orderBy(*order))).drop("_in", "_graph", "_kg", "_lost", "_best", "_at")
+
+
+#: Rows that a pair model reads for a claim, five at least, and its share of their score.
+RERANKED, LEAST_RERANKED, PAIR_SHARE = 30, 5, 0.25
+
+
+def reranked(ranked: DataFrame, claims: DataFrame, score: Callable[[list[tuple[str, str]]], Sequence[float]], most: int = RERANKED) -> DataFrame:
+    """Ranked rows (claim_id, rank, statement, final_score, ..) with a pair model's view of a claim's first ones, ranked anew.
+
+    ``score`` gets (claim, statement) pairs in batches; what it gives outside 0..1
+    is taken for a logit. The first rows are sorted by their blended score, then
+    the model's, then the statement, the others follow as they were. Claims
+    without text, and null final scores as 0, are left as they are. The model sees
+    only the first rows; the ranks need no shuffle but the one by claim.
+    """
+    c, first = F.col, F.col("rank") <= max(LEAST_RERANKED, most)
+
+    @F.pandas_udf("double")
+    def judged(claim: pd.Series, statement: pd.Series) -> pd.Series:
+        return pd.Series(list(score(list(zip(claim, statement, strict=True)))), dtype="float64")
+
+    rows = ranked.join(claims.select("claim_id", "claim"), "claim_id")
+    asked = first & (F.coalesce("claim", F.lit("")) != "")
+    head = rows.filter(asked).withColumn("raw", judged(c("claim"), F.coalesce("statement", F.lit(""))))
+    inside = F.when(c("raw").between(0.0, 1.0), c("raw")).otherwise(scoring.sigmoid(c("raw")))
+    blended = (1 - PAIR_SHARE) * F.coalesce("final_score", F.lit(0.0)) + PAIR_SHARE * inside
+    both = head.withColumns({"pair_score": inside, "final_score": blended}).drop("raw").unionByName(rows.filter(~asked).withColumn("pair_score", F.lit(None).cast("double")))
+    order = [c("pair_score").isNull(), F.when(c("pair_score").isNull(), c("rank")), F.round("final_score", 9).desc(), F.round("pair_score", 9).desc(), F.coalesce("statement", F.lit("")), c("rank")]
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("claim_id").orderBy(*order))).drop("claim")

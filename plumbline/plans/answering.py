@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, MapType, StringType
 
 from plumbline.functions import anchors, answers
-from plumbline.operators import lists, rounds
+from plumbline.operators import hybrid, lists, rounds
 from plumbline.plans import worded
 from plumbline.plans.registry import NOW, _evidence, query
 from plumbline.plans.searching import CONTEXT, STRONG, TOKS, _claims
 from plumbline.plans.worded import CLAIMS, ENTITIES, EVIDENCE_SQL, STATEMENTS, URLS, sql_pick, sql_text
 from plumbline.session import read_table
+from plumbline.sources import logs
 
 c = F.col
 
@@ -261,3 +262,23 @@ def t20_reinforced(spark: SparkSession, d: str) -> DataFrame:
 
     ranked, ends = rounds.reinforced(rows.withColumn("final_score", scored(0)), known, search, rank, 0.7, least_new=2)
     return ends.join(ranked.groupBy("claim_id").agg(F.round(F.round(F.max("final_score"), 9), 6).alias("best")), "claim_id")
+
+
+@query(f"""
+WITH {EVIDENCE_SQL}, c AS (SELECT o_orderkey AS claim_id, {sql_pick(CLAIMS, 'o_orderkey')} AS claim FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY seq) AS place FROM ev JOIN c USING (claim_id)),
+m AS (SELECT *, place <= 5 AND coalesce(claim, '') <> '' AS asked, ((length(coalesce(statement, '')) + length(claim)) % 13 - 1) / 10 AS raw FROM r), p AS (SELECT *, CASE WHEN asked THEN CASE WHEN raw BETWEEN 0 AND 1 THEN raw ELSE 1 / (1 + exp(-raw)) END END AS pair FROM m),
+b AS (SELECT *, CASE WHEN asked THEN 0.75 * score + 0.25 * pair ELSE score END AS final FROM p)
+SELECT claim_id, seq, round(final, 6)::DOUBLE AS final_score, row_number() OVER (PARTITION BY claim_id ORDER BY pair IS NULL, CASE WHEN pair IS NULL THEN place END, round(final, 9) DESC, round(pair, 9) DESC, coalesce(statement, ''), place) AS rank FROM b
+""")
+def t4_pair_rerank(spark: SparkSession, d: str) -> DataFrame:
+    rows = worded.evidence(spark, d)
+    ranked = rows.select("claim_id", "seq", "statement", c("score").alias("final_score"), F.row_number().over(Window.partitionBy("claim_id").orderBy("seq")).alias("rank"))
+    out = hybrid.reranked(ranked, worded.claims(spark, d), lambda pairs: [((len(s) + len(q)) % 13 - 1) / 10 for q, s in pairs], most=3)
+    return out.select("claim_id", "seq", F.round("final_score", 6).alias("final_score"), c("rank").cast("long").alias("rank"))
+
+
+@query("SELECT o_orderkey AS id, 'INFO' AS level, 'Verdict updated: f' || o_orderkey AS message, 'revalidation-d' || (o_custkey % 9) AS request_id, 'f' || o_orderkey AS fact_id, CASE WHEN o_custkey % 4 <> 0 THEN o_totalprice END AS price FROM orders")
+def js1_st10_event_log(spark: SparkSession, d: str) -> DataFrame:
+    events = read_table(spark, d, "orders").select(F.concat(F.lit("f"), c("o_orderkey").cast("string")).alias("fact_id"), F.concat(F.lit("d"), (c("o_custkey") % 9).cast("string")).alias("domain"), F.when(c("o_custkey") % 4 != 0, c("o_totalprice")).alias("price"), c("o_orderkey").alias("id"))
+    back = logs.from_context(logs.event_rows(events, "revalidation"), "fact_id string, price double, id bigint")
+    return back.select("id", "level", "message", "request_id", "fact_id", "price")

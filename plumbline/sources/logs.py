@@ -47,3 +47,22 @@ def iso_range(logs: DataFrame, column: str, start: str | None = None, end: str |
 
 def append(logs: DataFrame, path: str) -> None:
     logs.write.mode("append").partitionBy("level").parquet(path)
+
+
+def with_context(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns packed as JSON into ``context``, as a store of texts holds them; nulls are left out."""
+    return rows.withColumn("context", F.to_json(F.struct(*columns))).drop(*columns)
+
+
+def from_context(rows: DataFrame, schema: str) -> DataFrame:
+    """``context`` unpacked by a schema; what is no JSON, and fields that it lacks, are null."""
+    return rows.withColumn("_c", F.from_json("context", schema)).select(*rows.columns, "_c.*").drop("context")
+
+
+def event_rows(events: DataFrame, module: str) -> DataFrame:
+    """Log rows (level, message, module, request_id, context) of events on changed verdicts (fact_id, domain, ..)."""
+    fields = F.to_json(F.struct(*events.columns))
+    return events.select(
+        F.lit("INFO").alias("level"), F.concat(F.lit("Verdict updated: "), F.coalesce("fact_id", F.lit(""))).alias("message"), F.lit(module).alias("module"),
+        F.concat(F.lit("revalidation-"), F.coalesce("domain", F.lit(""))).alias("request_id"), fields.alias("context"),
+    )
