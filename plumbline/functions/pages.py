@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plumbline.functions import urls
 from plumbline.functions.words import low
 
 #: What is cut out of queries before they are embedded.

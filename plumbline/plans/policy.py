@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import domains, policy, scoring, words
-from plumbline.operators import coverage, logic, verdict
+from plumbline.functions import policy, scoring, words
+from plumbline.operators import logic
 from plumbline.plans import worded
 from plumbline.plans.claims import _c01, _sig
 from plumbline.plans.ranking import CLAIM_SIGNALS, MERGED, RANKED, _ranked

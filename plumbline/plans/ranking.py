@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import words
-from plumbline.operators import coverage, hybrid
+from plumbline.operators import hybrid
 from plumbline.plans import worded
 from plumbline.plans.registry import _r, query
 from plumbline.plans.worded import CLAIMS_SQL, EVIDENCE_SQL, s_any, s_has, s_hits, s_low, s_set, s_shared, s_tokens, sql_text

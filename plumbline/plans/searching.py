@@ -10,7 +10,7 @@ from plumbline.functions.policy import GENERIC
 from plumbline.operators import alignment, retrieval
 from plumbline.plans import worded
 from plumbline.plans.registry import _r, query
-from plumbline.plans.worded import CLAIMS_SQL, EVIDENCE_SQL, s_any, s_has, s_low, s_set, s_shared, sql_pick, sql_text
+from plumbline.plans.worded import CLAIMS_SQL, EVIDENCE_SQL, s_any, s_low, s_set, s_shared, sql_pick, sql_text
 from plumbline.session import read_table
 
 DOMAIN_SQL = r"(CASE WHEN regexp_matches(coalesce(source_url, ''), '(?i)^https?://[^\s/$.?#].[^\s]*$') THEN regexp_replace(lower(regexp_extract(source_url, '://([^/?#]*)', 1)), '^www[.]', '') ELSE '' END)"
