@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.spread import hot_keys, join_spread
 from plumbline.session import cut
 
 
@@ -13,15 +14,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round takes each node's smallest neighbouring label, then follows the
     label's own label, so paths halve. Labels are written to the shared folder
-    each round; nothing is gathered on the driver but one count.
+    each round; nothing is gathered on the driver but counts. Nodes with many
+    neighbours, and roots of many nodes, are dealt to many tasks.
     """
     both = cut(edges.select(F.col("a"), F.col("b")).union(edges.select("b", "a")).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
+    degree = both.groupBy("b").agg(F.count(F.lit(1)).alias("m"))
+    hubs = cut(hot_keys(degree, "b", "m", both.count()))
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    nodes = labels.count()
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
-        hopped = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        jump = hopped.select(F.col("node").alias("at"), F.col("root").alias("to"))
-        nxt = cut(hopped.join(jump, hopped.root == jump["at"]).select("node", "old", F.least("root", "to").alias("root")))
+        near = join_spread(both, labels.select(F.col("node").alias("b"), "root"), "b", "a", hubs).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
+        hopped = cut(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root")))
+        large = hot_keys(hopped.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "root", "m", nodes)
+        jump = hopped.select(F.col("node").alias("root"), F.col("root").alias("to"))
+        nxt = cut(join_spread(hopped, jump, "root", "node", large).select("node", "old", F.least("root", "to").alias("root")))
         changed = nxt.filter("root <> old").limit(1).count()
         labels = nxt.select("node", "root")
         if not changed:

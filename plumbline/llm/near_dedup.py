@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
+from plumbline.llm.spread import hot_keys, join_spread
 from plumbline.llm.tokens import Words, mix, shingle_sets, text_chunks, tidy, tidy_group
 from plumbline.session import cut, spare_name
 
@@ -157,13 +158,14 @@ def _blocks(threshold_pct: int, wide: int | None):
 
 def _links(lists: DataFrame, sets: DataFrame, threshold_pct: int, k: int | None, share: float) -> DataFrame | None:
     """(node, root) of all nodes with links. lists: (v, fp), a row for each list that a node stands in."""
-    edges, roots = None, None
+    edges, roots, places = None, None, lists.count()
     left = lists.withColumn("root", F.col("fp"))
     done = None
     for step in range(ROUNDS + 1):
         ends = left.groupBy("v").agg(F.min(F.struct("root", "fp")).alias("lo"), F.max(F.struct("root", "fp")).alias("hi"), F.count(F.lit(1)).alias("m"))
         ends = ends.filter(F.col("lo.root") != F.col("hi.root"))
-        left = cut(left.join(ends.select("v", F.col("lo.fp" if step % 2 == 0 else "hi.fp").alias("head"), F.col("lo.root" if step % 2 == 0 else "hi.root").alias("hroot"), "m"), "v"))
+        heads = ends.select("v", F.col("lo.fp" if step % 2 == 0 else "hi.fp").alias("head"), F.col("lo.root" if step % 2 == 0 else "hi.root").alias("hroot"), "m")
+        left = cut(join_spread(left, heads, "v", "fp", hot_keys(ends, "v", "m", places)))
         if step == ROUNDS:
             break
         pairs = left.filter("root <> hroot").select(F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b")).distinct()
@@ -238,7 +240,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = cut(nodes)
     postings = nodes.select("fp", F.size("vals").alias("s"), F.explode("vals").alias("v"))
     common = postings.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    met = postings.join(common, "v").groupBy("fp").agg(F.first("s").alias("s"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
+    held = nodes.agg(F.sum(F.size("vals"))).first()[0] or 0
+    met = join_spread(postings, common, "v", "fp", hot_keys(common, "v", "df", held)).groupBy("fp").agg(F.first("s").alias("s"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
     # values of no other node are rarer than these and take the first places
     take = F.size("held") - F.ceil(share * F.col("s")).cast("int") + 1
     lists = cut(met.filter(take > 0).select("fp", F.explode(F.slice("held", 1, take)).alias("x")).select(F.col("x.v").alias("v"), "fp"))
@@ -247,8 +250,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = nodes.select("fp", "least")
     if roots is not None:
         least = cut(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-        ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
-        least = least.join(ids, "root").select("fp", "component_id")
+        ids = least.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m"))
+        least = join_spread(least, ids, "root", "fp", hot_keys(ids, "root", "m", least.count())).select("fp", "component_id")
     else:
         least = least.withColumnRenamed("least", "component_id")
     out = rows.select("rid", "n", "fp").join(least, "fp", "left")

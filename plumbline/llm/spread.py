@@ -1,0 +1,29 @@
+"""Joins whose hot keys are dealt to many tasks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A key with more than one in so many of all rows is hot; so there are fewer hot keys than this.
+SHARE = 1000
+
+
+def hot_keys(counts: DataFrame, key: str, count: str, rows: int) -> DataFrame:
+    """(_hot, _n): keys with more than ``rows`` / SHARE rows by ``counts``, and the pieces they are dealt in. Fewer than SHARE rows, as counts add up to ``rows`` at most."""
+    return counts.filter(F.col(count) * SHARE > rows).select(F.col(key).alias("_hot"), F.ceil(F.col(count) * SHARE / max(rows, 1)).cast("int").alias("_n"))
+
+
+def join_spread(many: DataFrame, one: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
+    """``many`` joined with ``one``, which has a row for each key, without hot keys' rows in one task.
+
+    A hot key's rows are dealt in pieces by the hash of ``by``, its row of ``one``
+    is copied to each. An adaptive plan does not split such a join where ``one``
+    comes straight from an aggregate. Only ``hot`` (hot_keys) is broadcast.
+    """
+    hot = F.broadcast(hot)
+    marked = lambda df: df.join(hot, F.col(key) == F.col("_hot"), "left")
+    dealt = marked(many).withColumn("_piece", F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("_n")).cast("int"))).drop("_hot", "_n")
+    pieces = F.when(F.col("_n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_n") - 1))
+    copied = marked(one).withColumn("_piece", F.explode(pieces)).drop("_hot", "_n")
+    return dealt.join(copied, [key, "_piece"]).drop("_piece")
