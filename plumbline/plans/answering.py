@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, MapType, StringType
 
-from plumbline.functions import anchors, answers
+from plumbline.functions import anchors, answers, fastpath, words
 from plumbline.operators import hybrid, lists, rounds
 from plumbline.plans import worded
 from plumbline.plans.registry import NOW, _evidence, query
@@ -282,3 +282,38 @@ def js1_st10_event_log(spark: SparkSession, d: str) -> DataFrame:
     events = read_table(spark, d, "orders").select(F.concat(F.lit("f"), c("o_orderkey").cast("string")).alias("fact_id"), F.concat(F.lit("d"), (c("o_custkey") % 9).cast("string")).alias("domain"), F.when(c("o_custkey") % 4 != 0, c("o_totalprice")).alias("price"), c("o_orderkey").alias("id"))
     back = logs.from_context(logs.event_rows(events, "revalidation"), "fact_id string, price double, id bigint")
     return back.select("id", "level", "message", "request_id", "fact_id", "price")
+
+
+PATH_VERDICTS = ("TRUE", "FALSE", "PARTIALLY_TRUE", "unverifiable", None)
+PATH_REASONS = (None, "ok", "Ok", None, "ok", None, "ok", None, "ok", None, None, "ok", "ok", "no_relevant_evidence", "ok", "ok", None, "ok", "ok", None, "ok", "ok", "NO_RELEVANT_EVIDENCE")
+PATH_STATUS = ("VALID", "partially_valid", "INVALID", "VALID", "PARTIALLY_INVALID", "VALID", "VALID", "", "INVALID", "VALID", "INVALID")
+TAGS = lambda x: "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(coalesce({x}, '')), {sql_text(p)}) THEN '{n}' END" for n, p in fastpath.BEHAVIOURS.items()) + "], lambda b: b IS NOT NULL)"
+BAG = lambda x: f"list_distinct(list_filter(regexp_extract_all(lower(coalesce({x}, '')), {sql_text(words.ALPHA)}), lambda w: NOT list_contains({sql_text(words.STOP)}, w)))"
+
+
+@query(f"""
+WITH s AS (SELECT l_orderkey AS claim_id, upper({sql_pick(PATH_STATUS, 'l_partkey')}) AS st, lower(coalesce({sql_pick(PATH_REASONS, 'l_suppkey')}, '')) AS reason, l_quantity / 50 + 0.5 AS pm, {sql_pick(CLAIMS, 'l_orderkey')} AS seg, {sql_pick(STATEMENTS, 'l_partkey + l_orderkey')} AS fact FROM lineitem WHERE l_linenumber < 3),
+t AS (SELECT *, {BAG('seg')} AS a, {BAG('fact')} AS b, {TAGS('seg')} AS ca, {TAGS('fact')} AS fa FROM s),
+u AS (SELECT claim_id, count(*) AS parts, bool_or(reason IN ('no_relevant_evidence', 'insufficient_admissible_evidence')) AS lost, bool_or(st = '') AS unknown,
+    bool_or(st IN ('VALID', 'PARTIALLY_VALID') AND NOT (pm >= 0.72 AND (len(a) = 0 OR len(b) = 0 OR len(list_intersect(a, b)) >= 0.3 * len(a)) AND (len(ca) = 0 OR len(fa) = 0 OR list_has_any(ca, fa)))) AS loose FROM t GROUP BY 1),
+o AS (SELECT o_orderkey AS claim_id, o_custkey AS k, upper(coalesce({sql_pick(PATH_VERDICTS, 'o_custkey')}, '')) AS verdict, o_custkey % 17 = 0 AS none FROM orders),
+p AS (SELECT *, k % 13 <> 0 AS enough, CASE WHEN k % 7 = 0 THEN 0.9 ELSE 1.0 END::DOUBLE AS cov, k % 3 AS many FROM o LEFT JOIN u USING (claim_id))
+SELECT claim_id, enough AND (none OR (verdict <> 'UNVERIFIABLE' AND (k % 10) / 10 * 0.6 < 0.5 AND (verdict NOT IN ('TRUE', 'FALSE') OR (claim_id % 20) / 20 + 0.3 >= 0.62))) AND (k % 5 = 0 OR k % 11 <> 0) AND
+    CASE WHEN none AND many > 0 AND cov >= 0.99 THEN true ELSE (many = 0 OR cov >= 0.99) AND (none OR k % 4 = 0 OR ((claim_id % 9) / 9 >= 0.35 AND claim_id % 8 > 0)) AND (coalesce(parts, 0) = 0 OR NOT (lost OR loose)) AND
+        CASE WHEN NOT none AND k % 6 = 0 THEN claim_id % 2 = 0 ELSE coalesce(parts, 0) > 0 AND NOT unknown END END AS allowed FROM p
+""")
+def f41_cache_fast_path(spark: SparkSession, d: str) -> DataFrame:
+    seg = F.struct(
+        worded.pick(PATH_STATUS, c("l_partkey")).alias("status"), worded.pick(PATH_REASONS, c("l_suppkey")).alias("reason"), (c("l_quantity") / 50 + 0.5).alias("predicate_match_score"),
+        worded.pick(CLAIMS, c("l_orderkey")).alias("claim_segment"), worded.pick(STATEMENTS, c("l_partkey") + c("l_orderkey")).alias("supporting_fact"),
+    )
+    parts = read_table(spark, d, "lineitem").filter("l_linenumber < 3").groupBy(c("l_orderkey").alias("claim_id")).agg(F.collect_list(seg).alias("segments"))
+    key, k = c("claim_id"), c("k")
+    rows = read_table(spark, d, "orders").select(c("o_orderkey").alias("claim_id"), c("o_custkey").alias("k")).join(parts, "claim_id", "left")
+    trust = F.struct((k % 13 != 0).alias("is_sufficient"), F.when(k % 7 == 0, 0.9).otherwise(1.0).alias("coverage"), (k % 3).alias("num_subclaims"), (k % 3).alias("strong_covered"))
+    result = F.struct(
+        worded.pick(PATH_VERDICTS, k).alias("verdict"), (k % 10 / 10 * 0.6).alias("unverifiable"), (key % 20 / 20 + 0.3).alias("confidence"), F.when(k % 4 != 0, key % 9 / 9).alias("admissible_ratio"), (key % 8).alias("supports"),
+        F.lit(0).alias("contradicts"), worded.pick(CLAIMS, key).alias("claim"), F.when(k % 6 == 0, key % 2 == 0).alias("required_resolved"),
+    )
+    context = F.when(k % 5 != 0, F.array(F.lit(False), F.lit(None).cast("boolean"), k % 11 != 0))
+    return rows.withColumns({"trust": trust, "result": F.when(k % 17 != 0, result)}).select("claim_id", fastpath.allowed(c("trust"), c("result"), c("segments"), context).alias("allowed"))
