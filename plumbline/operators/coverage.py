@@ -157,3 +157,27 @@ def covers(subclaim: Column, statement: Column, score: Column) -> Column:
     a, b = (words.token_set(x, words.RUN, (*words.STOP, "could", "would", "should", "can")) for x in (subclaim, statement))
     common = words.shared(a, b)
     return (common >= 2) & (common / F.greatest(F.lit(1), F.size(a)) >= 0.18) & (score >= 0.38)
+
+
+#: Words that carry no content beside STOP, denials, and statements that only mention a claim.
+MODAL = ("can", "could", "should", "would", "may", "might")
+DENIALS = ("no", "not", "never", "without", "ineffective", "inefficacy", "doesnt", "doesn't")
+MENTIONED = r"\b(?:believ(?:e|ed|es|ing)|participants?|survey|hesitan(?:cy|t)|odds?\s+ratio|misinformation|conspiracy|myth)\b"
+
+
+def lexically_covers(subclaim: Column, statement: Column) -> Column:
+    """A statement that is no mere mention has a word of each half of the part's words, one of its object, and a denial if the part has one.
+
+    Halves go by the words' first places.
+    """
+    every = lambda x: words.token_set(words.low(x), words.APOSTROPHE, (*words.STOP, *MODAL))
+    denies = lambda t: F.exists(t, lambda w: w.isin(*DENIALS))
+
+    def judged(s: Column) -> Column:
+        focus = F.filter(s["own"], lambda w: ~w.isin(*DENIALS))
+        middle = F.greatest(F.lit(1), F.floor(F.size(focus) / 2).cast("int"))
+        left, right = F.slice(focus, 1, middle), F.when(F.size(focus) > middle, F.slice(focus, middle + 1, F.size(focus))).otherwise(focus)
+        meets = F.arrays_overlap(left, s["row"]) & F.arrays_overlap(right, s["row"]) & ((F.size(s["object"]) == 0) | F.arrays_overlap(s["object"], s["row"]))
+        return (F.size(focus) > 0) & meets & (~denies(s["own"]) | denies(s["row"]))
+
+    return ~words.has(statement, MENTIONED) & words.once(F.struct(every(subclaim).alias("own"), every(statement).alias("row"), words.object_tokens(subclaim).alias("object")), judged)

@@ -100,3 +100,20 @@ SELECT claim_id, part, seq FROM t WHERE {s_shared('a', 'b')} >= 2 AND {s_shared(
 def f44_evidence_covers_part(spark: SparkSession, d: str) -> DataFrame:
     rows = _parts(spark, d).join(worded.evidence(spark, d), "claim_id")
     return rows.filter(coverage.covers(F.col("subclaim"), F.col("statement"), F.greatest("score", "trust"))).select("claim_id", "part", "seq")
+
+
+CONTENT = (*words.STOP, *coverage.MODAL)
+OBJECT = s_set(f"regexp_extract({s_low('subclaim')}, {sql_text(words.OBJECT_OF)}, 1)", words.APOSTROPHE, words.STOP, 2)
+
+
+@query(f"""
+WITH {EVIDENCE_SQL}, pt AS (SELECT o_orderkey AS claim_id, unnest(range(1, len({sql_pick(PARTS, 'o_orderkey')}) + 1)) AS part, unnest({sql_pick(PARTS, 'o_orderkey')}) AS subclaim FROM orders),
+t AS (SELECT claim_id, part::INT AS part, seq, statement, {s_tokens(s_low('subclaim'), words.APOSTROPHE, CONTENT)} AS a, {s_set(s_low('statement'), words.APOSTROPHE, CONTENT)} AS b, {OBJECT} AS o FROM pt JOIN ev USING (claim_id)),
+f AS (SELECT *, list_filter(a, lambda w: NOT list_contains({sql_text(coverage.DENIALS)}, w)) AS f FROM t), h AS (SELECT *, greatest(1, len(f) // 2) AS m FROM f)
+SELECT claim_id, part, count(*) AS rows, max(seq) AS last FROM h WHERE NOT {s_has('statement', coverage.MENTIONED)} AND len(f) > 0 AND list_has_any(f[1:m], b) AND list_has_any(CASE WHEN len(f) > m THEN f[m + 1:] ELSE f END, b)
+    AND (len(o) = 0 OR list_has_any(o, b)) AND (NOT list_has_any(a, {sql_text(coverage.DENIALS)}) OR list_has_any(b, {sql_text(coverage.DENIALS)})) GROUP BY 1, 2
+""")
+def f45_lexical_coverage(spark: SparkSession, d: str) -> DataFrame:
+    rows = _parts(spark, d).join(worded.evidence(spark, d), "claim_id")
+    fits = rows.filter(coverage.lexically_covers(F.col("subclaim"), F.col("statement")))
+    return fits.groupBy("claim_id", "part").agg(F.count(F.lit(1)).alias("rows"), F.max("seq").alias("last"))
