@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import entities, queries, search, words
+from plumbline.functions import canonical, entities, queries, search, words
 from plumbline.functions.pages import NOISE
 from plumbline.plans import worded
 from plumbline.plans.registry import _r, query
@@ -173,3 +173,33 @@ PIECES, MERGED = zip(*FRAGMENTS, strict=True)
 @query(f"SELECT o_orderkey AS id, {sql_pick(MERGED, 'o_orderkey')} AS parts FROM orders")
 def u93_merged_parts(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "orders").select(c("o_orderkey").alias("id"), F.array_join(queries.merged_parts(worded.pick(PIECES, c("o_orderkey"))), "|").alias("parts"))
+
+
+# parts of claims taken to pieces
+
+SAID = (
+    *CLAIMS, "Handwashing is the primary recommendation of the WHO guidelines.", "A daily walk is recommended by doctors", "Rest is advised by the  NHS", "The CDC recommends two doses over 6 months: ", "My doctor advises tea",
+    "Children should take 25 mg of zinc daily", "Exercise never causes harm", "Tea has been linked to sleep in 3 weeks", "5 % versus 10 percent", ". : ;", "Vitamin C can't cure; it may help women",
+)
+CLEAR = lambda x: f"regexp_replace(regexp_replace(trim(coalesce({x}, '')), '\\s+', ' ', 'g'), '^[ .,:;]+|[ .,:;]+$', '', 'g')"
+GROUP = lambda x, p, g: f"regexp_extract({x}, {sql_text(p)}, {g})"
+AUTHORITY = lambda x: f"trim(regexp_replace(trim(regexp_replace({CLEAR(x)}, '(?i)^(?:the\\s+)?', '')), '(?i)\\s+(?:guidelines?|guidance|recommendations?)$', ''))"
+RULES = canonical.RECOMMENDED
+AUTHORITIES = ", ".join(f"{AUTHORITY(GROUP('t', p, who))} AS a{i}, {CLEAR(GROUP('t', p, what))} AS o{i}" for i, (p, who, what, _) in enumerate(RULES))
+BY_RULE = lambda value, rest: "CASE " + " ".join(f"WHEN a{i} <> '' AND o{i} <> '' THEN {value(i)}" for i in range(len(RULES))) + f" ELSE {rest} END"
+WORTH = " + ".join(f"CASE WHEN {n} <> '' THEN {w}::DOUBLE ELSE 0 END" for n, w in canonical.WORTH)
+
+
+@query(f"""
+WITH c0 AS (SELECT o_orderkey AS id, {CLEAR(sql_pick(SAID, 'o_orderkey'))} AS t FROM orders), c1 AS (SELECT *, {AUTHORITIES} FROM c0),
+c2 AS (SELECT id, t, {BY_RULE(lambda i: f'a{i}', CLEAR(GROUP('t', canonical.SPLIT, 1)))} AS s0, {BY_RULE(lambda i: f"'{RULES[i][3]}'", CLEAR(GROUP('t', canonical.SPLIT, 2)))} AS predicate, {BY_RULE(lambda i: f'o{i}', CLEAR(GROUP('t', canonical.SPLIT, 3)))} AS object, {BY_RULE(lambda i: "'recommendation'", "''")} AS predicate_family FROM c1),
+c3 AS (SELECT *, trim(regexp_replace(trim(regexp_replace(s0, '(?i)\\b(?:never|not|no|none|without)\\b\\s*$', '')), '(?i)\\b(?:has|have|had|is|are|was|were)\\b\\s*$', '')) AS s1 FROM c2),
+c4 AS (SELECT id, t AS original_text, CASE WHEN s1 <> '' THEN s1 ELSE {CLEAR("array_to_string(regexp_extract_all(t, '\\b[a-zA-Z][a-zA-Z\\-]{2,}\\b')[1:4], ' ')")} END AS subject, predicate, object, predicate_family, CASE WHEN regexp_matches(t, {sql_text(canonical.NEGATION)}) THEN 'negative' ELSE 'positive' END AS polarity,
+    CASE WHEN regexp_matches(t, {sql_text(canonical.ABSOLUTE)}) THEN 'absolute' WHEN regexp_matches(t, {sql_text(canonical.PROBABLE)}) THEN 'probabilistic' ELSE '' END AS quantifier, {CLEAR(GROUP('t', canonical.COMPARATOR, 1))} AS comparator, {GROUP('t', canonical.NUMERIC, 1)} AS numeric_value,
+    {CLEAR(GROUP('t', canonical.NUMERIC, 2))} AS unit, {CLEAR(GROUP('t', canonical.POPULATION, 0))} AS population, {CLEAR(GROUP('t', canonical.TIMEFRAME, 0))} AS timeframe, {CLEAR(GROUP('t', canonical.MODALITY, 1))} AS modality FROM c3),
+c5 AS (SELECT *, {CLEAR("concat_ws(' ', nullif(subject, ''), nullif(predicate, ''), nullif(object, ''))")} AS joined FROM c4)
+SELECT * EXCLUDE (joined), CASE WHEN joined <> '' THEN joined ELSE original_text END AS normalized_text, round(greatest(0.05, least(0.99, 0.30::DOUBLE + {WORTH})), 9)::DOUBLE AS parse_confidence FROM c5
+""")
+def u42_parsed_parts(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "orders").select(c("o_orderkey").alias("id"), canonical.parsed(worded.pick(SAID, c("o_orderkey"))).alias("p")).select("id", "p.*")
+    return rows.withColumn("parse_confidence", F.round("parse_confidence", 9))
