@@ -133,3 +133,14 @@ def cosine_topk_with_retry(vectors: DataFrame, queries: DataFrame, id_col: str,
 def _unit(m: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+
+def by_ids(vectors: DataFrame, ids: DataFrame, id_col: str, vec_col: str | None = None, text_col: str | None = None) -> DataFrame:
+    """The stored rows that ``ids`` (``id_col``) name, each once; an id that is not stored gives none.
+
+    ``vec_col`` is left out unless it is named, so that a columnar scan never reads
+    it; with ``text_col`` rows without text are left out.
+    """
+    kept = vectors if vec_col is not None else vectors.select(*[f.name for f in vectors.schema if f.dataType.simpleString() not in ("array<float>", "array<double>")])
+    rows = kept.join(ids.select(id_col).distinct(), id_col, "left_semi")
+    return rows.filter(F.coalesce(text_col, F.lit("")) != "") if text_col else rows

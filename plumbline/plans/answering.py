@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, MapType, StringType
 
 from plumbline.functions import anchors, answers, fastpath, words
-from plumbline.operators import hybrid, lists, rounds
+from plumbline.operators import hybrid, lists, retrieval, rounds
 from plumbline.plans import worded
 from plumbline.plans.registry import NOW, _evidence, query
 from plumbline.plans.searching import CONTEXT, STRONG, TOKS, _claims
@@ -317,3 +317,10 @@ def f41_cache_fast_path(spark: SparkSession, d: str) -> DataFrame:
     )
     context = F.when(k % 5 != 0, F.array(F.lit(False), F.lit(None).cast("boolean"), k % 11 != 0))
     return rows.withColumns({"trust": trust, "result": F.when(k % 17 != 0, result)}).select("claim_id", fastpath.allowed(c("trust"), c("result"), c("segments"), context).alias("allowed"))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT o_custkey FROM orders)")
+def s2_vectors_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors that orders name by their customers' keys, most of them more than once."""
+    asked = read_table(spark, d, "orders").select(c("o_custkey").alias("vec_id"))
+    return retrieval.by_ids(read_table(spark, d, "embeddings"), asked, "vec_id").select("vec_id", "label")
