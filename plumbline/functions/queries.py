@@ -204,3 +204,34 @@ def merged_parts(parts: Column) -> Column:
         )
 
     return F.aggregate(F.coalesce(parts, _none()), _none(), step)
+
+
+#: Kinds of evidence that a query names as its text does, the first one else; and what texts on some do not ask for.
+KINDS = ("statistics", "prevalence", "incidence", "guideline", "systematic review", "meta-analysis")
+EXCLUDED = (("adult", ("-fetal", "-pediatric")), ("human", ("-veterinary",)))
+
+
+def variants(phrase: Column) -> Column:
+    """A phrase, a single word's other number, and its form without hyphens."""
+    x = _folded(phrase)
+    other = F.when(F.contains(x, F.lit(" ")), x).when(~x.endswith("s"), F.concat(x, F.lit("s"))).when(F.length(x) > 3, F.left(x, F.length(x) - 1)).otherwise(x)
+    return F.when(x != "", F.array_distinct(F.array(x, other, F.replace(x, F.lit("-"), F.lit(" "))))).otherwise(_none())
+
+
+def research_query(text: Column, entities: Column) -> Column:
+    """Variants of a text's first phrase, its phrases and numbers, a kind of evidence, and what is not asked for."""
+    quoted = lambda a: F.transform(a, lambda p: F.concat(F.lit('"'), p, F.lit('"')))
+    low = words.low(text)
+    kind = F.coalesce(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in KINDS], F.lit(KINDS[0]))
+    out = F.slice(F.concat(*[F.when(F.contains(low, F.lit(w)), _lit(marks)).otherwise(_none()) for w, marks in EXCLUDED]), 1, 2)
+
+    def made(said: Column) -> Column:
+        block = once(F.when(F.size(said) > 0, variants(F.get(said, F.lit(0)))), lambda v: F.when(F.size(v) > 1, F.array(F.concat(F.lit("("), F.array_join(quoted(v), " OR "), F.lit(")")))).otherwise(_none()))
+        return F.array_join(F.concat(block, quoted(F.slice(said, 1, 2)), F.slice(numbers(text), 1, 2), F.array(kind), out), " ")
+
+    return once(phrases(text, entities), made)
+
+
+def operator_queries(text: Column, entities: Column) -> Column:
+    """The research query, as papers have it, and for titles of meta-analyses."""
+    return once(research_query(text, entities), lambda q: F.array(q, F.concat(q, F.lit(" filetype:pdf")), F.concat(F.lit('intitle:"meta-analysis" '), q)))

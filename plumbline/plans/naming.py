@@ -203,3 +203,20 @@ SELECT * EXCLUDE (joined), CASE WHEN joined <> '' THEN joined ELSE original_text
 def u42_parsed_parts(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "orders").select(c("o_orderkey").alias("id"), canonical.parsed(worded.pick(SAID, c("o_orderkey"))).alias("p")).select("id", "p.*")
     return rows.withColumn("parse_confidence", F.round("parse_confidence", 9))
+
+
+HYPHENED = ("Low-fat meal-plans for human adults and incidence 12 13 14", "non-drinker", None, "Human-like robots", "The self-care guideline for an adult") + CLAIMS
+RESEARCH = PARTS.replace(sql_text(TEXTS), sql_text(HYPHENED)).replace(f"% {len(TEXTS)} + 1", f"% {len(HYPHENED)} + 1")
+OTHER = "CASE WHEN contains(v, ' ') THEN v WHEN NOT suffix(v, 's') THEN v || 's' WHEN length(v) > 3 THEN left(v, length(v) - 1) ELSE v END"
+
+
+@query(f"""
+WITH {RESEARCH}, r0 AS (SELECT *, phe[1] AS v FROM p13), r1 AS (SELECT *, [v, {OTHER}, replace(v, '-', ' ')] AS vs0 FROM r0), r2 AS (SELECT *, {UNIQUE('vs0')} AS vs FROM r1),
+r3 AS (SELECT id, CASE WHEN v IS NOT NULL AND len(vs) > 1 THEN ['(' || array_to_string(list_transform(vs, lambda x: '"' || x || '"'), ' OR ') || ')'] ELSE [] END || list_transform(phe[1:2], lambda x: '"' || x || '"') || nums[1:2]
+    || [CASE {' '.join(f"WHEN contains(low, '{k}') THEN '{k}'" for k in queries.KINDS)} ELSE 'statistics' END] || (CASE WHEN contains(low, 'adult') THEN ['-fetal', '-pediatric'] ELSE [] END || CASE WHEN contains(low, 'human') THEN ['-veterinary'] ELSE [] END)[1:2] AS parts FROM r2),
+r4 AS (SELECT id, array_to_string(parts, ' ') AS q FROM r3)
+SELECT id, q || '|' || q || ' filetype:pdf' || '|' || 'intitle:"meta-analysis" ' || q AS queries FROM r4
+""")
+def u103_operator_queries(spark: SparkSession, d: str) -> DataFrame:
+    text, ents = worded.pick(HYPHENED, c("o_orderkey")), worded.pick(ENTITIES, c("o_custkey"))
+    return read_table(spark, d, "orders").select(c("o_orderkey").alias("id"), F.array_join(queries.operator_queries(text, ents), "|").alias("queries"))
