@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -66,3 +67,14 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table by name, through Spark's reader alone."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch_folder(spark: SparkSession, kind: str) -> str:
+    """The path of a new folder below the shared one, for a table that one job writes and reads."""
+    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of scratch_folder() whose rows nothing reads any more, through Spark's own file systems."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
