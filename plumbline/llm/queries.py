@@ -1,4 +1,4 @@
-"""Thin queries of the ten operators over their whole tables, and SQL where it can say the same."""
+"""Thin queries of the operators over their whole tables, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.exact_dedup import exact_groups
+from plumbline.llm.importance import importance_scores
 from plumbline.llm.license_scan import scan_licenses
 from plumbline.llm.lm_score import score_texts
 from plumbline.llm.mixing import mix_rates
@@ -14,6 +15,7 @@ from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.packing import pack
 from plumbline.llm.quality_rules import BOILERPLATE, quality_columns
 from plumbline.llm.secret_scan import ACCESS, ASSIGN, HEX, MIN_ASSIGN, OWNED, scan_secrets
+from plumbline.llm.sql import OP11_SQL
 from plumbline.llm.toxicity import score_toxicity, train
 from plumbline.llm.warc import round_trip
 from plumbline.session import read_table
@@ -69,8 +71,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_exact_dedup, op2_near_dedup, op3_lm_score, op4_license_scan, op5_mixing, op6_warc, op7_secret_scan, op8_packing, op9_quality_rules, op10_toxicity)
+    every = (op1_exact_dedup, op2_near_dedup, op3_lm_score, op4_license_scan, op5_mixing, op6_warc, op7_secret_scan, op8_packing, op9_quality_rules, op10_toxicity, op11_importance)
     return {f.__name__: f for f in every}
 
 
@@ -134,4 +140,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_quality_rules": OP9_SQL, "op11_importance": OP11_SQL}
