@@ -33,6 +33,6 @@ w AS (SELECT rid, count(*) AS n_features, count(*) FILTER (n = 1) AS words, sum(
 r AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(words, 0) >= 20 AS fits,
     coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
     FROM (SELECT row_number() OVER () AS rid, doc_id FROM documents) LEFT JOIN w USING (rid)),
-k AS (SELECT *, row_number() OVER (PARTITION BY fits ORDER BY score DESC, doc_id NULLS FIRST) AS at, count(*) FILTER (fits) OVER () AS n FROM r)
-SELECT doc_id, n_features, weight, score, CASE WHEN fits AND at <= 5 * n // 100 THEN at END AS rank FROM k
+k AS (SELECT *, row_number() OVER (PARTITION BY fits ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) FILTER (fits) OVER () AS n FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN fits AND place <= 5 * n // 100 THEN place END AS rank FROM k
 """
