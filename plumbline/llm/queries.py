@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.llm.exact_dedup import exact_groups
+from plumbline.llm.hard_negatives import hard_negatives
 from plumbline.llm.importance import importance_scores
 from plumbline.llm.license_scan import scan_licenses
 from plumbline.llm.lm_score import score_texts
@@ -15,7 +17,7 @@ from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.packing import pack
 from plumbline.llm.quality_rules import BOILERPLATE, quality_columns
 from plumbline.llm.secret_scan import ACCESS, ASSIGN, HEX, MIN_ASSIGN, OWNED, scan_secrets
-from plumbline.llm.sql import OP11_SQL
+from plumbline.llm.sql import OP11_SQL, OP12_SQL
 from plumbline.llm.toxicity import score_toxicity, train
 from plumbline.llm.warc import round_trip
 from plumbline.session import read_table
@@ -75,8 +77,13 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_exact_dedup, op2_near_dedup, op3_lm_score, op4_license_scan, op5_mixing, op6_warc, op7_secret_scan, op8_packing, op9_quality_rules, op10_toxicity, op11_importance)
+    every = (op1_exact_dedup, op2_near_dedup, op3_lm_score, op4_license_scan, op5_mixing, op6_warc, op7_secret_scan, op8_packing, op9_quality_rules, op10_toxicity, op11_importance, op12_hard_negatives)
     return {f.__name__: f for f in every}
 
 
@@ -140,4 +147,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_quality_rules": OP9_SQL, "op11_importance": OP11_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_quality_rules": OP9_SQL, "op11_importance": OP11_SQL, "op12_hard_negatives": OP12_SQL}
