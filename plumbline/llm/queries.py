@@ -17,8 +17,9 @@ from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.packing import pack
 from plumbline.llm.quality_rules import BOILERPLATE, quality_columns
 from plumbline.llm.secret_scan import ACCESS, ASSIGN, HEX, MIN_ASSIGN, OWNED, scan_secrets
-from plumbline.llm.sql import OP11_SQL, OP12_SQL
+from plumbline.llm.sql import OP11_SQL, OP12_SQL, OP13_SQL
 from plumbline.llm.toxicity import score_toxicity, train
+from plumbline.llm.vector_dedup import vector_duplicates
 from plumbline.llm.warc import round_trip
 from plumbline.session import read_table
 
@@ -82,8 +83,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(read_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
 
 
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_exact_dedup, op2_near_dedup, op3_lm_score, op4_license_scan, op5_mixing, op6_warc, op7_secret_scan, op8_packing, op9_quality_rules, op10_toxicity, op11_importance, op12_hard_negatives)
+    every = (op1_exact_dedup, op2_near_dedup, op3_lm_score, op4_license_scan, op5_mixing, op6_warc, op7_secret_scan, op8_packing, op9_quality_rules, op10_toxicity, op11_importance, op12_hard_negatives, op13_vector_dedup)
     return {f.__name__: f for f in every}
 
 
@@ -147,4 +152,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_quality_rules": OP9_SQL, "op11_importance": OP11_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_quality_rules": OP9_SQL, "op11_importance": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_vector_dedup": OP13_SQL}
