@@ -42,3 +42,40 @@ def test_no_segment_begins_with_a_joint():
 def test_table(spark):
     rows = segmented(spark.createDataFrame([(1, "Vaccines do not cause autism or the flu."), (2, None), (None, "One claim here is enough")], "claim_id long, claim string")).collect()
     assert sorted(((r["claim_id"] or 0), r["part"], r["segment"]) for r in rows) == [(0, 1, "One claim here is enough"), (1, 1, "Vaccines do not cause autism"), (1, 2, "Vaccines do not cause the flu")]
+
+
+@pytest.mark.parametrize(
+    ("claim", "want"),
+    [
+        ("Colds are caused by viruses, not bacteria", ["Colds are caused by viruses", "Colds are not caused by bacteria"]),
+        ("It cures colds, not the flu", ["It cures colds", "It does not cure the flu"]),
+        ("Zinc, iron and copper help growth in children", ["Zinc help growth in children", "iron help growth in children", "copper help growth in children"]),
+        ("In children, zinc and iron help growth", ["In children, zinc and iron help growth"]),
+        ("Vitamin C is an acid that helps the skin heal", ["Vitamin C is an acid", "Vitamin C helps the skin heal"]),
+        ("Take: 1. zinc daily for colds 2. iron weekly for anemia", ["zinc daily for colds", "iron weekly for anemia"]),
+        ("Coffee helps alertness. Coffee helps alertness!", ["Coffee helps alertness"]),
+        ("Zinc may prevent and treat colds, according to medical research.", ["Zinc may prevent and treat colds"]),
+        ("Tea reduces the risk of cancer and stroke", ["Tea reduces the risk of cancer", "Tea reduces the risk of stroke"]),
+    ],
+)
+def test_more_segments(claim, want):
+    assert segments_of(claim) == want
+
+
+@pytest.mark.parametrize("name", ["benchmark", "documents", "conversations"])
+def test_segments_of_whole_tables(spark, name):
+    """Whatever the text: segments have only its words, begin with no joint, come once, and no text loses all of itself."""
+    rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").selectExpr("row_number() OVER (ORDER BY text) AS claim_id", "text AS claim").filter("claim IS NOT NULL")
+    found = {}
+    for r in segmented(rows).collect():
+        found.setdefault(r.claim_id, []).append((r.part, r.segment))
+    bare = lambda x: {w.strip("()[]{},.;:!?\"").lower() for w in x.split()}
+    for r in rows.collect():
+        mine = [s for _, s in sorted(found.get(r.claim_id, []))]
+        assert bool(mine) == bool(r.claim.strip(" \n\t,.;:!?")), r.claim
+        assert len({s.lower() for s in mine}) == len(mine)
+        known = bare(r.claim)
+        for s in mine:
+            assert s.split()[0].lower() not in ("and", "or", "but")
+            words = bare(s) - known
+            assert all(w in ("do", "does", "not") or any(w in k or k.startswith(w[:3]) for k in known) for w in words), (s, words)
