@@ -78,3 +78,15 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of scratch_folder() whose rows nothing reads any more, through Spark's own file systems."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read again.
+
+    Unlike cut() it forgets how rows were dealt, so a join with it deals both
+    sides anew and an adaptive plan can split a hot key; that cannot be done
+    where one side comes dealt from an aggregate.
+    """
+    path = scratch_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
