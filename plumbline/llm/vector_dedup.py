@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.components import components
 from plumbline.llm.hard_negatives import dense, finite
 from plumbline.llm.tokens import tidy, tidy_group
-from plumbline.session import cut
+from plumbline.session import cut, written
 
 #: Vectors of a cell, about, if all cells were alike: the grid grows with the table.
 CELL_ROWS = 2048
@@ -327,7 +327,7 @@ def vector_duplicates(vectors: DataFrame, id_col: str = "vec_id", label_col: str
     known = held.select("fp", "unit", "m", "ball_m", "least").join(links, "fp", "left")
     roots = components(found.filter("b IS NOT NULL").select("a", "b"))
     known = cut(known.join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit")))
-    ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = written(known.groupBy("root").agg(F.min("least").alias("component_id")))
     count = F.coalesce("ball_m", "m") - 1 + F.coalesce("n", F.lit(0))
     known = known.join(ids, "root").select("fp", count.alias("n_links"), "component_id")
     out = rows.select("id", "fp").join(known, "fp", "left")
