@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
 from plumbline.llm.tokens import Words, mix, shingle_sets, text_chunks, tidy, tidy_group
-from plumbline.session import cut, spare_name
+from plumbline.session import cut, spare_name, written
 
 #: Rows up to which a narrow table of 16-byte keys may be broadcast (about 64 MB in memory).
 BROADCAST_ROWS = 500_000
@@ -162,7 +162,8 @@ def _links(lists: DataFrame, sets: DataFrame, threshold_pct: int, k: int | None,
     done = None
     for step in range(ROUNDS + 1):
         ends = left.groupBy("v").agg(F.min(F.struct("root", "fp")).alias("lo"), F.max(F.struct("root", "fp")).alias("hi"), F.count(F.lit(1)).alias("m"))
-        ends = ends.filter(F.col("lo.root") != F.col("hi.root"))
+        # a hot value's rows are split between tasks only if the aggregate does not come dealt by value
+        ends = written(ends.filter(F.col("lo.root") != F.col("hi.root")))
         left = cut(left.join(ends.select("v", F.col("lo.fp" if step % 2 == 0 else "hi.fp").alias("head"), F.col("lo.root" if step % 2 == 0 else "hi.root").alias("hroot"), "m"), "v"))
         if step == ROUNDS:
             break
@@ -247,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = nodes.select("fp", "least")
     if roots is not None:
         least = cut(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-        ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
+        ids = written(least.groupBy("root").agg(F.min("least").alias("component_id")))
         least = least.join(ids, "root").select("fp", "component_id")
     else:
         least = least.withColumnRenamed("least", "component_id")
