@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import pairs, words
 from plumbline.functions.once import once
 
 #: How texts deny, generalise, compare, state, count, date, qualify, and whom they speak of.
@@ -86,3 +90,151 @@ def parsed(part: Column) -> Column:
 
     whole = once(cleaned(part), lambda t: F.struct(t.alias("text"), _core(t).alias("core")))
     return once(once(whole, pieces), judged)
+
+
+#: Shared words and entailment both ways at least, and contradiction at most, of a rewriting that is kept; what a rejected parse is worth.
+KEPT_IF, REJECTED_WORTH = ((0.85, 0.50, 0.35), (0.0, 0.55, 0.20)), 0.8
+#: A parse that is worth less asks for a rewriting.
+ASKS_BELOW = 0.55
+
+
+def guarded(original: Column, rewritten: Column, confidence: Column) -> Column:
+    """A struct: whether a rewriting says what the original says, why not, both entailments, the contradiction, the text that counts and what its parse is worth.
+
+    The same words in the same order are kept; else what each entails of the
+    other, and how many words they share, must meet a row of KEPT_IF. Scores
+    are rounded to nine places before they meet a threshold.
+    """
+    one, other = cleaned(original), cleaned(rewritten)
+    plain = lambda x: F.trim(F.regexp_replace(F.lower(x), r"(?U)[^\w\s]", ""))
+    tokens = lambda x: words.token_set(x, words.ALPHA)
+    ways = F.struct(one.alias("o"), other.alias("r"), pairs.rule_scores(one, other).alias("there"), pairs.rule_scores(other, one).alias("back"), tokens(one).alias("ot"), tokens(other).alias("rt"))
+
+    def measured(w: Column) -> Column:
+        either = F.size(F.array_union(w["ot"], w["rt"]))
+        nine = lambda x: F.round(x, 9)
+        return F.struct(
+            w["o"].alias("o"), w["r"].alias("r"), nine(w["there"]["entail"]).alias("there"), nine(w["back"]["entail"]).alias("back"), nine(F.greatest(w["there"]["contradict"], w["back"]["contradict"])).alias("against"),
+            F.when(either > 0, nine(words.shared(w["ot"], w["rt"]) / either)).otherwise(0.0).alias("shared"),
+        )
+
+    def judged(m: Column) -> Column:
+        least = F.least(m["there"], m["back"])
+        fits = (plain(m["o"]) != "") & (plain(m["o"]) == plain(m["r"]))
+        for common, entail, against in KEPT_IF:
+            fits = fits | ((m["shared"] >= common) & (least >= entail) & (m["against"] <= against))
+        blank, no_text = m["o"] == "", m["r"] == ""
+        accepted = ~blank & ~no_text & fits
+        reason = F.when(blank, "empty_original_segment").when(no_text, "empty_canonical_segment").when(fits, "").otherwise(F.format_string("drift_guard_failed:min_entail=%.3f,contradiction=%.3f", least, m["against"]))
+        drifted = ~blank & ~no_text & ~fits
+        worth = F.when(drifted, F.greatest(F.lit(LEAST), F.least(F.lit(MOST), confidence * REJECTED_WORTH))).otherwise(confidence)
+        return F.struct(
+            accepted.alias("canonical_accepted"), reason.alias("canonical_rejected_reason"), F.when(blank | no_text, 0.0).otherwise(m["there"]).alias("entail_original_to_canonical"),
+            F.when(blank | no_text, 0.0).otherwise(m["back"]).alias("entail_canonical_to_original"), F.when(blank | no_text, 0.0).otherwise(m["against"]).alias("contradiction_score"),
+            F.when(accepted | blank, m["r"]).otherwise(m["o"]).alias("text"), worth.alias("worth"),
+        )
+
+    return once(once(ways, measured), judged)
+
+
+def canonicalized(parts: DataFrame, rewrite: Callable[[DataFrame], DataFrame] | None = None, guard: bool = True) -> DataFrame:
+    """``parts`` (claim_id, part, segment) taken to pieces, rewritten where that is asked for, and guarded.
+
+    ``rewrite`` is given the parts whose parse lacks a predicate or an object, or
+    is worth less than ASKS_BELOW (claim_id, part, original_text), and gives
+    (claim_id, part, rewritten) for those that it can rewrite. What is kept
+    without a predicate or an object is incomplete, and is not accepted.
+    """
+    c = F.col
+    rows = parts.select("claim_id", "part", parsed(c("segment")).alias("p")).select("claim_id", "part", "p.*")
+    asks = (c("parse_confidence") < ASKS_BELOW) | (c("predicate") == "") | (c("object") == "")
+    source = F.lit("rules")
+    if rewrite is not None:
+        told = rewrite(rows.filter(asks).select("claim_id", "part", "original_text")).select("claim_id", "part", cleaned(c("rewritten")).alias("rewritten"))
+        rows = rows.join(told, ["claim_id", "part"], "left")
+        by_model = F.coalesce(c("rewritten"), F.lit("")) != ""
+        rows = rows.withColumns({"normalized_text": F.when(by_model, c("rewritten")).otherwise(c("normalized_text")), "_told": by_model}).drop("rewritten")
+        source = F.when(c("_told") & c("canonical_accepted"), "model").otherwise("rules")
+    if guard:
+        rows = rows.withColumn("g", guarded(c("original_text"), c("normalized_text"), c("parse_confidence")))
+        rows = rows.withColumns({"normalized_text": c("g.text"), "parse_confidence": c("g.worth")}).select("*", "g.canonical_accepted", "g.canonical_rejected_reason", "g.entail_original_to_canonical", "g.entail_canonical_to_original", "g.contradiction_score").drop("g")
+    else:
+        rows = rows.withColumns({"canonical_accepted": F.lit(True), "canonical_rejected_reason": F.lit("")})
+    rows = rows.withColumn("canonical_source", source)
+    lacking = c("canonical_accepted") & ((c("predicate") == "") | (c("object") == ""))
+    worth = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), c("parse_confidence") * REJECTED_WORTH))
+    rows = rows.withColumns({
+        "canonical_rejected_reason": F.when(lacking, "canonical_parse_incomplete").otherwise(c("canonical_rejected_reason")),
+        "parse_confidence": F.when(lacking, worth).otherwise(c("parse_confidence")), "canonical_accepted": c("canonical_accepted") & ~lacking,
+    })
+    return rows.drop("_told")
+
+
+def tracks(segments: DataFrame) -> DataFrame:
+    """(claim_id, original, canonical): each claim's parts in order, as they stand and as rewritten where that is accepted."""
+    c = F.col
+    held = segments.groupBy("claim_id").agg(F.sort_array(F.collect_list(F.struct("part", c("original_text").alias("o"), F.when(c("canonical_accepted"), c("normalized_text")).alias("n")))).alias("s"))
+    texts = lambda name: F.filter(F.transform("s", lambda x: x[name]), lambda x: x.isNotNull() & (x != ""))
+    return held.select("claim_id", texts("o").alias("original"), texts("n").alias("canonical"))
+
+
+#: The queries of a part by what they are after and on which track, in their order: {o} the part as it stands, {c} as rewritten, {t} its triple, {s} and {b} its subject and object.
+PLAIN = (("original", "support", ("{o}", "{o} evidence", "{o} systematic review")), ("original", "refute", ("no evidence {o}", "{o} ineffective")), ("canonical", "support", ("{c}", "{c} clinical evidence")), ("canonical", "refute", ("evidence against {c}",)))
+WITH_TRIPLE = {("original", "refute"): ("no evidence {t}", "{denied}"), ("canonical", "refute"): ("evidence against {t}",)}
+ADVICE = {
+    ("original", "support"): ("{s} recommends {b}", "{s} recommendation {b}", "{s} guidance {b}"), ("original", "refute"): ("{s} advises against {b}", "{s} does not recommend {b}"),
+    ("canonical", "support"): ("{s} official recommendation {b}", "{s} healthy guidance {b}"), ("canonical", "refute"): ("evidence against {s} recommending {b}",),
+}
+AUTHORITIES = "{a} site:who.int OR site:cdc.gov"
+
+
+def _filled(template: str, values: dict[str, Column]) -> Column:
+    pieces = [F.lit(x) if i % 2 == 0 else values[x] for i, x in enumerate(re.split(r"\{(\w+)\}", template))]
+    return cleaned(F.concat(*pieces))
+
+
+def _numbered(asked: Column, n: int) -> Column:
+    return F.transform(asked, lambda q: F.struct(F.lit(n).alias("of"), q.alias("query")))
+
+
+def part_queries(segments: DataFrame, most: int = 8) -> DataFrame:
+    """(claim_id, part, place, query, track, facet): up to ``most`` queries of each part, on both tracks.
+
+    Advice has queries of its own on both tracks, whether its rewriting is
+    accepted or not. A query that both tracks have belongs to the original one,
+    and to the first thing it is after.
+    """
+    c = F.col
+    names = {"o": "original_text", "c": "normalized_text", "s": "subject", "p": "predicate", "b": "object"}
+    values = {k: cleaned(c(v)) for k, v in names.items()}
+    values["t"] = cleaned(F.concat_ws(" ", values["s"], values["p"], values["b"]))
+    copula = values["p"].isin("is", "are", "was", "were") & (values["s"] != "") & (values["b"] != "")
+    values["denied"] = F.when(copula, F.concat(values["s"], F.lit(" is not "), values["b"])).otherwise(F.concat(values["s"], F.lit(" does not "), values["p"], F.lit(" "), values["b"]))
+    values["a"] = F.when(values["c"] != "", values["c"]).otherwise(values["o"])
+    advice = (c("predicate_family") == "recommendation") & (values["s"] != "") & (values["b"] != "")
+    none = F.array().cast("array<string>")
+    every, held = [], []
+    for track, facet, templates in PLAIN:
+        made = F.array(*[_filled(t, values) for t in templates])
+        if (track, facet) in WITH_TRIPLE:
+            made = F.when(values["t"] != "", F.array(*[_filled(t, values) for t in WITH_TRIPLE[track, facet]])).otherwise(made)
+        there = values["o"] != "" if track == "original" else c("canonical_accepted") & (values["c"] != "")
+        made = F.when(advice, F.array(*[_filled(t, values) for t in ADVICE[track, facet]])).when(there, made).otherwise(none)
+        every.append(_numbered(made, len(held)))
+        held.append((track, facet))
+    every.append(_numbered(F.when(values["a"] != "", F.array(_filled(AUTHORITIES, values))).otherwise(none), len(held)))
+    asked = F.filter(F.slice(F.concat(*every), 1, most), lambda x: x["query"] != "")
+    rows = segments.select("claim_id", "part", F.posexplode(asked).alias("place", "q")).select("claim_id", "part", "place", "q.query", "q.of")
+    first = F.min("of").over(Window.partitionBy("claim_id", "part", "query"))
+    kinds = [*held, ("canonical", "authoritative")]
+    name = lambda i: F.element_at(F.array(*[F.lit(k[i]) for k in kinds]), (first + 1).cast("int"))
+    return rows.select("claim_id", "part", (c("place") + 1).alias("place"), "query", name(0).alias("track"), name(1).alias("facet"))
+
+
+def claim_queries(asked: DataFrame) -> DataFrame:
+    """(claim_id, original, canonical, merged): the queries of part_queries() by track, each once, those of the original track first."""
+    c = F.col
+    held = asked.groupBy("claim_id").agg(F.sort_array(F.collect_list(F.struct("part", "place", "query", "track"))).alias("q"))
+    of = lambda track: F.array_distinct(F.transform(F.filter("q", lambda x: x["track"] == track), lambda x: x["query"]))
+    rows = held.select("claim_id", of("original").alias("original"), of("canonical").alias("canonical"))
+    return rows.select("*", F.array_distinct(F.concat("original", "canonical")).alias("merged"))

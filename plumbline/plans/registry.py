@@ -432,3 +432,4 @@ from plumbline.plans import remaining  # noqa: E402, F401
 from plumbline.plans import answering  # noqa: E402, F401
 from plumbline.plans import naming  # noqa: E402, F401
 from plumbline.plans import reading  # noqa: E402, F401
+from plumbline.plans import rewriting  # noqa: E402, F401
