@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import cut
+from plumbline.session import cut, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,10 +16,11 @@ def components(edges: DataFrame) -> DataFrame:
     each round; nothing is gathered on the driver but one count.
     """
     both = cut(edges.select(F.col("a"), F.col("b")).union(edges.select("b", "a")).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
+    # what is joined is written first: so a hub, or the root of a large component, can be split between tasks
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
-        hopped = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
+        hopped = written(labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root")))
         jump = hopped.select(F.col("node").alias("at"), F.col("root").alias("to"))
         nxt = cut(hopped.join(jump, hopped.root == jump["at"]).select("node", "old", F.least("root", "to").alias("root")))
         changed = nxt.filter("root <> old").limit(1).count()
