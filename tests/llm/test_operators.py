@@ -482,7 +482,7 @@ def test_tokenizer_pieces(spark):
 def test_queries_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = queries.queries()[name](spark, SF), con.sql(queries.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
