@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline.functions import domains, urls, words
+from plumbline.functions.once import once
 from plumbline.functions.words import contains_any, has, low
 
 #: Words of claim types, and patterns that weigh more.
@@ -144,15 +145,17 @@ def key_terms(x: Column) -> Column:
 def kept_queries(queries: Column, terms: Column, numbers: Column) -> Column:
     """Distinct folded queries that name a key term or number and end in no stock phrase."""
     clean = F.filter(F.transform(queries, lambda q: F.trim(low(q))), lambda q: q != "")
+    # terms are marked off once for all queries, and each query once for all terms
+    held = F.struct(clean.alias("q"), F.transform(F.filter(terms, lambda t: t != ""), lambda t: words.spaced(t)).alias("t"), F.filter(numbers, lambda n: n != "").alias("n"))
 
-    def stays(q: Column) -> Column:
+    def stays(q: Column, x: Column) -> Column:
         stock = F.lit(False)
         for end in GENERIC_ENDS:
             stock = stock | q.endswith(end)
-        digits = F.replace(q, F.lit(","), F.lit(""))
-        return ~stock & (F.exists(numbers, lambda n: (n != "") & F.contains(digits, n)) | F.exists(terms, lambda t: (t != "") & F.contains(words.spaced(q), words.spaced(t))))
+        forms = F.struct(words.spaced(q).alias("s"), F.replace(q, F.lit(","), F.lit("")).alias("d"))
+        return ~stock & once(forms, lambda f: F.exists(x["n"], lambda n: F.contains(f["d"], n)) | F.exists(x["t"], lambda t: F.contains(f["s"], t)))
 
-    return F.array_distinct(F.filter(clean, stays))
+    return once(held, lambda x: F.array_distinct(F.filter(x["q"], lambda q: stays(q, x))))
 
 
 def sanitized(q: Column) -> Column:

@@ -166,5 +166,5 @@ def s_shared(a: str, b: str) -> str:
 
 
 def s_ascii(x: str) -> str:
-    """Signs of other scripts as spaces, their letters as underscores: so word boundaries, which see ASCII alone, fall where they fall in Spark."""
-    return f"regexp_replace(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}\\p{{M}}\\x00-\\x7F]', ' ', 'g'), '[^\\x00-\\x7F]', '_', 'g')"
+    """Signs of other scripts as tildes, their letters as underscores: so word boundaries, which see ASCII alone, fall where they fall in Spark."""
+    return f"regexp_replace(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}\\p{{M}}\\x00-\\x7F]', '~', 'g'), '[^\\x00-\\x7F]', '_', 'g')"
