@@ -36,13 +36,14 @@ def evidence_key(url: Column, statement: Column) -> Column:
 def trust_ranked(df: DataFrame, k: int = 10) -> DataFrame:
     """By trust, then semantic score, then id; one row per evidence_key; the k first per claim.
 
-    Dealt by claim once: what is kept per key and the ranks need no other shuffle.
+    Rows are dealt by claim once: the best row of a key is marked by a window
+    within its claim, and both windows keep the partitioning.
     """
+    order = [F.desc("trust"), F.desc("semantic_score"), "evidence_id"]
     keyed = df.withColumn("key", evidence_key(F.col("source_url"), F.col("statement"))).repartition("claim_id")
-    order = F.struct(-F.col("trust"), -F.col("semantic_score"), F.col("evidence_id"))
-    one = keyed.groupBy("claim_id", "key").agg(F.min_by(F.struct(*keyed.columns), order).alias("r")).select("r.*")
-    rank = F.row_number().over(_claim().orderBy(F.desc("trust"), F.desc("semantic_score"), "evidence_id"))
-    return one.withColumn("rank", rank).filter(F.col("rank") <= k)
+    first = F.row_number().over(Window.partitionBy("claim_id", "key").orderBy(*order))
+    one = keyed.withColumn("_nth", first).filter("_nth = 1").drop("_nth")
+    return one.withColumn("rank", F.row_number().over(_claim().orderBy(*order))).filter(F.col("rank") <= k)
 
 
 def quota_selected(df: DataFrame, k: int, quota: int, score: str) -> DataFrame:
