@@ -177,6 +177,16 @@ def anchor_hits(anchors: Column, statement: Column) -> Column:
     return F.size(F.filter(anchors, lambda a: (a != "") & inside(a)))
 
 
+def anchor_marks(anchors: Column) -> Column:
+    """Anchors as marked_hits() takes them, blank ones left out."""
+    return F.transform(F.filter(anchors, lambda a: a != ""), lambda a: F.struct(a.alias("a"), F.when(~F.contains(a, F.lit(" ")), spaced(a)).alias("m")))
+
+
+def marked_hits(marks: Column, text: Column, between: Column) -> Column:
+    """anchor_hits() of anchor_marks(), from a statement's low() and spaced() form that are worked out once for all anchors."""
+    return F.size(F.filter(marks, lambda x: F.when(x["m"].isNull(), F.contains(text, x["a"])).otherwise(F.contains(between, x["m"]))))
+
+
 def about_symptoms(claim: Column) -> Column:
     return (phrase_hits(claim, SYMPTOM_PHRASES) > 0) | has(claim, SYMPTOM_WORDS)
 

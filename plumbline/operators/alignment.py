@@ -9,6 +9,7 @@ from plumbline.functions import domains, words
 from plumbline.functions.policy import GENERIC
 from plumbline.functions.scoring import clamp01
 from plumbline.operators.ingest import relation_label, relation_type
+from plumbline.session import cut
 
 #: Claim words that say little about the claim.
 GENERIC_CLAIM = ("health", "healthy", "immune", "immunity", "vitamin", "supplement", "supplements", "support", "function", "benefit", "benefits", "effect", "effects")
@@ -147,15 +148,18 @@ def graph_paths(relations: DataFrame, sources: DataFrame, asked: DataFrame) -> D
     """
     c = F.col
     src = sources.groupBy("rid").agg(F.min("source_url").alias("source_url"))
-    edges = relations.join(src, "rid", "left")
+    edges = cut(relations.join(src, "rid", "left"))
     ends = edges.select(c("subject").alias("name")).union(edges.select("object")).distinct()
-    hit = named_entities(ends, asked)
+    hit = cut(named_entities(ends, asked))
     one = edges.join(hit.withColumnRenamed("name", "subject"), "subject").unionByName(edges.join(hit.withColumnRenamed("name", "object"), "object"))
     one = one.select("claim_id", "subject", "relation", "object", "confidence", "source_url", F.lit(1).alias("hop")).distinct()
     a = edges.select("subject", "relation", c("object").alias("middle"), c("confidence").alias("c1"), c("source_url").alias("u1"), c("rid").alias("r1"))
     b = edges.select(c("subject").alias("middle"), c("object").alias("end"), c("confidence").alias("c2"), c("source_url").alias("u2"), c("rid").alias("r2"))
-    pairs = a.join(b, "middle")
-    two = pairs.join(hit.withColumnRenamed("name", "subject"), "subject").select("claim_id", *pairs.columns).unionByName(pairs.join(hit.withColumnRenamed("name", "end"), "end").select("claim_id", *pairs.columns)).distinct()
+    names = ["claim_id", *a.columns, "end", "c2", "u2", "r2"]
+    # from each end inwards: only edges of asked entities meet their neighbours
+    begun = hit.withColumnRenamed("name", "subject").join(a, "subject").join(b, "middle")
+    ended = hit.withColumnRenamed("name", "end").join(b, "end").join(a, "middle")
+    two = begun.select(*names).unionByName(ended.select(*names)).distinct()
     two = two.select("claim_id", "subject", "relation", c("middle").alias("object"), F.greatest("c1", "c2").alias("confidence"), F.coalesce("u1", "u2").alias("source_url"), F.lit(2).alias("hop"))
     return one.unionByName(two)
 

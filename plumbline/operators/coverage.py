@@ -8,12 +8,13 @@ evidence only, and one aggregate picks the best.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import urls, words
 from plumbline.functions.scoring import clamp01
 from plumbline.operators.verdict import sufficiency_rule
+from plumbline.session import cut
 
 #: Anchors that evidence must hold, weights of the vector score and of missing anchors, and what is strong and partial.
 MIN_HITS, SEM_WEIGHT, KG_WEIGHT, STRONG, PARTIAL, PARTIAL_WEIGHT = 2, 0.70, 0.30, 0.55, 0.30, 0.5
@@ -33,7 +34,7 @@ def part_signals(parts: DataFrame) -> DataFrame:
     return parts.filter(F.trim(F.coalesce(s, F.lit(""))) != "").select(
         "claim_id", "part", "subclaim", F.when(F.size(own) > 0, own).otherwise(few).alias("terms"), words.token_set(s, words.HYPHEN, words.STOP).alias("part_tokens"), objects(s).alias("part_objects"),
         words.has(s, words.NEGATED_COVERAGE).alias("part_negated"), words.token_set(words.strip_negation(s), words.HYPHEN, words.STOP).alias("part_plain"),
-    )
+    ).withColumn("marks", words.anchor_marks(F.col("terms")))
 
 
 def row_signals(evidence: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def row_signals(evidence: DataFrame) -> DataFrame:
     s = c("statement")
     return evidence.withColumns({
         "semantic": clamp01(F.greatest(F.coalesce("semantic_score", F.lit(0.0)), F.coalesce("trust", F.lit(0.0)))), "row_tokens": words.token_set(s, words.HYPHEN, words.STOP),
-        "row_plain": words.token_set(words.strip_negation(s), words.HYPHEN, words.STOP), "row_objects": objects(s), "cue": words.contains_any(s, words.REFUTATION_CUES), "row_negated": words.has(s, words.NEGATED_COVERAGE),
+        "row_low": words.low(s), "row_spaced": words.spaced(s), "row_plain": words.token_set(words.strip_negation(s), words.HYPHEN, words.STOP), "row_objects": objects(s), "cue": words.contains_any(s, words.REFUTATION_CUES), "row_negated": words.has(s, words.NEGATED_COVERAGE),
         "opposes": F.lower(F.coalesce("stance", F.lit("neutral"))) == "contradicts", "is_kg": F.upper(F.coalesce("candidate_type", F.lit(""))) == "KG",
     })
 
@@ -51,7 +52,7 @@ def relevance(pairs: DataFrame) -> DataFrame:
     """part_signals() joined with row_signals(), with the relevance of each pair and what its status depends on."""
     c = F.col
     rows = pairs.withColumns({
-        "hits": words.anchor_hits(c("terms"), c("statement")), "lexical": words.shared(c("part_tokens"), c("row_tokens")) / F.greatest(F.lit(1), F.size("part_tokens")), "object_match": F.arrays_overlap("part_objects", "row_objects"),
+        "hits": words.marked_hits(c("marks"), c("row_low"), c("row_spaced")), "lexical": words.shared(c("part_tokens"), c("row_tokens")) / F.greatest(F.lit(1), F.size("part_tokens")), "object_match": F.arrays_overlap("part_objects", "row_objects"),
         "negation_differs": c("part_negated") != c("row_negated"), "_common": words.shared(c("part_plain"), c("row_plain")),
     })
     aligned = (c("_common") >= 2) | ((c("_common") > 0) & (c("_common") / F.greatest(F.lit(1), F.size("part_plain")) >= 0.50))
@@ -115,8 +116,8 @@ def adaptive_trust(parts: DataFrame, evidence: DataFrame) -> DataFrame:
     """
     c = F.col
     good = F.coalesce("on_topic", F.lit(True)) & F.coalesce("admissible", c("on_topic"), F.lit(True))
-    some = evidence.groupBy("claim_id").agg(F.max(good).alias("_some"))
-    top = evidence.join(some, "claim_id").filter(good | ~c("_some")).drop("_some")
+    some = F.max(good).over(Window.partitionBy("claim_id"))
+    top = cut(evidence.withColumn("_some", some).filter(good | ~c("_some")).drop("_some"))
     details = covered(parts, top)
     host = F.coalesce(urls.domain(c("source_url")), F.lit(""))
     seen = top.groupBy("claim_id").agg(
