@@ -174,3 +174,44 @@ def without_operators(q: Column) -> Column:
         return F.when(F.regexp_count(plain, F.lit('"')) >= 4, F.array_join(F.filter(F.array(kept, rest), lambda p: p != ""), " ")).otherwise(plain)
 
     return once(F.trim(x), front)
+
+
+#: Words between entities, words that spoil one, and verbs that none of several words begins with.
+FALLBACK_STOP = (
+    "the", "a", "an", "and", "or", "but", "to", "for", "of", "in", "on", "with", "by", "at", "is", "are", "was", "were", "be", "been", "being", "over", "under", "about", "around", "average", "per", "times",
+    "not", "no", "never", "do", "does", "did", "this", "that", "these", "those", "it", "its", "itself", "through", "scientifically", "supported", "support", "supports",
+)
+SPOILED = ("not", "no", "never", "scientifically", "supported", "support", "supports", "proven", "prove", "proves")
+LEADING = ("cause", "causes", "prevent", "prevents", "treat", "treats", "cure", "cures", "boost", "boosts", "help", "helps", "support", "supports")
+#: Runs of up to three words, and how many entities a claim has at most.
+CHUNK, MOST_ENTITIES = r"\b([A-Za-z][a-z]+(?:\s+[A-Za-z][a-z]+){0,2})\b", 10
+
+
+def _candidate(raw: Column) -> Column:
+    """The entity phrase of a text, blank if it does not count."""
+
+    def judged(e: Column) -> Column:
+        tokens = entity_tokens(e)
+        off = F.exists(tokens, lambda t: t.isin(*SPOILED)) | ((F.size(tokens) > 1) & F.get(tokens, F.lit(0)).isin(*LEADING))
+        return F.when((e != "") & (F.size(tokens) > 0) & salient(e) & ~off, e).otherwise("")
+
+    return once(entity_phrase(raw), judged)
+
+
+def fallback_entities(claim: Column, most: int = MOST_ENTITIES) -> Column:
+    """Up to ``most`` entities by rule: a claim's single words that count, then what is left of its runs of up to three words, each once."""
+    stop = F.array(*[F.lit(w) for w in FALLBACK_STOP])
+    telling = lambda x: F.filter(entity_tokens(x), lambda t: ~F.array_contains(stop, t))
+    single = F.transform(telling(claim), lambda t: _candidate(t))
+    runs = F.transform(F.regexp_extract_all(F.coalesce(claim, F.lit("")), F.lit("(?U)" + CHUNK), F.lit(1)), lambda p: telling(p))
+    joined = F.transform(F.filter(runs, lambda t: F.size(t) >= 2), lambda t: _candidate(F.array_join(t, " ")))
+    return F.slice(F.array_distinct(F.filter(F.concat(single, joined), lambda e: e != "")), 1, most)
+
+
+def claim_entities(claim: Column, annotated: Column | None = None) -> Column:
+    """A claim's entities: those that a model found and that count, then those by rule."""
+    by_rule = fallback_entities(claim)
+    if annotated is None:
+        return by_rule
+    told = F.filter(F.transform(F.coalesce(annotated, F.array().cast("array<string>")), lambda e: F.trim(F.lower(F.coalesce(e, F.lit(""))))), lambda e: (e != "") & salient(e))
+    return F.array_distinct(F.concat(told, by_rule))
