@@ -4,8 +4,9 @@ States are the contexts seen in training; the root is the empty one. An arc
 reads a word and carries the smoothed probability of its n-gram; a state's
 failure arc reads nothing, carries the state's backoff weight and leads to the
 context without its first word. Every word, and every pair and triple that
-training texts hold ``LEAST`` times or more, is an arc, so the model grows with
-the corpus. ``Automaton`` is the plain version of it in memory.
+training texts hold ``least`` times or more, is an arc, so the model grows with
+the corpus; ``least=1`` makes an arc of every n-gram. The tests hold a plain
+version of it in memory.
 
 Texts are read four times, in chunks of a few megabytes. First, each chunk asks
 for the corpus-wide counts of its distinct words and pairs, sending its own
@@ -32,7 +33,7 @@ from plumbline.session import shared_dir
 
 #: What is added to each count of the base, and taken off each kept n-gram's count.
 ADD, DISCOUNT = 0.1, 0.5
-#: Pairs and triples seen less often have no arc of their own.
+#: Pairs and triples seen less often have no arc of their own, unless score_texts() is told otherwise.
 LEAST = 2
 #: The end of a text, as a word.
 END = np.int64(-1)
@@ -75,8 +76,8 @@ class Grams:
     token that each n-gram ends with.
     """
 
-    def __init__(self, stream: Stream, bits: int):
-        self.stream, self.bits = stream, bits
+    def __init__(self, stream: Stream, bits: int, least: int = LEAST):
+        self.stream, self.bits, self.least = stream, bits, least
         self.keys, self.at, self.where = {}, {}, {}
         tokens = stream.tokens.view(np.uint64)
         self._put(WORD, np.arange(len(tokens)), tokens)
@@ -101,7 +102,7 @@ class Grams:
         """Adds the triples whose two pairs are kept."""
         pair, earlier = self.at[PAIR], self.before(PAIR)
         three = np.flatnonzero((pair >= 0) & (earlier >= 0))
-        three = three[(pair_counts[pair[three]] >= LEAST) & (pair_counts[earlier[three]] >= LEAST)]
+        three = three[(pair_counts[pair[three]] >= self.least) & (pair_counts[earlier[three]] >= self.least)]
         self._put(TRIPLE, three, _joined(self.pair_hash[three - 1], self.stream.tokens.view(np.uint64)[three]))
         return self
 
@@ -112,7 +113,7 @@ class Grams:
 
     def spent(self, kind: int, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
         """What the arcs that this chunk asked for first take from the contexts one word shorter, twice so that it is whole."""
-        arcs = np.flatnonzero(first & (counts >= LEAST))
+        arcs = np.flatnonzero(first & (counts >= self.least))
         context = self.at[kind - 1][self.where[kind][arcs] - 1]
         return np.bincount(context, weights=2 * counts[arcs] - 2 * DISCOUNT, minlength=len(self.keys[kind - 1])).astype(np.int64)
 
@@ -130,7 +131,7 @@ def traverse(grams: Grams, counts: dict[int, np.ndarray], spent: dict[int, np.nd
         c, n = counts[state + 1], np.maximum(counts[state], 1)
         out = np.where(before >= 0, (1 - spent[state] / n)[before] * lower, lower)
         taken = np.flatnonzero(arc >= 0)
-        taken = taken[c[arc[taken]] >= LEAST]
+        taken = taken[c[arc[taken]] >= grams.least]
         out[taken] += (c[arc[taken]] - DISCOUNT) / n[before[taken]]
         return out
 
@@ -138,14 +139,16 @@ def traverse(grams: Grams, counts: dict[int, np.ndarray], spent: dict[int, np.nd
     return base, step(PAIR, step(WORD, base))
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, part_bytes: int = PART, chunk_bytes: int = CHUNK) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, part_bytes: int = PART, chunk_bytes: int = CHUNK, least: int = LEAST) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Training texts are those whose fold (crc32 of the id as text, modulo
     ``folds``) is not ``held``. Words are found between ASCII white space, A-Z
     lower-cased; every text ends with one end token. base_score adds
     log10((c + 0.1) / (N + 0.1 (V + 1))) over the tokens; score is the
-    automaton's log10 probability, which sums to one over all next tokens.
+    automaton's log10 probability, which sums to one over all next tokens. Pairs
+    and triples seen fewer than ``least`` times have no arc of their own; with 1
+    all have, at the cost of larger questions.
 
     Null text counts as empty: the end token alone. A null id is in fold 0.
     Repeated rows are counted and scored each. If nothing is left to train on,
@@ -171,7 +174,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         number = 0
         for batch in batches:
             for part, texts in text_chunks(batch.column(2), chunk_bytes):
-                yield number, batch.slice(part.start, part.stop - part.start), Grams(Stream(texts), bits)
+                yield number, batch.slice(part.start, part.stop - part.start), Grams(Stream(texts), bits, least)
                 number += 1
 
     def training_of(batch: pa.RecordBatch) -> np.ndarray:
@@ -203,7 +206,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for number, _, grams in each(batches):
             counts, first = counted(known, number, grams)
             for k in (WORD, PAIR):
-                states = np.flatnonzero(counts[k] >= LEAST)
+                states = np.flatnonzero(counts[k] >= least)
                 yield asked(k, task, number, grams.keys[k][states], grams.spent(k + 1, counts[k + 1], first[k + 1])[states], parts, bits)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +216,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             counts, _ = counted(known, number, grams)
             spent = {}
             for k in (WORD, PAIR):
-                states = np.flatnonzero(counts[k] >= LEAST)
+                states = np.flatnonzero(counts[k] >= least)
                 spent[k] = np.zeros(len(counts[k]))
                 spent[k][states] = known.of("spent", k, number, len(states))[0] / 2
             base, p = traverse(grams, counts, spent, norm)
@@ -225,12 +228,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with same_splits(spark):
         size = rows.agg(F.sum(F.octet_length("text") + 1).alias("b")).first()["b"] or 0
         parts, bits = max(1, -(-size // part_bytes)), key_bits(size)
-        exchange(rows.mapInArrow(tidy(ask_pairs), ASKED), f"{folder}/pairs", bits, LEAST)
+        exchange(rows.mapInArrow(tidy(ask_pairs), ASKED), f"{folder}/pairs", bits, least)
         words = spark.read.schema(ANSWERED).parquet(f"{folder}/pairs").filter(F.col("kind") == WORD)
         got = words.agg(F.sum("total").alias("n"), F.sum("known").alias("v")).first()
         total, known_words = got["n"] or 0, got["v"] or 0
         norm = total + ADD * (known_words + 1)
-        exchange(rows.mapInArrow(tidy(ask_triples), ASKED), f"{folder}/triples", bits, LEAST)
+        exchange(rows.mapInArrow(tidy(ask_triples), ASKED), f"{folder}/triples", bits, least)
         exchange(rows.mapInArrow(tidy(ask_spent), ASKED), f"{folder}/spent", bits)
         rows.mapInArrow(tidy(score), f"id {kind}, training boolean, n_tokens long, n_known long, base_score double, score double").write.parquet(f"{folder}/scores")
     out = spark.read.parquet(f"{folder}/scores")
