@@ -434,3 +434,4 @@ from plumbline.plans import naming  # noqa: E402, F401
 from plumbline.plans import reading  # noqa: E402, F401
 from plumbline.plans import rewriting  # noqa: E402, F401
 from plumbline.plans import designing  # noqa: E402, F401
+from plumbline.plans import learned  # noqa: E402, F401
