@@ -65,7 +65,7 @@ def claim_signals(claims: DataFrame) -> DataFrame:
         words.actions(q).alias("actions"), words.has(q, words.NEGATED_RANK).alias("negated"), words.has(q, words.BELIEF_CLAIM).alias("belief"),
         words.anchor_terms(q).alias("anchors"), words.has(q, words.ASSERTIVE).alias("assertive"), words.token_set(q, words.RUN, words.OVERLAP_STOP).alias("own_words"),
         words.clean_entities(F.col("entities")).alias("asked_names"), words.entity_words(F.col("entities")).alias("asked_words"), words.about_symptoms(q).alias("symptoms"),
-    ).withColumns({f"w_{s}": weight(i) for i, s in enumerate(SIGNALS)})
+    ).withColumns({f"w_{s}": weight(i) for i, s in enumerate(SIGNALS)} | {"marks": words.anchor_marks(F.col("anchors"))})
 
 
 def penalty_share(penalties: list[tuple[Column, Column | float]], sem: Column) -> Column:
@@ -85,14 +85,16 @@ def scored(candidates: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
     rows = rows.filter(~words.contains_any(c("statement"), words.LOW_SIGNAL))
     s = c("statement")
     tokens = words.token_set(s, words.APOSTROPHE, (), 2)
+    # the forms that anchors are looked for in, once a row
+    rows = rows.withColumns({"_low": words.low(s), "_spaced": words.spaced(s)})
     rows = rows.withColumns({
         "entity_overlap": words.entity_share(c("asked_names"), c("asked_words"), c("entities")), "recency": scoring.recency_decay(c("published_at"), now),
-        "quality": words.source_quality(c("source_url"), F.lit(None).cast("string"), s), "anchors_matched": words.anchor_hits(c("anchors"), s),
+        "quality": words.source_quality(c("source_url"), F.lit(None).cast("string"), s), "anchors_matched": words.marked_hits(c("marks"), c("_low"), c("_spaced")),
         "raw_overlap": words.word_share(c("own_words"), s), "tokens": tokens, "done": words.actions(s), "denied": words.has(s, words.NEGATED_RANK),
         "refutes": words.has(s, words.REFUTES_OBJECT), "mentions": words.has(s, words.MENTIONS_CLAIM), "doubt": words.contains_any(s, words.DOUBT),
     })
     required = F.least(F.size("anchors"), F.lit(2))
-    rows = rows.withColumns({
+    rows = rows.drop("_low", "_spaced", "marks").withColumns({
         "anchor_match_score": F.when(F.size("anchors") > 0, c("anchors_matched") / F.size("anchors")).otherwise(0.0), "anchor_ok": c("anchors_matched") >= required,
         "action_ok": (F.size("actions") == 0) | F.arrays_overlap("actions", "done"), "conflict": c("negated") != c("denied"),
         "object_overlap": words.shared(c("objects"), c("tokens")), "focus_overlap": words.shared(c("focus"), c("tokens")),
