@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from plumbline.llm.exact_dedup import exact_groups
 from plumbline.llm.hard_negatives import hard_negatives
 from plumbline.llm.importance import importance_scores
-from plumbline.llm.license_scan import scan_licenses
+from plumbline.llm.license_scan import PHRASES, scan_licenses
 from plumbline.llm.lm_score import score_texts
 from plumbline.llm.mixing import mix_rates
 from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.packing import pack
 from plumbline.llm.quality_rules import BOILERPLATE, quality_columns
 from plumbline.llm.secret_scan import ACCESS, ASSIGN, HEX, MIN_ASSIGN, OWNED, scan_secrets
-from plumbline.llm.sql import OP11_SQL, OP12_SQL, OP13_SQL
+from plumbline.llm.sql import OP2_BASE, OP3_BASE, OP5_BASE, OP11_SQL, OP12_SQL, OP13_SQL, op4_base
 from plumbline.llm.toxicity import score_toxicity, train
 from plumbline.llm.vector_dedup import vector_duplicates
 from plumbline.llm.warc import round_trip
@@ -87,9 +87,28 @@ def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+# base columns of operators that SQL cannot express as a whole
+
+def base_of_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_near_dedup(spark, sf_dir).select("doc_id", "n_shingles")
+
+
+def base_of_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def base_of_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_of_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_mixing(spark, sf_dir).select("doc_id", "size", "source_size")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_exact_dedup, op2_near_dedup, op3_lm_score, op4_license_scan, op5_mixing, op6_warc, op7_secret_scan, op8_packing, op9_quality_rules, op10_toxicity, op11_importance, op12_hard_negatives, op13_vector_dedup)
-    return {f.__name__: f for f in every}
+    base = (base_of_near_dedup, base_of_lm_score, base_of_license_scan, base_of_mixing)
+    return {f.__name__: f for f in (*every, *base)}
 
 
 OP1_SQL = """
@@ -152,4 +171,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_quality_rules": OP9_SQL, "op11_importance": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_vector_dedup": OP13_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_warc": OP6_SQL, "op7_secret_scan": OP7_SQL, "op9_quality_rules": OP9_SQL, "op11_importance": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_vector_dedup": OP13_SQL} | {"base_of_near_dedup": OP2_BASE, "base_of_lm_score": OP3_BASE, "base_of_license_scan": op4_base(PHRASES), "base_of_mixing": OP5_BASE}

@@ -56,3 +56,46 @@ c AS (SELECT r.a, min(v.vec_id) AS least FROM r JOIN v ON r.b = v.rid GROUP BY 1
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least, vec_id)) AS kept
 FROM embeddings AS e LEFT JOIN v USING (vec_id) LEFT JOIN c ON c.a = v.rid LEFT JOIN n ON n.a = v.rid
 """
+
+
+# base columns: what SQL can say of operators whose other columns are beyond it
+
+def _crc32(text: str) -> str:
+    """The CRC-32 of a text as an integer."""
+    halves = f"flatten(list_transform(range(1, CAST(length(hex(encode({text}))) AS BIGINT), 2), lambda i: [strpos('123456789ABCDEF', substr(hex(encode({text})), i + 1, 1))::BIGINT, strpos('123456789ABCDEF', substr(hex(encode({text})), i, 1))::BIGINT]))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {halves}), lambda c, v: xor(c >> 4, list_extract({_nibble_table()}::BIGINT[], (xor(c, v) & 15) + 1))), 4294967295)"
+
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = rf"regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+')"
+
+OP2_BASE = f"""
+SELECT doc_id, (CASE WHEN len(w) >= 3 THEN len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) WHEN len(w) > 0 THEN 1 ELSE 0 END)::BIGINT AS n_shingles
+FROM (SELECT doc_id, {_SPACED} AS w FROM documents)
+"""
+
+OP3_BASE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_crc32("coalesce(doc_id::VARCHAR, '')")} % 10 = 0 AS held_out, list_append({_SPACED}, chr(10)) AS w FROM documents),
+t AS (SELECT rid, held_out, unnest(w) AS x FROM d), c AS (SELECT x, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1), n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c),
+s AS (SELECT rid, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))) AS base FROM t LEFT JOIN c USING (x), n GROUP BY rid)
+SELECT doc_id, held_out, n_tokens, n_known, n::BIGINT AS train_tokens, round(base, 6) AS base_score FROM d JOIN s USING (rid), n
+"""
+
+
+def op4_base(phrases: dict[str, str]) -> str:
+    """Places and labels of phrases, by words that stand consecutively."""
+    found = []
+    for phrase, label in phrases.items():
+        parts = phrase.split()
+        fits = " AND ".join(f"w[i + {k + 1}] = '{p}'" for k, p in enumerate(parts))
+        found.append(f"list_transform(list_filter(range(0, greatest(0, len(w) - {len(parts) - 1})), lambda i: {fits}), lambda i: {{'at': i, 'label': '{label}'}})")
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents), h AS (SELECT doc_id, len(w) AS n_words, {' || '.join(found)} AS hits FROM d)
+SELECT doc_id, n_words, len(hits) AS n_base, list_min(list_transform(hits, lambda x: x.at)) AS first_word, list_max(list_transform(hits, lambda x: x.at)) AS last_word, coalesce(array_to_string(list_sort(list_distinct(list_transform(hits, lambda x: x.label))), ','), '') AS base_labels FROM h
+"""
+
+
+OP5_BASE = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents)
+SELECT doc_id, size, sum(size) OVER (PARTITION BY source)::BIGINT AS source_size FROM d
+"""
