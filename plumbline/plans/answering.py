@@ -292,7 +292,7 @@ BAG = lambda x: f"list_distinct(list_filter(regexp_extract_all(lower(coalesce({x
 
 
 @query(f"""
-WITH s AS (SELECT l_orderkey AS claim_id, upper({sql_pick(PATH_STATUS, 'l_partkey')}) AS st, lower(coalesce({sql_pick(PATH_REASONS, 'l_suppkey')}, '')) AS reason, l_quantity / 50 + 0.5 AS pm, {sql_pick(CLAIMS, 'l_orderkey')} AS seg, {sql_pick(STATEMENTS, 'l_partkey + l_orderkey')} AS fact FROM lineitem WHERE l_linenumber < 3),
+WITH s AS (SELECT l_orderkey AS claim_id, upper({sql_pick(PATH_STATUS, 'l_partkey')}) AS st, lower(coalesce({sql_pick(PATH_REASONS, 'l_suppkey')}, '')) AS reason, l_quantity / 50 + 0.5 AS pm, {sql_pick(CLAIMS, 'l_orderkey')} AS seg, {sql_pick(STATEMENTS, 'l_partkey + l_orderkey')} AS fact FROM lineitem),
 t AS (SELECT *, {BAG('seg')} AS a, {BAG('fact')} AS b, {TAGS('seg')} AS ca, {TAGS('fact')} AS fa FROM s),
 u AS (SELECT claim_id, count(*) AS parts, bool_or(reason IN ('no_relevant_evidence', 'insufficient_admissible_evidence')) AS lost, bool_or(st = '') AS unknown,
     bool_or(st IN ('VALID', 'PARTIALLY_VALID') AND NOT (pm >= 0.72 AND (len(a) = 0 OR len(b) = 0 OR len(list_intersect(a, b)) >= 0.3 * len(a)) AND (len(ca) = 0 OR len(fa) = 0 OR list_has_any(ca, fa)))) AS loose FROM t GROUP BY 1),
@@ -307,7 +307,7 @@ def f41_cache_fast_path(spark: SparkSession, d: str) -> DataFrame:
         worded.pick(PATH_STATUS, c("l_partkey")).alias("status"), worded.pick(PATH_REASONS, c("l_suppkey")).alias("reason"), (c("l_quantity") / 50 + 0.5).alias("predicate_match_score"),
         worded.pick(CLAIMS, c("l_orderkey")).alias("claim_segment"), worded.pick(STATEMENTS, c("l_partkey") + c("l_orderkey")).alias("supporting_fact"),
     )
-    parts = read_table(spark, d, "lineitem").filter("l_linenumber < 3").groupBy(c("l_orderkey").alias("claim_id")).agg(F.collect_list(seg).alias("segments"))
+    parts = read_table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("claim_id")).agg(F.collect_list(seg).alias("segments"))
     key, k = c("claim_id"), c("k")
     rows = read_table(spark, d, "orders").select(c("o_orderkey").alias("claim_id"), c("o_custkey").alias("k")).join(parts, "claim_id", "left")
     trust = F.struct((k % 13 != 0).alias("is_sufficient"), F.when(k % 7 == 0, 0.9).otherwise(1.0).alias("coverage"), (k % 3).alias("num_subclaims"), (k % 3).alias("strong_covered"))
