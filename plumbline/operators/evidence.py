@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import scoring, urls
+from plumbline.functions import scoring, stance, urls
 
 def _claim():
     return Window.partitionBy("claim_id")
@@ -33,6 +33,37 @@ def evidence_key(url: Column, statement: Column) -> Column:
     return F.coalesce(urls.dedupe_key(url), F.md5(F.trim(F.lower(F.coalesce(statement, F.lit(""))))))
 
 
+#: Parts of a score that are not worked out yet, and signals that rows bring along.
+UNKNOWN_PART, SIGNALS = 0.5, ("claim_overlap", "anchor_match_score", "predicate_match_score", "object_relation_overlap")
+
+
+def evidence_items(ranked: DataFrame, claims: DataFrame) -> DataFrame:
+    """Ranked rows as evidence: statement, scores, source, date, stance towards the claim, kind, and score_components.
+
+    ranked: claim_id and any of statement or fact, sem_score, final_score,
+    score, source_url or source, published_at or publish_date, stance, the
+    SIGNALS, topic_aligned, admissible_for_trust and candidate_type; further
+    columns stay. claims: claim_id, claim. Columns that are missing count as
+    null: scores as 0, flags as true. A stance that is missing or neutral is
+    worked out from both texts.
+    """
+    have = set(ranked.columns)
+    first = lambda kind, *names: F.coalesce(*[F.col(f"r.{n}").cast(kind) for n in names if n in have], F.lit(None).cast(kind))
+    number = lambda *names: F.coalesce(first("double", *names), F.lit(0.0))
+    semantic, total, text = number("sem_score", "final_score", "score"), number("final_score", "score"), first("string", "statement", "fact")
+    rows = ranked.alias("r").join(claims.select("claim_id", F.col("claim").alias("_claim")), "claim_id", "left")
+    made = {
+        "statement": text, "semantic_score": semantic, "source_url": first("string", "source_url", "source"), "trust": total, "candidate_type": F.coalesce(first("string", "candidate_type"), F.lit("")),
+        "published_at": F.coalesce(*[F.col(f"r.{n}") for n in ("published_at", "publish_date") if n in have], F.lit(None)), "stance": stance.restanced(first("string", "stance"), F.coalesce("_claim", F.lit("")), F.coalesce(text, F.lit(""))),
+        "_parts": F.struct(*[number(n).alias(n) for n in SIGNALS], *[F.coalesce(first("boolean", n), F.lit(True)).alias(n) for n in ("topic_aligned", "admissible_for_trust")]),
+    }
+    kept = [F.col(f"r.{n}") if n != "claim_id" else F.col("claim_id") for n in ranked.columns if n not in {*made, "fact", "sem_score", "final_score", "score", "source", "publish_date", *SIGNALS, "topic_aligned", "admissible_for_trust"}]
+    items = rows.select(*kept, *[v.alias(k) for k, v in made.items()])
+    raw = F.when(F.lower("stance") == "entails", 1.0).when(F.lower("stance") == "contradicts", -1.0).otherwise(0.0)
+    parts = F.struct(F.col("semantic_score").alias("semantic"), F.lit(UNKNOWN_PART).alias("source"), F.lit(UNKNOWN_PART).alias("recency"), raw.alias("stance_raw"), ((raw + 1) / 2).alias("stance_mapped"), F.col("trust").alias("trust"), "_parts.*")
+    return items.withColumn("score_components", parts).drop("_parts")
+
+
 def trust_ranked(df: DataFrame, k: int = 10) -> DataFrame:
     """By trust, then semantic score, then id; one row per evidence_key; the k first per claim.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import pages, stance, words
-from plumbline.operators import logic, tracking
+from plumbline.operators import evidence, logic, tracking
 from plumbline.plans import worded
 from plumbline.plans.claims import _decisions, _triples
 from plumbline.plans.covering import PARTS
@@ -33,6 +33,23 @@ def u54_u55_stance(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("claim_id", "seq", stance.restanced(F.lit("neutral"), F.col("claim"), F.col("statement")).alias("stance"))
 
 
+STANCE_SQL = f"CASE WHEN list_has_any(cn, ep) OR list_has_any(cp, en) THEN 'contradicts' WHEN list_has_any(cn, en) OR list_has_any(cp, ep) THEN 'entails' WHEN {s_any('statement', stance.AGAINST)} AND named THEN 'contradicts' WHEN {s_any('statement', stance.FOR)} AND named THEN 'entails' ELSE 'neutral' END"
+
+
+@query(f"""
+WITH {CLAIMS_SQL}, {EVIDENCE_SQL}, cc AS (SELECT claim_id, claim, {NEG('claim')} AS cn, {POS('claim')} AS cp FROM c), s AS (SELECT DISTINCT statement FROM ev), ss AS (SELECT statement, {NEG('statement')} AS en, {POS('statement')} AS ep FROM s),
+a AS (SELECT cc.*, ss.*, ev.* EXCLUDE (statement, claim_id) FROM ev JOIN cc USING (claim_id) JOIN ss ON ss.statement = ev.statement),
+b AS (SELECT *, len(list_filter(list_filter(string_split_regex({s_low('claim')}, '\\s+'), lambda w: w <> ''), lambda w: contains({s_low('statement')}, w))) > 0 AS named, CASE WHEN seq % 2 = 0 THEN weight END AS sem, CASE WHEN seq % 3 = 0 THEN score END AS fin FROM a),
+d AS (SELECT *, CASE WHEN stance = 'neutral' THEN {STANCE_SQL} ELSE stance END AS st FROM b)
+SELECT claim_id, seq, statement, source_url, round(coalesce(sem, fin, trust, 0), 6)::DOUBLE AS semantic_score, round(coalesce(fin, trust, 0), 6)::DOUBLE AS trust, st AS stance, CASE st WHEN 'entails' THEN 1 WHEN 'contradicts' THEN -1 ELSE 0 END::DOUBLE AS stance_raw, CASE st WHEN 'entails' THEN 1 WHEN 'contradicts' THEN 0 ELSE 0.5 END::DOUBLE AS stance_mapped, NOT is_backfill AS topic_aligned FROM d
+""")
+def a39_evidence_items(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    rows = worded.evidence(spark, d).select("claim_id", "seq", c("statement").alias("fact"), "source_url", "published_at", "stance", F.when(c("seq") % 2 == 0, c("weight")).alias("sem_score"), F.when(c("seq") % 3 == 0, c("score")).alias("final_score"), c("trust").alias("score"), (~c("is_backfill")).alias("topic_aligned"))
+    items = evidence.evidence_items(rows, worded.claims(spark, d)).withColumn("p", c("score_components"))
+    return items.select("claim_id", "seq", "statement", "source_url", *[F.round(x, 6).alias(x) for x in ("semantic_score", "trust")], "stance", "p.stance_raw", "p.stance_mapped", "p.topic_aligned")
+
+
 @query(f"""
 WITH {CLAIMS_SQL} SELECT claim_id, CASE WHEN {s_has('claim', r'\b(cure|cures|treat|treats|therapy|effective against)\b')} THEN 'THERAPEUTIC_EFFICACY' ELSE 'GENERIC' END AS claim_type, CASE WHEN {s_has('claim', r'\b(cure|cures|eradicate|eliminate)\b')} THEN 'STRONG' ELSE 'NORMAL' END AS strength, {s_has('claim', stance.COMPARED)} AS comparative FROM c
 """)

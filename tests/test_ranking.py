@@ -220,3 +220,12 @@ def test_best_sentence_by_force(spark):
         assert r["b"]["sentence"] == sentence and r["b"]["score"] == pytest.approx(score)
     got = {r["x"]: r["g"] for r in rows}
     assert got["Smoking causes colds"] == "Smoking does not cause colds at all." and got["unrelated words"] == "unrelated words"
+
+
+def test_evidence_items(spark):
+    rows = spark.createDataFrame([(1, "Vaccines do not cause autism", 0.4, None, None), (1, "Vaccines cause autism", None, "entails", 0.7), (2, None, None, None, None), (3, "x", 1.0, "neutral", None)], "claim_id long, fact string, score double, stance string, final_score double")
+    claims = spark.createDataFrame([(1, "Vaccines cause autism"), (2, None)], "claim_id long, claim string")
+    got = evidence.evidence_items(rows, claims).orderBy("claim_id", "statement").collect()
+    assert [(r.claim_id, r.stance, r.semantic_score, r.trust) for r in got] == [(1, "entails", 0.7, 0.7), (1, "contradicts", 0.4, 0.4), (2, "neutral", 0.0, 0.0), (3, "neutral", 1.0, 1.0)]
+    assert got[1].score_components.stance_raw == -1.0 and got[1].score_components.stance_mapped == 0.0 and got[0].score_components.topic_aligned and got[0].source_url is None and got[0].candidate_type == ""
+    assert evidence.evidence_items(rows.limit(0), claims).count() == 0
