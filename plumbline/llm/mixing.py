@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.ranges import with_running_sum
-from plumbline.session import cut
+from plumbline.session import cut, written
 
 #: Documents of one source that make a bucket on average, and buckets whose residuals meet in one of the next level.
 BUCKET_ROWS, FAN_IN = 1024, 64
@@ -130,6 +130,21 @@ def _level(seed: int, level: int, last: bool):
     return run
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``salt``: 0, but where more than BUCKET_ROWS rows have one draw, as rows alike in id and text do, a number that changes every BUCKET_ROWS of them.
+
+    Such rows are the same to the mix, so it does not matter which one has which number.
+    """
+    same = written(rows.groupBy("draw").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BUCKET_ROWS))
+    if not same.limit(1).count():
+        return rows.withColumn("salt", F.lit(0).cast("long"))
+    marked = rows.join(same, "draw", "left")
+    alike = marked.filter("_n IS NOT NULL").drop("_n").withColumn("_row", F.monotonically_increasing_id())
+    alike = with_running_sum(alike, ["draw", "_row"], F.lit(1).cast("long"), "_before").withColumn("salt", F.floor(F.col("_before") / BUCKET_ROWS).cast("long"))
+    single = marked.filter("_n IS NULL").drop("_n").withColumn("salt", F.lit(0).cast("long"))
+    return single.unionByName(alike.drop("_row", "_before"))
+
+
 def mix_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
     """One row per row of ``docs``: id, source, size, source_size, target, copies, taken.
 
@@ -139,18 +154,19 @@ def mix_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     documents without words are taken floor(rate) times, which adds no words. A
     null source is a source of its own, the last one. Repeated rows are
     documents each; which of them is taken more often is not told apart, and
-    rows alike in id, source and text share a bucket. An empty table gives no
-    rows; other columns are ignored.
+    where very many are alike they are spread over buckets like others. An empty
+    table gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), text, F.lit(seed)).alias("draw")))
     known = cut(source_targets(rows, weights, share, cap))
+    rows = _salted(rows)
     counts = known.agg(F.count(F.lit(1)).alias("sources"), F.max("n").alias("most")).first()
     small = counts["sources"] <= BROADCAST_SOURCES
     known = known.withColumn("own", F.ceil(F.col("n") / BUCKET_ROWS)).drop("n").withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     rated = rows.join(F.broadcast(known) if small else known, F.col("source").eqNullSafe(F.col("src"))).drop("src", "none")
     buckets = max(1, -(-(counts["most"] or 0) // BUCKET_ROWS))  # of the largest source
-    rated = rated.select("*", F.floor(F.col("rate") + EPS).cast("int").alias("whole"), F.pmod("draw", "own").alias("bucket")).drop("own")
+    rated = rated.select("*", F.floor(F.col("rate") + EPS).cast("int").alias("whole"), F.pmod(F.pmod("draw", "own") + F.col("salt"), "own").alias("bucket")).drop("own", "salt")
     rated = rated.withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
     done, level = [], 0
     schema = T.StructType([f for f in rated.schema if f.name != "rate"])

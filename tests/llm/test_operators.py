@@ -492,6 +492,22 @@ def test_queries_against_sql(spark, name):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted((tuple(r[i] for i in place) for r in rows), key=repr)
 
 
+def test_mix_spreads_alike_rows(spark):
+    from plumbline.llm import mixing
+
+    rows = [(1, "the same words", "a")] * 5000 + [(i, f"other words {i} here", "a") for i in range(2, 900)] + [(None, None, None)] * 1500 + [(None, "x y", "b")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    held = mixing._salted(table.select("source", F.xxhash64("doc_id", "text").alias("draw")))
+    assert held.count() == len(rows)
+    sizes = [r["count"] for r in held.groupBy("draw", "salt").count().collect()]
+    assert max(sizes) <= mixing.BUCKET_ROWS and sum(sizes) == len(rows)
+    got = [mix_rates(t).select("doc_id", "source", "size", "copies").collect() for t in (table, table.repartition(7))]
+    assert sorted(map(repr, got[0])) == sorted(map(repr, got[1])) and len(got[0]) == len(rows)
+    taken = sum(r.size * r.copies for r in got[0] if r.source == "a")
+    target = mix_rates(table).filter("source = 'a'").first().target
+    assert abs(taken - target) <= 4
+
+
 def test_clashing_names(spark):
     rows = [(i, f"Line {i} speaks of item{i}, of place{i}. " * 12, "x", "y", "z") for i in range(3)] + [(None, None, None, None, None)]
     table = spark.createDataFrame(rows, "doc_id long, text string, _w string, _l string, _gone string")
