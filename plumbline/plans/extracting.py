@@ -234,7 +234,16 @@ def _domain_events(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "events").select("event_id", F.concat(F.lit("m"), F.pmod("user_id", F.lit(50))).alias("domain"), at.alias("at"), kind.alias("kind"), (c("value") * 40).alias("seconds"))
 
 
-@query()
+@query("""
+WITH e AS (SELECT event_id, 'm' || user_id % 50 AS domain, epoch_us(ts) / 1000000::DOUBLE AS t, CASE WHEN event_type IN ('error', 'view') THEN 'failure' WHEN event_type = 'purchase' THEN 'success' ELSE 'cooldown' END AS kind, value * 40 AS seconds FROM events),
+a AS (SELECT *, count(*) FILTER (kind = 'success') OVER (PARTITION BY domain ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS life FROM e),
+b AS (SELECT *, lag(t) OVER (PARTITION BY domain, life ORDER BY t, event_id) AS before FROM a), c AS (SELECT *, kind = 'failure' AND (before IS NULL OR t - before > 900) AS fresh FROM b),
+d AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY domain, life ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run FROM c),
+f AS (SELECT *, CASE WHEN kind = 'success' THEN 0 ELSE count(*) FILTER (kind = 'failure') OVER (PARTITION BY domain, life, run ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) END AS failures FROM d),
+g AS (SELECT *, CASE WHEN kind = 'cooldown' THEN t + seconds WHEN kind = 'failure' AND failures >= 2 THEN t + 900 END AS until FROM f),
+h AS (SELECT *, last_value(until IGNORE NULLS) OVER (PARTITION BY domain, life ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS last_until FROM g)
+SELECT event_id, domain, failures, round(CASE WHEN kind = 'success' THEN 0 ELSE coalesce(last_until, 0) END, 3)::DOUBLE AS blocked_until FROM h
+""")
 def st5_st6_st7_f54_domain_blocks(spark: SparkSession, d: str) -> DataFrame:
     rows = state.domain_blocks(_domain_events(spark, d), ["at", "event_id"])
     return rows.select("event_id", "domain", "failures", F.round("blocked_until", 3).alias("blocked_until"))
