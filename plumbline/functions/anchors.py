@@ -53,3 +53,16 @@ def rule_anchors(part: Column, hints: Column, most: int = 4) -> Column:
         return once(first, lambda a: F.when(F.size(a) < 2, F.slice(F.concat(a, more), 1, most)).otherwise(a))
 
     return once(raw, chosen)
+
+
+def claim_anchors(part: Column, hints: Column, told: Column, most: int = 4) -> Column:
+    """Anchors that a model told of a part, if two at least are usable; else those by rule, and where these are fewer than two those without hints too."""
+    most = max(2, min(5, most))
+    none = F.array().cast("array<string>")
+
+    def filled(own: Column) -> Column:
+        again = rule_anchors(part, none, most)
+        return F.when(F.size(own) < 2, F.slice(F.concat(own, again), 1, most)).otherwise(own)
+
+    by_rule = once(rule_anchors(part, hints, most), filled)
+    return once(usable(F.coalesce(told, none), part, most), lambda a: F.when(F.size(a) >= 2, a).otherwise(by_rule))

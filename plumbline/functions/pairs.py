@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from plumbline.functions import words
 from plumbline.functions.once import once
@@ -126,3 +126,36 @@ def with_model_outputs(rows: DataFrame, load: Callable[[], Model], text_col: str
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.float64()))], names=[*b.schema.names, out])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out, ArrayType(DoubleType()))]))
+
+
+def with_model_entities(rows: DataFrame, load: Callable[[], Callable[[list[str]], Sequence[Sequence[str]]]], text_col: str, out: str = "entities", batch: int = 32) -> DataFrame:
+    """``rows`` with the entities that a model finds in a text: lower-case, trimmed, each once, none about sources.
+
+    ``load`` is called once for each task, the model for ``batch`` texts at a
+    time. Blank texts are not asked; where the model cannot be loaded or fails,
+    there are no entities, so that rules can step in.
+    """
+    from plumbline.functions.entities import truth_entities
+
+    at = rows.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            model = load()
+        except Exception:  # whatever a model's loader raises
+            model = None
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            found: list[list[str]] = [[] for _ in texts]
+            asked = [i for i, t in enumerate(texts) if t and t.strip()] if model else []
+            for lo in range(0, len(asked), batch):
+                part = asked[lo : lo + batch]
+                try:
+                    for i, names in zip(part, model([texts[i] for i in part]), strict=True):
+                        found[i] = [n for n in names if isinstance(n, str)]
+                except Exception:
+                    continue
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.string()))], names=[*b.schema.names, out])
+
+    told = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(out, ArrayType(StringType()))]))
+    return told.withColumn(out, truth_entities(F.col(out)))

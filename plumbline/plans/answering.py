@@ -42,6 +42,33 @@ def u31_u33_rule_anchors(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "orders").select(key.alias("id"), F.array_join(own, "|").alias("anchors"))
 
 
+#: What a model tells of a part: usable anchors, too few, and none.
+TOLD = (("Zinc Supplements", "the common cold"), ("zinc", "iron"), ("cold",), (), None, ("lung cancer", "smoking", "smoking", "risk of cancer", "causes"), ("", "the of", None, "viral infections"), ("autism", "vaccines"), ("bones", "206 bones", "an adult"))
+
+
+def s_anchors(name: str, source: str, hints: str) -> str:
+    """CTEs from ``source`` (id, part, ..) to ``name``: the same with the list ``rule_`` of anchors by rule."""
+    return f"""
+{name}a AS (SELECT *, lower(coalesce(part, '')) AS low_, coalesce({hints}, []) AS hints_, regexp_extract_all(coalesce(part, ''), {sql_text(anchors.WORD)}) AS own_ FROM {source}),
+{name}b AS (SELECT *, list_filter(list_transform(own_, lambda w: {s_norm('w')}), lambda w: w <> '') AS words_, list_filter(list_transform(hints_, lambda w: {s_norm('w')}), lambda h: h <> '' AND CASE WHEN contains(h, ' ') THEN contains(low_, h) ELSE regexp_matches(low_, '\\b' || h || '\\b') END) AS named_,
+    list_transform(list_transform(range(1, len(own_) - 1), lambda i: lower(own_[i] || ' ' || own_[i + 1] || ' ' || own_[i + 2])) || list_transform(range(1, len(own_)), lambda i: lower(own_[i] || ' ' || own_[i + 1])), lambda w: {s_norm('w')}) AS runs_ FROM {name}a),
+{name}c AS (SELECT *, list_filter(named_ || runs_ || words_, lambda a: a <> '') AS every_ FROM {name}b), {name}d AS (SELECT *, list_filter(every_, lambda a, i: list_position(every_, a) = i AND (contains(a, ' ') OR contains(low_, a)))[1:4] AS kept_ FROM {name}c),
+{name}e AS (SELECT *, CASE WHEN len(kept_) > 0 THEN kept_ ELSE words_[1:4] END AS first_ FROM {name}d),
+{name} AS (SELECT * EXCLUDE (low_, hints_, own_, words_, named_, runs_, every_, kept_, first_), CASE WHEN len(first_) < 2 THEN (first_ || list_filter(words_, lambda w: length(w) >= 3)[1:2])[1:4] ELSE first_ END AS rule_ FROM {name}e)"""
+
+
+@query(f"""
+WITH p AS (SELECT o_orderkey AS id, {sql_pick(CLAIMS, 'o_orderkey')} AS part, {sql_pick(ENTITIES, 'o_custkey')} AS hints, {sql_pick(TOLD, 'o_custkey')} AS told FROM orders), {s_anchors('r1', 'p', 'hints')},
+q AS (SELECT * EXCLUDE (rule_), rule_ AS rule1 FROM r1), {s_anchors('r2', 'q', '[]')}, t0 AS (SELECT *, list_filter(list_transform(coalesce(told, []), lambda w: {s_norm("coalesce(w, '')")}), lambda a: a <> '') AS told0 FROM r2),
+t AS (SELECT *, list_filter(told0, lambda a, i: list_position(told0, a) = i AND (contains(a, ' ') OR contains(lower(coalesce(part, '')), a)))[1:4] AS told1 FROM t0)
+SELECT id, array_to_string(CASE WHEN len(told1) >= 2 THEN told1 WHEN len(rule1) < 2 THEN (rule1 || rule_)[1:4] ELSE rule1 END, '|') AS anchors FROM t
+""")
+def u32_claim_anchors(spark: SparkSession, d: str) -> DataFrame:
+    key, other = c("o_orderkey"), c("o_custkey")
+    own = anchors.claim_anchors(worded.pick(CLAIMS, key), worded.pick(ENTITIES, other), worded.pick(TOLD, other))
+    return read_table(spark, d, "orders").select(key.alias("id"), F.array_join(own, "|").alias("anchors"))
+
+
 # answers
 
 STATUSES = ("valid", "INVALID", None, "PARTIALLY_VALID", "partially_invalid", "STRONGLY_VALID", "UNKNOWN", "")

@@ -118,3 +118,22 @@ def test_queries_of_parts(spark):
     assert merged[0].merged == merged[0].original + [q for q in merged[0].canonical if q not in merged[0].original] and len(set(merged[0].merged)) == len(merged[0].merged)
     kept = {r.claim_id: r for r in canonical.tracks(parts).collect()}
     assert kept[0].original == ["Vaccines do not cause autism", "Vaccines do not cause the flu"]
+
+
+def test_model_entities(texts):
+    def load():
+        def model(asked):
+            if any("of the" in t for t in asked):
+                raise ValueError("no")
+            return [[" Zinc ", "zinc", "study", 7, t.split()[-1]] for t in asked]
+
+        return model
+
+    got = by(pairs.with_model_entities(texts.coalesce(1), load, "b", batch=1))
+    assert got[1].entities == ["zinc", "colds!"] and got[2].entities == ["zinc", "colds"]
+    assert got[3].entities == got[6].entities == [] and got[5].entities == []
+
+    def broken():
+        raise OSError("no such model")
+
+    assert all(r.entities == [] for r in pairs.with_model_entities(texts, broken, "b").collect())
