@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a
 DataFrame; it is written as Parquet to the shared folder and reread as the next
-stage's docs.
+stage's docs. Empty tables, null values, repeated rows and further columns with
+any names pass through every stage; what each does with them is said there.
 """
 
 from __future__ import annotations
@@ -22,22 +23,27 @@ from plumbline.session import read_table, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, with what the rules leave of their texts; null and empty texts are rejected. Other columns stay."""
     return keep_good(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text, the one with the smallest id; null counts as empty, rows without an id lose to others."""
     return drop_exact(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies, the one with the smallest id; rows without an id, and texts without words, stay."""
     return drop_near(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them, none that it does not; a null source is a source of its own, repeated rows are rows each."""
     return mix_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document; a null text is an empty one, of the end token alone. Only the id is carried on."""
     return pack(docs, tokenizer_file())
 
 
