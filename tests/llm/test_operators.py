@@ -619,3 +619,34 @@ def test_pipeline_against_its_parts(spark):
         total[r.doc_id] += r.length
     sizes = {r.doc_id: r.doc_tokens for r in got.collect()}
     assert total == Counter({i: c * sizes[i] for i, c in copies.items() if c})
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_odd_rows(spark, odd, tmp_path, empty):
+    pipeline = importlib.import_module("corpus_pipeline")
+    names = {"kept": "_row", "size": "_hash", "score": "shard", "rid": "_text"}
+    table = odd.withColumnsRenamed(names)
+    words = " ".join(f"word{i % 60} stands here," for i in range(80)) + "."
+    more = spark.createDataFrame([(i, words + f" Line {i}." * ((i or 0) % 3), None, None, None, "a", "b", "c", "d") for i in (20, 21, 22, None)], table.schema)
+    whole = table.union(more)
+    (whole.limit(0) if empty else whole).write.parquet(str(tmp_path / "documents.parquet"))
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert bool(got) != empty
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == whole.columns
+    for r in {(r.doc_id, r.doc_tokens) for r in got}:
+        pieces = sorted((p.start, p.length) for p in got if (p.doc_id, p.doc_tokens) == r)
+        assert pieces[0][0] == 0 and max(s + n for s, n in pieces) == r[1]
+
+
+def test_toxicity_of_odd_rows(spark, odd):
+    from plumbline.session import read_table
+
+    model = train(read_table(spark, SF, "documents"), read_table(spark, SF, "labels"))
+    rows = score_toxicity(odd, model).collect()
+    assert len(rows) == odd.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    blank = {r.score for r in score_toxicity(odd.filter("text IS NULL OR trim(text) = ''"), model).collect()}
+    assert len(blank) == 1 and blank.pop() < 0.7
+    assert score_toxicity(odd.limit(0), model).count() == 0
