@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumbline.functions import urls
 from plumbline.functions.words import low
 
 #: What is cut out of queries before they are embedded.
@@ -18,6 +21,8 @@ NOISE = (
 SECRETS = (r"\b(gsk_[A-Za-z0-9_\-]{12,})\b", r"\b(sk-[A-Za-z0-9]{12,})\b", r"\b(AIza[0-9A-Za-z_\-]{12,})\b", r"\b(pcsk_[A-Za-z0-9_\-]{12,})\b", r"(?i)\b(rediss?://[^\s]+)\b")
 SECRET_KEY = r"(?i)(api[_-]?key|token|secret|password|authorization|auth|credential|connectionstring)"
 MASK = "***MASKED***"
+#: Fixed value: hosts whose forbidden PDFs a browser cannot fetch either.
+PDF_FORBIDDEN = ("stacks.cdc.gov",)
 #: Parameters that a URL's key leaves out, beside all that begin with utm_.
 KEY_OUT = ("fbclid", "gclid", "msclkid", "source", "ref")
 
@@ -81,6 +86,11 @@ def pdf_link(html: Column, base: Column) -> Column:
     return F.when(link == "", None).when(link.startswith("http"), link).when(link.startswith("/"), F.concat(root, link)).otherwise(F.concat(F.rtrim(F.coalesce(base, F.lit("")), F.lit("/")), F.lit("/"), link))
 
 
+def needs_no_browser(u: Column, status: Column, hosts: Sequence[str] = PDF_FORBIDDEN) -> Column:
+    """Whether a page that was forbidden is a PDF of a host that forbids a browser too."""
+    return F.coalesce((status == 403) & F.contains(low(u), F.lit(".pdf")) & urls.domain(u).isin(*hosts), F.lit(False))
+
+
 def publish_date(html: Column) -> Column:
     """When a page says it was published, or else changed: the first of three marks that holds a date."""
     marks = (r'"datePublished":"(.*?)"', r'"dateModified":"(.*?)"', r'<meta property="article:published_time" content="(.*?)"')

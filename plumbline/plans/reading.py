@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import content, entities, policy, words
+from plumbline.functions import content, entities, pages
 from plumbline.plans.designing import SLOTS, _asked
 from plumbline.plans.naming import PHRASE, SALIENT, TOK, UNIQUE
 from plumbline.plans.registry import query
-from plumbline.plans.worded import s_ascii, sql_text
+from plumbline.plans import worded
+from plumbline.plans.worded import s_ascii, sql_pick, sql_text
 from plumbline.session import read_table
 
 c = F.col
@@ -32,3 +33,14 @@ SELECT id AS claim_id, array_to_string({UNIQUE('every')}[1:10], '|') AS entities
 """)
 def u78_fallback_entities(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark, d).select("claim_id", F.array_join(entities.fallback_entities(c("claim")), "|").alias("entities"))
+
+
+#: Addresses, and whether a browser is of no use once they are forbidden.
+FORBIDDEN = (("https://stacks.cdc.gov/view/1.pdf", True), ("https://www.Stacks.CDC.gov/x.PDF?y=1", True), ("https://stacks.cdc.gov/view/1", False), ("https://cdc.gov/a.pdf", False), (None, False), ("", False), ("stacks.cdc.gov/a.pdf", False))
+PLACE, OFF = zip(*FORBIDDEN, strict=True)
+
+
+@query(f"SELECT o_orderkey AS id, ([{', '.join(str(x).lower() for x in OFF)}])[o_orderkey % {len(OFF)} + 1] AND [403, 404, 200, NULL][o_custkey % 4 + 1] IS NOT DISTINCT FROM 403 AS no_browser FROM orders")
+def f55_forbidden_pdfs(spark: SparkSession, d: str) -> DataFrame:
+    status = F.get(F.array(F.lit(403), F.lit(404), F.lit(200), F.lit(None)), F.pmod("o_custkey", F.lit(4)).cast("int"))
+    return read_table(spark, d, "orders").select(c("o_orderkey").alias("id"), pages.needs_no_browser(worded.pick(PLACE, c("o_orderkey")), status).alias("no_browser"))
