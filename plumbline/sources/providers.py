@@ -166,3 +166,37 @@ def read_rows(spark, path: str, schema: str) -> DataFrame:
     """Rows of a JSON array in one file, such as lexicons and regression cases."""
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"array<struct<{schema}>>")).alias("r")).select("r.*")
 
+
+
+def archived(requests: DataFrame, fetch: Callable[[str], str], render: Callable[[str], str]) -> DataFrame:
+    """(url, kind, method, content, chars, success, error_code): each distinct page or document of an archive once.
+
+    ``fetch`` gives a page's markup, or a document's text after the mark of PDF
+    text. A landing page without content of its own is left for the document
+    that it links to; what is still without content goes to ``render``. method is
+    http, pdf or browser, whichever was the last. Each round is written before
+    the next one, so no page is fetched twice.
+    """
+    from plumbline.functions import pages
+    from plumbline.functions.content import scraped
+    from plumbline.session import written
+
+    c = F.col
+    asked = requests.select("url").filter("url IS NOT NULL").distinct()
+
+    def round_of(rows: DataFrame, get: Callable[[str], str]) -> DataFrame:
+        got = fetched(rows, get).select("url", c("content").alias("html"), "error_code")
+        return written(scraped(got).select("url", "html", "content", "error_code"))
+
+    first = round_of(asked, fetch)
+    kind = pages.url_type(c("url"))
+    linked = first.filter((kind == "iris_html") & c("content").isNull() & c("html").isNotNull()).select(c("url").alias("page"), pages.pdf_link(c("html"), c("url")).alias("url")).filter("url IS NOT NULL")
+    documents = linked.join(round_of(linked, fetch).select("url", c("content").alias("linked_content")), "url").select(c("page").alias("url"), "linked_content")
+    rows = written(first.join(documents, "url", "left"))
+    open_rows = rows.filter("content IS NULL AND linked_content IS NULL").select("url")
+    last = round_of(open_rows, render).select("url", c("content").alias("rendered"), c("error_code").alias("last_error"), F.lit(True).alias("tried"))
+    both = rows.join(last, "url", "left")
+    content = F.coalesce("content", "linked_content", "rendered")
+    method = F.when(c("content").isNotNull(), "http").when(c("linked_content").isNotNull(), "pdf").otherwise("browser")
+    error = F.when(content.isNull(), F.coalesce("last_error", "error_code", F.lit("no_content")))
+    return both.select("url", kind.alias("kind"), method.alias("method"), content.alias("content"), F.coalesce(F.length(content), F.lit(0)).alias("chars"), content.isNotNull().alias("success"), error.alias("error_code"))

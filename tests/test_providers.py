@@ -63,3 +63,24 @@ def test_json_files(spark, tmp_path):
     assert {r["domain"]: r["approved"] for r in back} == {"a.org": True, "b.org": False}
     (tmp_path / "cases.json").write_text('[{"claim": "x", "verdict": "TRUE"}, {"claim": "y"}]')
     assert [tuple(r) for r in providers.read_rows(spark, str(tmp_path / "cases.json"), "claim:string,verdict:string").collect()] == [("x", "TRUE"), ("y", None)]
+
+
+def test_archived(spark):
+    text = "A report on zinc and colds, with a sentence that is long enough."
+
+    def fetch(url):
+        if "gone" in url:
+            raise TimeoutError(url)
+        if url.endswith(".pdf"):
+            return f"[[PDF_TEXT]]{text} pdf"
+        return '<nav>menu</nav><a href="/docs/full.pdf">x</a>' if "landing" in url else "<nav>menu</nav>" if "script" in url else f"<p>{text}</p>"
+
+    def render(url):
+        return "" if "gone" in url else f"<p>{text} rendered</p>"
+
+    places = ["https://iris.who.int/page", "https://iris.who.int/landing", "https://other.org/script", "https://other.org/gone", "https://iris.who.int/direct.pdf", "https://iris.who.int/page", None]
+    got = {r["url"]: r for r in providers.archived(spark.createDataFrame([(p,) for p in places], "url string"), fetch, render).collect()}
+    assert len(got) == 5
+    assert [got[p]["method"] for p in places[:5]] == ["http", "pdf", "browser", "browser", "http"]
+    assert got[places[1]]["content"] == f"{text} pdf" and got[places[2]]["content"] == f"{text} rendered" and got[places[4]]["kind"] == "pdf_direct"
+    assert not got[places[3]]["success"] and got[places[3]]["error_code"] == "empty_page" and got[places[3]]["chars"] == 0
