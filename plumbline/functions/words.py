@@ -5,6 +5,7 @@ Patterns see lower-cased text and take letters of all scripts for word letters.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -112,8 +113,18 @@ def claim_type(x: Column) -> Column:
     return out.otherwise("general")
 
 
+def forms(pattern: str) -> tuple[str, ...]:
+    """The words that a pattern of ACTIONS stands for: stems, each with its endings."""
+    out = []
+    for stem, ends, bare in re.findall(r"([a-z]+)(?:\(\?:([a-z|]+)\)(\??))?", pattern.removeprefix(r"\b(").removesuffix(r")\b")):
+        out += [stem + e for e in ends.split("|")] + ([stem] if bare else [])
+    return tuple(out)
+
+
 def actions(x: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(has(x, pattern), name) for name, pattern in ACTIONS]))
+    """The marks of action that a text shows, by its words: one pass over the text for all of them."""
+    listed = [(name, F.array(*[F.lit(w) for w in forms(pattern)])) for name, pattern in ACTIONS]
+    return once(found(x, r"\w+"), lambda t: F.array_compact(F.array(*[F.when(F.arrays_overlap(t, words), name) for name, words in listed])))
 
 
 def object_tokens(x: Column) -> Column:
