@@ -32,12 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (a local test session) is a folder of our own made.
+    is a folder of our own made, and only in a local session, as tests have it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         path = spark.conf.get("plumbline.local.checkpoint.dir", None)
     if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + os.path.join(tempfile.mkdtemp(prefix="plumbline-"), "checkpoint")
         spark.conf.set("plumbline.local.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
