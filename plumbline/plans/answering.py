@@ -228,11 +228,10 @@ t AS (SELECT *, greatest(0, least(1, 0.3::DOUBLE * semantic_score + 0.3::DOUBLE
 @query("WITH " + ROUNDS_EVIDENCE + "".join("," + _rounds_sql(i) for i in (1, 2, 3)) + "".join("," + _state_sql(i) for i in (1, 2, 3)) + " UNION ALL ".join(f" SELECT claim_id, round, post AS trust_post, agreement, evidence, new, decision, coalesce(stop_reason, '') AS stop_reason FROM s{i}" for i in (1, 2, 3)))
 def t21_trust_rounds(spark: SparkSession, d: str) -> DataFrame:
     """Round i finds an order's first 2i lines; one claim in five finds nothing new in its searches."""
-    line = F.floor(c("evidence_id") / 10000000000)
-    every = _evidence(spark, d)
+    every = _evidence(spark, d, "l_linenumber")  # not from the evidence_id: large part keys run into its line number
     claims = read_table(spark, d, "orders").select(c("o_orderkey").alias("claim_id"))
     states = rounds.trust_rounds(
-        claims, lambda still, i: every.filter(line <= 2 * i).join(still, "claim_id", "left_semi"), lambda going, i: going.filter((F.floor(c("claim_id") / 32) + i) % 5 != 0), F.lit(NOW).cast("timestamp_ntz"), F.lit(0.5),
+        claims, lambda still, i: every.filter(c("l_linenumber") <= 2 * i).drop("l_linenumber").join(still, "claim_id", "left_semi"), lambda going, i: going.filter((F.floor(c("claim_id") / 32) + i) % 5 != 0), F.lit(NOW).cast("timestamp_ntz"), F.lit(0.5),
     )
     return states.select("claim_id", "round", F.round("trust_post", 9).alias("trust_post"), F.round("agreement", 9).alias("agreement"), "evidence", "new", "decision", F.coalesce("stop_reason", F.lit("")).alias("stop_reason"))
 

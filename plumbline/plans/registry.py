@@ -255,15 +255,15 @@ def j2_two_hop(spark: SparkSession, d: str) -> DataFrame:
 
 # evidence
 
-def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Order lines as evidence of the claim that is their order; one supplier in six has no URL."""
+def _evidence(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Order lines as evidence of the claim that is their order, with ``more`` of their columns; one supplier in six has no URL."""
     c = F.col
     stance = F.when(c("l_returnflag") == "A", "entails").when(c("l_returnflag") == "R", "contradicts").otherwise("neutral")
     url = F.concat(F.lit("https://www.S"), "l_suppkey", F.lit(".example:8080/p/?utm_source=a&b="), c("l_linenumber") % 2, F.lit("#x"))
     return read_table(spark, d, "lineitem").select(
         c("l_orderkey").alias("claim_id"), worded.sequence().alias("evidence_id"), (c("l_discount") * 10).alias("semantic_score"),
         F.when(c("l_suppkey") % 12 == 0, None).when(c("l_suppkey") % 12 == 1, "").otherwise(url).alias("source_url"), worded.pick(worded.STATEMENTS, c("l_partkey") + 3 * c("l_orderkey")).alias("statement"), c("l_shipdate").alias("published_at"), stance.alias("stance"),
-        (c("l_quantity") / 50).alias("weight"), c("l_discount").alias("support"), c("l_tax").alias("against"), (c("l_linenumber") % 4 != 0).alias("admissible"),
+        (c("l_quantity") / 50).alias("weight"), c("l_discount").alias("support"), c("l_tax").alias("against"), (c("l_linenumber") % 4 != 0).alias("admissible"), *more,
     )
 
 
