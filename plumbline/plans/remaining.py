@@ -15,7 +15,7 @@ from plumbline.plans.extracting import EVERY, LINES, PROFILE, STRONG, TOKS, _lin
 from plumbline.plans.registry import LOGS, _logs, _r, query
 from plumbline.plans.searching import OBJECTS, SUBJECTS, VERBS
 from plumbline.plans.worded import sql_pick
-from plumbline.session import read_table, shared_dir
+from plumbline.session import by_value, read_table, shared_dir
 from plumbline.sources import logs
 
 # logs
@@ -120,7 +120,9 @@ def u69_u70_grounded_statements(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     rows = _lines(spark, d)
     source = F.concat_ws(" ", *[F.concat(worded.pick(EVERY, c("claim_id") + i), F.lit(".")) for i in range(6)])
-    return rows.select("claim_id", "seq", extraction.best_sentence(c("statement"), source).alias("b"), extraction.grounded_statement(c("statement"), source).alias("grounded")).select("claim_id", "seq", "b.sentence", _r(c("b.score")).alias("score"), "grounded")
+    grounded = {"b": extraction.best_sentence(c("statement"), c("source")), "grounded": extraction.grounded_statement(c("statement"), c("source"))}
+    rows = by_value(rows.select("claim_id", "seq", "statement", source.alias("source")), ["statement", "source"], lambda texts: texts.withColumns(grounded))
+    return rows.select("claim_id", "seq", "b.sentence", _r(c("b.score")).alias("score"), "grounded")
 
 
 @query(f"WITH {PROFILE} SELECT claim_id, array_to_string(list_sort(list_distinct(list_concat(ct, et))), ' ') AS either, array_to_string(list_sort(list_intersect(ct, et)), ' ') AS both, array_to_string(list_sort(list_filter(ct, lambda w: NOT list_contains(et, w))), ' ') AS only_claim FROM pr")

@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "plumbline", cores: int = 8, **conf: str) -> SparkSession:
@@ -92,3 +95,24 @@ def written(df: DataFrame) -> DataFrame:
     path = scratch_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+#: Values up to which a table of them is broadcast, by rows and by characters.
+BROADCAST_VALUES, BROADCAST_CHARACTERS = 100_000, 32_000_000
+
+
+def by_value(df: DataFrame, names: list[str], made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``df`` with the columns that ``made`` adds to a table of ``names``, worked out once for each distinct row of these.
+
+    For expressions on texts that come again and cost far more than comparing
+    them. ``made`` works row by row and keeps ``names``. The values are written
+    once; where they are few they are broadcast, else they are joined and an
+    adaptive plan splits values that very many rows have.
+    """
+    values = written(made(written(df.select(*names).distinct())))
+    size = values.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("c")).first()
+    small = size["n"] <= BROADCAST_VALUES and size["c"] <= BROADCAST_CHARACTERS
+    keys = {n: f"_value_{i}" for i, n in enumerate(names)}
+    values = values.withColumnsRenamed(keys)
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(k)) for n, k in keys.items()])
+    return df.join(F.broadcast(values) if small else values, same).drop(*keys.values())
