@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import queries, search, words
 from plumbline.functions.once import once
+from plumbline.session import by_value, written
 
 #: Words that are no topic, and people that claims speak of.
 STOP = (
@@ -179,13 +180,17 @@ def query_plans(claims: DataFrame, drift: DataFrame | None = None) -> DataFrame:
     drift: (claim_type, token, n) of drift_counts(), a row for each type and
     token, at most 48 of each of eight types: small enough to be broadcast.
     """
-    rows = claims.withColumn("claim_type", search.claim_class(F.col("claim"))).withColumn("entities", slots(F.col("claim")))
-    met = F.lit(None).cast("array<string>")
-    if drift is not None:
-        told = drift.filter("n >= 1").groupBy("claim_type").agg(F.sort_array(F.collect_set("token")).alias("_met"))
-        rows, met = rows.join(F.broadcast(told), "claim_type", "left"), F.col("_met")
-    rows = rows.withColumn("negatives", negatives(F.col("claim_type"), met))
-    return rows.withColumn("plan", query_plan(F.col("claim"), F.col("claim_type"), F.col("entities"), F.col("negatives"))).drop("_met")
+
+    def planned(texts: DataFrame) -> DataFrame:
+        # the slots are written first, else the plan's expression works them out wherever it names them
+        rows, met = written(texts.withColumn("claim_type", search.claim_class(F.col("claim"))).withColumn("entities", slots(F.col("claim")))), F.lit(None).cast("array<string>")
+        if drift is not None:
+            told = drift.filter("n >= 1").groupBy("claim_type").agg(F.sort_array(F.collect_set("token")).alias("_met"))
+            rows, met = rows.join(F.broadcast(told), "claim_type", "left"), F.col("_met")
+        rows = written(rows.withColumn("negatives", negatives(F.col("claim_type"), met)))
+        return rows.withColumn("plan", query_plan(F.col("claim"), F.col("claim_type"), F.col("entities"), F.col("negatives"))).drop("_met")
+
+    return by_value(claims, ["claim"], planned)
 
 
 def fallback_queries(text: Column, failed: Column) -> Column:

@@ -26,7 +26,7 @@ def test_by_value(spark, monkeypatch, most):
 
 
 #: Queries, and what of their work on texts the rows themselves must not do.
-ONCE = {"u69_u70_grounded_statements": "array_max"}
+ONCE = {"u69_u70_grounded_statements": "array_max", "u90_u91_query_plans": "regexp"}
 
 
 @pytest.mark.parametrize("name", sorted(ONCE))
