@@ -10,7 +10,7 @@ from plumbline.functions.pages import NOISE
 from plumbline.plans import worded
 from plumbline.plans.registry import _r, query
 from plumbline.plans.worded import CLAIMS, ENTITIES, sql_pick, sql_text
-from plumbline.session import read_table
+from plumbline.session import by_value, read_table
 
 c = F.col
 
@@ -141,11 +141,13 @@ p13 AS (SELECT *, list_transform(list_transform(ends, lambda e: array_to_string(
 
 @query(f"WITH {PARTS} SELECT id, array_to_string(phe, '|') AS phrases, array_to_string(an, '|') AS anchors, direct, array_to_string(ends, '|') AS ends, CASE WHEN len(core) > 0 THEN array_to_string({UNIQUE('aq0')}, '|') ELSE '' END AS anchored, CASE WHEN len(pcore) > 0 THEN array_to_string({UNIQUE('pq0')}, '|') ELSE '' END AS plain FROM p13")
 def f52_u99_u100_u101_u104_u109_part_queries(spark: SparkSession, d: str) -> DataFrame:
-    text, ents = worded.pick(TEXTS, c("o_orderkey")), worded.pick(ENTITIES, c("o_custkey"))
+    text, ents = c("text"), c("ents")
     made = {
         "phrases": queries.phrases(text, ents), "anchors": queries.part_anchors(text, ents), "ends": queries.ends(text), "anchored": queries.anchor_queries(text, ents), "plain": queries.plain_queries(text),
     }
-    return read_table(spark, d, "orders").select(c("o_orderkey").alias("id"), queries.direct_query(text, ents).alias("direct"), *[F.array_join(v, "|").alias(k) for k, v in made.items()])
+    rows = read_table(spark, d, "orders").select(c("o_orderkey").alias("id"), worded.pick(TEXTS, c("o_orderkey")).alias("text"), worded.pick(ENTITIES, c("o_custkey")).alias("ents"))
+    asked = by_value(rows, ["text", "ents"], lambda texts: texts.select("*", queries.direct_query(text, ents).alias("direct"), *[F.array_join(v, "|").alias(k) for k, v in made.items()]))
+    return asked.drop("text", "ents")
 
 
 #: Texts and the questions that they ask.
