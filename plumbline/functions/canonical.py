@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import pairs, words
 from plumbline.functions.once import once
+from plumbline.session import by_value
 
 #: How texts deny, generalise, compare, state, count, date, qualify, and whom they speak of.
 NEGATION = r"(?i)\b(no|not|never|without|ineffective|does not|do not|doesn't|don't|cannot|can't)\b"
@@ -146,7 +147,7 @@ def canonicalized(parts: DataFrame, rewrite: Callable[[DataFrame], DataFrame] |
     without a predicate or an object is incomplete, and is not accepted.
     """
     c = F.col
-    rows = parts.select("claim_id", "part", parsed(c("segment")).alias("p")).select("claim_id", "part", "p.*")
+    rows = by_value(parts.select("claim_id", "part", "segment"), ["segment"], lambda texts: texts.withColumn("p", parsed(c("segment")))).select("claim_id", "part", "p.*")
     asks = (c("parse_confidence") < ASKS_BELOW) | (c("predicate") == "") | (c("object") == "")
     source = F.lit("rules")
     if rewrite is not None:
@@ -156,7 +157,7 @@ def canonicalized(parts: DataFrame, rewrite: Callable[[DataFrame], DataFrame] |
         rows = rows.withColumns({"normalized_text": F.when(by_model, c("rewritten")).otherwise(c("normalized_text")), "_told": by_model}).drop("rewritten")
         source = F.when(c("_told") & c("canonical_accepted"), "model").otherwise("rules")
     if guard:
-        rows = rows.withColumn("g", guarded(c("original_text"), c("normalized_text"), c("parse_confidence")))
+        rows = by_value(rows, ["original_text", "normalized_text", "parse_confidence"], lambda texts: texts.withColumn("g", guarded(c("original_text"), c("normalized_text"), c("parse_confidence"))))
         rows = rows.withColumns({"normalized_text": c("g.text"), "parse_confidence": c("g.worth")}).select("*", "g.canonical_accepted", "g.canonical_rejected_reason", "g.entail_original_to_canonical", "g.entail_canonical_to_original", "g.contradiction_score").drop("g")
     else:
         rows = rows.withColumns({"canonical_accepted": F.lit(True), "canonical_rejected_reason": F.lit("")})
@@ -224,10 +225,14 @@ def part_queries(segments: DataFrame, most: int = 8) -> DataFrame:
         held.append((track, facet))
     every.append(_numbered(F.when(values["a"] != "", F.array(_filled(AUTHORITIES, values))).otherwise(none), len(held)))
     asked = F.filter(F.slice(F.concat(*every), 1, most), lambda x: x["query"] != "")
-    rows = segments.select("claim_id", "part", F.posexplode(asked).alias("place", "q")).select("claim_id", "part", "place", "q.query", "q.of")
-    first = F.min("of").over(Window.partitionBy("claim_id", "part", "query"))
+    first = lambda a, q: F.array_min(F.transform(F.filter(a, lambda y: y["query"] == q["query"]), lambda y: y["of"]))
     kinds = [*held, ("canonical", "authoritative")]
-    name = lambda i: F.element_at(F.array(*[F.lit(k[i]) for k in kinds]), (first + 1).cast("int"))
+    name = lambda i: F.element_at(F.array(*[F.lit(k[i]) for k in kinds]), (c("of") + 1).cast("int"))
+    marked = once(asked, lambda a: F.transform(a, lambda q: F.struct(q["query"].alias("query"), first(a, q).alias("of"))))
+    # the queries are those of a part's texts: once for each distinct row of these
+    texts = [*names.values(), "predicate_family", "canonical_accepted"]
+    rows = by_value(segments.select("claim_id", "part", *texts), texts, lambda values: values.withColumn("asked", marked))
+    rows = rows.select("claim_id", "part", F.posexplode("asked").alias("place", "q")).select("claim_id", "part", "place", "q.query", "q.of")
     return rows.select("claim_id", "part", (c("place") + 1).alias("place"), "query", name(0).alias("track"), name(1).alias("facet"))
 
 
