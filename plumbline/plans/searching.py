@@ -11,7 +11,7 @@ from plumbline.operators import alignment, retrieval
 from plumbline.plans import worded
 from plumbline.plans.registry import _r, query
 from plumbline.plans.worded import CLAIMS_SQL, EVIDENCE_SQL, s_any, s_low, s_set, s_shared, sql_pick, sql_text
-from plumbline.session import read_table
+from plumbline.session import by_value, read_table, written
 
 DOMAIN_SQL = r"(CASE WHEN regexp_matches(coalesce(source_url, ''), '(?i)^https?://[^\s/$.?#].[^\s]*$') THEN regexp_replace(lower(regexp_extract(source_url, '://([^/?#]*)', 1)), '^www[.]', '') ELSE '' END)"
 
@@ -36,8 +36,12 @@ SELECT claim_id, seq, dom AS domain, CASE WHEN dom = '' THEN 'unknown' {' '.join
 """)
 def u61_u62_u63_u64_u65_j15_enriched_facts(spark: SparkSession, d: str) -> DataFrame:
     rows = worded.evidence(spark, d).select("claim_id", "seq", "statement", "source_url", "entities")
-    more = facts.enriched(rows)
-    listed = more.withColumn("topics", F.array_join(facts.topics(F.col("statement"), F.col("entities"), F.col("domain"))["topics"], " "))
+
+    def described(texts: DataFrame) -> DataFrame:
+        more = written(facts.enriched(texts))
+        return more.withColumn("topics", F.array_join(facts.topics(F.col("statement"), F.col("entities"), F.col("domain"))["topics"], " "))
+
+    listed = by_value(rows, ["statement", "source_url", "entities"], described)
     return listed.select("claim_id", "seq", "domain", "source", "doc_type", "topic", "topics", _r(F.col("topic_confidence")).alias("topic_confidence"), "fact_type", "count_value")
 
 
