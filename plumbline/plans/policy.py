@@ -12,6 +12,7 @@ from plumbline.plans.claims import _c01, _sig
 from plumbline.plans.ranking import CLAIM_SIGNALS, MERGED, RANKED, _ranked
 from plumbline.plans.registry import _r, query
 from plumbline.plans.worded import CLAIMS_SQL, EVIDENCE_SQL, s_any, s_has, s_hits, s_low, s_set, s_shared, s_tokens, sql_text
+from plumbline.session import by_value
 
 DECLARED = ("health", "general", "sports", None, "Medicine ")
 
@@ -123,7 +124,8 @@ sg AS (SELECT *, round({_c01('0.45 * over + 0.35 * share + 0.20 * quality - 0.55
 
 
 def _strengths(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("claim_id", "seq", policy.strength(F.col("claim"), F.col("statement"), F.col("credibility"), F.col("stance")).alias("strength"))
+    read = ["claim", "statement", "credibility", "stance"]
+    return by_value(_pairs(spark, d).select("claim_id", "seq", *read), read, lambda texts: texts.withColumn("strength", policy.strength(*[F.col(x) for x in read]))).select("claim_id", "seq", "strength")
 
 
 @query(f"WITH {CLAIMS_SQL}, {EVIDENCE_SQL}, {STRENGTH} SELECT claim_id, seq, support, round(hedge, 4) AS hedge, round(rarity, 4) AS rarity, round(quality, 4) AS quality, sd AS stance, negation_anchor FROM sg")
