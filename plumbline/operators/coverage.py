@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import urls, words
 from plumbline.functions.scoring import clamp01
 from plumbline.operators.verdict import sufficiency_rule
-from plumbline.session import cut
+from plumbline.session import by_value, cut, written
 
 #: Anchors that evidence must hold, weights of the vector score and of missing anchors, and what is strong and partial.
 MIN_HITS, SEM_WEIGHT, KG_WEIGHT, STRONG, PARTIAL, PARTIAL_WEIGHT = 2, 0.70, 0.30, 0.55, 0.30, 0.5
@@ -24,43 +24,52 @@ def objects(x: Column) -> Column:
     return words.token_set(x, words.HYPHEN, (*words.STOP, *words.VERB_HINTS), 3)
 
 
-def part_signals(parts: DataFrame) -> DataFrame:
-    """What the coverage needs to know of each part; blank parts are left out."""
+def part_terms() -> Column:
+    """The anchors that a part is given, else those of its words."""
     s = F.col("subclaim")
     given = F.filter(F.coalesce("anchors", F.array().cast("array<string>")), lambda a: a.isNotNull())
     given = F.transform(given, lambda a: F.trim(F.lower(a)))
     own = F.coalesce(F.when(F.size(given) > 0, given), words.anchor_terms(s))
     few = F.slice(F.filter(words.token_set(s, words.HYPHEN, words.STOP), lambda w: F.length(w) >= 3), 1, MIN_HITS)
-    return parts.filter(F.trim(F.coalesce(s, F.lit(""))) != "").select(
-        "claim_id", "part", "subclaim", F.when(F.size(own) > 0, own).otherwise(few).alias("terms"), words.token_set(s, words.HYPHEN, words.STOP).alias("part_tokens"), objects(s).alias("part_objects"),
-        words.has(s, words.NEGATED_COVERAGE).alias("part_negated"), words.token_set(words.strip_negation(s), words.HYPHEN, words.STOP).alias("part_plain"),
-    ).withColumn("marks", words.anchor_marks(F.col("terms")))
+    return F.when(F.size(own) > 0, own).otherwise(few)
 
 
 def row_signals(evidence: DataFrame) -> DataFrame:
-    """What the coverage needs to know of each row of evidence, worked out before it meets the parts."""
-    c = F.col
-    s = c("statement")
+    """What the coverage needs to know of each row of evidence beside its words."""
     return evidence.withColumns({
-        "semantic": clamp01(F.greatest(F.coalesce("semantic_score", F.lit(0.0)), F.coalesce("trust", F.lit(0.0)))), "row_tokens": words.token_set(s, words.HYPHEN, words.STOP),
-        "row_low": words.low(s), "row_spaced": words.spaced(s), "row_plain": words.token_set(words.strip_negation(s), words.HYPHEN, words.STOP), "row_objects": objects(s), "cue": words.contains_any(s, words.REFUTATION_CUES), "row_negated": words.has(s, words.NEGATED_COVERAGE),
+        "semantic": clamp01(F.greatest(F.coalesce("semantic_score", F.lit(0.0)), F.coalesce("trust", F.lit(0.0)))),
         "opposes": F.lower(F.coalesce("stance", F.lit("neutral"))) == "contradicts", "is_kg": F.upper(F.coalesce("candidate_type", F.lit(""))) == "KG",
     })
 
 
-def relevance(pairs: DataFrame) -> DataFrame:
-    """part_signals() joined with row_signals(), with the relevance of each pair and what its status depends on."""
+def text_signals(texts: DataFrame) -> DataFrame:
+    """texts (subclaim, anchors, statement) with what a statement has of a part: n_terms, hits, lexical, object_match, has_objects, cue, negation_differs, aligned."""
     c = F.col
-    rows = pairs.withColumns({
-        "hits": words.marked_hits(c("marks"), c("row_low"), c("row_spaced")), "lexical": words.shared(c("part_tokens"), c("row_tokens")) / F.greatest(F.lit(1), F.size("part_tokens")), "object_match": F.arrays_overlap("part_objects", "row_objects"),
-        "negation_differs": c("part_negated") != c("row_negated"), "_common": words.shared(c("part_plain"), c("row_plain")),
-    })
+    plain = lambda x: words.token_set(words.strip_negation(c(x)), words.HYPHEN, words.STOP)
+    own = lambda x: words.token_set(c(x), words.HYPHEN, words.STOP)
+    # written step by step, so that no later expression works a text out again
+    rows = written(texts.withColumn("terms", part_terms()))
+    rows = written(rows.withColumns({
+        "marks": words.anchor_marks(c("terms")), "row_low": words.low(c("statement")), "row_spaced": words.spaced(c("statement")), "part_tokens": own("subclaim"), "row_tokens": own("statement"), "part_plain": plain("subclaim"), "row_plain": plain("statement"),
+        "part_objects": objects(c("subclaim")), "row_objects": objects(c("statement")), "cue": words.contains_any(c("statement"), words.REFUTATION_CUES),
+        "negation_differs": words.has(c("subclaim"), words.NEGATED_COVERAGE) != words.has(c("statement"), words.NEGATED_COVERAGE),
+    }))
+    rows = rows.withColumn("_common", words.shared(c("part_plain"), c("row_plain")))
     aligned = (c("_common") >= 2) | ((c("_common") > 0) & (c("_common") / F.greatest(F.lit(1), F.size("part_plain")) >= 0.50))
-    rows = rows.withColumn("aligned", aligned)
-    by_anchor = F.when(F.size("terms") > 0, c("hits") / F.size("terms")).otherwise(0.0)
+    return rows.select(
+        *texts.columns, F.size("terms").alias("n_terms"), words.marked_hits(c("marks"), c("row_low"), c("row_spaced")).alias("hits"), (words.shared(c("part_tokens"), c("row_tokens")) / F.greatest(F.lit(1), F.size("part_tokens"))).alias("lexical"),
+        F.arrays_overlap("part_objects", "row_objects").alias("object_match"), (F.size("part_objects") > 0).alias("has_objects"), "cue", "negation_differs", aligned.alias("aligned"),
+    )
+
+
+def relevance(pairs: DataFrame) -> DataFrame:
+    """Parts joined with row_signals(), with the relevance of each pair and what its status depends on."""
+    c = F.col
+    rows = by_value(pairs, ["subclaim", "anchors", "statement"], text_signals)
+    by_anchor = F.when(c("n_terms") > 0, c("hits") / c("n_terms")).otherwise(0.0)
     over = F.greatest(c("lexical"), by_anchor)
     x = F.greatest(SEM_WEIGHT * c("semantic") + (1 - SEM_WEIGHT) * F.least(F.lit(1.0), c("hits") / MIN_HITS), 0.60 * c("semantic") + 0.40 * over)
-    off = (F.size("part_objects") > 0) & ~c("object_match") & (c("semantic") >= 0.75) & ~c("cue")
+    off = c("has_objects") & ~c("object_match") & (c("semantic") >= 0.75) & ~c("cue")
     x = F.when(c("object_match") & (c("semantic") >= 0.65), F.least(F.lit(1.0), x + 0.08)).when(off, 0.85 * x).otherwise(x)
     x = x * F.when(~c("is_kg"), 1.0).when(c("hits") == 0, 1 - KG_WEIGHT).when(c("hits") < MIN_HITS, 0.85).otherwise(1.0)
     x = x * F.when(c("opposes"), 0.30).otherwise(1.0)
@@ -74,9 +83,10 @@ def covered(parts: DataFrame, evidence: DataFrame) -> DataFrame:
     score, where that is partial at least; else it stays UNKNOWN.
     """
     c = F.col
-    asked = part_signals(parts)
+    asked = parts.filter(F.trim(F.coalesce("subclaim", F.lit(""))) != "").select("claim_id", "part", "subclaim", "anchors")
     own = evidence.select("claim_id", "evidence_id", "statement", "semantic_score", "trust", "stance", "candidate_type", *[(c(x) if x in evidence.columns else F.lit(None)).cast("double").alias(x) for x in ("predicate_match", "target_overlap")])
     pairs = relevance(asked.join(row_signals(own), "claim_id"))
+    asked = by_value(asked, ["subclaim", "anchors"], lambda texts: texts.withColumn("terms", part_terms()))
     row = F.struct("evidence_id", "relevance", "semantic", "overlap", "lexical", "hits", "object_match", "cue", "negation_differs", "aligned", "opposes", "is_kg", "trust", "predicate_match", "target_overlap")
     by_relevance = F.max_by(row, F.when(c("relevance") > 0, F.struct("relevance", -c("evidence_id"))))
     by_vector = F.max_by(row, F.when(c("semantic") >= PARTIAL, F.struct("semantic", -c("evidence_id"))))
