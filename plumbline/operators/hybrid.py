@@ -36,7 +36,9 @@ def merged(candidates: DataFrame) -> DataFrame:
     """
     c = F.col
     kg = c("side") == "kg"
-    rows = candidates.withColumns({"statement": F.trim(F.coalesce("statement", F.lit(""))), "_at": F.struct(kg.alias("k"), c("seq").alias("s")), "_score": F.coalesce("score", F.lit(0.0))})
+    # dealt by claim once: the rows alike, the scaling and the joins by claim need no further shuffle
+    rows = candidates.select("claim_id", "statement", "source_url", "side", "seq", "score", "published_at", "credibility", "candidate_type", "is_backfill", "entities").repartition("claim_id")
+    rows = rows.withColumns({"statement": F.trim(F.coalesce("statement", F.lit(""))), "_at": F.struct(kg.alias("k"), c("seq").alias("s")), "_score": F.coalesce("score", F.lit(0.0))})
     given = F.coalesce(c("credibility"), F.when(domains.is_trusted(c("source_url")), 0.95).otherwise(0.5))
     kind = F.coalesce(F.when(c("candidate_type") != "", c("candidate_type")), F.when(kg, "KG").otherwise("VDB"))
     first = F.min_by(F.struct(c("published_at").alias("published_at"), given.alias("credibility"), kind.alias("kind")), "_at")
