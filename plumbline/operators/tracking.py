@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,10 +56,10 @@ def merged_groups(rows: DataFrame, key: str, order: str, value: str) -> DataFram
     return rows.groupBy(key).agg(listed.alias("_l")).select(key, F.col(f"_l.{value}").alias("values"))
 
 
-def keep_first_evidence(rows: DataFrame, order: str) -> DataFrame:
-    """Of a claim's rows alike in evidence_key the first in ``order``."""
+def keep_first_evidence(rows: DataFrame, order: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Of a claim's rows alike in evidence_key the first in ``order``, with all columns or only those that are asked for."""
     keyed = rows.withColumn("_key", evidence_key(F.col("source_url"), F.col("statement")))
-    best = keyed.groupBy("claim_id", "_key").agg(F.min_by(F.struct(*rows.columns), order).alias("_row"))
+    best = keyed.groupBy("claim_id", "_key").agg(F.min_by(F.struct(*(columns or rows.columns)), order).alias("_row"))
     return best.select("_row.*")
 
 

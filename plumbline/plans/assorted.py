@@ -175,7 +175,7 @@ def a24_merged_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {EVIDENCE_SQL}, k AS (SELECT claim_id, seq, coalesce({sql_pick(('https://cdc.gov/p', 'https://pubmed.ncbi.nlm.nih.gov/1?a=1&b=2', 'https://cochrane.org/review', 'https://news.example.com/a', 'https://blog.example/b?a=2&a=1&z=1', None, None, 'https://none', 'https://who.int/fact', 'https://sub.nhs.uk/zinc'), '(seq // 100) % 1000')}, md5(lower(trim(coalesce(statement, ''))))) AS key FROM ev) SELECT claim_id, min(seq) AS seq FROM k GROUP BY claim_id, key")
 def d15_first_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return tracking.keep_first_evidence(worded.evidence(spark, d), "seq").select("claim_id", "seq")
+    return tracking.keep_first_evidence(worded.evidence(spark, d), "seq", ("claim_id", "seq"))
 
 
 @query("""
