@@ -13,6 +13,7 @@ from plumbline.functions import text, words
 from plumbline.functions.words import has, low
 from plumbline.operators.alignment import strong_anchor
 from plumbline.operators.ingest import NEGATION
+from plumbline.session import by_value, written
 
 #: Hedging, and hearsay, which no grounded statement has.
 HEDGED = r"\bmay\b|\bmight\b|\bcould\b|\bpossible\b|\bpossibly\b|\bpotentially\b|\blikely\b|\bunlikely\b|\bsuggest(?:s|ed|ing)?\b|\bappear(?:s|ed|ing)?\b|\bindicate(?:s|d)?\b|\bhypothes(?:is|ized|es)\b"
@@ -137,9 +138,10 @@ def resolved_triples(triples: DataFrame, facts: DataFrame) -> DataFrame:
     """
     c = F.col
     of = lambda x: words.token_set(c(x), words.ALPHA, words.STOP)
-    spoken = triples.select("batch", "triple_id", "fact_index", of("subject").alias("_s"), of("relation").alias("_r"), of("object").alias("_o"))
-    pairs = spoken.join(facts.select("batch", c("fact_index").alias("_i"), of("statement").alias("_t")), "batch")
-    pairs = pairs.withColumn("_a", triple_alignment(c("_s"), c("_r"), c("_o"), c("_t")))
+    texts = ["subject", "relation", "object", "statement"]
+    aligned = lambda rows: written(rows.select("*", of("subject").alias("_s"), of("relation").alias("_r"), of("object").alias("_o"), of("statement").alias("_t"))).select(*texts, triple_alignment(c("_s"), c("_r"), c("_o"), c("_t")).alias("_a"))
+    pairs = triples.select("batch", "triple_id", "fact_index", *texts[:3]).join(facts.select("batch", c("fact_index").alias("_i"), "statement"), "batch")
+    pairs = by_value(pairs, texts, aligned)
     best = pairs.groupBy("batch", "triple_id").agg(F.max(F.when(c("_i") == c("fact_index"), c("_a"))).alias("given"), F.max(F.when(c("_a") > 0, F.struct("_a", (-c("_i")).alias("n")))).alias("best"))
     best = best.select("batch", "triple_id", "given", c("best._a").alias("top"), (-c("best.n")).alias("top_index"))
     index = F.when(F.coalesce("given", F.lit(0.0)) >= 0.35, c("fact_index")).when(F.coalesce("top", F.lit(0.0)) >= 0.45, c("top_index")).otherwise(-1)

@@ -26,7 +26,7 @@ def test_by_value(spark, monkeypatch, most):
 
 
 #: Queries, and what of their work on texts the rows themselves must not do.
-ONCE = {"u69_u70_grounded_statements": "array_max", "u90_u91_query_plans": "regexp", "f52_u99_u100_u101_u104_u109_part_queries": "regexp", "u45_part_queries": "regexp", "u45_u46_dual_tracks": "regexp", "u61_u62_u63_u64_u65_j15_enriched_facts": "regexp", "u48_u49_evidence_strength": "regexp", "a5_coverage": "regexp"}
+ONCE = {"u69_u70_grounded_statements": "array_max", "u90_u91_query_plans": "regexp", "f52_u99_u100_u101_u104_u109_part_queries": "regexp", "u45_part_queries": "regexp", "u45_u46_dual_tracks": "regexp", "u61_u62_u63_u64_u65_j15_enriched_facts": "regexp", "u48_u49_evidence_strength": "regexp", "a5_coverage": "regexp", "u75_u76_j14_resolved_triples": "regexp"}
 
 
 @pytest.mark.parametrize("name", sorted(ONCE))
