@@ -205,11 +205,6 @@ def site_queries(q: Column, most: int = 4) -> Column:
     return F.array(*[F.concat(F.lit(f"site:{site} "), q) for site in search.trusted_sites()[:most]])
 
 
-def _has_terms(q: Column, terms: Column, numbers: Column) -> Column:
-    forms = F.struct(words.spaced(q).alias("s"), F.replace(F.lower(q), F.lit(","), F.lit("")).alias("d"))
-    return once(forms, lambda f: F.exists(numbers, lambda n: (n != "") & F.contains(f["d"], n)) | F.exists(terms, lambda t: (t != "") & F.contains(f["s"], words.spaced(t))))
-
-
 def search_queries(claims: DataFrame, most: int = 6, reformulated: str | None = None) -> DataFrame:
     """(claim_id, parts, required, queries): all queries of a claim, within a budget.
 
@@ -229,18 +224,23 @@ def search_queries(claims: DataFrame, most: int = 6, reformulated: str | None =
     every = F.concat(F.array("claim"), c("parts"))
     text = F.array_join(F.transform(every, lambda t: F.coalesce(t, F.lit(""))), " \n ")
     named = F.array_join(F.transform("entities", lambda e: F.coalesce(e, F.lit(""))), " \n ")
-    rows = rows.withColumns({"terms": search.key_terms(F.concat_ws(" \n ", text, named)), "numbers": search.key_numbers(text)})
-    each = rows.select("claim_id", "claim", "entities", "told", "parts", "terms", "numbers", F.posexplode_outer("parts").alias("at", "part"))
-    each = each.withColumn("anchors", queries.part_anchors(c("part"), c("entities")))
+    rows = rows.withColumn("marks", search.term_marks(search.key_terms(F.concat_ws(" \n ", text, named)), search.key_numbers(text)))
+    # the merged parts are written first, else each column of a claim works them out anew
+    rows = written(rows)
     good = lambda q: search.query_quality(q, c("anchors"))["passed"]
-    each = each.withColumns({
-        "anchored": F.filter(queries.anchor_queries(c("part"), c("entities")), good), "operators": F.filter(queries.operator_queries(c("part"), c("entities")), good),
-        "direct": F.filter(F.array(queries.direct_query(c("part"), c("entities"))), lambda q: (q != "") & good(q)), "question": F.filter(F.slice(queries.question_queries(c("part")), 1, 1), good),
-    })
-    needed = F.transform(F.slice(F.concat("anchored", "direct", "question"), 1, 1), search.sanitized)
-    part = F.when(c("part").isNotNull(), F.struct("at", "anchored", "operators", "direct", "question", needed.alias("needed")))
-    held = each.groupBy("claim_id").agg(*[F.first(x).alias(x) for x in ("claim", "entities", "told", "parts", "terms", "numbers")], F.sort_array(F.collect_list(part)).alias("p"))
-    kept = lambda x: search.kept_queries(x, c("terms"), c("numbers"))
+
+    def asked(texts: DataFrame) -> DataFrame:
+        own = written(texts.withColumn("anchors", queries.part_anchors(c("part"), c("entities"))))
+        own = written(own.withColumns({
+            "anchored": F.filter(queries.anchor_queries(c("part"), c("entities")), good), "operators": F.filter(queries.operator_queries(c("part"), c("entities")), good),
+            "direct": F.filter(F.array(queries.direct_query(c("part"), c("entities"))), lambda q: (q != "") & good(q)), "question": F.filter(F.slice(queries.question_queries(c("part")), 1, 1), good),
+        }).drop("anchors"))
+        return own.withColumn("needed", F.transform(F.slice(F.concat("anchored", "direct", "question"), 1, 1), search.sanitized))
+
+    each = by_value(rows.select("claim_id", "entities", F.posexplode("parts").alias("at", "part")), ["part", "entities"], asked)
+    listed = each.groupBy(c("claim_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("at", "anchored", "operators", "direct", "question", "needed"))).alias("p"))
+    held = rows.join(listed, c("claim_id").eqNullSafe(c("_id")), "left").withColumn("p", F.coalesce("p", F.array().cast(listed.schema["p"].dataType)))
+    kept = lambda x: search.kept_queries(x, c("marks"))
     of = lambda name: kept(F.flatten(F.transform("p", lambda x: x[name])))
     held = held.withColumns({"anchored": of("anchored"), "direct": of("direct"), "operators": of("operators"), "question": of("question"), "plain": kept(queries.plain_queries(c("claim")))})
     ruled = F.array_distinct(F.concat("anchored", "direct", "operators", "plain"))
@@ -248,6 +248,6 @@ def search_queries(claims: DataFrame, most: int = 6, reformulated: str | None =
     bases = F.array_distinct(F.concat(*[F.slice(x, 1, 1) for x in ("anchored", "direct", "told", "operators")]))
     held = held.withColumn("sites", F.flatten(F.transform(bases, lambda q: site_queries(q))))
     others = kept(F.transform(F.array_distinct(F.concat("anchored", "direct", "operators", "plain", "told", "question", "sites")), search.sanitized))
-    required = F.array_distinct(F.filter(F.flatten(F.transform("p", lambda x: x["needed"])), lambda q: (q != "") & _has_terms(q, c("terms"), c("numbers"))))
+    required = F.filter(F.array_distinct(F.flatten(F.transform("p", lambda x: x["needed"]))), lambda q: (q != "") & search.names_term(q, c("marks")))
     held = held.withColumns({"required": required, "others": others})
     return held.select("claim_id", "parts", "required", F.slice(F.concat("required", F.array_except("others", "required")), 1, most).alias("queries"))

@@ -142,20 +142,28 @@ def key_terms(x: Column) -> Column:
     return words.token_set(x, words.ALPHA, tuple(dict.fromkeys((*NO_KEY, *ACTION, *JUNK))))
 
 
-def kept_queries(queries: Column, terms: Column, numbers: Column) -> Column:
-    """Distinct folded queries that name a key term or number and end in no stock phrase."""
-    clean = F.filter(F.transform(queries, lambda q: F.trim(low(q))), lambda q: q != "")
-    # terms are marked off once for all queries, and each query once for all terms
-    held = F.struct(clean.alias("q"), F.transform(F.filter(terms, lambda t: t != ""), lambda t: words.spaced(t)).alias("t"), F.filter(numbers, lambda n: n != "").alias("n"))
+def term_marks(terms: Column, numbers: Column) -> Column:
+    """Key terms and numbers in the forms that queries are searched for: a struct of t and n, made once for all queries of a claim."""
+    return F.struct(F.transform(F.filter(terms, lambda t: t != ""), lambda t: words.spaced(t)).alias("t"), F.filter(numbers, lambda n: n != "").alias("n"))
+
+
+def names_term(q: Column, marks: Column) -> Column:
+    """Whether a query names one of term_marks()."""
+    forms = F.struct(words.spaced(q).alias("s"), F.replace(low(q), F.lit(","), F.lit("")).alias("d"))
+    return once(forms, lambda f: F.exists(marks["n"], lambda n: F.contains(f["d"], n)) | F.exists(marks["t"], lambda t: F.contains(f["s"], t)))
+
+
+def kept_queries(queries: Column, marks: Column) -> Column:
+    """Distinct folded queries that name one of term_marks() and end in no stock phrase."""
+    clean = F.array_distinct(F.filter(F.transform(queries, lambda q: F.trim(low(q))), lambda q: q != ""))
 
     def stays(q: Column, x: Column) -> Column:
         stock = F.lit(False)
         for end in GENERIC_ENDS:
             stock = stock | q.endswith(end)
-        forms = F.struct(words.spaced(q).alias("s"), F.replace(q, F.lit(","), F.lit("")).alias("d"))
-        return ~stock & once(forms, lambda f: F.exists(x["n"], lambda n: F.contains(f["d"], n)) | F.exists(x["t"], lambda t: F.contains(f["s"], t)))
+        return ~stock & names_term(q, x)
 
-    return once(held, lambda x: F.array_distinct(F.filter(x["q"], lambda q: stays(q, x))))
+    return once(marks, lambda x: F.filter(clean, lambda q: stays(q, x)))
 
 
 def sanitized(q: Column) -> Column:

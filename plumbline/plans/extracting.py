@@ -222,7 +222,7 @@ SELECT claim_id, array_to_string(list_filter(q1, lambda q: NOT ({' OR '.join(f"e
 """)
 def f39_f40_kept_queries(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("claim")
-    return worded.claims(spark, d).select("claim_id", F.array_join(search.kept_queries(worded.pick(LISTED, F.col("claim_id")), search.key_terms(c), search.key_numbers(c)), "|").alias("kept"))
+    return worded.claims(spark, d).select("claim_id", F.array_join(search.kept_queries(worded.pick(LISTED, F.col("claim_id")), search.term_marks(search.key_terms(c), search.key_numbers(c))), "|").alias("kept"))
 
 
 # state that follows from events
