@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import written
+
+#: Groups up to which a table of their keys and two figures is broadcast.
+BROADCAST_GROUPS = 10_000
+
 
 def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of rows alike in ``keys`` (null is a key) the one with the smallest ``order``; folds before the shuffle."""
@@ -28,9 +35,14 @@ def keep_confident(df: DataFrame, keys: list[str], score: str, order: str, defau
     score above 0 replaces it: what stays is the first best of the rows from the
     last such row on, or of all where a score reaches ``default``.
     """
-    group = Window.partitionBy(*keys)
-    gap = F.max(F.when(F.col(score).isNull(), F.col(order))).over(group)
-    rows = df.withColumns({"_best": F.max(score).over(group), "_gap": gap})
-    in_play = (F.coalesce("_best", F.lit(0.0)) >= default) | F.col("_gap").isNull() | (F.col(order) >= F.col("_gap"))
-    rank = F.row_number().over(group.orderBy(in_play.desc(), F.coalesce(F.col(score), F.lit(0.0)).desc(), order))
-    return rows.withColumn("_rank", rank).filter("_rank = 1").drop("_best", "_gap", "_rank")
+    c = F.col
+    named = {k: f"_k{i}" for i, k in enumerate(keys)}
+    gap = F.max(F.when(c(score).isNull(), c(order)))
+    # two aggregates that fold before the shuffle, no window: a key that very many rows have fills no task
+    held = written(df.groupBy(*[c(k).alias(n) for k, n in named.items()]).agg(F.max(score).alias("_best"), gap.alias("_gap")))
+    same = reduce(lambda a, b: a & b, [c(k).eqNullSafe(c(n)) for k, n in named.items()])
+    in_play = (F.coalesce("_best", F.lit(0.0)) >= default) | c("_gap").isNull() | (c(order) >= c("_gap"))
+    rows = df.join(F.broadcast(held) if held.count() <= BROADCAST_GROUPS else held, same).filter(in_play)
+    value = F.coalesce(c(score), F.lit(0.0))
+    rank = F.struct(~F.isnan(value.cast("double")), -value, c(order))
+    return rows.groupBy(*named.values()).agg(F.min_by(F.struct(*[c(x) for x in df.columns]), rank).alias("_row")).select("_row.*")
