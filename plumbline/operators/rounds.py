@@ -100,20 +100,24 @@ def reinforced(ranked: DataFrame, known: DataFrame, search: Callable[[DataFrame,
     round asks for EASING less, FLOOR at least. Claims that no row names take no
     part. Every round is written once.
     """
-    rows, urls, ends = cut(ranked), known.select("claim_id", "url").distinct(), []
-    still = rows.select("claim_id").distinct()
+    # rows are dealt by claim once, and written once; the rounds are decided on a line for each claim
+    figures = lambda x: cut(x.filter("claim_id IS NOT NULL").groupBy("claim_id").agg(F.round(F.max("final_score"), 9).alias("best")))
+    parts, urls, ends = [cut(ranked.repartition("claim_id"))], known.select("claim_id", "url").distinct(), []
+    best, still = figures(parts[0]), None
     for number in range(1, rounds + 1):
-        best = rows.join(still, "claim_id", "left_semi").groupBy("claim_id").agg(F.round(F.max("final_score"), 9).alias("best"))
         open_ = best.filter(F.col("best") < round(threshold, 9)).select("claim_id")
         ends.append(best.filter(F.col("best") >= round(threshold, 9)).select("claim_id", F.lit(number - 1).alias("rounds"), F.lit(ENOUGH_NOW).alias("reason")))
-        weak = rows.join(open_, "claim_id", "left_semi").filter(F.round("final_score", 9) < round(threshold, 9))
+        weak = reduce(DataFrame.unionByName, parts).filter(F.round("final_score", 9) < round(threshold, 9)).join(open_, "claim_id", "left_semi")
         found = cut(search(weak, number).select("claim_id", "url").distinct().join(urls, ["claim_id", "url"], "left_anti"))
         going = found.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_new).select("claim_id")
         ends.append(open_.join(going, "claim_id", "left_anti").select("claim_id", F.lit(number - 1).alias("rounds"), F.lit(FEW_URLS).alias("reason")))
         fresh = found.join(going, "claim_id", "left_semi")
-        again = cut(rank(fresh, number))
-        rows = cut(rows.join(again.select("claim_id").distinct(), "claim_id", "left_anti").unionByName(again))
-        urls, still = cut(urls.unionByName(fresh)), cut(going)
+        again = cut(rank(fresh, number).repartition("claim_id"))
+        made, still = figures(again), cut(going)
+        parts = [x.join(made, "claim_id", "left_anti") for x in parts] + [again]
+        urls = cut(urls.unionByName(fresh))
+        anew = made.select("claim_id", F.col("best").alias("_best"), F.lit(True).alias("_made"))
+        best = cut(still.join(best, "claim_id").join(anew, "claim_id", "left").select("claim_id", F.when(F.col("_made"), F.col("_best")).otherwise(F.col("best")).alias("best")))
         threshold = max(threshold - EASING, FLOOR)
     ends.append(still.select("claim_id", F.lit(rounds).alias("rounds"), F.lit(LAST_ROUND).alias("reason")))
-    return rows, reduce(DataFrame.unionByName, ends)
+    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, ends)
