@@ -3,13 +3,15 @@
 Claims: claim_id, claim (text), entities. Candidates: claim_id, side ('sem' or
 'kg'), seq (their order inside a side), statement, score, entities, source_url,
 published_at, credibility, candidate_type, is_backfill. What depends on the
-claim alone is worked out once per claim, before the join. Everything is keyed
-by claim_id, so after the merge no row moves again.
+claim alone is worked out once for each distinct claim; what depends on claim
+and statement once for each pair of distinct ones where these are few, else row
+by row. Everything is keyed by claim_id, so after the merge no row moves again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import domains, scoring, words
 from plumbline.operators.evidence import minmax
+from plumbline.session import by_value, few_pairs, with_values
 
 #: Weights of the seven signals by claim type.
 SIGNALS = ("sem", "kg", "entity", "overlap", "recency", "credibility", "quality")
@@ -55,14 +58,14 @@ def merged(candidates: DataFrame) -> DataFrame:
     )
 
 
-def claim_signals(claims: DataFrame) -> DataFrame:
-    """What the rank needs to know of each claim."""
+def asked_signals(claims: DataFrame) -> DataFrame:
+    """What the rank needs to know of texts and entities of claims (claim, entities), whose other columns stay."""
     q = F.col("claim")
     before, after = words.direction_tokens(q)
     kind = words.claim_type(q)
     weight = lambda i: F.create_map(*[F.lit(x) for k, w in WEIGHTS.items() for x in (k, w[i])])[F.col("claim_type")]
     return claims.select(
-        "claim_id", "claim", F.col("entities").alias("asked"), kind.alias("claim_type"), (F.trim(words.low(q)) != "").alias("context"),
+        "*", kind.alias("claim_type"), (F.trim(words.low(q)) != "").alias("context"),
         words.object_tokens(q).alias("objects"), words.token_set(q, words.APOSTROPHE, words.FOCUS_STOP, 3).alias("focus"), before.alias("subject"), after.alias("target"),
         words.actions(q).alias("actions"), words.has(q, words.NEGATED_RANK).alias("negated"), words.has(q, words.BELIEF_CLAIM).alias("belief"),
         words.anchor_terms(q).alias("anchors"), words.has(q, words.ASSERTIVE).alias("assertive"), words.token_set(q, words.RUN, words.OVERLAP_STOP).alias("own_words"),
@@ -70,29 +73,19 @@ def claim_signals(claims: DataFrame) -> DataFrame:
     ).withColumns({f"w_{s}": weight(i) for i, s in enumerate(SIGNALS)} | {"marks": words.anchor_marks(F.col("anchors"))})
 
 
-def penalty_share(penalties: list[tuple[Column, Column | float]], sem: Column) -> Column:
-    """The worst penalty and a quarter of the others, 0.55 at most, less where vectors agree strongly."""
-    each = F.array(*[F.when(cond, F.lit(value) if isinstance(value, float) else value).otherwise(0.0) for cond, value in penalties])
-    worst = F.array_max(each)
-    total = F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
-    joint = F.least(worst + 0.25 * (total - worst), F.lit(0.55))
-    return F.when(sem >= 0.70, joint * F.greatest(F.lit(0.40), 1 - 0.50 * sem)).otherwise(joint)
+def claim_signals(claims: DataFrame) -> DataFrame:
+    """What the rank needs to know of each claim, worked out once for claims that are alike."""
+    return by_value(claims.select("claim_id", "claim", "entities"), ["claim", "entities"], asked_signals).withColumnRenamed("entities", "asked")
 
 
-def scored(candidates: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
-    """Merged candidates of the claims with all signals, support and contradiction, and final_score."""
-    c = F.col
-    rows = minmax(minmax(merged(candidates), "sem_raw", "sem"), "kg_raw", "kg").join(claim_signals(claims), "claim_id")
-    # furniture goes after the scaling, which it takes part in
-    rows = rows.filter(~words.contains_any(c("statement"), words.LOW_SIGNAL))
-    s = c("statement")
-    tokens = words.token_set(s, words.APOSTROPHE, (), 2)
+def text_signals(rows: DataFrame) -> DataFrame:
+    """Rows of asked_signals() and a statement, with what the rank needs to know of both texts."""
+    c, s = F.col, F.col("statement")
     # the forms that anchors are looked for in, once a row
     rows = rows.withColumns({"_low": words.low(s), "_spaced": words.spaced(s)})
     rows = rows.withColumns({
-        "entity_overlap": words.entity_share(c("asked_names"), c("asked_words"), c("entities")), "recency": scoring.recency_decay(c("published_at"), now),
-        "quality": words.source_quality(c("source_url"), F.lit(None).cast("string"), s), "anchors_matched": words.marked_hits(c("marks"), c("_low"), c("_spaced")),
-        "raw_overlap": words.word_share(c("own_words"), s), "tokens": tokens, "done": words.actions(s), "denied": words.has(s, words.NEGATED_RANK),
+        "furniture": words.contains_any(s, words.LOW_SIGNAL), "anchors_matched": words.marked_hits(c("marks"), c("_low"), c("_spaced")),
+        "raw_overlap": words.word_share(c("own_words"), s), "tokens": words.token_set(s, words.APOSTROPHE, (), 2), "done": words.actions(s), "denied": words.has(s, words.NEGATED_RANK),
         "refutes": words.has(s, words.REFUTES_OBJECT), "mentions": words.has(s, words.MENTIONS_CLAIM), "doubt": words.contains_any(s, words.DOUBT),
     })
     required = F.least(F.size("anchors"), F.lit(2))
@@ -102,10 +95,42 @@ def scored(candidates: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
         "object_overlap": words.shared(c("objects"), c("tokens")), "focus_overlap": words.shared(c("focus"), c("tokens")),
         "subject_overlap": words.shared(c("subject"), c("tokens")), "target_overlap": words.shared(c("target"), c("tokens")),
     })
-    rows = rows.withColumns({
+    return rows.withColumns({
         "claim_overlap": F.when(c("context") & ~c("anchor_ok"), F.least(c("raw_overlap"), F.lit(0.20))).otherwise(c("raw_overlap")),
         "negation_anchor": words.negation_anchor(c("symptoms"), s, c("anchor_match_score")),
     })
+
+
+def with_texts(rows: DataFrame, claims: DataFrame, statements: DataFrame) -> DataFrame:
+    """Rows (claim_id, statement) with the claim's signals and text_signals(); ``statements`` holds all statements of the rows."""
+    few = few_pairs(claims.select("claim", "entities"), statements)
+    if few is not None:
+        own = rows.join(claims.select("claim_id", "claim", "entities").withColumnRenamed("entities", "asked"), "claim_id")
+        out = with_values(own, ["claim", "asked", "statement"], text_signals(asked_signals(few[0]).crossJoin(few[1])).withColumnRenamed("entities", "asked"))
+        if out is not None:
+            return out
+    return text_signals(rows.join(claim_signals(claims), "claim_id"))
+
+
+def penalty_share(penalties: list[tuple[Column, Column | float]], sem: Column) -> tuple[dict[str, Column], dict[str, Column], Column]:
+    """The worst penalty and a quarter of the others, 0.55 at most, less where vectors agree strongly; after two steps of columns that it names, so that each is worked out once."""
+    each = {f"_p{i}": F.when(cond, F.lit(value) if isinstance(value, float) else value).otherwise(0.0) for i, (cond, value) in enumerate(penalties)}
+    worst = F.greatest(*[F.col(p) for p in each])
+    total = reduce(lambda a, b: a + b, [F.col(p) for p in each])
+    joint = F.least(F.col("_worst") + 0.25 * (F.col("_all") - F.col("_worst")), F.lit(0.55))
+    return each, {"_worst": worst, "_all": total}, F.when(sem >= 0.70, joint * F.greatest(F.lit(0.40), 1 - 0.50 * sem)).otherwise(joint)
+
+
+def scored(candidates: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
+    """Merged candidates of the claims with all signals, support and contradiction, and final_score."""
+    c = F.col
+    rows = minmax(minmax(merged(candidates), "sem_raw", "sem"), "kg_raw", "kg").withColumnRenamed("entities", "_named")
+    rows = with_texts(rows, claims, candidates.select(F.trim(F.coalesce("statement", F.lit(""))).alias("statement"))).withColumnRenamed("_named", "entities")
+    # furniture goes after the scaling, which it takes part in
+    rows = rows.filter(~c("furniture")).drop("furniture").withColumns({
+        "entity_overlap": words.entity_share(c("asked_names"), c("asked_words"), c("entities")), "recency": scoring.recency_decay(c("published_at"), now),
+        "quality": words.source_quality(c("source_url"), F.lit(None).cast("string"), c("statement")),
+    })
     sem, kg, raw, ent, over, cred = c("sem"), c("kg"), c("kg_raw"), c("entity_overlap"), c("claim_overlap"), c("credibility")
     known = F.lit(0)
     for x in (sem, kg, ent, over):
@@ -118,7 +143,7 @@ def scored(candidates: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
     base = base + F.when(is_kg & (raw >= 0.40) & c("anchor_ok"), 0.08).otherwise(0.0)
     unless = lambda x: (sem < x) & (raw < x)
     none = lambda asked, got: (F.size(asked) > 0) & (c(got) == 0)
-    share = penalty_share(
+    each, parts, share = penalty_share(
         [
             (c("anchor_match_score") < 0.20, F.when(is_kg, 0.50).otherwise(0.25)),
             (c("is_backfill") & ~((ent >= 0.25) | (kg >= 0.55) | (raw >= 0.55)), 0.12),
@@ -132,6 +157,8 @@ def scored(candidates: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
         ],
         sem,
     )
+    rows = rows.withColumns({"base": base} | each).withColumns(parts).withColumn("share", share).drop(*each, *parts)
+    base, share = c("base"), c("share")
     opposed = c("conflict") & (over >= 0.45)
     hint = F.when(c("target_overlap") > 0, 1.0).when(c("object_overlap") > 0, 0.35).otherwise(0.0)
     mismatch = F.least(F.lit(0.28), 0.10 + 0.22 * (1 - scoring.clamp01(0.55 * hint + 0.45 * c("anchor_match_score"))))
@@ -145,7 +172,7 @@ def scored(candidates: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
     path = F.greatest(kg, F.least(F.lit(1.0), raw))
     aligned = F.when(c("target_overlap") > 0, 1.0).when(c("object_overlap") > 0, 0.4).otherwise(0.0)
     scope = scoring.clamp01(0.55 * over + 0.45 * c("anchor_match_score"))
-    rows = rows.withColumns({"total": total, "predicate_match": predicate})
+    rows = rows.withColumns({"total": total, "predicate_match": predicate}).drop("base", "share")
     support = scoring.clamp01(0.30 * c("predicate_match") + 0.20 * aligned + 0.15 * c("quality") + 0.15 * scope + 0.20 * path) * F.when(c("context") & opposed, 0.72).otherwise(1.0)
     differs = F.greatest(F.when(acts & ~c("action_ok"), 1.0).otherwise(0.0), F.when(opposed, 0.75).otherwise(0.0))
     explicit = c("refutes").cast("double")

@@ -116,3 +116,26 @@ def by_value(df: DataFrame, names: list[str], made: Callable[[DataFrame], DataFr
     values = values.withColumnsRenamed(keys)
     same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(k)) for n, k in keys.items()])
     return df.join(F.broadcast(values) if small else values, same).drop(*keys.values())
+
+
+def few_pairs(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """The distinct rows of both tables, written, where their pairs are few enough to be broadcast; else None.
+
+    What decides folds before it is shuffled, so tables whose rows all differ
+    cost one more pass over them and no more.
+    """
+    about = [t.agg(F.approx_count_distinct(F.xxhash64(*t.columns)).alias("n")).first()["n"] for t in (left, right)]
+    if about[0] * about[1] > BROADCAST_VALUES:
+        return None
+    return written(left.distinct()), written(right.distinct())
+
+
+def with_values(df: DataFrame, names: list[str], values: DataFrame) -> DataFrame | None:
+    """``df`` with the columns of ``values``, a row for each that ``df`` has in ``names``; None where they are too many or too long to be broadcast."""
+    values = written(values)
+    size = values.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("c")).first()
+    if size["n"] > BROADCAST_VALUES or size["c"] > BROADCAST_CHARACTERS:
+        return None
+    keys = {n: f"_value_{i}" for i, n in enumerate(names)}
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(k)) for n, k in keys.items()])
+    return df.join(F.broadcast(values.withColumnsRenamed(keys)), same).drop(*keys.values())
