@@ -103,21 +103,63 @@ def reject_reason(u: Column, title: Column, snippet: Column) -> Column:
     )
 
 
+def page_text(u: Column, title: Column, snippet: Column) -> Column:
+    """A search result's words in lower case, as the gate reads them."""
+    return F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit("")), F.coalesce(u, F.lit(""))))
+
+
+def names_anchor(text: Column, anchors: Column) -> Column:
+    met = F.exists(F.coalesce(anchors, F.array().cast("array<string>")), lambda a: (F.coalesce(a, F.lit("")) != "") & F.contains(text, F.lower(a)))
+    return F.coalesce(met, F.lit(False))
+
+
+def low_page(text: Column) -> Column:
+    return contains_any(text, LOW_TEXTS)
+
+
+def is_file(u: Column) -> Column:
+    return low(u).rlike(r"\.(?:pdf|docx?|pptx?)\b")
+
+
+def _weighed(*flags: Column) -> tuple[list[tuple[Column, str]], Column]:
+    """The gate's conditions with their names, and the sum of their weights."""
+    named = list(zip(flags, ("anchor_match", "claim_type_keyword", "trusted_domain", "low_signal_penalty", "file_penalty"), strict=True))
+    score = F.lit(0.0)
+    for cond, value in zip(flags, (1.5, 1.0, 0.75, -1.0, -0.5), strict=True):
+        score = score + F.when(cond, value).otherwise(0.0)
+    return named, score
+
+
+def page_signals(u: Column, title: Column, snippet: Column) -> Column:
+    """A struct of all that the gate reads in a search result alone: text, types (those whose words it has), trusted, low, file."""
+
+    def read(text: Column) -> Column:
+        has_words = lambda keys: F.exists(F.array(*[F.lit(k) for k in keys]), lambda k: F.contains(text, k))
+        types = F.array_compact(F.array(*[F.when(has_words(keys), name) for name, keys in KEYWORDS.items()]))
+        return F.struct(text.alias("text"), types.alias("types"), domains.is_trusted(u).alias("trusted"), low_page(text).alias("low"), is_file(u).alias("file"))
+
+    return once(page_text(u, title, snippet), read)
+
+
+def page_gate(kind: Column, anchors: Column, page: Column) -> Column:
+    """A struct: passed and score of quality_gate(), from page_signals()."""
+
+    def judged(x: Column) -> Column:
+        _, score = _weighed(x["m"], x["t"], page["trusted"], page["low"], page["file"])
+        return once(score, lambda s: F.struct(((s >= 1.5) & (x["m"] | x["t"])).alias("passed"), F.round(s, 3).alias("score")))
+
+    typed = F.coalesce(F.array_contains(page["types"], kind), F.lit(False))
+    return once(F.struct(names_anchor(page["text"], anchors).alias("m"), typed.alias("t")), judged)
+
+
 def quality_gate(kind: Column, anchors: Column, u: Column, title: Column, snippet: Column) -> Column:
     """A struct: passed, score and reasons of a search result for a claim of a type with anchors."""
-    text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit("")), F.coalesce(u, F.lit(""))))
-    met = F.exists(F.coalesce(anchors, F.array().cast("array<string>")), lambda a: (F.coalesce(a, F.lit("")) != "") & F.contains(text, F.lower(a)))
+    text = page_text(u, title, snippet)
     typed = F.lit(False)
     for name, keys in KEYWORDS.items():
         typed = typed | ((kind == name) & contains_any(text, keys))
-    flags = (
-        (F.coalesce(met, F.lit(False)), 1.5, "anchor_match"), (typed, 1.0, "claim_type_keyword"), (domains.is_trusted(u), 0.75, "trusted_domain"),
-        (contains_any(text, LOW_TEXTS), -1.0, "low_signal_penalty"), (low(u).rlike(r"\.(?:pdf|docx?|pptx?)\b"), -0.5, "file_penalty"),
-    )
-    score = F.lit(0.0)
-    for cond, value, _ in flags:
-        score = score + F.when(cond, value).otherwise(0.0)
-    reasons = F.array_compact(F.array(*[F.when(cond, name) for cond, _, name in flags]))
+    flags, score = _weighed(names_anchor(text, anchors), typed, domains.is_trusted(u), low_page(text), is_file(u))
+    reasons = F.array_compact(F.array(*[F.when(cond, name) for cond, name in flags]))
     passed = (score >= 1.5) & (F.array_contains(reasons, "anchor_match") | F.array_contains(reasons, "claim_type_keyword"))
     return F.struct(passed.alias("passed"), F.round(score, 3).alias("score"), reasons.alias("reasons"))
 

@@ -43,9 +43,11 @@ FROM q JOIN u ON q.kind = u.kind AND q.at_ = u.at_ LEFT JOIN s ON s.id = q.id
 """)
 def f34_f35_selected_and_learned(spark: SparkSession, d: str) -> DataFrame:
     lines = read_table(spark, d, "lineitem").select(c("l_orderkey").alias("query"), worded.sequence().alias("seq"), worded.pick(URL, c("l_partkey") + c("l_linenumber")).alias("url"), worded.pick(TITLES, c("l_suppkey")).alias("title"), F.lit(None).cast("string").alias("snippet"))
-    held = lines.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "url", "title", "snippet"))), lambda x: F.struct(x["url"].alias("url"), x["title"].alias("title"), x["snippet"].alias("snippet"))).alias("results"))
+    pages = learning.with_pages(lines).filter("page.usable")
+    held = pages.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "page"))), lambda x: x["page"]).alias("pages"))
     asked = read_table(spark, d, "orders").select(c("o_orderkey").alias("query"), worded.pick(search.PRIORITY, c("o_orderkey")).alias("claim_type"), worded.pick(ENTITIES, c("o_custkey")).alias("anchors"), (F.unix_micros(c("o_orderdate").cast("timestamp")) / 1e6).alias("at"))
-    rows = learning.with_learned(learning.processed(asked.join(held, "query", "left")), MEMORY)
+    done = learning.processed(asked.join(held, "query", "left")).select("query", "claim_type", "at", "selected", "learned")
+    rows = learning.with_learned(done, MEMORY)
     return rows.select("query", "claim_type", *[F.array_join(x, " ").alias(x) for x in ("selected", "learned", "left_out")])
 
 

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from plumbline.functions import domains, search
 from plumbline.functions.once import once
 from plumbline.operators.state import drift_tokens
+from plumbline.session import by_value, written
 
 #: Results that a query's quality is judged by, how many are taken for two, one and no good one among them, and results that are looked at.
 HEAD, TAKEN, LOOKED_AT = 3, (3, 5, 8), 8
@@ -24,6 +25,18 @@ HEAD, TAKEN, LOOKED_AT = 3, (3, 5, 8), 8
 MARKS = ("pdf", *search.LOW_TEXTS)
 
 
+def _page(u: Column, title: Column, snippet: Column) -> Column:
+    """What processed() reads in a result alone: its address, whether it is usable, its page_signals() and its marks."""
+    usable = (F.coalesce(u, F.lit("")) != "") & domains.is_trusted(u) & search.reject_reason(u, title, snippet).isNull()
+    return F.struct(u.alias("url"), usable.alias("usable"), search.page_signals(u, title, snippet).alias("read"), drift_tokens(u, title, snippet).alias("marks"))
+
+
+def with_pages(results: DataFrame) -> DataFrame:
+    """Search results, a row each (url, title, snippet, ..), with ``page`` for processed(), worked out once for each distinct result."""
+    made = lambda v: v.withColumn("page", _page(F.col("url"), F.col("title"), F.col("snippet")))
+    return by_value(results, ["url", "title", "snippet"], made)
+
+
 def processed(queries: DataFrame) -> DataFrame:
     """queries (claim_type, anchors, at, results: array of url, title, snippet) with trusted, selected and learned.
 
@@ -31,17 +44,21 @@ def processed(queries: DataFrame) -> DataFrame:
     order; by how many of the first three pass the gate, 3, 5 or 8 of the first
     eight are selected, best score first, then by address; where none is, all
     trusted ones are. learned are the marks of trusted results that fail.
+    Instead of results there may be pages: those of with_pages(), in order; the
+    ones that are not usable may be left out.
     """
     none = F.array().cast("array<string>")
-    text = lambda x: F.coalesce(x, F.lit(""))
-    usable = lambda r: (text(r["url"]) != "") & domains.is_trusted(r["url"]) & search.reject_reason(r["url"], r["title"], r["snippet"]).isNull()
-    kept = F.filter(F.coalesce("results", F.array().cast("array<struct<url:string,title:string,snippet:string>>")), usable)
+    if "pages" in queries.columns:
+        kept = F.filter(F.coalesce("pages", F.array().cast(queries.schema["pages"].dataType)), lambda p: p["usable"])
+    else:
+        listed = F.coalesce("results", F.array().cast("array<struct<url:string,title:string,snippet:string>>"))
+        kept = F.filter(F.transform(listed, lambda r: _page(r["url"], r["title"], r["snippet"])), lambda p: p["usable"])
     # an address that comes again is the first one
     first = once(kept, lambda k: F.filter(k, lambda r, i: ~F.exists(F.slice(k, 1, i), lambda o: o["url"] == r["url"])))
 
-    def judged(r: Column) -> Column:
-        gate = search.quality_gate(F.col("claim_type"), F.col("anchors"), r["url"], r["title"], r["snippet"])
-        return once(gate, lambda g: F.struct(r["url"].alias("url"), g["passed"].alias("passed"), g["score"].alias("score"), F.when(~g["passed"], drift_tokens(r["url"], r["title"], r["snippet"])).otherwise(none).alias("marks")))
+    def judged(p: Column) -> Column:
+        gate = search.page_gate(F.col("claim_type"), F.col("anchors"), p["read"])
+        return once(gate, lambda g: F.struct(p["url"].alias("url"), g["passed"].alias("passed"), g["score"].alias("score"), F.when(~g["passed"], p["marks"]).otherwise(none).alias("marks")))
 
     rows = queries.withColumn("_r", F.transform(first, judged))
     good = F.size(F.filter(F.slice("_r", 1, HEAD), lambda r: r["passed"]))
@@ -60,11 +77,11 @@ def with_learned(rows: DataFrame, memory: float, bucket: float = 3600.0) -> Data
     A type's queries are dealt by buckets of time: what each bucket has learned
     last is a row of a few numbers, whose running maximum is all that later
     buckets need; inside a bucket a window does the rest. Queries of one moment
-    do not teach each other.
+    do not teach each other. The rows are written once, as they are read twice.
     """
     c = F.col
     at = {m: F.max(F.when(F.array_contains("learned", m), c("at"))) for m in MARKS}
-    held = rows.withColumn("_b", F.floor(c("at") / bucket))
+    held = written(rows.withColumn("_b", F.floor(c("at") / bucket)))
     ends = held.groupBy("claim_type", "_b").agg(*[x.alias(f"_e{i}") for i, x in enumerate(at.values())])
     before = Window.partitionBy("claim_type").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select("claim_type", "_b", *[F.max(f"_e{i}").over(before).alias(f"_p{i}") for i in range(len(MARKS))])
