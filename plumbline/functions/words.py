@@ -153,15 +153,16 @@ def entity_words(entities: Column) -> Column:
     return token_set(F.array_join(F.coalesce(entities, F.array().cast("array<string>")), " \n "), ALPHA, STOP)
 
 
-def entity_share(asked: Column, asked_words: Column, own: Column) -> Column:
-    """The larger of the shares of asked entities (clean_entities) and of their words (entity_words) that the own entities hold."""
+def share_of_entities(asked: Column, asked_words: Column, own: Column, own_words: Column) -> Column:
+    """The larger of the shares of asked entities (clean_entities) and of their words (entity_words) that the own ones hold."""
+    exact = shared(asked, own) / F.size(asked)
+    by_word = F.when((F.size(asked_words) == 0) | (F.size(own_words) == 0), exact).otherwise(F.greatest(exact, shared(asked_words, own_words) / F.size(asked_words)))
+    return F.when((F.size(asked) == 0) | (F.size(own) == 0), 0.0).otherwise(by_word)
 
-    def share(x: Column) -> Column:
-        exact = shared(asked, x["i"]) / F.size(asked)
-        by_word = F.when((F.size(asked_words) == 0) | (F.size(x["t"]) == 0), exact).otherwise(F.greatest(exact, shared(asked_words, x["t"]) / F.size(asked_words)))
-        return F.when((F.size(asked) == 0) | (F.size(x["i"]) == 0), 0.0).otherwise(by_word)
 
-    return once(F.struct(clean_entities(own).alias("i"), entity_words(own).alias("t")), share)
+def entity_share(asked: Column, asked_words: Column, own: Column) -> Column:
+    """share_of_entities() of entities as they are given."""
+    return once(F.struct(clean_entities(own).alias("i"), entity_words(own).alias("t")), lambda x: share_of_entities(asked, asked_words, x["i"], x["t"]))
 
 
 def strip_negation(x: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import domains, scoring, words
+from plumbline.functions.once import apart
 from plumbline.operators.evidence import minmax
 from plumbline.session import by_value, few_pairs, with_values
 
@@ -41,8 +42,8 @@ def merged(candidates: DataFrame) -> DataFrame:
     kg = c("side") == "kg"
     # dealt by claim once: the rows alike, the scaling and the joins by claim need no further shuffle
     rows = candidates.select("claim_id", "statement", "source_url", "side", "seq", "score", "published_at", "credibility", "candidate_type", "is_backfill", "entities").repartition("claim_id")
-    rows = rows.withColumns({"statement": F.trim(F.coalesce("statement", F.lit(""))), "_at": F.struct(kg.alias("k"), c("seq").alias("s")), "_score": F.coalesce("score", F.lit(0.0))})
-    given = F.coalesce(c("credibility"), F.when(domains.is_trusted(c("source_url")), 0.95).otherwise(0.5))
+    rows = rows.withColumns({"statement": F.trim(F.coalesce("statement", F.lit(""))), "_at": F.struct(kg.alias("k"), c("seq").alias("s")), "_score": F.coalesce("score", F.lit(0.0)), "_domain": F.when(c("credibility").isNull(), domains.bare_domain(c("source_url")))})
+    given = F.coalesce(c("credibility"), F.when(domains.is_rooted(c("_domain")), 0.95).otherwise(0.5))
     kind = F.coalesce(F.when(c("candidate_type") != "", c("candidate_type")), F.when(kg, "KG").otherwise("VDB"))
     first = F.min_by(F.struct(c("published_at").alias("published_at"), given.alias("credibility"), kind.alias("kind")), "_at")
     agg = rows.groupBy("claim_id", "statement", "source_url").agg(
@@ -58,6 +59,10 @@ def merged(candidates: DataFrame) -> DataFrame:
     )
 
 
+#: Lists of text_signals() and asked_signals(), which the scores are made of and which nothing needs after them.
+LISTS = ("objects", "focus", "subject", "target", "actions", "own_words", "asked", "asked_names", "asked_words", "anchors", "tokens", "done", "entities")
+
+
 def asked_signals(claims: DataFrame) -> DataFrame:
     """What the rank needs to know of texts and entities of claims (claim, entities), whose other columns stay."""
     q = F.col("claim")
@@ -98,7 +103,7 @@ def text_signals(rows: DataFrame) -> DataFrame:
     return rows.withColumns({
         "claim_overlap": F.when(c("context") & ~c("anchor_ok"), F.least(c("raw_overlap"), F.lit(0.20))).otherwise(c("raw_overlap")),
         "negation_anchor": words.negation_anchor(c("symptoms"), s, c("anchor_match_score")),
-    })
+    } | {f"asks_{x}": F.size(x) > 0 for x in ("actions", "objects", "focus", "subject", "target")})
 
 
 def with_texts(rows: DataFrame, claims: DataFrame, statements: DataFrame) -> DataFrame:
@@ -127,10 +132,11 @@ def scored(candidates: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
     rows = minmax(minmax(merged(candidates), "sem_raw", "sem"), "kg_raw", "kg").withColumnRenamed("entities", "_named")
     rows = with_texts(rows, claims, candidates.select(F.trim(F.coalesce("statement", F.lit(""))).alias("statement"))).withColumnRenamed("_named", "entities")
     # furniture goes after the scaling, which it takes part in
-    rows = rows.filter(~c("furniture")).drop("furniture").withColumns({
-        "entity_overlap": words.entity_share(c("asked_names"), c("asked_words"), c("entities")), "recency": scoring.recency_decay(c("published_at"), now),
+    rows = rows.filter(~c("furniture")).drop("furniture").withColumns({"_i": words.clean_entities(c("entities")), "_t": words.entity_words(c("entities"))})
+    rows = apart(rows, {
+        "entity_overlap": words.share_of_entities(c("asked_names"), c("asked_words"), c("_i"), c("_t")), "recency": scoring.recency_decay(c("published_at"), now),
         "quality": words.source_quality(c("source_url"), F.lit(None).cast("string"), c("statement")),
-    })
+    }, "sem").drop("_i", "_t")
     sem, kg, raw, ent, over, cred = c("sem"), c("kg"), c("kg_raw"), c("entity_overlap"), c("claim_overlap"), c("credibility")
     known = F.lit(0)
     for x in (sem, kg, ent, over):
@@ -142,22 +148,22 @@ def scored(candidates: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
     base = base + F.when((kg > 0) & (ent >= 0.34) & ((over >= 0.10) | ~c("context")), 0.10).otherwise(0.0)
     base = base + F.when(is_kg & (raw >= 0.40) & c("anchor_ok"), 0.08).otherwise(0.0)
     unless = lambda x: (sem < x) & (raw < x)
-    none = lambda asked, got: (F.size(asked) > 0) & (c(got) == 0)
+    none = lambda x: c(f"asks_{x}") & (c(f"{x}_overlap") == 0)
     each, parts, share = penalty_share(
         [
             (c("anchor_match_score") < 0.20, F.when(is_kg, 0.50).otherwise(0.25)),
             (c("is_backfill") & ~((ent >= 0.25) | (kg >= 0.55) | (raw >= 0.55)), 0.12),
-            ((F.size("actions") > 0) & ~c("action_ok") & unless(0.95), 0.20),
-            (none("objects", "object_overlap") & ~c("refutes"), 0.30),
-            ((F.size("focus") > 0) & (c("focus_overlap") <= 1) & unless(0.85), 0.18),
-            (none("subject", "subject_overlap") & unless(0.90), 0.25),
-            (none("target", "target_overlap") & unless(0.90), 0.20),
-            (none("subject", "subject_overlap") & none("target", "target_overlap"), 0.40),
+            (c("asks_actions") & ~c("action_ok") & unless(0.95), 0.20),
+            (c("asks_objects") & (c("object_overlap") == 0) & ~c("refutes"), 0.30),
+            (c("asks_focus") & (c("focus_overlap") <= 1) & unless(0.85), 0.18),
+            (none("subject") & unless(0.90), 0.25),
+            (none("target") & unless(0.90), 0.20),
+            (none("subject") & none("target"), 0.40),
             (~c("belief") & c("mentions"), 0.25),
         ],
         sem,
     )
-    rows = rows.withColumns({"base": base} | each).withColumns(parts).withColumn("share", share).drop(*each, *parts)
+    rows = apart(apart(rows, {"base": base} | each, "sem").withColumns(parts), {"share": share}, "sem").drop(*each, *parts)
     base, share = c("base"), c("share")
     opposed = c("conflict") & (over >= 0.45)
     hint = F.when(c("target_overlap") > 0, 1.0).when(c("object_overlap") > 0, 0.35).otherwise(0.0)
@@ -166,22 +172,22 @@ def scored(candidates: DataFrame, claims: DataFrame, now: Column) -> DataFrame:
     total = base * F.when(c("context"), 1 - share).otherwise(1.0) * F.when(c("context") & opposed, 1 - mismatch).otherwise(1.0) * F.when(echo, 0.82).otherwise(1.0)
     total = total - F.when(c("context") & c("assertive") & c("doubt"), 0.12).otherwise(0.0)
     total = F.when((sem == 0) & (kg == 0) & (cred >= 0.90), F.greatest(total, F.lit(0.2))).otherwise(total)
-    acts = F.size("actions") > 0
+    acts = c("asks_actions")
     did = c("action_ok").cast("double")
     predicate = F.when(acts, F.when(over >= 0.20, F.greatest(did, F.least(F.lit(1.0), over))).otherwise(did)).otherwise(F.least(F.lit(1.0), F.greatest(over, c("anchor_match_score"))))
     path = F.greatest(kg, F.least(F.lit(1.0), raw))
     aligned = F.when(c("target_overlap") > 0, 1.0).when(c("object_overlap") > 0, 0.4).otherwise(0.0)
     scope = scoring.clamp01(0.55 * over + 0.45 * c("anchor_match_score"))
-    rows = rows.withColumns({"total": total, "predicate_match": predicate}).drop("base", "share")
+    rows = apart(rows, {"total": total, "predicate_match": predicate}, "sem").drop("base", "share")
     support = scoring.clamp01(0.30 * c("predicate_match") + 0.20 * aligned + 0.15 * c("quality") + 0.15 * scope + 0.20 * path) * F.when(c("context") & opposed, 0.72).otherwise(1.0)
     differs = F.greatest(F.when(acts & ~c("action_ok"), 1.0).otherwise(0.0), F.when(opposed, 0.75).otherwise(0.0))
     explicit = c("refutes").cast("double")
     by_path = F.when((explicit > 0) | (differs > 0), path).otherwise(0.0)
     against = scoring.clamp01(0.38 * F.greatest(c("negation_anchor"), explicit) + 0.22 * differs + 0.18 * F.greatest(F.lit(0.0), 1 - c("predicate_match")) + 0.22 * by_path)
-    rows = rows.withColumns({"support_score": support, "contradict_score": against})
+    rows = apart(rows, {"support_score": support, "contradict_score": against}, "sem")
     final = scoring.clamp01(0.92 * scoring.clamp01(c("total")) + 0.08 * F.greatest("support_score", "contradict_score"))
     # what meets a threshold or an order is rounded, so that the order of additions does not show
-    return rows.withColumn("final_score", F.round(final, 9)).withColumns({x: F.round(x, 9) for x in ("support_score", "contradict_score", "claim_overlap", "entity_overlap", "recency", "credibility")})
+    return apart(rows, {"final_score": F.round(final, 9)}, "sem").withColumns({x: F.round(x, 9) for x in ("support_score", "contradict_score", "claim_overlap", "entity_overlap", "recency", "credibility")})
 
 
 def admitted() -> Column:
@@ -189,12 +195,12 @@ def admitted() -> Column:
     c = F.col
     sem, raw, over, ent = c("sem"), c("kg_raw"), c("claim_overlap"), c("entity_overlap")
     unless = lambda x: (sem < x) & (raw < x)
-    acts = (F.size("actions") > 0) & ~c("action_ok")
-    off_target = (F.size("target") > 0) & (c("target_overlap") == 0)
+    acts = c("asks_actions") & ~c("action_ok")
+    off_target = c("asks_target") & (c("target_overlap") == 0)
     drop = (over < 0.15) & (sem < 0.75) & ~(((c("kg") >= 0.55) | (raw >= 0.45)) & (ent >= 0.20) & (over >= 0.08))
-    drop = drop | ((F.size("objects") > 0) & (c("subject_overlap") == 0) & (c("target_overlap") == 0) & (over < 0.40) & unless(0.90) & ~c("refutes"))
-    drop = drop | ((F.size("focus") > 0) & (c("focus_overlap") <= 1) & (over < 0.35) & unless(0.90))
-    drop = drop | ((F.size("subject") > 0) & (c("subject_overlap") == 0) & unless(0.95))
+    drop = drop | (c("asks_objects") & (c("subject_overlap") == 0) & (c("target_overlap") == 0) & (over < 0.40) & unless(0.90) & ~c("refutes"))
+    drop = drop | (c("asks_focus") & (c("focus_overlap") <= 1) & (over < 0.35) & unless(0.90))
+    drop = drop | (c("asks_subject") & (c("subject_overlap") == 0) & unless(0.95))
     drop = drop | (off_target & unless(0.95))
     drop = drop | (~c("belief") & c("mentions") & (over < 0.60))
     drop = drop | (acts & off_target & (over < 0.75) & (raw < 0.95))
@@ -214,7 +220,7 @@ def hybrid_rank(candidates: DataFrame, claims: DataFrame, now: Column) -> DataFr
     claim = Window.partitionBy("claim_id")
     graph = (c("candidate_type") == "KG") | (c("kg_raw") > 0)
     # a graph candidate among the rows to be ranked; the input held one where any row of the claim is of that kind
-    rows = scored(candidates, claims, now).withColumns({"_in": admitted(), "_graph": graph, "_kg": (c("kg") > 0) | (c("candidate_type") == "KG")})
+    rows = apart(scored(candidates, claims, now), {"_in": admitted(), "_graph": graph, "_kg": (c("kg") > 0) | (c("candidate_type") == "KG")}, "sem")
     rows = rows.withColumns({"_lost": F.max(c("_in") & c("_kg")).over(claim)})
     best = F.row_number().over(claim.orderBy((c("_graph") & ~c("_in")).desc(), c("final_score").desc(), "_at"))
     back = ~c("_lost") & c("_graph") & ~c("_in") & (c("_best") == 1) & ((c("kg_raw") >= 0.20) | (c("final_score") >= 0.08))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import policy, scoring, text, words
+from plumbline.functions.once import apart, once
 from plumbline.functions.scoring import clamp01
 from plumbline.operators.verdict import heuristic_nli
 
@@ -40,7 +41,7 @@ def graded(df: DataFrame) -> DataFrame:
         F.when(ent >= 0.7, said("strong entity overlap (", ent)).when(ent >= 0.3, said("some entity match (", ent)),
         F.when(rec >= 0.5, said("recent source (", rec)),
     )
-    rows = df.withColumns({"grade": scoring.grade(blend), "semantic_confidence": scoring.semantic_label(clamp01(sem)), "grade_rationale": reasons})
+    rows = apart(df, {"grade": once(blend, scoring.grade), "semantic_confidence": scoring.semantic_label(clamp01(sem)), "grade_rationale": reasons}, "final_score")
     return rows.withColumn("grade_rationale", F.when(c("grade_rationale") == "", "low confidence across all signals").otherwise(c("grade_rationale")))
 
 
@@ -74,23 +75,29 @@ def sided_ids(df: DataFrame, least: float = 0.35) -> DataFrame:
     return agg.withColumns({"n_contradicting": F.size("contradicting"), "n_supporting": F.size("supporting")})
 
 
+def conflict_texts(statement: Column) -> dict[str, Column]:
+    """What without_conflicts() reads in a statement: its signature, and whether it denies."""
+    sig = text.statement_signature(statement)
+    return {"_sig": F.when(sig == "", F.trim(words.low(statement))).otherwise(sig), "_neg": words.has(statement, words.NEGATED_PHASE)}
+
+
 def without_conflicts(df: DataFrame) -> DataFrame:
     """Of a claim's rows alike but for negation and from one source, the one that a fold in the order of seq ends with.
 
     Of equal polarity the next row needs a higher final_score; of opposite ones
     the better informed stays, and the negated one where they are within 0.03.
-    Only rows of one claim, source and signature are gathered, a handful.
+    Only rows of one claim, source and signature are gathered, a handful. Rows
+    may bring conflict_texts() as columns, which do not come back.
     """
     c = F.col
     source = F.trim(F.lower(F.coalesce("source_url", F.lit(""))))
-    sig = text.statement_signature(c("statement"))
+    texts = conflict_texts(c("statement"))
+    kept = [x for x in df.columns if x not in texts]
+    texts = {} if len(kept) < len(df.columns) else texts
     zero = lambda x: F.coalesce(F.col(x), F.lit(0.0))
     info = F.round(0.45 * zero("final_score") + 0.20 * zero("anchor_match_score") + 0.20 * F.abs(zero("support_score") - zero("contradict_score")) + 0.15 * zero("credibility"), 9)
-    rows = df.withColumns({
-        "_src": F.when(source == "", "__no_source__").otherwise(source), "_sig": F.when(sig == "", F.trim(words.low(c("statement")))).otherwise(sig),
-        "_neg": words.has(c("statement"), words.NEGATED_PHASE), "_info": info, "_final": zero("final_score"),
-    })
-    item = F.struct("seq", "_neg", "_info", "_final", F.struct(*[F.col(x) for x in df.columns]).alias("row"))
+    rows = df.withColumns(texts | {"_src": F.when(source == "", "__no_source__").otherwise(source), "_info": info, "_final": zero("final_score")})
+    item = F.struct("seq", "_neg", "_info", "_final", F.struct(*[F.col(x) for x in kept]).alias("row"))
 
     def step(a: Column, b: Column) -> Column:
         same = b["_final"] > a["_final"]
@@ -100,7 +107,8 @@ def without_conflicts(df: DataFrame) -> DataFrame:
 
     listed = rows.groupBy("claim_id", "_src", "_sig").agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)).alias("items"))
     left = F.reduce(F.slice("items", 2, F.greatest(F.size("items"), F.lit(1))), F.get("items", F.lit(0)), step)
-    return listed.select(left.alias("x")).select("x.row.*")
+    # the claim is that of the group, so what follows finds its rows dealt by claim
+    return listed.select("claim_id", left.alias("x")).select(*[F.col(x) if x == "claim_id" else F.col("x.row").getField(x).alias(x) for x in kept])
 
 
 def fingerprint(df: DataFrame, salt: str = "") -> DataFrame:

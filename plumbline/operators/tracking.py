@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import domains, facts, scoring, stance, text, urls, words
-from plumbline.operators import logic
+from plumbline.functions.once import apart
+from plumbline.operators import hybrid, logic
 from plumbline.operators.evidence import evidence_key
+from plumbline.session import few_pairs, with_values
 
 
 def track_hits(candidates: DataFrame, segments: DataFrame) -> DataFrame:
@@ -128,7 +130,16 @@ def best_cosine(rows: DataFrame, queries: DataFrame) -> DataFrame:
     return pairs.groupBy("id").agg(F.max("c").alias("score")).filter("score > 0")
 
 
-def rank_phase(ranked: DataFrame, claims: DataFrame, k: int = 5) -> DataFrame:
+def phase_texts(rows: DataFrame) -> DataFrame:
+    """Rows (claim, claim_entities, must_have, statement) with what the rank phase reads in these."""
+    from plumbline.functions import policy
+
+    c = F.col
+    read = {"off": policy.family_mismatch(c("statement"), c("claim"), c("claim_entities")), "stance": stance.stance(c("claim"), c("statement")), "core": policy.has_must_have(c("statement"), c("must_have"))}
+    return rows.withColumns(read | logic.conflict_texts(c("statement")))
+
+
+def rank_phase(ranked: DataFrame, claims: DataFrame, k: int = 5, statements: DataFrame | None = None) -> DataFrame:
     """The k rows of each claim that go to the verdict, graded.
 
     ranked: hybrid_rank() rows. Other families of vitamins go; the stance is
@@ -137,13 +148,18 @@ def rank_phase(ranked: DataFrame, claims: DataFrame, k: int = 5) -> DataFrame:
     copies of one source give way; of the k places one, or two where
     contradiction is strong and support is not, go to contradicting rows.
     claims: claim_id, claim, entities, must_have. Rows that name what a claim
-    must have come first.
+    must have come first. ``statements`` may give all statements that the rows
+    have: where they are few, texts are read once for each pair of distinct ones.
     """
     c = F.col
     from plumbline.functions import policy
 
-    d = ranked.join(claims.select("claim_id", "must_have", c("entities").alias("claim_entities")), "claim_id").filter(~policy.family_mismatch(c("statement"), c("claim"), c("claim_entities")))
-    d = d.withColumn("stance", stance.stance(c("claim"), c("statement")))
+    asked = claims.select("claim_id", "must_have", c("entities").alias("claim_entities"))
+    # the lists that the scores were made of go, before rows are gathered whole
+    d = ranked.drop(*hybrid.LISTS).join(asked, "claim_id")
+    few = None if statements is None else few_pairs(claims.select("claim", c("entities").alias("claim_entities"), "must_have"), statements)
+    read = None if few is None else with_values(d, ["claim", "claim_entities", "must_have", "statement"], phase_texts(few[0].crossJoin(few[1])))
+    d = (phase_texts(d) if read is None else read).filter(~c("off")).drop("off", "claim_entities", "must_have")
     against = c("stance") == "contradicts"
     first = scoring.clamp01(0.42 * c("contradict_score") + 0.30 * c("negation_anchor") + 0.18 * (1 - c("predicate_match")) + F.when(against, 0.10).otherwise(0.0))
     d = d.withColumn("stage1", F.round(first, 9))
@@ -151,7 +167,7 @@ def rank_phase(ranked: DataFrame, claims: DataFrame, k: int = 5) -> DataFrame:
     bent = F.when(c("conflict"), F.least(F.lit(0.99), bent + 0.04)).otherwise(bent)
     d = d.withColumn("final_score", F.when(against, bent).otherwise(c("final_score")))
     damping = policy.neutral_graph_damping(c("stance"), c("w_sem") * c("sem"), c("kg"), c("claim_overlap"), c("anchor_match_score"), c("predicate_match"))
-    d = d.withColumn("final_score", F.round(c("final_score") * (1 - damping), 9)).withColumn("sem_score", c("w_sem") * c("sem"))
+    d = apart(d, {"final_score": F.round(c("final_score") * (1 - damping), 9), "sem_score": c("w_sem") * c("sem")}, "stage1").drop(*[x for x in d.columns if x.startswith("w_")])
     own = Window.partitionBy("claim_id")
     d = d.withColumn("seq", F.row_number().over(own.orderBy(c("final_score").desc(), c("sem_score").desc(), c("credibility").desc(), "statement", c("source_url").asc_nulls_first())))
     d = logic.without_conflicts(d)
@@ -161,7 +177,6 @@ def rank_phase(ranked: DataFrame, claims: DataFrame, k: int = 5) -> DataFrame:
     held = F.least("quota", F.count_if("_opposed").over(own))
     d = d.withColumn("_first", F.when(c("_opposed"), c("_place") <= c("quota")).otherwise(c("_place") <= k - held))
     d = d.withColumn("_pick", F.row_number().over(own.orderBy(c("_first").desc(), "_opposed", "seq"))).filter(c("_pick") <= k)
-    d = d.withColumn("core", policy.has_must_have(c("statement"), c("must_have")))
     order = [c("core").desc(), c("final_score").desc(), c("support_score").desc(), c("sem_score").desc(), "statement", c("source_url").asc_nulls_first()]
     return logic.graded(d.withColumn("rank", F.row_number().over(own.orderBy(*order)))).drop("_opposed", "_place", "_first", "_pick", "seq")
 

@@ -294,7 +294,8 @@ def t3_b7_j18_j19_rank_phase(spark: SparkSession, d: str) -> DataFrame:
     from plumbline.plans.ranking import _ranked
 
     claims = worded.claims(spark, d).withColumn("must_have", F.slice(F.coalesce("entities", F.array().cast("array<string>")), 1, 1))
-    rows = tracking.rank_phase(_ranked(spark, d), claims)
+    statements = worded.evidence(spark, d).select(F.trim(F.coalesce("statement", F.lit(""))).alias("statement"))
+    rows = tracking.rank_phase(_ranked(spark, d), claims, statements=statements)
     return rows.select("claim_id", "statement", "source_url", "stance", "rank", "grade", "core", _r(F.col("final_score")).alias("final_score"), _r(F.col("stage1")).alias("stage1"))
 
 
