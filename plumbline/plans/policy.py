@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import policy, scoring, words
+from plumbline.functions.once import apart
 from plumbline.operators import logic
 from plumbline.plans import worded
 from plumbline.plans.claims import _c01, _sig
@@ -227,7 +228,8 @@ def f2_t5_t8_t9_t10_graded(spark: SparkSession, d: str) -> DataFrame:
     rows = _ranked(spark, d).withColumn("sem_score", c("w_sem") * c("sem"))
     damping = policy.neutral_graph_damping(F.lit("neutral"), c("sem_score"), c("kg"), c("claim_overlap"), c("anchor_match_score"), c("predicate_match"))
     reasons = F.regexp_replace(F.regexp_replace(F.regexp_replace("grade_rationale", r" \([0-9.]+\)", ""), "(^|; )(high|fair) semantic match|(; )?recent source|low confidence across all signals", ""), "^; ", "")
-    return logic.by_grade(logic.graded(rows), "D").select("claim_id", "statement", "source_url", "grade", "semantic_confidence", damping.alias("damping"), reasons.alias("reasons"))
+    rows = apart(logic.by_grade(logic.graded(rows), "D"), {"damping": damping, "reasons": reasons}, "sem_score")
+    return rows.select("claim_id", "statement", "source_url", "grade", "semantic_confidence", "damping", "reasons")
 
 
 INFO = "round(0.45 * final + 0.20 * anchor + 0.20 * abs(sup - con) + 0.15 * cred, 9)"
